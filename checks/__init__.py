@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_core",)
+MODULES = ("q_core", "q_outcomes")
 
 
 def load_all() -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqtide.functions.scalar import report_round
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +22,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(F.when(~F.isnan(c.cast("double")), c.cast("double")), DIGITS)
+            c = report_round(F.when(~F.isnan(c.cast("double")), c.cast("double")), DIGITS)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             c = c.cast("int").cast("long")
         out.append(c.alias(f.name))

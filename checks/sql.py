@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def r(expr: str) -> str:
-    """Six digits, with minus zero turned into zero."""
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    """Six digits, half away from zero on the decimal text of the number."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38, 9)), 6) AS DOUBLE)"
 
 
 def rd(expr: str, digits: int) -> str:

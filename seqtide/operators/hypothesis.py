@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtide.functions import tails
-from seqtide.operators.ranks import add_ranks, value_counts
+from seqtide.operators.ranks import add_rank_columns, add_ranks, value_counts
 
 ONE = "__all"
 
@@ -76,11 +76,7 @@ def rank_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("w"))
     )
 
-    def side(column: str, name: str) -> DataFrame:
-        counts = pairs.groupBy(*keys, F.col(column).alias("__v")).agg(F.sum("w").alias("__n"))
-        return add_ranks(counts, keys, F.col("__n")).select(*keys, F.col("__v").alias(column), F.col("avg_rank").alias(name))
-
-    return pairs.join(side("__x", "rx"), [*keys, "__x"]).join(side("__y", "ry"), [*keys, "__y"])
+    return add_rank_columns(pairs, keys, {"__x": "rx", "__y": "ry"}, "w")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 2) -> DataFrame:
@@ -110,12 +106,25 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 2)
 def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str) -> DataFrame:
     """Rank correlation of x and y with z held fixed."""
     df, k = _keyed(df, keys)
-    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    parts = [
-        spearman(df, k, a, b).select(*k, F.col("rho").alias(f"r_{name}"), F.col("p").alias(f"p_{name}"), *extra)
-        for a, b, name, extra in ((x, y, "xy", ["n"]), (x, z, "xz", []), (y, z, "yz", []))
-    ]
-    out = parts[0].join(parts[1], k).join(parts[2], k)
+    triples = (
+        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
+        .select(*k, *[F.col(c).cast("double").alias(f"__{n}") for c, n in ((x, "x"), (y, "y"), (z, "z"))])
+        .groupBy(*k, "__x", "__y", "__z")
+        .agg(F.count(F.lit(1)).alias("w"))
+    )
+    ranked = add_rank_columns(triples, k, {"__x": "rx", "__y": "ry", "__z": "rz"}, "w")
+    w = F.col("w")
+    sums = ranked.groupBy(*k).agg(
+        F.sum(w).alias("n"),
+        *[F.sum(w * F.col(f"r{a}") * F.col(f"r{b}")).alias(f"s_{a}{b}") for a in "xyz" for b in "xyz" if a <= b],
+    )
+    square = F.col("n") * ((F.col("n") + 1) / 2) ** 2
+    spread = {a: F.col(f"s_{a}{a}") - square for a in "xyz"}
+
+    def rho(a: str, b: str) -> Column:
+        return F.try_divide(F.col(f"s_{a}{b}") - square, F.sqrt(spread[a] * spread[b]))
+
+    out = sums.select(*k, "n", rho("x", "y").alias("r_xy"), rho("x", "z").alias("r_xz"), rho("y", "z").alias("r_yz"))
     denom = F.sqrt((1 - F.col("r_xz") ** 2) * (1 - F.col("r_yz") ** 2))
     partial = F.when(denom != 0, (F.col("r_xy") - F.col("r_xz") * F.col("r_yz")) / denom).otherwise(0.0)
     return out.withColumn("r_partial", partial).drop(*([ONE] if not keys else []))

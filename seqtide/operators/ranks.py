@@ -54,3 +54,16 @@ def add_ranks(counts: DataFrame, keys: Sequence[str], total: Column) -> DataFram
         .withColumn("avg_rank", F.col("__skip") + F.col("__cum") - (F.col("ties") - 1) / 2)
         .drop("__slot", "__cum", "__skip")
     )
+
+
+def add_rank_columns(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], weight: str | None = None
+) -> DataFrame:
+    """Add the average rank inside the key for several columns: ``{column: rank name}``."""
+    w = F.sum(weight) if weight else F.count(F.lit(1))
+    out = df
+    for column, name in columns.items():
+        counts = df.groupBy(*keys, F.col(column).alias("__v")).agg(w.alias("__n"))
+        ranks = add_ranks(counts, keys, F.col("__n")).select(*keys, F.col("__v").alias(column), F.col("avg_rank").alias(name))
+        out = out.join(ranks, [*keys, column])
+    return out

@@ -9,6 +9,7 @@ from seqtide.functions.scalar import is_finite, report_round, streak_category, z
 from seqtide.operators import hypothesis as hy
 from seqtide.operators import sequence as sq
 from seqtide.operators.ordered import Seq, ordered
+from seqtide.session import cut_lineage
 
 # Weight of a stop by its tier.
 STOP_WEIGHTS = {"Short": 1.0, "Long": 2.5, "Quit": 5.0, "End": 0.0}
@@ -245,7 +246,7 @@ def finite_odds(odds: DataFrame) -> DataFrame:
 
 def odds_correlation(odds: DataFrame, profile: DataFrame) -> DataFrame:
     """Spearman of the odds with fsi and with ers, per kind."""
-    joined = finite_odds(odds).join(profile.select("entity", "fsi", "ers"), "entity")
+    joined = cut_lineage(finite_odds(odds).join(profile.select("entity", "fsi", "ers"), "entity"))
     long = joined.select(
         "kind",
         "odds",
@@ -275,7 +276,8 @@ def pity_by_ers(odds: DataFrame, profile: DataFrame) -> DataFrame:
     """Median split on ers: are the pity odds of the upper half larger? With the partial
     correlation that holds the number of events fixed."""
     pity = odds.filter((F.col("kind") == "pity") & is_finite("odds")).select("entity", "odds")
-    joined = pity.join(profile.select("entity", "ers", "total_events"), "entity")
+    # One row per entity, used by two tests: computed once.
+    joined = cut_lineage(pity.join(profile.select("entity", "ers", "total_events"), "entity"))
     halves = median_split(joined, "ers", "entity")
     test = hy.mann_whitney(halves, [], "half", "odds", "high", "low", "greater", exact=False)
     partial = hy.partial_spearman(joined, [], "ers", "odds", "total_events")
@@ -287,7 +289,7 @@ def return_by_ers(seq: Seq, profile: DataFrame) -> DataFrame:
     firsts = session_firsts(seq, ["metric"])
     back = firsts.filter(F.col("prev_stop").isin("Long", "Quit") & F.col("first_metric").isNotNull())
     means = back.groupBy("entity").agg(F.avg("first_metric").alias("avg_return"))
-    halves = median_split(means.join(profile.select("entity", "ers"), "entity"), "ers", "entity")
+    halves = median_split(cut_lineage(means.join(profile.select("entity", "ers"), "entity")), "ers", "entity")
     return hy.mann_whitney(halves, [], "half", "avg_return", "high", "low", "greater", exact=False).filter("n1 + n2 >= 4")
 
 
@@ -326,6 +328,7 @@ def odds_correlates(odds: DataFrame, profile: DataFrame, ratings: DataFrame) ->
     """Spearman of the finite pity odds with the number of events and with the current rating."""
     pity = odds.filter((F.col("kind") == "pity") & is_finite("odds")).select("entity", "odds")
     joined = pity.join(profile.select("entity", "total_events"), "entity").join(ratings, "entity")
+    joined = cut_lineage(joined)
     long = joined.select(
         "odds",
         F.explode(
