@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_core", "q_outcomes")
+MODULES = ("q_core", "q_outcomes", "q_trends")
 
 
 def load_all() -> None:
