@@ -143,3 +143,15 @@ def with_region(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = df.withColumn("__nation", F.col("entity") % 25).join(nations, "__nation", "left").drop("__nation")
     return joined.withColumn("tz", zone_of(F.col("region")))
+
+
+def events_with_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event scan with the archetype of both decks (two left joins on the set header).
+
+    Joined before the timeline is cut, so the windows still need one exchange. A deck that
+    holds a large share of the events is split by the adaptive skew join.
+    """
+    headers = decks(spark, sf_dir)
+    own = headers.select("deck", F.col("archetype").alias("arch"))
+    other = headers.select(F.col("deck").alias("opp_deck"), F.col("archetype").alias("opp_arch"))
+    return events(spark, sf_dir).join(own, "deck", "left").join(other, "opp_deck", "left")
