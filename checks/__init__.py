@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_core", "q_outcomes", "q_trends")
+MODULES = ("q_core", "q_outcomes", "q_trends", "q_sets")
 
 
 def load_all() -> None:

@@ -61,6 +61,7 @@ def match_where(
     b: DataFrame,
     strata: Sequence[str],
     unique: Sequence[str],
+    unique_b: Sequence[str],
     accept: Callable[[], Column],
     seed: int = 42,
 ) -> DataFrame:
@@ -71,7 +72,7 @@ def match_where(
     formed stay within twice the tries really needed, and nothing is capped. Columns of ``b``
     come as ``b_<name>``; ``accept`` reads both sides.
     """
-    others = circle(b, strata, unique, seed)
+    others = circle(b, strata, unique_b, seed)
     others = cut_lineage(others.select(*strata, "place", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in strata]))
     sizes = others.groupBy(*strata).agg(F.count(F.lit(1)).alias("__around"))
     start = F.pmod(hash_number(seed + 1, *unique), F.col("__around"))
@@ -131,7 +132,7 @@ def match_nearest(
 
     def distance(side: str) -> Column:
         return F.round(
-            F.abs(F.col("__own") - F.col("__coarse")) + F.abs(F.col("__fine") - F.col(side)["v"]) / fine_scale, 9
+            F.abs(F.col("__own") - F.col("__coarse")) + F.abs(F.col("__fine") - F.col(side)["v"]) / fine_scale, 6
         )
 
     options = F.array_compact(

@@ -82,7 +82,8 @@ def conditional_swap_pairs(seq: Seq, regions: DataFrame, lines: DataFrame, key_i
         shared = F.size(F.array_intersect("items", "b_items"))
         return (F.col("entity") != F.col("b_entity")) & (shared <= max_shared) & ~F.arrays_overlap("keys", "b_keys")
 
-    return mt.match_where(a, b.select("region", "week", "slot", "band", "cb", "entity", "session_no", "items", "keys"), ["region", "week", "slot", "band", "cb"], ["entity", "session_no", "ca", "cb"], different, seed)
+    strata = ["region", "week", "slot", "band", "cb"]
+    return mt.match_where(a, b, strata, ["entity", "session_no", "ca"], ["entity", "session_no"], different, seed)
 
 
 def conditional_swap(pairs: DataFrame, seq: Seq) -> DataFrame:

@@ -103,6 +103,12 @@ def deck_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deck_item_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basket lines by item class instead of single item, one row per (deck, class)."""
+    classes = items(spark, sf_dir).select("item", F.col("rarity").alias("cls"))
+    return deck_items(spark, sf_dir).join(classes, "item").groupBy("deck", F.col("cls").alias("item")).agg(F.max("level").alias("level"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item"),
