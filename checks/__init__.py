@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_core", "q_outcomes", "q_trends", "q_sets")
+MODULES = ("q_core", "q_outcomes", "q_trends", "q_sets", "q_tables", "q_ml")
 
 
 def load_all() -> None:

@@ -98,8 +98,13 @@ def duration_text(seconds: ColumnLike) -> Column:
 
 
 def normal_name(name: ColumnLike) -> Column:
-    """Item key from a display name: lower case, blanks to dashes, dots dropped."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(name))), r"\s+", "-"), r"\.", "")
+    """Normal form of a display name: lower case, a dash for every blank."""
+    return F.translate(F.lower(_c(name)), " ", "-")
+
+
+def item_key(name: ColumnLike, evo: ColumnLike) -> Column:
+    """Normal name with the suffix of an evolved item."""
+    return F.concat(normal_name(name), F.when(_c(evo) == 1, "-ev1").otherwise(""))
 
 
 # --- time ------------------------------------------------------------------
@@ -167,19 +172,17 @@ def season_days(day: ColumnLike) -> Column:
 def content_hash(items: ColumnLike, with_level: bool = True) -> Column:
     """SHA-256 of an unordered set of ``struct(name, level, evo, hero)``.
 
-    The set is ordered by normalised name; without the level it names the archetype.
+    The set is ordered by normal name. With the level the display name is hashed, without it
+    the normal name: that second hash names the archetype.
     """
-    keyed = F.transform(
-        _c(items),
-        lambda i: F.struct(
-            normal_name(i["name"]).alias("k"),
-            (
-                F.concat_ws(":", normal_name(i["name"]), i["level"].cast("string"), i["evo"].cast("string"), i["hero"].cast("string"))
-                if with_level
-                else F.concat_ws(":", normal_name(i["name"]), i["evo"].cast("string"), i["hero"].cast("string"))
-            ).alias("v"),
-        ),
-    )
+
+    def text(i: Column) -> Column:
+        flags = [i["evo"].cast("string"), i["hero"].cast("string")]
+        if with_level:
+            return F.concat_ws(":", i["name"], F.coalesce(i["level"].cast("string"), F.lit("")), *flags)
+        return F.concat_ws(":", normal_name(i["name"]), *flags)
+
+    keyed = F.transform(_c(items), lambda i: F.struct(normal_name(i["name"]).alias("k"), text(i).alias("v")))
     return F.sha2(F.array_join(F.transform(F.array_sort(keyed), lambda s: s["v"]), ","), 256)
 
 

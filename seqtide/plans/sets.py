@@ -14,6 +14,7 @@ from seqtide.operators import sequence as sq
 from seqtide.operators.ordered import Seq
 from seqtide.plans import timeline as tl
 from seqtide.plans.outcomes import measures, rated_rows
+from seqtide.session import cut_lineage
 
 AHEAD = 4
 
@@ -249,7 +250,9 @@ def fairness_cells(rows: DataFrame, min_key: int = 20, min_arch: int = 3) -> Dat
     """
     k = ["slot", "bucket"]
     keyed = rated_rows(rows).withColumns({"slot": day_slot("hour", 8), "bucket": bucket("rating_before", 1500)})
-    cells = keyed.filter("arch IS NOT NULL AND opp_arch IS NOT NULL").groupBy(*k, "arch", "opp_arch").agg(F.count(F.lit(1)).alias("cell"))
+    cells = cut_lineage(
+        keyed.filter("arch IS NOT NULL AND opp_arch IS NOT NULL").groupBy(*k, "arch", "opp_arch").agg(F.count(F.lit(1)).alias("cell"))
+    )
 
     def at_least(df: DataFrame, extra: list[str], n: int) -> DataFrame:
         kept = df.groupBy(*k, *extra).agg(F.sum("cell").alias("__n")).filter(F.col("__n") >= n).select(*k, *extra)
@@ -257,7 +260,8 @@ def fairness_cells(rows: DataFrame, min_key: int = 20, min_arch: int = 3) -> Dat
 
     cells = at_least(cells, [], min_key)
     cells = at_least(at_least(cells, ["arch"], min_arch), ["opp_arch"], min_arch)
-    return at_least(cells, [], min_key)
+    # A small table (categories only) that the tests read many times: computed once.
+    return cut_lineage(at_least(cells, [], min_key))
 
 
 def matchmaking_fairness(rows: DataFrame) -> DataFrame:
