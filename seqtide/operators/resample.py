@@ -95,7 +95,7 @@ def _tables_at_least(rows: pd.Series, cols: pd.Series, stat: pd.Series, reps: pd
             need = np.full(int(n_rep), need)
             for j in range(len(c)):
                 rest = left[:, j + 1 :].sum(axis=1)
-                cell = rng.hypergeometric(left[:, j], rest, need) if i < len(r) - 1 else left[:, j]
+                cell = rng.hypergeometric(left[:, j], rest, need) if i < len(r) - 1 else left[:, j].copy()
                 left[:, j] = left[:, j] - cell
                 need = need - cell
                 score += cell.astype(float) ** 2 * total / (r[i] * c[j])
