@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtide.operators.ordered import ordered
+from seqtide.operators.ordered import small_ordered
 
 
 def basket_levels(lines: DataFrame, special: Column | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def topn_sets(support: DataFrame, bucket: str, n: int, by: str = "freq") -> Data
 def topn_change(sets: DataFrame, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """Jaccard distance between the sets of adjacent buckets."""
     base = sets if keys else sets.withColumn("__key", F.lit(0))
-    seq = ordered(base, list(keys) or ["__key"], order, slab=1e6).near({"__prev": lambda w: F.lag("items").over(w)}, back=1)
+    seq = small_ordered(base, list(keys) or ["__key"], order).near({"__prev": lambda w: F.lag("items").over(w)}, back=1)
     union = F.size(F.array_union("items", "__prev"))
     distance = F.when(F.col("__prev").isNotNull(), F.when(union > 0, 1 - F.size(F.array_intersect("items", "__prev")) / union).otherwise(F.lit(0.0)))
     return seq.frame.withColumn("distance", distance).drop("__prev", "__key")

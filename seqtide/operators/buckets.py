@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqtide.operators.ordered import ordered
+from seqtide.operators.ordered import ordered, small_ordered
 from seqtide.schemas import THRESHOLD_LIMITS
 
 
@@ -98,11 +98,14 @@ def bucket_zscore(df: DataFrame, bucket: str, value: str, more_than: int = 5, na
     return out.withColumn(name, z).drop("__m", "__s", "__n", "__gm", "__gs")
 
 
-def increments(buckets: DataFrame, bucket: str, value: str, key: str | None = None, width: float | None = None, slab: float = 1e6) -> DataFrame:
-    """Change of the value from bucket to bucket; with ``width`` only between adjacent ones."""
+def increments(buckets: DataFrame, bucket: str, value: str, key: str | None = None, width: float | None = None) -> DataFrame:
+    """Change of the value from bucket to bucket; with ``width`` only between adjacent ones.
+
+    One row per bucket: the value range over the width bounds the table.
+    """
     base = buckets if key else buckets.withColumn("__key", F.lit(0))
     keys = key or "__key"
-    seq = ordered(base, keys, bucket, slab=slab).near(
+    seq = small_ordered(base, keys, bucket).near(
         {
             "__pv": lambda w: F.lag(value).over(w),
             "__pb": lambda w: F.lag(bucket).over(w),

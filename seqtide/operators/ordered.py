@@ -67,6 +67,16 @@ class Seq:
             return self.with_df(df)
         return _cut(df.drop(SEG, RN), self.keys, self.order, self.hot, self.max_rows, self.slab)
 
+    def derive(self, df: DataFrame, order: Sequence[str], slab: float | None = None) -> "Seq":
+        """Another table of the same keys with no more rows per key (say, the sessions of a log).
+
+        Keys that are not hot here cannot be hot there, so no new count is needed.
+        """
+        order, width = tuple(order), slab or self.slab
+        if not self.split:
+            return Seq(df, self.keys, order, self.max_rows, width)
+        return _cut(df, self.keys, order, self.hot, self.max_rows, width)
+
     def window(self, reverse: bool = False) -> WindowSpec:
         parts = [*self.keys, SEG] if self.split else list(self.keys)
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
@@ -140,6 +150,15 @@ class Seq:
         return self.with_df(self.df.withColumn(name, F.row_number().over(self.window()).cast("long")))
 
 
+_KNOWN_HOT: dict[tuple, list] = {}
+
+
+def small_ordered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]) -> Seq:
+    """Order a table whose rows per key are bounded by construction (buckets, steps)."""
+    keys = (keys,) if isinstance(keys, str) else tuple(keys)
+    return Seq(df, keys, (order,) if isinstance(order, str) else tuple(order))
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows, or None.
 
@@ -147,7 +166,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | N
     ``total_rows / max_rows`` keys can come back, which bounds the collected list.
     """
     found = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
-    rows = found.collect()
+    # The same plan is counted once per application. Should its files change later, an outdated
+    # list only changes how keys are cut, never a result.
+    known = (df.sparkSession.sparkContext.applicationId, found.semanticHash(), found.schema.json(), max_rows)
+    if known not in _KNOWN_HOT:
+        _KNOWN_HOT[known] = found.collect()
+    rows = _KNOWN_HOT[known]
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 

@@ -203,7 +203,7 @@ def streak_odds(seq: Seq, n: int = 3, high: float = 60.0, low: float = 40.0) ->
 def session_pity(seq: Seq, low: float = 45.0, high: float = 55.0, min_n: int = 2, min_pairs: int = 2) -> DataFrame:
     """Per entity: a session averaging under ``low`` -> the next one over ``high``."""
     summary = session_summary(seq)
-    pairs = ordered(summary.select(*seq.keys, "session_no", "n_valid", "avg_metric"), list(seq.keys), "session_no", seq.max_rows, slab=1e5)
+    pairs = seq.derive(summary.select(*seq.keys, "session_no", "n_valid", "avg_metric"), ["session_no"], slab=1e5)
     pairs = pairs.near(
         {"__n2": lambda w: F.lead("n_valid").over(w), "__m2": lambda w: F.lead("avg_metric").over(w)}, ahead=1
     )

@@ -313,26 +313,31 @@ def item_fairness_top(tests: DataFrame, rates: DataFrame, n: int = 5) -> DataFra
 # --- targeting -----------------------------------------------------------------------
 
 
+MAX_THREATS = 200
+
+
 def threat_encounters(events: DataFrame, lines: DataFrame, threats: DataFrame) -> DataFrame:
     """Do decks without an answer to an item meet it more often than decks with one?
 
-    ``threats``: (threat, item, kind) with kind hard or soft, a short list. A deck is safe with
+    ``threats``: (threat, item, kind) with kind hard or soft, for a few threats. A deck is safe with
     one hard or two soft answers. Events are counted per pair of decks first.
     """
     pairs = events.groupBy("deck", "opp_deck").agg(F.count(F.lit(1)).alias("uses"))
-    answers = lines.select("deck", "item").distinct().join(F.broadcast(threats), "item").groupBy("deck", "threat").agg(
+    names = [r["threat"] for r in threats.select("threat").distinct().limit(MAX_THREATS + 1).collect()]
+    if len(names) > MAX_THREATS:
+        raise ValueError(f"at most {MAX_THREATS} threats can be compared in one pass")
+    answers = lines.select("deck", "item").distinct().join(threats, "item").groupBy("deck", "threat").agg(
         F.count_if(F.col("kind") == "hard").alias("hard"), F.count_if(F.col("kind") == "soft").alias("soft")
     )
     safe = answers.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).groupBy("deck").agg(F.collect_set("threat").alias("safe"))
-    names = threats.select("threat").distinct()
-    held = lines.join(F.broadcast(names.withColumnRenamed("threat", "item")), "item").groupBy("deck").agg(F.collect_set("item").alias("held"))
+    held = lines.filter(F.col("item").isin(names)).groupBy("deck").agg(F.collect_set("item").alias("held"))
     known = lines.select("deck").distinct()
     rows = (
         pairs.join(known, "deck", "left_semi")
         .join(known.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left_semi")
         .join(safe, "deck", "left")
         .join(held.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left")
-        .crossJoin(F.broadcast(names))  # a short list by definition
+        .withColumn("threat", F.explode(F.array(*[F.lit(n) for n in names])))
     )
     is_safe = F.coalesce(F.array_contains("safe", F.col("threat")), F.lit(False))
     meets = F.coalesce(F.array_contains("held", F.col("threat")), F.lit(False))

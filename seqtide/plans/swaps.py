@@ -68,7 +68,7 @@ COMPARISONS = (("Neg", "Neg"), ("Pos", "Pos"), ("Neg", "Pos"))
 def conditional_swap_pairs(seq: Seq, regions: DataFrame, lines: DataFrame, key_items: DataFrame, max_shared: int = 3, seed: int = 42) -> DataFrame:
     """Negative and positive sessions paired inside (region, week, slot, band) with a session of
     another entity whose deck shares at most ``max_shared`` items and no key item."""
-    sets = lines.join(F.broadcast(key_items.withColumn("key", F.lit(True))), "item", "left").groupBy("deck").agg(
+    sets = lines.join(key_items.withColumn("key", F.lit(True)), "item", "left").groupBy("deck").agg(
         F.collect_set("item").alias("items"), F.collect_set(F.when(F.col("key"), F.col("item"))).alias("keys")
     )
     base = one_deck_sessions(seq, regions).withColumn("cat", zone("real", labels=("Neg", "Mid", "Pos"))).join(sets, "deck")
