@@ -18,6 +18,47 @@ from pyspark.sql import types as T
 
 from seqtide.functions.scalar import clean_number, content_hash, duration_seconds
 
+# Class names and texts of the landed pages.
+CLS_EVENT = "battle"
+CLS_MODE = "game_mode_header"
+CLS_RIBBON = "win_loss"
+TXT_WIN = "Victory"
+CLS_RESULT = "result_header"
+CLS_CHANGE = "trophy_container"
+CLS_CHANGE_LABEL = ("ui", "basic", "label")
+CLS_SIDE = "team-segment"
+CLS_NAME_LINK = "player_name_header"
+TXT_NAME_PATH = "/player/"
+TXT_LEAK = "Elixir Leaked"
+CLS_LEVEL_DIFF = "battle_level_diff"
+TXT_LEVEL_DIFF = "Δ Lvl:"
+CLS_ITEM_BOX = "deck_card__four_wide"
+CLS_ITEM = "deck_card"
+CLS_ITEM_LEVEL = "card-level"
+CLS_SPECIAL_BOX = "deck_tower_card__container"
+TXT_LEVEL = "Lvl"
+TXT_EVOLVED = "-ev"
+TXT_HERO = "-hero"
+CLS_HEAD = "p_head_item"
+CLS_RATING_BLOCK = "league_info_container"
+CLS_RATING_ICON = ("item_icon", "trophy")
+TXT_SEASON = "Current Season"
+CLS_CLAN_BLOCK = "player_aux_info"
+CLS_CLAN = ("ui", "header", "item")
+CLS_HOLDING = ("player_card_link", "player_card_item")
+CLS_HOLDING_LEVEL = "player_cards__card_level"
+CLS_SPECIAL_HOLDINGS = "player_profile__tower_card_collection"
+CLS_EVOLUTION_HOLDINGS = "player_profile__evo_card_collection"
+CLS_MINI = ("player_card", "mini_card")
+CLS_MISSING = "not_found"
+CLS_SET = "deck_segment"
+TXT_SET_ROW = "Player"
+SPECIAL_LEVEL = 16
+PROFILE_LABELS = {
+    "account age": "account_age", "games per day": "games_per_day", "total": "time_spent", "wins": "wins",
+    "losses": "losses", "total games": "total_games", "three crown wins": "three_crown_wins",
+}
+
 VOID = {"img", "br", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -84,22 +125,22 @@ def _number(text: str | None, kind=float):
 
 
 def _level(node: Node | None) -> int | None:
-    text = node.text().replace("Lvl", "").strip() if node else ""
+    text = node.text().replace(TXT_LEVEL, "").strip() if node else ""
     return int(text) if text.isdigit() else None
 
 
-def _basket(segment: Node, default_special: int = 16) -> list[dict]:
+def _basket(segment: Node, default_special: int = SPECIAL_LEVEL) -> list[dict]:
     """Eight items and the special one (whose level has a default) of one side."""
     out = []
-    for box in segment.all(None, "deck_card__four_wide"):
-        img = box.one("img", "deck_card")
+    for box in segment.all(None, CLS_ITEM_BOX):
+        img = box.one("img", CLS_ITEM)
         if img:
             key = img.attrs.get("data-card-key") or ""
             out.append(
-                {"name": img.attrs.get("alt"), "level": _level(box.one(None, "card-level")), "evo": int("-ev" in key), "hero": int("-hero" in key)}
+                {"name": img.attrs.get("alt"), "level": _level(box.one(None, CLS_ITEM_LEVEL)), "evo": int(TXT_EVOLVED in key), "hero": int(TXT_HERO in key)}
             )
-    box = segment.one(None, "deck_tower_card__container")
-    img = box.one("img", "deck_card") if box else None
+    box = segment.one(None, CLS_SPECIAL_BOX)
+    img = box.one("img", CLS_ITEM) if box else None
     if img:
         divs = [d for holder in box.all(None, "level") for d in holder.all("div")]
         level = _level(divs[1]) if len(divs) > 1 else None
@@ -110,27 +151,27 @@ def _basket(segment: Node, default_special: int = 16) -> list[dict]:
 def page_events(root: Node) -> list[dict]:
     """Events of a history page, with both baskets."""
     out = []
-    for div in root.all("div", "battle"):
-        mode, ribbon = div.one(None, "game_mode_header"), div.one(None, "win_loss")
-        win = int("Victory" in (ribbon.text() if ribbon else ""))
-        result = div.one(None, "result_header")
+    for div in root.all("div", CLS_EVENT):
+        mode, ribbon = div.one(None, CLS_MODE), div.one(None, CLS_RIBBON)
+        win = int(TXT_WIN in (ribbon.text() if ribbon else ""))
+        result = div.one(None, CLS_RESULT)
         scores = result.text().replace(" ", "").split("-") if result else [None, None]
         change = None
-        for holder in div.all(None, "trophy_container"):
-            label = holder.one(None, "ui", "basic", "label")
+        for holder in div.all(None, CLS_CHANGE):
+            label = holder.one(None, *CLS_CHANGE_LABEL)
             if label is not None:
                 own = [k for k in label.kids if isinstance(k, str)]
                 change = _number(own[0], int) if own else None
                 break
-        segments = div.all(None, "team-segment")
-        link = segments[-1].one("a", "player_name_header") if segments else None
+        segments = div.all(None, CLS_SIDE)
+        link = segments[-1].one("a", CLS_NAME_LINK) if segments else None
         href = (link.attrs.get("href") or "") if link else ""
         leaks = []
         for item in div.all(None, "item"):
             label, value = item.one(None, "name"), item.one(None, "value")
-            if label and value and label.text().lower() == "elixir leaked":
-                leaks.append(_number(value.text().removeprefix("Elixir Leaked")))
-        diff = div.one(None, "battle_level_diff")
+            if label and value and label.text().lower() == TXT_LEAK.lower():
+                leaks.append(_number(value.text().removeprefix(TXT_LEAK)))
+        diff = div.one(None, CLS_LEVEL_DIFF)
         text = diff.text() if diff else ""
         out.append(
             {
@@ -143,10 +184,10 @@ def page_events(root: Node) -> list[dict]:
                 "score_against": _number(scores[1], int) if len(scores) > 1 else None,
                 # A gain on a loss is the opponent's: the value hit a floor.
                 "change": 0 if win == 0 and change is not None and change > 0 else change,
-                "opponent": href.split("/player/")[-1].split("/")[0] if "/player/" in href else None,
+                "opponent": href.split(TXT_NAME_PATH)[-1].split("/")[0] if TXT_NAME_PATH in href else None,
                 "leak_for": leaks[0] if leaks else None,
                 "leak_against": leaks[1] if len(leaks) > 1 else None,
-                "level": _number(text.replace("Δ Lvl:", "").strip()) if "Δ Lvl:" in text else None,
+                "level": _number(text.replace(TXT_LEVEL_DIFF, "").strip()) if TXT_LEVEL_DIFF in text else None,
                 "own_items": _basket(segments[0]) if segments else [],
                 "opp_items": _basket(segments[-1]) if segments else [],
             }
@@ -167,10 +208,10 @@ def _rows(root: Node) -> list[tuple[str, str]]:
 def page_profile(root: Node) -> list[dict]:
     """Profile texts; numbers and durations are cleaned later, as Column expressions."""
     out: dict[str, str | None] = {}
-    head = root.one(None, "p_head_item")
+    head = root.one(None, CLS_HEAD)
     out["name"] = head.one("h1").text() if head and head.one("h1") else None
-    for block in root.all(None, "league_info_container"):
-        if block.one(None, "item_icon", "trophy"):
+    for block in root.all(None, CLS_RATING_BLOCK):
+        if block.one(None, *CLS_RATING_ICON):
             items = block.all(None, "item")
             out["rating"] = items[0].text() if items else None
             out["arena"] = items[1].text() if len(items) > 1 else None
@@ -181,39 +222,35 @@ def page_profile(root: Node) -> list[dict]:
         if title is not None and not row.all("td")[1:]:
             if season:
                 break
-            season = "Current Season" in title.text()
+            season = TXT_SEASON in title.text()
         elif season and len(row.all("td")) == 2:
             label, value = (c.text() for c in row.all("td"))
             if label.lower() == "league" or (label.lower() == "rank" and "unranked" not in value.lower()):
                 out["rank"] = value
             elif label.lower() in ("trophies", "ratings"):
                 out["ranked_rating"] = value
-    clan = root.one(None, "player_aux_info")
-    text = clan.one(None, "ui", "header", "item").text() if clan and clan.one(None, "ui", "header", "item") else "None"
+    clan = root.one(None, CLS_CLAN_BLOCK)
+    text = clan.one(None, *CLS_CLAN).text() if clan and clan.one(None, *CLS_CLAN) else "None"
     out["clan"] = "None" if text.lower() == "not in clan" else text
-    names = {
-        "account age": "account_age", "games per day": "games_per_day", "total": "time_spent", "wins": "wins",
-        "losses": "losses", "total games": "total_games", "three crown wins": "three_crown_wins",
-    }
     for label, value in _rows(root):
-        if label in names:
-            out[names[label]] = value
+        if label in PROFILE_LABELS:
+            out[PROFILE_LABELS[label]] = value
     return [out]
 
 
 def page_holdings(root: Node) -> list[dict]:
     """Item, special, hero and evolution holdings; each row changes only its own columns."""
     out = []
-    for card in root.all("a", "player_card_link", "player_card_item"):
-        img = card.one("img", "deck_card")
-        out.append({"kind": "item", "name": img.attrs.get("alt", "").strip() if img else None, "level": _level(card.one(None, "player_cards__card_level")), "found": 1})
-    for kind, holder in (("special", "player_profile__tower_card_collection"), ("evolution", "player_profile__evo_card_collection")):
+    for card in root.all("a", *CLS_HOLDING):
+        img = card.one("img", CLS_ITEM)
+        out.append({"kind": "item", "name": img.attrs.get("alt", "").strip() if img else None, "level": _level(card.one(None, CLS_HOLDING_LEVEL)), "found": 1})
+    for kind, holder in (("special", CLS_SPECIAL_HOLDINGS), ("evolution", CLS_EVOLUTION_HOLDINGS)):
         for group in root.all(None, holder):
-            for card in group.all(None, "player_card"):
-                img = card.one("img", "mini_card")
+            for card in group.all(None, CLS_MINI[0]):
+                img = card.one("img", CLS_MINI[1])
                 if not img:
                     continue
-                missing = "not_found" in card.classes
+                missing = CLS_MISSING in card.classes
                 level = card.one("div", "level")
                 if kind == "special" and level is not None:
                     value = 0 if missing or level.text() == "_" else int(level.text())
@@ -226,14 +263,14 @@ def page_holdings(root: Node) -> list[dict]:
 def page_set_stats(root: Node) -> list[dict]:
     """Statistics per deck: its items, events and the win percentage of the Player row."""
     out = []
-    for segment in root.all("div", "deck_segment"):
+    for segment in root.all("div", CLS_SET):
         items = []
-        for img in segment.all("img", "deck_card"):
+        for img in segment.all("img", CLS_ITEM):
             key = img.attrs.get("data-card-key") or ""
-            items.append({"name": img.attrs.get("alt"), "level": None, "evo": int("-ev" in key), "hero": int("-hero" in key)})
+            items.append({"name": img.attrs.get("alt"), "level": None, "evo": int(TXT_EVOLVED in key), "hero": int(TXT_HERO in key)})
         for row in segment.all("tr"):
             cells = row.all("td")
-            if items and len(cells) > 2 and cells[0].text() == "Player":
+            if items and len(cells) > 2 and cells[0].text() == TXT_SET_ROW:
                 out.append({"items": items, "battles": _number(cells[1].text(), int), "win_pct": _number(cells[2].text())})
                 break
     return out
