@@ -474,7 +474,7 @@ CSW = f"""{ODS}, {Q.ITEMS}, di AS (SELECT deck, list(DISTINCT item) AS items, co
 cs AS (SELECT os1.*, CASE WHEN real < 45 THEN 'Neg' WHEN real > 55 THEN 'Pos' END AS cat, items, keys FROM os1 JOIN di USING (deck)),
 cb AS (SELECT *, row_number() OVER (PARTITION BY region, week, slot, band, cat ORDER BY {hx(42, 'entity', 'session_no')}, entity, session_no) - 1 AS place, count(*) OVER (PARTITION BY region, week, slot, band, cat) AS around FROM cs WHERE cat IS NOT NULL),
 cq AS (SELECT cs.*, x.ca, x.cb FROM cs JOIN (VALUES ('Neg', 'Neg'), ('Pos', 'Pos'), ('Neg', 'Pos')) AS x(ca, cb) ON cs.cat = x.ca),
-cr AS (SELECT a.ca, a.cb, a.entity, a.session_no, a.arch, a.real, b.entity AS be, b.session_no AS bs, row_number() OVER (PARTITION BY a.ca, a.cb, a.entity, a.session_no ORDER BY (b.place - {hx(43, 'a.entity', 'a.session_no', 'a.ca')} % b.around + b.around) % b.around) AS k
+cr AS (SELECT a.ca, a.cb, a.entity, a.session_no, a.arch, a.real, b.entity AS be, b.session_no AS bs, row_number() OVER (PARTITION BY a.ca, a.cb, a.entity, a.session_no ORDER BY (b.place - {hx(43, 'a.entity', 'a.session_no', 'a.ca', 'a.cb')} % b.around + b.around) % b.around) AS k
   FROM cq a JOIN cb b ON a.region = b.region AND a.week = b.week AND a.slot = b.slot AND a.band = b.band AND a.cb = b.cat AND a.entity <> b.entity AND len(list_intersect(a.items, b.items)) <= 3 AND len(list_intersect(a.keys, b.keys)) = 0),
 ct AS (SELECT * FROM cr WHERE k = 1)"""
 

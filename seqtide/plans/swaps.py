@@ -83,7 +83,7 @@ def conditional_swap_pairs(seq: Seq, regions: DataFrame, lines: DataFrame, key_i
         return (F.col("entity") != F.col("b_entity")) & (shared <= max_shared) & ~F.arrays_overlap("keys", "b_keys")
 
     strata = ["region", "week", "slot", "band", "cb"]
-    return mt.match_where(a, b, strata, ["entity", "session_no", "ca"], ["entity", "session_no"], different, seed)
+    return mt.match_where(a, b, strata, ["entity", "session_no", "ca", "cb"], ["entity", "session_no"], different, seed)
 
 
 def conditional_swap(pairs: DataFrame, seq: Seq) -> DataFrame:
