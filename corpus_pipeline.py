@@ -1,10 +1,65 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet before the next reads it."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet before the next reads it.
+
+A stage may delete the intermediate tables of the stages before it: their results are written when it starts.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seqtide.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
+from seqtide.llm.common import cut, stage, table
+from seqtide.llm.queries import tokenizer_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+@stage
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled rows of the training folds, doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@stage
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+@stage
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+@stage
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is contained."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@stage
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.best_fit_packing(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
+
+#: SQL can't state the classifier or the packing plan; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, fn in STAGES[:-1]:
+        docs = cut(fn(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -15,7 +16,8 @@ from seqtide.session import checkpoint_dir
 #: Rows of a side that may be broadcast; two longs a row, so at most 32 MB.
 BROADCAST_ROWS = 1_000_000
 
-_SCRATCH: list[str] = []
+#: Tables written while a pipeline stage was being set up.
+_STAGE: dict = {"open": False, "tables": []}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +29,27 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/seqtide-llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.append(path)
+    if _STAGE["open"]:
+        _STAGE["tables"].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the tables ``cut`` wrote in this session. Only call when no DataFrame that reads them is needed any more."""
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def stage(fn):
+    """A pipeline stage. Its result is written before the next stage starts, so the tables that ``cut`` wrote in
+    earlier stages are deleted when it starts; those of other callers stay."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _STAGE["tables"]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_STAGE["tables"].pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGE["open"] = True
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _STAGE["open"] = False
+
+    return run
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

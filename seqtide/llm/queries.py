@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import jaccard_join as jj
 from . import line_dedup as ld
 from . import packing as pk
+from . import quality as ql
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +35,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_benchmark_decontamination",
+    r"""
+    WITH w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
+               UNION ALL
+               SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+    p AS (SELECT side, id, l, unnest(range(1, len(l) - 3)) AS pos FROM w WHERE len(l) >= 5),
+    s AS (SELECT DISTINCT side, id, array_to_string(list_slice(l, pos, pos + 4), ' ') AS g FROM p),
+    n AS (SELECT id, count(*) AS item_shingles FROM s WHERE side = 1 GROUP BY id),
+    m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared_shingles FROM s d JOIN s i ON d.g = i.g AND d.side = 0 AND i.side = 1 GROUP BY ALL)
+    SELECT doc_id, item_id, item_shingles, shared_shingles FROM m JOIN n ON n.id = item_id WHERE 100 * shared_shingles >= 80 * item_shingles
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dc.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ql.quality_scores(docs, ql.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -60,10 +85,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op9_line_dedup",
     r"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-    w AS (SELECT doc_id, unnest(range(0, len(l) - 2)) AS at, l FROM t WHERE len(l) >= 3),
-    h AS (SELECT doc_id, at, array_to_string(l[at + 1 : at + 3], chr(10)) AS win FROM w),
-    r AS (SELECT doc_id, at, row_number() OVER (PARTITION BY win ORDER BY doc_id, at) AS k FROM h),
-    g AS (SELECT DISTINCT doc_id, unnest([at, at + 1, at + 2]) AS line FROM r WHERE k > 1),
+    w AS (SELECT doc_id, unnest(range(0, len(l) - 2)) AS pos, l FROM t WHERE len(l) >= 3),
+    h AS (SELECT doc_id, pos, array_to_string(list_slice(l, pos + 1, pos + 3), chr(10)) AS win FROM w),
+    r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM h),
+    g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM r WHERE k > 1),
     n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT near) AS n_spans, list(line) AS gone
           FROM (SELECT doc_id, line, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line) = line - 1, false) AS near FROM g)
           GROUP BY doc_id)
