@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import exact_dedup as ed
+from . import html_text as ht
 from . import jaccard_join as jj
 from . import line_dedup as ld
 from . import packing as pk
+from . import personal_data as pd
 from . import quality as ql
 from .common import table
 
@@ -52,6 +54,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +70,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pd.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pk.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
