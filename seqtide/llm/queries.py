@@ -11,6 +11,7 @@ from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import html_text as ht
 from . import jaccard_join as jj
+from . import language_model as lm
 from . import line_dedup as ld
 from . import packing as pk
 from . import personal_data as pd
@@ -71,6 +72,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op6_personal_data")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pd.personal_data(table(spark, sf_dir, "documents"))
