@@ -25,11 +25,13 @@ from .common import bounded, components, cut, mix, rows_of, shingle_set, signed
 PIECE_BITS = 16
 #: Keys a task gathers before it reduces them to one row per key.
 FLUSH_KEYS = 1_000_000
-#: Documents of one bucket that are compared in one task at a time.
-BLOCK = 512
+#: Bits of the dense sketch that candidates are held against before their sets are.
+DENSE_BITS = 2048
+#: Documents of a bucket whose sketches, and of a cluster whose sets, are compared in one task at a time.
+SKETCH_BLOCK, SET_BLOCK = 4096, 512
 
 _FOUND = pa.schema([(c, pa.int64()) for c in ("kind", "a", "b", "c", "d")])
-_SETS = pa.schema([("id", pa.int64()), ("members", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("dense", pa.binary()), ("members", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -117,66 +119,107 @@ def sketch_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind long, a long, b long, c long, d long")
 
 
+def dense_sketch(members: np.ndarray, bits: int = DENSE_BITS) -> np.ndarray:
+    """The parity sketch of one piece of ``bits`` bits, packed into words."""
+    return np.packbits(np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
+
+
+def maybe(dense: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which of the sets with sketches ``dense`` can be similar to a set: sizes and Hamming distance allow it."""
+    far = np.bitwise_count(dense ^ one).sum(axis=1, dtype=np.int64)
+    return (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (far * (100 + percent) <= (sizes + size) * (100 - percent))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id, members (sorted 64-bit shingle hashes) of the documents in ``ids`` (one column, id)."""
+    """id, size, dense (sketch), members (sorted 64-bit shingle hashes) of the documents in ``ids`` (one column, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield rows_of(_SETS, id=batch.column(0).to_pylist(), members=[shingle_set(t, words).tobytes() for t in texts])
+            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            yield rows_of(_SETS, id=batch.column(0), size=[len(x) for x in sets], dense=[dense_sketch(x).tobytes() for x in sets], members=[x.tobytes() for x in sets])
 
     some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(bounded(ids), "id", "left_semi")
-    return some.mapInArrow(run, "id long, members binary")
+    return some.mapInArrow(run, "id long, size long, dense binary, members binary")
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
+    """Those of ``pairs`` (a, b) whose sets are similar: first by sketch, then by intersection."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(len(m), -1) for k in (4, 5))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (far * (100 + percent) <= (m + n) * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(m, dtype=np.uint64) for m in batch.column(k).to_pylist()] for k in (2, 3))
             keep = pa.array([similar(p, q, percent) for p, q in zip(x, y, strict=True)], type=pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    a, b = (sets.select(F.col("id").alias(c), F.col("size").alias(c + "_size"), F.col("dense").alias(c + "_dense")) for c in "ab")
+    close = pairs.join(a, "a").join(b, "b").select("a", "b", "a_size", "b_size", "a_dense", "b_dense").mapInArrow(by_sketch, "a long, b long")
+    a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(c + "_members")) for c in "ab")
+    return cut(close).join(a, "a").join(b, "b").select("a", "b", "a_members", "b_members").mapInArrow(by_set, "a long, b long")
 
 
-def check_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between different components in each bucket: ``rows`` has key, low, high, side, id, component, members.
+def in_cells(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """``rows`` of the keys in ``sizes`` (key, n) dealt into cells of at most twice ``block`` rows: each block of a key
+    against itself (low = high) and against every other. side is the row's own block."""
+    dealt = rows.join(sizes.select(key, F.ceil(F.col("n") / block).cast("int").alias("parts")), key)
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "parts")
 
-    A cell is a block of a bucket against itself (low = high, all pairs count) or against another (pairs across). Pairs are first held against the Hamming
-    distance of dense sketches, row by row in one numpy operation; what passes is intersected. Documents that a link
-    joins are one component from then on and not compared again.
+
+def compare_cells(cells: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
+    """Links between different components within each cell, as pairs of component ids.
+
+    Only pairs that sizes and sketches allow are looked at; with ``exact`` their sets are intersected. Components that
+    a link joins are one from then on, so a cell gives fewer links than it has components, and when all are one it ends.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        side, ids = group["side"].to_numpy(), group["id"].to_numpy()
-        comp = group["component"].to_numpy().copy()
-        sets = [np.frombuffer(m, dtype=np.uint64) for m in group["members"].to_pylist()]
-        n = np.array([len(s) for s in sets])
-        bits = 1 << max(9, min(17, int(8 * n.max()).bit_length()))
-        dense = np.zeros((len(sets), bits // 8), dtype=np.uint8)
-        for i, s in enumerate(sets):
-            dense[i] = np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
-        dense = dense.view(np.uint64)
-        two, found = len(np.unique(side)) > 1, []
-        for i in range(len(sets) - 1):
-            rest = np.arange(i + 1, len(sets))
+        side, own = group["side"].to_numpy(), group["component"].to_numpy()
+        comp, sizes = own.copy(), group["size"].to_numpy()
+        members = [np.frombuffer(m, dtype=np.uint64) for m in group["members"].to_pylist()] if exact else []
+        bits = 1 << max(11, min(17, int(8 * sizes.max()).bit_length()))
+        dense = np.stack([dense_sketch(m, bits) for m in members] if exact else [np.frombuffer(d, dtype=np.uint64) for d in group["dense"].to_pylist()])
+        two, found = side.min() != side.max(), []
+        for i in range(len(comp) - 1):
+            rest = np.arange(i + 1, len(comp))
             rest = rest[(comp[rest] != comp[i]) & ((side[rest] != side[i]) | (not two))]
-            rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
-            if not len(rest):
-                continue
-            far = np.bitwise_count(dense[rest] ^ dense[i]).sum(axis=1, dtype=np.int64)
-            for j in rest[far * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]:
-                if comp[j] != comp[i] and similar(sets[i], sets[j], percent):
+            for j in rest[maybe(dense[rest], sizes[rest], dense[i], int(sizes[i]), percent)] if len(rest) else rest:
+                if comp[j] != comp[i] and (not exact or similar(members[i], members[j], percent)):
                     comp[comp == comp[j]] = comp[i]
-                    found.append((ids[i], ids[j]))
+                    found.append((own[i], own[j]))
+            if i % 64 == 0 and (comp == comp[0]).all():
+                break
         a, b = (list(x) for x in zip(*found, strict=True)) if found else ([], [])
         return pa.Table.from_batches([rows_of(_LINKS, a=a, b=b)])
 
-    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    columns = [key, "low", "high", "side", "component", "size", "members" if exact else "dense"]
+    return cells.select(*columns).groupBy(key, "low", "high").applyInArrow(run, "a long, b long")
+
+
+def remaining_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that still share a bucket. ``member``: key, id, component.
+
+    Sketches, which are small, are compared in every bucket and tie components into clusters that may be linked; sets
+    are then sent once to their cluster and compared there.
+    """
+    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("n > 2 and least != most")
+    mixed = cut(mixed.select("key", "n"))
+    open_rows = cut(member.join(mixed.select("key"), "key"))
+    sketches = sets.select("id", "size", "dense")
+    close = cut(compare_cells(in_cells(open_rows, "key", mixed, SKETCH_BLOCK).join(sketches, "id"), "key", percent, exact=False))
+    tied = components(close).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    rows = cut(open_rows.select("id", "component").distinct().join(tied, "component"))
+    size = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    full = in_cells(rows, "cluster", size, SET_BLOCK).join(sets.select("id", "size", "members"), "id")
+    return compare_cells(full, "cluster", percent, exact=True)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -185,7 +228,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set is its distinct shingles of ``words``
     words (shorter: the whole sequence), and two link at ``percent`` / 100 or more. Equal sets are one class, compared
     once. Each bucket's members are compared with the bucket's smallest document; in buckets that still hold several
-    components and three members or more the rest is compared too, in blocks, so nothing is capped.
+    components and three members or more the rest is compared too, in blocks (``remaining_links``), so nothing is capped.
 
     Nulls and empty texts have n_shingles 0 and link with nothing. A row with a null doc_id has component_id null.
     Rows that share a doc_id are one document, with the links of each of their texts. Other columns are not looked at.
@@ -213,13 +256,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     member = held.select("key", "id").union(held.select("key", "rep")).distinct()
     member = member.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low != high")
-    mixed = mixed.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("key", "parts")
-    open_rows = member.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    open_rows = open_rows.select("key", "id", "component", "part", other)
-    cells = open_rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.col("part").alias("side"), "id", "component")
-    more = check_buckets(cells.join(sets, "id").select("key", "low", "high", "side", "id", "component", "members"), percent)
+    more = remaining_links(cut(member), sets, percent)
 
     links = links.union(more).union(equal.selectExpr("doc_id as a", "class as b"))
     final = components(links).withColumnRenamed("node", "doc_id")
