@@ -51,7 +51,7 @@ def seeds(text: str | None) -> list[tuple[str, int, int]]:
         if domain:
             found.append(("email", start, domain.end()))
         at = text.find("@", last)
-    found.extend(("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+    found.extend(("ip", *m.span()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))))
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
