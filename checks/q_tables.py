@@ -555,6 +555,31 @@ def _(spark, sf):
     return run(spark, jobs.deduplicated(twice)).select("entity", "event_id", "ts")
 
 
+@query(
+    "st01_intake_with_marks",
+    f"""{EV}, a AS (SELECT *, min(ts) OVER () AS lo, max(ts) OVER () AS hi FROM ev),
+    b AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 3 ELSE least(3, (ts - lo) * 4 // (hi - lo + 1)) END AS batch FROM a),
+    m AS (SELECT entity, max(ts) AS mark FROM b WHERE batch < 3 GROUP BY 1)
+    SELECT b.entity, event_id, ts, {Q.i("CASE WHEN batch = 3 AND ts < mark - 86400 THEN 1 ELSE 0 END")} AS late FROM b LEFT JOIN m ON b.entity = m.entity""",
+)
+def _(spark, sf):
+    """Four landed batches: by time, each with some rows of the one before again, the last with old rows; one runs twice."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/intake-{uuid.uuid4().hex}"
+    columns = ["entity", "event_id", "ts"]
+    ev = tables.events(spark, sf).select(*columns)
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    part = F.when(F.col("event_id") % 50 == 7, 3).otherwise(F.least(F.lit(3), F.floor((F.col("ts") - lo) * 4 / (hi - lo + 1)).cast("int")))
+    dealt = ev.withColumn("batch", part)
+    sink = jobs.intake_sink(f"{base}/events", f"{base}/late", "entity", ev.schema)
+    for k in range(4):
+        again = dealt.filter((F.col("batch") == k - 1) & (F.col("event_id") % 10 == 3) & (F.col("ts") >= lo + (hi - lo) * k // 4 - 3600))
+        dealt.filter(F.col("batch") == k).union(again).select(*columns).write.parquet(f"{base}/landed/b{k}")
+        stream = jobs.read_landed(spark, f"{base}/landed/*", ev.schema)
+        jobs.start(stream, sink, f"{base}/checkpoint").awaitTermination()
+    sink(spark.read.parquet(f"{base}/landed/b2"), 2)
+    return spark.read.parquet(f"{base}/events").select(*columns, F.lit(0).alias("late")).union(spark.read.parquet(f"{base}/late").select(*columns, F.lit(1).alias("late")))
+
+
 @query("st02_streaming_upsert", f"{EV}, l AS (SELECT entity, max(struct_pack(a := ts, b := event_id, w := win)) AS m FROM ev GROUP BY 1) SELECT entity, m.b AS event_id, m.a AS ts, {Q.i('m.w')} AS win FROM l")
 def _(spark, sf):
     stream = stream_events(spark, sf).select("entity", "event_id", "ts", "win")

@@ -8,7 +8,7 @@ needs no sampling and gives the same result when a lost task is run again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,12 +57,12 @@ def add_ranks(counts: DataFrame, keys: Sequence[str], total: Column) -> DataFram
 
 
 def add_rank_columns(
-    df: DataFrame, keys: Sequence[str], columns: dict[str, str], weight: str | None = None
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str] | Sequence[tuple[str, str]], weight: str | None = None
 ) -> DataFrame:
-    """Add the average rank inside the key for several columns: ``{column: rank name}``."""
+    """Add the average rank inside the key for several columns: ``{column: rank name}``, or pairs of the two."""
     w = F.sum(weight) if weight else F.count(F.lit(1))
     out = df
-    for column, name in columns.items():
+    for column, name in columns.items() if isinstance(columns, Mapping) else columns:
         counts = df.groupBy(*keys, F.col(column).alias("__v")).agg(w.alias("__n"))
         ranks = add_ranks(counts, keys, F.col("__n")).select(*keys, F.col("__v").alias(column), F.col("avg_rank").alias(name))
         out = out.join(ranks, [*keys, column])

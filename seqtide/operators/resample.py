@@ -81,6 +81,26 @@ def window_nulls(seq: Seq, flags: Mapping[str, Column], n: int = 3, group: str =
     return out.withColumns({f"ratio_{c}": r for c, r in ratio.items()})
 
 
+def _draw(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws of any size.
+
+    The library's sampler ends at 10^9. Beyond, the normal law with the exact mean and variance is used, rounded and
+    kept in range; there all cells that matter are so large that it differs by less than a replicate's own error, and
+    where the smaller side is small the binomial limit of the law is drawn.
+    """
+    most = 999_999_999
+    if (good <= most).all() and (bad <= most).all():
+        return rng.hypergeometric(good, bad, np.minimum(take, good + bad))
+    total = (good + bad).astype(float)
+    share = np.where(total > 0, good / np.maximum(total, 1), 0.0)
+    mean = take * share
+    spread = mean * (1 - share) * (total - take) / np.maximum(total - 1, 1)
+    low, high = np.maximum(0, take - bad), np.minimum(good, take)
+    normal = np.rint(rng.normal(mean, np.sqrt(np.maximum(spread, 0))))
+    few = rng.binomial(np.minimum(good, take), np.clip(np.where(good < take, take, good) / np.maximum(total, 1), 0, 1))
+    return np.clip(np.where(spread < 100, few, normal), low, high).astype(np.int64)
+
+
 @F.pandas_udf(LongType())
 def _tables_at_least(rows: pd.Series, cols: pd.Series, stat: pd.Series, reps: pd.Series, seed: pd.Series) -> pd.Series:
     """How many of ``reps`` random tables with these margins reach the statistic."""
@@ -95,7 +115,7 @@ def _tables_at_least(rows: pd.Series, cols: pd.Series, stat: pd.Series, reps: pd
             need = np.full(int(n_rep), need)
             for j in range(len(c)):
                 rest = left[:, j + 1 :].sum(axis=1)
-                cell = rng.hypergeometric(left[:, j], rest, need) if i < len(r) - 1 else left[:, j].copy()
+                cell = _draw(rng, left[:, j], rest, need) if i < len(r) - 1 else left[:, j].copy()
                 left[:, j] = left[:, j] - cell
                 need = need - cell
                 score += cell.astype(float) ** 2 * total / (r[i] * c[j])
@@ -110,8 +130,7 @@ def chi_square_mc(
 
     Shuffling one label against the other keeps both margins and nothing else, so tables are
     drawn from the margins alone: the work depends on the number of categories and not on the
-    number of events, and the replicates of a key run in separate batches. Tables of a billion
-    events or more keep the asymptotic p (the sampler's range ends there).
+    number of events, and the replicates of a key run in separate batches.
     """
     if reps % batch:
         raise ValueError("reps must be a multiple of batch")
@@ -121,7 +140,7 @@ def chi_square_mc(
     for column, name in ((a, "__rows"), (b, "__cols")):
         sums = cells.groupBy(*k, column).agg(F.sum("cell").alias("__m"))
         margins.append(sums.groupBy(*k).agg(F.sort_array(F.collect_list("__m")).alias(name)))
-    needed = base.filter((F.col("low_expected") | (F.col("p") < p_below)) & (F.col("n") < 1e9)).select(*k, "chi2")
+    needed = base.filter(F.col("low_expected") | (F.col("p") < p_below)).select(*k, "chi2")
     jobs = needed.join(margins[0], k).join(margins[1], k) if k else needed.crossJoin(margins[0]).crossJoin(margins[1])
     jobs = jobs.withColumn("__batch", F.explode(F.sequence(F.lit(0), F.lit(reps // batch - 1))))
     jobs = jobs.withColumn("__seed", F.xxhash64(F.lit(seed), "__batch", *k))
@@ -154,8 +173,8 @@ def permutation_spearman(df: DataFrame, x: str, y: str, unique: str, reps: int =
     The ranks do not change under a permutation, so each replicate only re-pairs two rank
     columns: rows x replicates are shuffled once and reduced to one sum per replicate.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__one", F.lit(0))
-    ranked = add_rank_columns(pairs.select("__one", unique, x, y), ["__one"], {x: "rx", y: "ry"})
+    pairs = df.select(F.lit(0).alias("__one"), unique, F.col(x).alias("__x"), F.col(y).alias("__y")).filter("__x is not null and __y is not null")
+    ranked = add_rank_columns(pairs, ["__one"], {"__x": "rx", "__y": "ry"})
     base = cut_lineage(ordered(ranked, "__one", unique, slab=1e6).number("place").frame)
     total = base.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("__obs"), F.sum(F.col("rx") ** 2).alias("__xx"), F.sum(F.col("ry") ** 2).alias("__yy")

@@ -122,7 +122,7 @@ def punishment_tradeoff(seq: Seq, min_n: int = 100) -> DataFrame:
     counts = rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(bad_m).alias("bad_metric"), F.count_if(bad_l).alias("bad_level"), F.count_if(bad_m & bad_l).alias("both_bad")
     )
-    expected = F.col("bad_metric") * F.col("bad_level") / F.col("total")
+    expected = F.col("bad_metric").cast("double") * F.col("bad_level") / F.col("total")
     ratio = F.coalesce(F.try_divide(F.col("both_bad"), expected), F.lit(0.0))
     out = counts.withColumn("expected", expected).withColumn("ratio", ratio)
     out = out.withColumn("verdict", F.when(F.col("ratio") < 0.85, "tradeoff").when(F.col("ratio") > 1.15, "double").otherwise("independent"))

@@ -70,19 +70,32 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def intake_sink(target: str, late: str, source: str, schema: T.StructType, key: str = "event_id") -> Callable[[DataFrame, int], None]:
     """Insert-or-ignore into the event table, with late rows on a side table.
 
-    A row is late when it is more than a day behind the newest stored row of its source. The
-    comparison is explicit, since a watermark would drop such rows without a trace.
+    A row is late when it is more than a day behind the newest row that earlier epochs stored for its source. The
+    comparison is explicit, since a watermark would drop such rows without a trace. Epochs look only at smaller ones,
+    so a batch that runs again after a failure finds what it found at first and writes the same rows. Marks are a small
+    table of their own (``target`` + "_marks", per epoch); the target is partitioned by epoch and day, and only the
+    days a batch brings are read for the comparison by key.
     """
+    marks_path = f"{target.rstrip('/')}_marks"
+    stored_schema = T.StructType([*schema.fields, T.StructField("epoch", T.LongType()), T.StructField("day", T.LongType())])
+    marks_schema = T.StructType([schema[source], T.StructField("mark", T.LongType()), T.StructField("epoch", T.LongType())])
+    columns = schema.fieldNames()
+    day = F.floor(F.col("ts") / DELAY_S).cast("long")
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        stored = read_or_empty(spark, target, schema).select(*schema.fieldNames())
-        marks = ingest.high_water(stored, source, "ts")
-        rows = batch.select(*schema.fieldNames()).join(marks, source, "left")
+        earlier = read_or_empty(spark, marks_path, marks_schema).filter(F.col("epoch") < epoch)
+        marks = earlier.groupBy(source).agg(F.max("mark").alias("mark"))
+        rows = batch.select(*columns).join(marks, source, "left")
         is_late = F.coalesce(F.col("ts") < F.col("mark") - DELAY_S, F.lit(False))
-        rows.filter(is_late).drop("mark").write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
+        rows.filter(is_late).drop("mark").select(*columns).write.mode("overwrite").parquet(f"{late}/epoch={epoch}")
         fresh = rows.filter(~is_late).drop("mark")
-        ingest.insert_ignore(stored, fresh, [key], ["ts"]).select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        span = fresh.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+        stored = read_or_empty(spark, target, stored_schema).filter((F.col("epoch") < epoch) & F.col("day").between(span["first"], span["last"])).select(*columns)
+        kept = ingest.insert_ignore(stored, fresh, [key], ["ts"]).select(*columns)
+        kept.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{target}/epoch={epoch}")
+        written = read_or_empty(spark, target, stored_schema).filter(F.col("epoch") == epoch)
+        written.groupBy(source).agg(F.max("ts").cast("long").alias("mark")).write.mode("overwrite").parquet(f"{marks_path}/epoch={epoch}")
 
     return handle
 

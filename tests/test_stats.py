@@ -186,3 +186,48 @@ def test_permutation_spearman_properties(spark):
 
 def test_seq_is_a_value():
     assert Seq.__dataclass_params__.frozen
+
+
+def test_fisher_and_binomial_at_any_size():
+    from math import comb, erfc, sqrt
+
+    from seqtide.functions import tails
+
+    for a, b, c, d in ((3, 5, 6, 1), (0, 4, 4, 0), (9, 1, 2, 8), (1, 0, 30, 30), (12, 12, 12, 12)):
+        r1, r2, c1 = a + b, c + d, a + c
+        want = sum(comb(r1, x) * comb(r2, c1 - x) for x in range(a, min(r1, c1) + 1)) / comb(r1 + r2, c1)
+        assert tails.fisher_greater(a, b, c, d) == pytest.approx(want, rel=1e-9)
+    for n in (10**4, 10**8, 10**12):
+        assert tails.fisher_greater(n // 5, 3 * n // 10, 3 * n // 10, n // 5) == pytest.approx(1.0)
+        assert tails.fisher_greater(3 * n // 10, n // 5, n // 5, 3 * n // 10) == pytest.approx(0.0, abs=1e-12)
+        step = int(sqrt(n) / 2)
+        far = tails.fisher_greater(n // 4 + step, n // 4 - step, n // 4 - step, n // 4 + step)
+        assert far == pytest.approx(0.5 * erfc(2 / sqrt(2)), rel=0.1)
+        assert tails.binomial_sf(n // 2 + step, n, 0.5) == pytest.approx(0.5 * erfc(1 / sqrt(2)), rel=0.05)
+
+
+def test_exact_u_for_a_small_and_a_large_sample():
+    from itertools import combinations
+    from math import comb
+
+    from seqtide.functions import tails
+
+    counts = {}
+    for chosen in combinations(range(9), 4):
+        u = sum(chosen) - 6
+        counts[u] = counts.get(u, 0) + 1
+    for u in range(22):
+        assert tails.exact_u_sf(u, 4, 5) == pytest.approx(sum(v for k, v in counts.items() if k >= u) / comb(9, 4), abs=1e-12)
+    assert tails.exact_u_sf(8 * 100_000 / 2, 8, 100_000) == pytest.approx(0.5, abs=1e-3)
+
+
+def test_contingency_statistics_at_large_cells(spark):
+    n = 4 * 10**9
+    cells = spark.createDataFrame([("a", "x", n), ("a", "y", n + 10**6), ("b", "x", n + 10**6), ("b", "y", n)], "a string, b string, cell long")
+    row = hy.chi_square(cells, [], "a", "b").first()
+    assert row["dof"] == 1 and row["chi2"] > 100 and row["p"] < 1e-9
+    wide = spark.createDataFrame([(n, n, n, n)], "a long, b long, c long, d long")
+    row = hy.fisher_2x2(wide, "a", "b", "c", "d").first()
+    assert row["odds"] == pytest.approx(1.0) and row["p"] == pytest.approx(0.5, abs=1e-3)
+    drawn = rs._draw(np.random.default_rng(1), np.full(2000, 3 * 10**9), np.full(2000, 5 * 10**9), np.full(2000, 2 * 10**9))
+    assert abs(drawn.mean() - 0.75e9) < 5000 and 10_000 < drawn.std() < 30_000
