@@ -6,8 +6,8 @@ Strings of ``LENGTH`` bytes that occur twice are found in three steps, none of w
    strings have equal anchors, and a document has about one anchor per 35 bytes. Anchors are grouped by hash.
 2. Equal surroundings. An anchor's context is all bytes of the strings it can be the anchor of. Of anchors with equal
    contexts all but the first (smallest doc_id, then place) are covered, however many there are.
-3. Different surroundings of one anchor. The first anchor of each distinct context brings its bytes, and blocks of
-   contexts are suffix-sorted to a bounded depth and transformed. Starting from the whole block, intervals of suffixes
+3. Different surroundings of one anchor. The first anchor of each distinct context brings its bytes; those that agree
+   with no other on either side of the anchor are left out. Blocks of contexts are suffix-sorted to a bounded depth and transformed. Starting from short prefixes, intervals of suffixes
    with a common prefix are extended backwards by one byte at a time, breadth first; an interval that ends where no
    value is set yet sets the longest common prefix there. Values so come in increasing order, and the search stops at
    ``LENGTH``: neighbours without a value share ``LENGTH`` bytes or more. All but the first of such strings are covered.
@@ -16,6 +16,7 @@ Strings of ``LENGTH`` bytes that occur twice are found in three steps, none of w
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,9 @@ GRAM = 32
 #: Anchors a task gathers before it keeps only the first of each context.
 FLUSH_ANCHORS = 500_000
 #: Bytes of contexts that are transformed at once; an anchor with more is dealt to several blocks and merged by hash.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+#: Bits of a place in a block: two ranks and a place fit a 64-bit number. One and a half blocks stay below.
+PLACE_BITS = 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -125,47 +128,71 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "kind long, anchor long, context long, doc long, place long")
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols or more, by doubling."""
-    rank, done, n = symbols.astype(np.int64), 1, len(symbols)
-    order = np.argsort(rank, kind="stable")
-    while done < depth:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - done] = rank[done:] + 1
-        key = rank * (int(nxt.max()) + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
+#: Symbols (9 bits: a byte plus 1, or 0 between contexts) that a packed key holds.
+PACKED = 7
+
+
+def packed_keys(symbols: np.ndarray) -> np.ndarray:
+    """The next ``PACKED`` symbols at each place as one number; zeros follow the end."""
+    key = np.zeros(len(symbols), dtype=np.int64)
+    for k in range(PACKED):
+        key <<= 9
+        key[: len(symbols) - k] |= symbols[k:]
+    return key
+
+
+def suffix_array(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of the ``depth`` symbols that follow, or more, by doubling from the packed keys' first four.
+
+    Each number that is sorted holds what to sort by and, in its low bits, the place it belongs to.
+    """
+    n, done, at = len(keys), 4, np.arange(len(keys))
+    if n >= 1 << PLACE_BITS:
+        raise ValueError("a block has more places than its bits can name")
+    mixed = np.sort(keys >> 9 * (PACKED - 4) << PLACE_BITS | at)
+    while True:
+        order, what = mixed & ((1 << PLACE_BITS) - 1), mixed >> PLACE_BITS
+        new = np.r_[0, np.cumsum(what[1:] != what[:-1])]
+        if done >= depth or new[-1] == n - 1:
+            return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
+        mixed = rank << 2 * PLACE_BITS | at
+        mixed[: n - done] |= rank[done:] + 1 << PLACE_BITS
+        mixed.sort()
         done *= 2
-        if new[-1] == n - 1:
-            break
-    return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, stop: int) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, keys: np.ndarray, order: np.ndarray, stop: int) -> np.ndarray:
     """Longest common prefix of each suffix in ``order`` with the one before, as far as it is under ``stop``; else -1.
 
-    ``order`` sorts by the first ``stop`` symbols at least. An interval [low, high) holds the suffixes with one prefix;
-    the symbols before them (the transform) say how it extends backwards, and where the extended intervals lie.
+    ``order`` sorts by the first ``stop`` symbols at least. Values under ``PACKED`` show in the packed keys. From there
+    on an interval [low, high) holds the suffixes with one prefix; the symbols before them (the transform) say how it
+    extends backwards and where the extended intervals lie, and only intervals that set a value are extended again.
     """
     n = len(order)
     inverse = np.empty(n, dtype=np.int64)
     inverse[order] = np.arange(n)
-    before = symbols[order - 1]  # the Burrows-Wheeler transform; position -1 is the last sentinel
+    before = symbols[order - 1].astype(np.int64)  # the Burrows-Wheeler transform; before the start stands the end
     to = inverse[order - 1]
     out = np.full(n + 1, -1, dtype=np.int64)
+    first = keys[order]
+    apart = first[1:] ^ first[:-1]
+    differ = np.flatnonzero(apart) + 1
+    out[differ] = PACKED - 1 - (np.frexp(apart[differ - 1].astype(np.float64))[1] - 1) // 9
     out[0] = out[n] = 0
-    low, high = np.array([0]), np.array([n])
-    for value in range(stop):
+    high = np.r_[differ, n]
+    low = np.r_[0, differ]
+    fresh = np.r_[out[differ] == PACKED - 1, True]
+    low, high = low[fresh], high[fresh]
+    for value in range(PACKED, stop):
         widths = high - low
         which = np.repeat(np.arange(len(low)), widths)
-        members = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths) + np.repeat(low, widths)
-        key = which * (int(symbols.max()) + 1) + before[members]
-        by = np.argsort(key, kind="stable")
-        key, target = key[by], to[members[by]]
+        members = np.arange(len(which)) - np.repeat(np.cumsum(widths) - widths, widths) + np.repeat(low, widths)
+        mixed = np.sort((which << 9 | before[members]) << PLACE_BITS | to[members])
+        key = mixed >> PLACE_BITS
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        low = np.minimum.reduceat(target, starts)
+        low = mixed[starts] & ((1 << PLACE_BITS) - 1)
         high = low + np.diff(np.r_[starts, len(key)])
         fresh = out[high] < 0
         low, high = low[fresh], high[fresh]
@@ -181,77 +208,104 @@ def repeated_strings(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     """(class, context, offset) of every string of ``length`` bytes that occurs at two places of ``contexts`` or more."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes + 1) - 1
-    symbols = np.full(sizes.sum() + len(sizes), 0, dtype=np.int64)
+    symbols = np.zeros(sizes.sum() + len(sizes), dtype=np.int64)
     inside = np.ones(len(symbols), dtype=bool)
     inside[ends] = False
-    symbols[inside] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int64) + len(contexts)
-    symbols[ends] = np.arange(len(contexts))  # a sentinel of its own for each context
-    order = suffix_array(symbols, length)
-    same = common_prefixes(symbols, order, length) < 0
+    symbols[inside] = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.int64) + 1
+    keys = packed_keys(symbols)
+    order = suffix_array(keys, length)
+    same = common_prefixes(symbols, keys, order, length) < 0
+    if length < PACKED:
+        raw = np.stack([np.r_[symbols[k:], np.zeros(k, dtype=np.int64)][order] for k in range(length)])
+        same = np.r_[False, (raw[:, 1:] == raw[:, :-1]).all(axis=0)]
     same[0] = False
     label = np.cumsum(~same)
+    context = np.searchsorted(ends, order)
+    offset = order - (ends - sizes)[context]
+    whole = offset + length <= sizes[context]
     member = same.copy()
     member[:-1] |= same[1:]
-    at, label = order[member], label[member]
-    context = np.searchsorted(ends, at)
-    return label, context, at - (ends - sizes)[context]
+    member &= whole
+    return label[member], context[member], offset[member]
 
 
-def compare_contexts(rows: DataFrame, length: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Covered intervals, from ``rows`` (anchor, doc, place of the context's first byte, context), sorted by anchor.
+def worth_comparing(contexts: list[tuple[int, int, bytes, int]], length: int, gram: int) -> list[tuple[int, int, bytes, int]]:
+    """Contexts of one anchor that can share ``length`` bytes with another: half of what lies outside the gram agrees on
+    the left of it, or else on the right."""
+    half = (length - gram) // 2
+    left = [c[o - half : o] if o >= half else None for _, _, c, o in contexts]
+    right = [c[o + gram : o + gram + half] if o + gram + half <= len(c) else None for _, _, c, o in contexts]
+    lefts, rights = Counter(left), Counter(right)
+    return [x for x, a, b in zip(contexts, left, right, strict=True) if a is not None and lefts[a] > 1 or b is not None and rights[b] > 1]
+
+
+def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Covered intervals, from ``rows`` (anchor, doc, place of the context's first byte, context, offset of the anchor), sorted by anchor.
 
     Columns first, second, doc, place, end: end is set for an interval; for an anchor whose contexts fill more than one
     block the first place of each string in a block comes with its hash instead, to be merged.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held, key, is_open = [], 0, None, False
-
-        def flush(split: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held
-            if len(held) > 1 or split and held:
-                docs, places = (np.array([h[k] for h in held], dtype=np.int64) for k in (0, 1))
-                label, context, offset = repeated_strings([h[2] for h in held], length)
-                doc, place = docs[context], places[context] + (offset << 32)
-                order = np.lexsort((place, doc, label))
-                label, doc, place = label[order], doc[order], place[order]
-                new = np.r_[True, label[1:] != label[:-1]][: len(label)]
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = ~new & ((doc != doc[lead]) | (place >> 32 != place[lead] >> 32))
-                doc, place = doc[later], place[later]
-                order = np.lexsort((place, place & 0xFFFFFFFF, doc))
-                doc, place = doc[order], place[order]
-                start = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] & 0xFFFFFFFF != place[:-1] & 0xFFFFFFFF) | (place[1:] - place[:-1] > length << 32)][: len(doc)]
-                last = np.r_[start[1:], True][: len(doc)]
-                zero = np.zeros(start.sum(), dtype=np.int64)
-                yield rows_of(_COVER, first=zero, second=zero, doc=doc[start], place=place[start], end=(place[last] >> 32) + length)
-                if split:
-                    first = {}
-                    for d, p, c in held:
-                        for o in range(len(c) - length + 1):
-                            h = hashlib.blake2b(c[o : o + length], digest_size=16).digest()
-                            x = (d, p + (o << 32))
-                            if h not in first or x < first[h]:
-                                first[h] = x
-                    a, b = (np.frombuffer(b"".join(first), dtype=np.int64).reshape(-1, 2)[:, k] for k in (0, 1))
-                    docs, places = (np.array([x[k] for x in first.values()], dtype=np.int64) for k in (0, 1))
-                    yield rows_of(_COVER, first=a, second=b, doc=docs, place=places, end=[None] * len(first))
-            held, n_held = [], 0
+    def covered_in(held: list) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        docs, places = (np.array([h[k] for h in held], dtype=np.int64) for k in (0, 1))
+        label, context, offset = repeated_strings([h[2] for h in held], length)
+        doc, place = docs[context], places[context] + (offset << 32)
+        order = np.lexsort((place, doc, label))
+        label, doc, place = label[order], doc[order], place[order]
+        new = np.r_[True, label[1:] != label[:-1]][: len(label)]
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = ~new & ((doc != doc[lead]) | (place >> 32 != place[lead] >> 32))
+        doc, place = doc[later], place[later]
+        order = np.lexsort((place, place & 0xFFFFFFFF, doc))
+        doc, place = doc[order], place[order]
+        start = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] & 0xFFFFFFFF != place[:-1] & 0xFFFFFFFF) | (place[1:] - place[:-1] > length << 32)][: len(doc)]
+        last = np.r_[start[1:], True][: len(doc)]
+        zero = np.zeros(start.sum(), dtype=np.int64)
+        yield rows_of(_COVER, first=zero, second=zero, doc=doc[start], place=place[start], end=(place[last] >> 32) + length)
+
+    def firsts_of(held: list) -> Iterator[pa.RecordBatch]:
+        first = {}
+        for d, p, c, _ in held:
+            for o in range(len(c) - length + 1):
+                h = hashlib.blake2b(c[o : o + length], digest_size=16).digest()
+                x = (d, p + (o << 32))
+                if h not in first or x < first[h]:
+                    first[h] = x
+        if first:
+            a, b = (np.frombuffer(b"".join(first), dtype=np.int64).reshape(-1, 2)[:, k] for k in (0, 1))
+            docs, places = (np.array([x[k] for x in first.values()], dtype=np.int64) for k in (0, 1))
+            yield rows_of(_COVER, first=a, second=b, doc=docs, place=places, end=[None] * len(first))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n_held, own, n_own, is_open = None, [], 0, [], 0, False
         for batch in batches:
-            for anchor, doc, place, context in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for anchor, doc, place, context, offset in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if anchor != key:
-                    if is_open or n_held >= block_bytes // 2:
-                        yield from flush(is_open)
-                    key, is_open = anchor, False
-                    mine = 0
-                if mine + len(context) > block_bytes:
-                    yield from flush(True)
-                    is_open, mine = True, 0
-                held.append((doc, place, context))
-                n_held += len(context)
-                mine += len(context)
-        yield from flush(is_open)
+                    if is_open:
+                        yield from covered_in(own)
+                        yield from firsts_of(own)
+                    else:
+                        some = worth_comparing(own, length, gram)
+                        held += some
+                        n_held += sum(len(c) for _, _, c, _ in some)
+                        if n_held >= block_bytes // 2:
+                            yield from covered_in(held)
+                            held, n_held = [], 0
+                    key, own, n_own, is_open = anchor, [], 0, False
+                if n_own + len(context) > block_bytes:
+                    yield from covered_in(own)
+                    yield from firsts_of(own)
+                    own, n_own, is_open = [], 0, True
+                own.append((doc, place, context, offset))
+                n_own += len(context)
+        if is_open:
+            yield from covered_in(own)
+            yield from firsts_of(own)
+        else:
+            held += worth_comparing(own, length, gram)
+        yield from covered_in(held)
 
     return rows.mapInArrow(run, "first long, second long, doc long, place long, end long")
 
@@ -274,7 +328,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     wanted = wanted.groupBy("doc", "tk").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
     ids = cut(wanted.select(F.col("doc").alias("doc_id")).distinct())
     some = texts.join(bounded(ids), "doc_id", "left_semi").dropDuplicates(["doc_id", "tk"]).selectExpr("doc_id as doc", "tk", "text")
-    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("context", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("context", pa.binary()), ("offset", pa.int64())])
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,11 +336,12 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 raw = text.encode("utf-8", "surrogatepass")
                 start = [max(0, p["at"] - width) for p in places]
                 yield rows_of(
-                    schema, anchor=[p["anchor"] for p in places], doc=[doc] * len(places), place=[s << 32 | tk for s in start], context=[raw[s : p["at"] + length] for s, p in zip(start, places, strict=True)]
-                )
+                    schema, anchor=[p["anchor"] for p in places], doc=[doc] * len(places), place=[s << 32 | tk for s in start],
+                    context=[raw[s : p["at"] + length] for s, p in zip(start, places, strict=True)], offset=[p["at"] - s for s, p in zip(start, places, strict=True)],
+                )
 
-    brought = some.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "wanted").mapInArrow(bring, "anchor long, doc long, place long, context binary")
-    compared = cut(compare_contexts(brought.repartition("anchor").sortWithinPartitions("anchor"), length))
+    brought = some.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "wanted").mapInArrow(bring, "anchor long, doc long, place long, context binary, offset long")
+    compared = cut(compare_contexts(brought.repartition("anchor").sortWithinPartitions("anchor"), length, gram))
     tk = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tk")
     at = F.shiftright("place", 32)
     mixed = compared.where("end is not null").select("doc", tk, at.alias("start"), "end")

@@ -187,8 +187,8 @@ def test_substring_dedup_merges_blocks_of_one_anchor(spark):
     rng = np.random.RandomState(4)
     shared = "".join(rng.choice(list("abcdefgh "), 130))
     rows = [(i, "".join(rng.choice(list("abcdefgh "), 60)) + shared + "".join(rng.choice(list("abcdefgh "), 60))) for i in range(12)]
-    contexts = [(7, i, 0, t[:190].encode()) for i, t in rows]
-    frame = spark.createDataFrame(contexts, "anchor long, doc long, place long, context binary").coalesce(1)
+    contexts = [(7, i, 0, t[:190].encode(), 80) for i, t in rows]
+    frame = spark.createDataFrame(contexts, "anchor long, doc long, place long, context binary, offset long").coalesce(1)
     found = substring_dedup.compare_contexts(frame, 100, block_bytes=500).collect()
     firsts = {}
     for r in found:
