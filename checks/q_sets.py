@@ -229,7 +229,7 @@ def _(spark, sf):
 
 @query("a43_h07_fairness_monte_carlo")
 def _(spark, sf):
-    return st.matchmaking_fairness_mc(arch_hours(spark, sf), 1000)
+    return st.matchmaking_fairness_mc(arch_hours(spark, sf), 2000)
 
 
 @query("g15_entities_per_bucket", f"{FC} SELECT slot, bucket, count(*) AS n, count(DISTINCT entity) AS entities FROM f0 GROUP BY 1, 2")

@@ -11,8 +11,8 @@ While no key has more than ``max_rows`` rows these are plain window functions on
 hash exchange by key. A key above the limit is cut into consecutive segments of
 ``max_rows`` rows, and windows run per (key, segment): bounded frames get copies of the
 rows next to the cut, running aggregates get the totals of the earlier segments from a
-broadcast table. That table has one row per segment of a hot key, so at most
-``2 * total_rows / max_rows`` rows.
+joined table with one row per segment of a hot key. Only the rows of hot keys are numbered
+and checkpointed for this; those of all other keys stay in one lazy plan.
 """
 
 from __future__ import annotations
@@ -89,16 +89,9 @@ class Seq:
         w = self.window()
         if not self.split:
             return self.with_columns({name: make(w) for name, make in columns.items()})
-        if max(back, ahead) > self.max_rows:
-            raise ValueError("the reach of a frame must not exceed max_rows")
         offset = (F.col(RN) - 1) % self.max_rows
-        targets = F.array_compact(
-            F.array(
-                F.col(SEG),
-                F.when(offset >= self.max_rows - back, F.col(SEG) + 1) if back else F.lit(None),
-                F.when((offset < ahead) & (F.col(SEG) > 0), F.col(SEG) - 1) if ahead else F.lit(None),
-            )
-        )
+        first = F.greatest(F.lit(0), F.col(SEG) + F.floor((offset - ahead) / self.max_rows))
+        targets = F.sequence(first, F.col(SEG) + F.floor((offset + back) / self.max_rows))
         spread = self.df.withColumn("__home", F.col(SEG)).withColumn(SEG, F.explode(targets))
         out = spread.withColumns({name: make(w) for name, make in columns.items()})
         return self.with_df(out.filter(F.col(SEG) == F.col("__home")).drop("__home"))
@@ -116,11 +109,10 @@ class Seq:
         }
         if not self.split:
             return self.with_df(base.withColumns(local).drop(*inputs))
-        base = cut_lineage(base)
-        totals = (
-            base.join(F.broadcast(self.hot), list(self.keys), "left_semi")
-            .groupBy(*self.keys, SEG)
-            .agg(*[folds[kind](f"__in_{name}").alias(f"__tot_{name}") for name, (kind, _) in columns.items()])
+        cold = base.join(self.hot, list(self.keys), "left_anti").withColumns(local)
+        base = cut_lineage(base.join(self.hot, list(self.keys), "left_semi"))
+        totals = base.groupBy(*self.keys, SEG).agg(
+            *[folds[kind](f"__in_{name}").alias(f"__tot_{name}") for name, (kind, _) in columns.items()]
         )
         order = F.col(SEG).desc() if reverse else F.col(SEG).asc()
         before = Window.partitionBy(*self.keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +121,7 @@ class Seq:
             SEG,
             *[folds[kind](f"__tot_{name}").over(before).alias(f"__carry_{name}") for name, (kind, _) in columns.items()],
         )
-        out = base.withColumns(local).join(F.broadcast(carry), [*self.keys, SEG], "left")
+        out = base.withColumns(local).join(carry, [*self.keys, SEG], "left")
         merged = {}
         for name, (kind, _) in columns.items():
             own, past = F.col(name), F.col(f"__carry_{name}")
@@ -140,8 +132,8 @@ class Seq:
             else:
                 pick = F.greatest if kind == "max" else F.least
                 merged[name] = pick(own, past)
-        kept = [*self.df.columns, *columns]
-        return self.with_df(out.withColumns(merged).select(*dict.fromkeys(kept)))
+        kept = list(dict.fromkeys([*self.df.columns, *columns]))
+        return self.with_df(cold.select(*kept).unionByName(out.withColumns(merged).select(*kept)))
 
     def number(self, name: str = "rn") -> "Seq":
         """Row number inside the key, 1-based."""
@@ -150,7 +142,7 @@ class Seq:
         return self.with_df(self.df.withColumn(name, F.row_number().over(self.window()).cast("long")))
 
 
-_KNOWN_HOT: dict[tuple, list] = {}
+_KNOWN_HOT: dict[tuple, DataFrame | None] = {}
 
 
 def small_ordered(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]) -> Seq:
@@ -162,17 +154,16 @@ def small_ordered(df: DataFrame, keys: str | Sequence[str], order: str | Sequenc
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | None:
     """Keys with more than ``max_rows`` rows, or None.
 
-    Runs one map-side-combined count over the key columns only. At most
-    ``total_rows / max_rows`` keys can come back, which bounds the collected list.
+    Runs one map-side-combined count over the key columns only. If there are any, they are written as a table that
+    later joins read; they never come to the driver.
     """
     found = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
     # The same plan is counted once per application. Should its files change later, an outdated
     # list only changes how keys are cut, never a result.
     known = (df.sparkSession.sparkContext.applicationId, found.semanticHash(), found.schema.json(), max_rows)
     if known not in _KNOWN_HOT:
-        _KNOWN_HOT[known] = found.collect()
-    rows = _KNOWN_HOT[known]
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+        _KNOWN_HOT[known] = cut_lineage(found) if found.head(1) else None
+    return _KNOWN_HOT[known]
 
 
 def ordered(
@@ -184,8 +175,8 @@ def ordered(
 ) -> Seq:
     """Order ``df`` inside ``keys``. ``order`` must be total (end with a unique id).
 
-    ``slab`` is the width of the first order column used to number the rows of a hot
-    key in parallel; one (hot key, slab) is sorted by one task.
+    The rows of hot keys are numbered in parallel over ranges of the whole order, so many rows with equal or close
+    values are still spread; ``slab`` is kept for callers that name a width of the first order column and has no effect.
     """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     order = (order,) if isinstance(order, str) else tuple(order)
@@ -197,25 +188,21 @@ def ordered(
 
 
 def _cut(df, keys, order, hot, max_rows, slab) -> Seq:
-    flagged = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), list(keys), "left")
-    slabbed = cut_lineage(
-        flagged.withColumn(
-            "__slab",
-            F.when(F.col("__hot"), F.floor(F.col(order[0]).cast("double") / slab)).otherwise(F.lit(0)).cast("long"),
-        )
-    )
-    sizes = slabbed.filter("__hot").groupBy(*keys, "__slab").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__slab", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__skip"))
-    inside = Window.partitionBy(*keys, "__slab").orderBy(*order)
-    # One row per (hot key, slab of time): AQE broadcasts it or splits the skewed side.
+    names = [F.col(c) for c in (*keys, *order)]
+    cold = df.join(hot, list(keys), "left_anti")
+    cold = cold.withColumn(RN, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).withColumn(SEG, F.lit(0).cast("long"))
+    # Ranges of (key, order), of which the last column is unique: a task gets one, whatever the values.
+    ranged = df.join(hot, list(keys), "left_semi").repartitionByRange(*names).sortWithinPartitions(*names)
+    ranged = cut_lineage(ranged.withColumn("__range", F.spark_partition_id().cast("long")))
+    sizes = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__skip"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
     numbered = (
-        slabbed.withColumn("__local", F.row_number().over(inside))
-        .join(offsets, [*keys, "__slab"], "left")
-        .withColumn(RN, F.coalesce(F.col("__skip"), F.lit(0)) + F.col("__local").cast("long"))
-        .withColumn(
-            SEG, F.when(F.col("__hot"), F.floor((F.col(RN) - 1) / max_rows)).otherwise(F.lit(0)).cast("long")
-        )
-        .drop("__hot", "__slab", "__local", "__skip")
+        ranged.withColumn("__local", F.row_number().over(inside))
+        .join(offsets, [*keys, "__range"])
+        .withColumn(RN, (F.col("__skip") + F.col("__local")).cast("long"))
+        .withColumn(SEG, F.floor((F.col(RN) - 1) / max_rows).cast("long"))
+        .drop("__range", "__local", "__skip")
     )
-    return Seq(cut_lineage(numbered), tuple(keys), tuple(order), max_rows, slab, True, hot)
+    return Seq(cold.unionByName(cut_lineage(numbered)), tuple(keys), tuple(order), max_rows, slab, True, hot)
