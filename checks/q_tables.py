@@ -522,7 +522,13 @@ def _(spark, sf):
     return rows.select("deck", "archetype_hash", "battles", "wins")
 
 
-@query("s07_page_outline")
+@query(
+    "s07_page_outline",
+    r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script\b.*?</script>', '', 'g'), '(?s)<style\b.*?</style>', '', 'g') AS h FROM pages)
+    SELECT page_id, regexp_extract(h, '<title[^>]*>([^<]*)', 1) AS title, regexp_extract(h, '<html[^>]*\blang="([^"]*)', 1) AS lang, len(regexp_extract_all(h, '<h[123]\b')) AS headings, len(regexp_extract_all(h, '<a\b')) AS links,
+    len(regexp_extract_all(h, '<[a-z]+[^>]*class="ad"[^>]*>')) AS ads, len(regexp_extract_all(h, '<p\b')) AS paragraphs,
+    CAST(coalesce(list_sum([len(trim(t)) for t in regexp_extract_all(h, '<p(?:\s[^>]*)?>([^<]*)', 1)]), 0) AS BIGINT) AS text_chars FROM h""",
+)
 def _(spark, sf):
     return ex.extract_pages(tables.read(spark, sf, "pages"), ["page_id"], "html", "outline")
 

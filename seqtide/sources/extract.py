@@ -1,20 +1,17 @@
 """Extraction jobs: raw landed pages -> event, basket, profile, holding and set-statistic rows.
 
-Pages are split over the cluster as rows; each Arrow batch is parsed with the standard HTML
-parser and comes back as typed rows. One page is small; nothing is kept between pages.
+The pages have a fixed markup, so every field is a Column expression: pages are split at the opening tags that begin an
+event, a card or a row, and fields are read by patterns from the pieces. Nothing leaves the JVM, and a page or field
+that doesn't look as expected gives nulls instead of ending the job.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqtide.functions.scalar import clean_number, content_hash, duration_seconds
 
@@ -59,280 +56,220 @@ PROFILE_LABELS = {
     "losses": "losses", "total games": "total_games", "three crown wins": "three_crown_wins",
 }
 
-VOID = {"img", "br", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
+OPENED = r"(?:\s*<[a-zA-Z][^>]*>)*"
+NUMBER = r"^\s*[+]?(-?[\d,]+(?:\.\d+)?)"
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "classes", "kids", "up")
+def opening(*classes: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
+    """Pattern of an opening tag that has all the classes."""
+    wanted = "".join(rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?{re.escape(c)}(?=[\s\"']))" for c in classes)
+    return rf"<{tag}\b{wanted}[^>]*>"
 
-    def __init__(self, tag: str, attrs: dict, up: "Node | None"):
-        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
-        self.classes = frozenset((attrs.get("class") or "").split())
 
-    def walk(self) -> Iterator["Node"]:
-        """All elements below this one, in document order."""
-        stack = [k for k in reversed(self.kids) if isinstance(k, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+def pieces(html: Column, mark: str) -> Column:
+    """What begins at each place of the mark, up to the next one."""
+    return F.filter(F.split(html, f"(?={mark})"), lambda x: x.rlike(f"^(?:{mark})"))
 
-    def all(self, tag: str | None = None, *classes: str) -> list["Node"]:
-        return [n for n in self.walk() if (tag is None or n.tag == tag) and n.classes.issuperset(classes)]
 
-    def one(self, tag: str | None = None, *classes: str) -> "Node | None":
-        return next((n for n in self.walk() if (tag is None or n.tag == tag) and n.classes.issuperset(classes)), None)
+def known(text: Column) -> Column:
+    """Decoded and trimmed; null for an empty text."""
+    for name, character in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(character))
+    text = F.trim(text)
+    return F.when(text != "", text)
 
-    def text(self) -> str:
-        parts = [k if isinstance(k, str) else k.text() for k in self.kids]
-        return "".join(p.strip() for p in parts)
 
+def found(html: Column, pattern: str, group: int = 1) -> Column:
+    return known(F.regexp_extract(html, pattern, group))
 
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", {}, None)
-        self.at = self.root
 
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.at)
-        self.at.kids.append(node)
-        if tag not in VOID:
-            self.at = node
+def text_in(html: Column, *classes: str) -> Column:
+    """The first text inside the first element of these classes."""
+    return found(html, opening(*classes) + OPENED + r"\s*([^<]*)")
 
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.up is not None and node.tag != tag:
-            node = node.up
-        if node.up is not None:
-            self.at = node.up
 
-    def handle_data(self, data):
-        if self.at.tag not in ("script", "style"):
-            self.at.kids.append(data)
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of the tag that the piece begins with."""
+    return found(tag, rf"^<[^>]*?\b{name}\s*=\s*([\"'])(.*?)\1", 2)
 
 
-def tree(html: str | None) -> Node:
-    parser = _Tree()
-    parser.feed(html or "")
-    parser.close()
-    return parser.root
+def number(text: Column, kind: str = "double") -> Column:
+    return F.regexp_replace(F.regexp_extract(text, NUMBER, 1), ",", "").try_cast("double").cast(kind)
 
 
-def _number(text: str | None, kind=float):
-    match = re.match(r"\s*[+]?(-?[\d,]+(?:\.\d+)?)", text or "")
-    return kind(float(match.group(1).replace(",", ""))) if match else None
+def image(html: Column, *classes: str) -> Column:
+    """The first image tag of these classes, whole; empty if there is none."""
+    return F.regexp_extract(html, opening(*classes, tag="img"), 0)
 
 
-def _level(node: Node | None) -> int | None:
-    text = node.text().replace(TXT_LEVEL, "").strip() if node else ""
-    return int(text) if text.isdigit() else None
+def level_of(text: Column) -> Column:
+    return F.regexp_extract(F.replace(text, F.lit(TXT_LEVEL), F.lit("")), r"^\s*(\d+)\s*$", 1).try_cast("int")
 
 
-def _basket(segment: Node, default_special: int = SPECIAL_LEVEL) -> list[dict]:
+def item_of(tag: Column, level: Column) -> Column:
+    key = F.coalesce(attribute(tag, "data-card-key"), F.lit(""))
+    flag = lambda part: key.contains(part).cast("int")
+    return F.struct(attribute(tag, "alt").alias("name"), level.cast("int").alias("level"), flag(TXT_EVOLVED).alias("evo"), flag(TXT_HERO).alias("hero"))
+
+
+def basket(side: Column) -> Column:
     """Eight items and the special one (whose level has a default) of one side."""
-    out = []
-    for box in segment.all(None, CLS_ITEM_BOX):
-        img = box.one("img", CLS_ITEM)
-        if img:
-            key = img.attrs.get("data-card-key") or ""
-            out.append(
-                {"name": img.attrs.get("alt"), "level": _level(box.one(None, CLS_ITEM_LEVEL)), "evo": int(TXT_EVOLVED in key), "hero": int(TXT_HERO in key)}
-            )
-    box = segment.one(None, CLS_SPECIAL_BOX)
-    img = box.one("img", CLS_ITEM) if box else None
-    if img:
-        divs = [d for holder in box.all(None, "level") for d in holder.all("div")]
-        level = _level(divs[1]) if len(divs) > 1 else None
-        out.append({"name": img.attrs.get("alt"), "level": level or default_special, "evo": 0, "hero": 0})
-    return out
-
-
-def page_events(root: Node) -> list[dict]:
-    """Events of a history page, with both baskets."""
-    out = []
-    for div in root.all("div", CLS_EVENT):
-        mode, ribbon = div.one(None, CLS_MODE), div.one(None, CLS_RIBBON)
-        win = int(TXT_WIN in (ribbon.text() if ribbon else ""))
-        result = div.one(None, CLS_RESULT)
-        scores = result.text().replace(" ", "").split("-") if result else [None, None]
-        change = None
-        for holder in div.all(None, CLS_CHANGE):
-            label = holder.one(None, *CLS_CHANGE_LABEL)
-            if label is not None:
-                own = [k for k in label.kids if isinstance(k, str)]
-                change = _number(own[0], int) if own else None
-                break
-        segments = div.all(None, CLS_SIDE)
-        link = segments[-1].one("a", CLS_NAME_LINK) if segments else None
-        href = (link.attrs.get("href") or "") if link else ""
-        leaks = []
-        for item in div.all(None, "item"):
-            label, value = item.one(None, "name"), item.one(None, "value")
-            if label and value and label.text().lower() == TXT_LEAK.lower():
-                leaks.append(_number(value.text().removeprefix(TXT_LEAK)))
-        diff = div.one(None, CLS_LEVEL_DIFF)
-        text = diff.text() if diff else ""
-        out.append(
-            {
-                "event_id": (div.attrs.get("id") or "").replace("battle_", ""),
-                "ts": int(float(div.attrs["data-timestamp"])),
-                "type": div.attrs.get("data-battle-type"),
-                "mode": mode.text() if mode else None,
-                "win": win,
-                "score_for": _number(scores[0], int),
-                "score_against": _number(scores[1], int) if len(scores) > 1 else None,
-                # A gain on a loss is the opponent's: the value hit a floor.
-                "change": 0 if win == 0 and change is not None and change > 0 else change,
-                "opponent": href.split(TXT_NAME_PATH)[-1].split("/")[0] if TXT_NAME_PATH in href else None,
-                "leak_for": leaks[0] if leaks else None,
-                "leak_against": leaks[1] if len(leaks) > 1 else None,
-                "level": _number(text.replace(TXT_LEVEL_DIFF, "").strip()) if TXT_LEVEL_DIFF in text else None,
-                "own_items": _basket(segments[0]) if segments else [],
-                "opp_items": _basket(segments[-1]) if segments else [],
-            }
-        )
-    return out
+    boxes = F.transform(pieces(side, opening(CLS_ITEM_BOX)), lambda b: F.struct(image(b, CLS_ITEM).alias("tag"), level_of(text_in(b, CLS_ITEM_LEVEL)).alias("level")))
+    items = F.transform(F.filter(boxes, lambda b: b["tag"] != ""), lambda b: item_of(b["tag"], b["level"]))
+    special = F.get(pieces(side, opening(CLS_SPECIAL_BOX)), F.lit(0))
+    level = F.regexp_extract(special, opening("level") + rf"\s*<div[^>]*>[^<]*</div>\s*<div[^>]*>\s*(?:{TXT_LEVEL})?\s*(\d+)", 1).try_cast("int")
+    tag = image(special, CLS_ITEM)
+    plain = F.struct(attribute(tag, "alt").alias("name"), F.when(level > 0, level).otherwise(SPECIAL_LEVEL).alias("level"), F.lit(0).alias("evo"), F.lit(0).alias("hero"))
+    return F.concat(items, F.when(tag != "", F.array(plain)).otherwise(F.slice(items, 1, 0)))
+
+
+def event_columns(div: Column, sides: Column) -> list[Column]:
+    """The columns of one event of a history page, with both baskets."""
+    win = F.coalesce(text_in(div, CLS_RIBBON).contains(TXT_WIN), F.lit(False)).cast("int")
+    scores = F.split(F.replace(text_in(div, CLS_RESULT), F.lit(" "), F.lit("")), "-")
+    change = number(found(div, opening(CLS_CHANGE) + r"(?:\s*<[a-zA-Z][^>]*>)*?\s*" + opening(*CLS_CHANGE_LABEL) + r"\s*([^<]*)"), "long")
+    last = F.try_element_at(sides, F.lit(-1))
+    leaks = F.regexp_extract_all(div, F.lit(opening("name") + rf"\s*(?i:{TXT_LEAK})\s*</[^>]*>\s*" + opening("value") + rf"\s*(?:{TXT_LEAK})?\s*([^<]*)"), 1)
+    no_items = F.array().cast("array<struct<name:string,level:int,evo:int,hero:int>>")
+    return [
+        F.replace(attribute(div, "id"), F.lit("battle_"), F.lit("")).alias("event_id"),
+        attribute(div, "data-timestamp").try_cast("double").cast("long").alias("ts"),
+        attribute(div, "data-battle-type").alias("type"),
+        text_in(div, CLS_MODE).alias("mode"),
+        win.alias("win"),
+        number(F.get(scores, F.lit(0)), "long").alias("score_for"),
+        number(F.get(scores, F.lit(1)), "long").alias("score_against"),
+        # A gain on a loss is the opponent's: the value hit a floor.
+        F.when((win == 0) & (change > 0), F.lit(0)).otherwise(change).cast("long").alias("change"),
+        found(last, opening(CLS_NAME_LINK, tag="a").replace("[^>]*>", rf"[^>]*\bhref\s*=\s*[\"'][^\"']*{TXT_NAME_PATH}([^/\"']*)")).alias("opponent"),
+        number(F.get(leaks, F.lit(0))).alias("leak_for"),
+        number(F.get(leaks, F.lit(1))).alias("leak_against"),
+        number(found(div, opening(CLS_LEVEL_DIFF) + rf"[^<]*{TXT_LEVEL_DIFF}\s*([^<]*)")).alias("level"),
+        F.coalesce(basket(F.get(sides, F.lit(0))), no_items).alias("own_items"),
+        F.coalesce(basket(last), no_items).alias("opp_items"),
+    ]
+
+
+def cells_of(row: Column) -> Column:
+    """Texts of the cells of a table row, without tags."""
+    cells = F.regexp_extract_all(row, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1)
+    return F.transform(cells, lambda c: F.coalesce(known(F.regexp_replace(c, r"\s*<[^>]*>\s*", "")), F.lit("")))
+
 
+def table_rows(html: Column) -> Column:
+    return pieces(html, r"<tr\b[^>]*>")
 
-def _rows(root: Node) -> list[tuple[str, str]]:
-    """(label, value) of the two-cell table rows."""
-    out = []
-    for row in root.all("tr"):
-        cells = row.all("td")
-        if len(cells) == 2:
-            out.append((cells[0].text().lower(), cells[1].text()))
-    return out
 
+def pairs_of(rows: Column) -> Column:
+    """(label, value) of the two-cell rows."""
+    two = F.filter(F.transform(rows, cells_of), lambda c: F.size(c) == 2)
+    return F.transform(two, lambda c: F.struct(F.lower(F.get(c, F.lit(0))).alias("label"), F.get(c, F.lit(1)).alias("value")))
 
-def page_profile(root: Node) -> list[dict]:
+
+def value_of(pairs: Column, *labels: str) -> Column:
+    return F.try_element_at(F.filter(pairs, lambda x: x["label"].isin(*labels)), F.lit(-1))["value"]
+
+
+def page_profile(html: Column) -> Column:
     """Profile texts; numbers and durations are cleaned later, as Column expressions."""
-    out: dict[str, str | None] = {}
-    head = root.one(None, CLS_HEAD)
-    out["name"] = head.one("h1").text() if head and head.one("h1") else None
-    for block in root.all(None, CLS_RATING_BLOCK):
-        if block.one(None, *CLS_RATING_ICON):
-            items = block.all(None, "item")
-            out["rating"] = items[0].text() if items else None
-            out["arena"] = items[1].text() if len(items) > 1 else None
-            break
-    season = False
-    for row in root.all("tr"):
-        title = row.one("h5")
-        if title is not None and not row.all("td")[1:]:
-            if season:
-                break
-            season = TXT_SEASON in title.text()
-        elif season and len(row.all("td")) == 2:
-            label, value = (c.text() for c in row.all("td"))
-            if label.lower() == "league" or (label.lower() == "rank" and "unranked" not in value.lower()):
-                out["rank"] = value
-            elif label.lower() in ("trophies", "ratings"):
-                out["ranked_rating"] = value
-    clan = root.one(None, CLS_CLAN_BLOCK)
-    text = clan.one(None, *CLS_CLAN).text() if clan and clan.one(None, *CLS_CLAN) else "None"
-    out["clan"] = "None" if text.lower() == "not in clan" else text
-    for label, value in _rows(root):
-        if label in PROFILE_LABELS:
-            out[PROFILE_LABELS[label]] = value
-    return [out]
-
-
-def page_holdings(root: Node) -> list[dict]:
+    rated = F.get(F.filter(pieces(html, opening(CLS_RATING_BLOCK)), lambda b: b.rlike(opening(*CLS_RATING_ICON))), F.lit(0))
+    items = F.regexp_extract_all(rated, F.lit(opening("item") + OPENED + r"\s*([^<]*)"), 1)
+    # The season's rows: from its title to the next title row, and no further than its table.
+    season = table_rows(F.regexp_extract(html, rf"(?s){TXT_SEASON}(.*?)(?:</table>|\z)", 1))
+    title = F.array_position(F.transform(season, lambda r: r.contains("<h5") & (F.size(F.regexp_extract_all(r, F.lit(r"<td\b"), 0)) < 2)), F.lit(True))
+    season = pairs_of(F.when(title > 0, F.slice(season, F.lit(1), title.cast("int") - 1)).otherwise(season))
+    ranks = F.filter(season, lambda x: (x["label"] == "league") | (x["label"] == "rank") & ~F.lower(x["value"]).contains("unranked"))
+    pairs = pairs_of(table_rows(html))
+    clan = F.coalesce(found(html, opening(CLS_CLAN_BLOCK) + r"(?s:.*?)" + opening(*CLS_CLAN) + OPENED + r"\s*([^<]*)"), F.lit("None"))
+    return F.array(
+        F.struct(
+            found(html, opening(CLS_HEAD) + r"(?:\s*<[a-zA-Z][^>]*>)*?\s*<h1[^>]*>\s*([^<]*)").alias("name"),
+            F.when(F.lower(clan) == "not in clan", "None").otherwise(clan).alias("clan"),
+            known(F.get(items, F.lit(0))).alias("rating"),
+            known(F.get(items, F.lit(1))).alias("arena"),
+            F.try_element_at(ranks, F.lit(-1))["value"].alias("rank"),
+            value_of(season, "trophies", "ratings").alias("ranked_rating"),
+            *[value_of(pairs, label).alias(name) for label, name in PROFILE_LABELS.items()],
+        )
+    )
+
+
+def page_holdings(html: Column) -> Column:
     """Item, special, hero and evolution holdings; each row changes only its own columns."""
-    out = []
-    for card in root.all("a", *CLS_HOLDING):
-        img = card.one("img", CLS_ITEM)
-        out.append({"kind": "item", "name": img.attrs.get("alt", "").strip() if img else None, "level": _level(card.one(None, CLS_HOLDING_LEVEL)), "found": 1})
-    for kind, holder in (("special", CLS_SPECIAL_HOLDINGS), ("evolution", CLS_EVOLUTION_HOLDINGS)):
-        for group in root.all(None, holder):
-            for card in group.all(None, CLS_MINI[0]):
-                img = card.one("img", CLS_MINI[1])
-                if not img:
-                    continue
-                missing = CLS_MISSING in card.classes
-                level = card.one("div", "level")
-                if kind == "special" and level is not None:
-                    value = 0 if missing or level.text() == "_" else int(level.text())
-                    out.append({"kind": "special", "name": img.attrs["alt"].strip(), "level": value, "found": int(value > 0)})
-                else:
-                    out.append({"kind": "hero" if kind == "special" else kind, "name": img.attrs["alt"].strip(), "level": None, "found": int(not missing)})
-    return out
-
-
-def page_set_stats(root: Node) -> list[dict]:
+
+    def row(kind: Column, name: Column, level: Column, present: Column) -> Column:
+        return F.struct(kind.alias("kind"), name.alias("name"), level.cast("int").alias("level"), present.cast("int").alias("found"))
+
+    cards = pieces(html, opening(*CLS_HOLDING, tag="a"))
+    items = F.transform(cards, lambda c: row(F.lit("item"), attribute(image(c, CLS_ITEM), "alt"), level_of(text_in(c, CLS_HOLDING_LEVEL)), F.lit(1)))
+
+    def of_group(group: Column) -> Column:
+        special = group.rlike("^(?:" + opening(CLS_SPECIAL_HOLDINGS) + ")")
+        minis = F.filter(pieces(group, opening(CLS_MINI[0])), lambda c: image(c, CLS_MINI[1]) != "")
+
+        def one(card: Column) -> Column:
+            name, missing = attribute(image(card, CLS_MINI[1]), "alt"), card.rlike("^(?:" + opening(CLS_MISSING) + ")")
+            leveled = special & card.rlike(opening("level", tag="div"))
+            level = F.when(missing, 0).otherwise(F.coalesce(level_of(text_in(card, "level")), F.lit(0)))
+            kind = F.when(leveled, "special").when(special, "hero").otherwise("evolution")
+            return row(kind, name, F.when(leveled, level), F.when(leveled, level > 0).otherwise(~missing))
+
+        return F.transform(minis, one)
+
+    groups = F.transform(pieces(html, f"{opening(CLS_SPECIAL_HOLDINGS)}|{opening(CLS_EVOLUTION_HOLDINGS)}"), of_group)
+    return F.concat(items, F.flatten(groups))
+
+
+def page_set_stats(html: Column) -> Column:
     """Statistics per deck: its items, events and the win percentage of the Player row."""
-    out = []
-    for segment in root.all("div", CLS_SET):
-        items = []
-        for img in segment.all("img", CLS_ITEM):
-            key = img.attrs.get("data-card-key") or ""
-            items.append({"name": img.attrs.get("alt"), "level": None, "evo": int(TXT_EVOLVED in key), "hero": int(TXT_HERO in key)})
-        for row in segment.all("tr"):
-            cells = row.all("td")
-            if items and len(cells) > 2 and cells[0].text() == TXT_SET_ROW:
-                out.append({"items": items, "battles": _number(cells[1].text(), int), "win_pct": _number(cells[2].text())})
-                break
-    return out
-
-
-def page_outline(root: Node) -> list[dict]:
-    """Generic outline: title, language, headings, links, ads and paragraph text."""
-    html, title = root.one("html"), root.one("title")
-    paragraphs = [p.text() for p in root.all("p")]
-    return [
-        {
-            "title": title.text() if title else None,
-            "lang": html.attrs.get("lang") if html else None,
-            "headings": len(root.all("h1")) + len(root.all("h2")) + len(root.all("h3")),
-            "links": len(root.all("a")),
-            "ads": len(root.all(None, "ad")),
-            "paragraphs": len(paragraphs),
-            "text_chars": sum(map(len, paragraphs)),
-        }
-    ]
 
+    def of_set(segment: Column) -> Column:
+        images = F.regexp_extract_all(segment, F.lit(opening(CLS_ITEM, tag="img")), 0)
+        rows = F.filter(F.transform(table_rows(segment), cells_of), lambda c: (F.size(c) > 2) & (F.get(c, F.lit(0)) == TXT_SET_ROW))
+        cells = F.get(rows, F.lit(0))
+        return F.struct(
+            F.transform(images, lambda t: item_of(t, F.lit(None))).alias("items"), number(F.get(cells, F.lit(1)), "long").alias("battles"), number(F.get(cells, F.lit(2))).alias("win_pct"), F.size(rows).alias("n")
+        )
 
-_S, _L, _I, _D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
-
-
-def _struct(**fields) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
-
-
-ITEM = _struct(name=_S, level=_I, evo=_I, hero=_I)
-SPECS: dict[str, tuple[Callable[[Node], list[dict]], T.StructType]] = {
-    "events": (
-        page_events,
-        _struct(
-            event_id=_S, ts=_L, type=_S, mode=_S, win=_I, score_for=_L, score_against=_L, change=_L, opponent=_S,
-            leak_for=_D, leak_against=_D, level=_D, own_items=T.ArrayType(ITEM), opp_items=T.ArrayType(ITEM),
-        ),
-    ),
-    "profile": (
-        page_profile,
-        _struct(
-            name=_S, clan=_S, rating=_S, arena=_S, rank=_S, ranked_rating=_S, wins=_S, losses=_S, three_crown_wins=_S,
-            total_games=_S, account_age=_S, time_spent=_S, games_per_day=_S,
-        ),
-    ),
-    "holdings": (page_holdings, _struct(kind=_S, name=_S, level=_I, found=_I)),
-    "set_stats": (page_set_stats, _struct(items=T.ArrayType(ITEM), battles=_L, win_pct=_D)),
-    "outline": (page_outline, _struct(title=_S, lang=_S, headings=_L, links=_L, ads=_L, paragraphs=_L, text_chars=_L)),
-}
+    sets = F.filter(F.transform(pieces(html, opening(CLS_SET, tag="div")), of_set), lambda s: (F.size(s["items"]) > 0) & (s["n"] > 0))
+    return F.transform(sets, lambda s: F.struct(s["items"].alias("items"), s["battles"].alias("battles"), s["win_pct"].alias("win_pct")))
+
+
+def page_outline(html: Column) -> Column:
+    """Generic outline: title, language, headings, links, ads and the text that begins each paragraph. Scripts and styles don't count."""
+    for tag in ("script", "style"):
+        html = F.regexp_replace(html, rf"(?s)<{tag}\b.*?</{tag}>", "")
+    count = lambda pattern: F.size(F.regexp_extract_all(html, F.lit(pattern), 0)).cast("long")
+    texts = F.regexp_extract_all(html, F.lit(r"<p(?:\s[^>]*)?>([^<]*)"), 1)
+    return F.array(
+        F.struct(
+            F.regexp_extract(html, r"<title[^>]*>([^<]*)", 1).alias("title"),
+            F.regexp_extract(html, r"<html[^>]*\blang=\"([^\"]*)", 1).alias("lang"),
+            count(r"<h[123]\b").alias("headings"),
+            count(r"<a\b").alias("links"),
+            count(opening("ad")).alias("ads"),
+            count(r"<p\b").alias("paragraphs"),
+            F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + F.length(F.trim(t))).alias("text_chars"),
+        )
+    )
 
 
-def extract_pages(pages: DataFrame, keys: list[str], html: str, spec: str) -> DataFrame:
-    """Rows of one kind from all pages; ``keys`` name the page (entity, page id)."""
-    parse, schema = SPECS[spec]
-    found = T.ArrayType(T.StringType())
+SPECS: dict[str, Callable[[Column], Column]] = {
+    "profile": page_profile, "holdings": page_holdings, "set_stats": page_set_stats, "outline": page_outline,
+}
 
-    @F.pandas_udf(found)
-    def rows_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [json.dumps(r, ensure_ascii=False) for r in parse(tree(t))])
 
-    raw = pages.select(*keys, F.explode(rows_of(F.col(html))).alias("__row"))
-    return raw.select(*keys, F.from_json("__row", schema).alias("__r")).select(*keys, "__r.*")
+def extract_pages(pages: DataFrame, keys: list[str], html: str, spec: str) -> DataFrame:
+    """Rows of one kind from all pages; ``keys`` name the page (entity, page id). A null page counts as an empty one."""
+    text = F.coalesce(F.col(html), F.lit(""))
+    if spec == "events":
+        # One row per event before its fields are read, so that only the columns in use are.
+        events = pages.select(*keys, F.explode(pieces(text, opening(CLS_EVENT, tag="div"))).alias("__div"))
+        events = events.withColumn("__sides", pieces(F.col("__div"), opening(CLS_SIDE)))
+        return events.select(*keys, *event_columns(F.col("__div"), F.col("__sides")))
+    rows = SPECS[spec](text)
+    return pages.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.*")
 
 
 def oldest_on_page(events: DataFrame, keys: list[str]) -> DataFrame:
