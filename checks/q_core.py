@@ -441,6 +441,21 @@ def _(spark, sf):
     return pr.streak_zone_independence(tl.timeline(spark, sf))
 
 
+@query(
+    "a34_streak_zone_report",
+    f"""SELECT entity, dof, chi2, {Q.r('dof * pow(1 - 2.0 / (9 * dof) + 1.6448536269514722 * sqrt(2.0 / (9 * dof)), 3)')} AS critical,
+    CAST(chi2 > dof * pow(1 - 2.0 / (9 * dof) + 1.6448536269514722 * sqrt(2.0 / (9 * dof)), 3) AS BIGINT) AS exceeds
+    FROM (WITH {Q.tl()}, {Q.streaks()}, {SZ} {Q.chi_square('sz', ['entity'], 'streak', 'zone', yates=False)})""",
+)
+def _(spark, sf):
+    return pr.streak_zone_report(tl.timeline(spark, sf)).select("entity", "dof", "chi2", "critical", "exceeds")
+
+
+@query("a34_h07_significant_share")
+def _(spark, sf):
+    return pr.significant_share(pr.streak_zone_report(tl.timeline(spark, sf), 10_000))
+
+
 @query("g06_contingency", f"WITH {Q.tl()}, {Q.streaks()}, {SZ} SELECT streak, zone, count(*) AS cell FROM sz GROUP BY 1, 2")
 def _(spark, sf):
     return hy.contingency(pr.streak_zone_rows(tl.timeline(spark, sf)), [], "streak", "zone")

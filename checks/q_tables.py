@@ -533,6 +533,21 @@ def _(spark, sf):
     return ex.extract_pages(tables.read(spark, sf, "pages"), ["page_id"], "html", "outline")
 
 
+ZONES = " ".join(f"WHEN n_regionkey = {k} THEN '{z}'" for k, z in tables.REGION_ZONES.items())
+
+
+@query(
+    "f06_country_zones",
+    f"SELECT c_custkey AS entity, n_name AS country, CASE WHEN n_nationkey % 4 = 1 THEN '{tables.DEFAULT_ZONE}' {ZONES} END AS zone FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def _(spark, sf):
+    """Three of four countries are in the mapping table; the others get the default."""
+    nation = tables.read(spark, sf, "nation")
+    zones = nation.filter("n_nationkey % 4 != 1").select(F.col("n_name").alias("country"), tables.zone_of(F.col("n_regionkey")).alias("zone"))
+    people = tables.read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity"), F.col("n_name").alias("country"))
+    return tables.with_zones(people, zones, "country").select("entity", "country", "zone")
+
+
 # --- streams --------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqtide.functions.scalar import is_finite, report_round, streak_category, zone
 from seqtide.operators import hypothesis as hy
+from seqtide.operators import resample as rs
 from seqtide.operators import sequence as sq
 from seqtide.operators.ordered import Seq, ordered
 from seqtide.session import cut_lineage
@@ -377,6 +378,23 @@ def streak_zone_independence(seq: Seq) -> DataFrame:
     return hy.chi_square(cells, list(seq.keys), "streak", "zone")
 
 
+def streak_zone_report(seq: Seq, reps: int | None = None) -> DataFrame:
+    """The test per entity with its critical value and whether the statistic exceeds it.
+
+    With ``reps`` p is the Monte-Carlo one wherever a cell expects fewer than 5 events or p is close to the limit.
+    """
+    cells = hy.contingency(streak_zone_rows(seq), list(seq.keys), "streak", "zone")
+    keys = list(seq.keys)
+    out = rs.chi_square_mc(cells, keys, "streak", "zone", reps) if reps else hy.chi_square(cells, keys, "streak", "zone", yates=False)
+    critical = critical_chi2(F.col("dof"))
+    return out.withColumn("critical", critical).withColumn("exceeds", (F.col("chi2") > critical).cast("int")).withColumn("significant", (F.col("p") < 0.05).cast("int"))
+
+
+def significant_share(report: DataFrame) -> DataFrame:
+    """How many entities there are, and the share of significant ones by critical value and by p: one row."""
+    return report.agg(F.count(F.lit(1)).alias("entities"), F.avg("exceeds").alias("share_exceeding"), F.avg("significant").alias("share_significant"))
+
+
 def critical_chi2(dof: Column, prob: float = 0.95) -> Column:
     """Wilson-Hilferty value of the chi-square quantile (for the report column)."""
     z = {0.95: 1.6448536269514722, 0.99: 2.3263478740408408}[prob]

@@ -142,6 +142,11 @@ def zone_of(region: Column) -> Column:
     return out
 
 
+def with_zones(df: DataFrame, zones: DataFrame, key: str, default: str = DEFAULT_ZONE) -> DataFrame:
+    """``df`` with the time zone of its ``key`` (say, a country): looked up in ``zones`` (``key``, zone), else the default."""
+    return df.join(zones.select(key, "zone"), key, "left").withColumn("zone", F.coalesce("zone", F.lit(default)))
+
+
 def with_region(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region key and time zone of the entity. Nations are a 25-row dimension."""
     nations = read(spark, sf_dir, "nation").select(
