@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as Q
 from checks.registry import query
 from seqtide.plans import outcomes as oc
 from seqtide.plans import timeline as tl
+from seqtide.session import checkpoint_dir
 
 T = f"WITH {Q.tl()}"
 FULL3 = "next_metric IS NOT NULL AND next_level IS NOT NULL AND next_metric2 IS NOT NULL"
@@ -27,6 +30,12 @@ def _(spark, sf):
     return oc.debt_extinction(tl.timeline(spark, sf))
 
 
+@query("a15_on_a_written_timeline", f"{T}, {DEBT} {Q.mwu('lg', ['measure'], 'win', 'value', '1', '0', 'less', 10)}")
+def _(spark, sf):
+    name = f"timeline_{uuid.uuid4().hex}"
+    return oc.debt_extinction(tl.materialize(tl.timeline(spark, sf), name, f"{checkpoint_dir(spark).rstrip('/')}/{name}"))
+
+
 @query(
     "a15_controls",
     f"{T} SELECT {Q.i('win')} AS win, count(*) AS n, {Q.r('avg(metric)')} AS avg_metric, {Q.r('avg(level)')} AS avg_level, {Q.r('avg(leak_against - leak_for)')} AS avg_leak_diff FROM tl WHERE metric < 45 AND {FULL3} GROUP BY win",

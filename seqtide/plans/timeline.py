@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from seqtide.functions.scalar import clean_change
@@ -81,11 +81,11 @@ def with_stress(seq: Seq) -> Seq:
     return sq.stress(sq.streaks(seq))
 
 
-def materialize(seq: Seq, path: str, partitions: int = 64) -> DataFrame:
-    """Write the timeline once, clustered by entity, and read it back."""
-    frame = seq.frame
-    bucket = F.pmod(F.xxhash64(*seq.keys), F.lit(partitions))
-    # Partitions of the write are ranges over entity and time, so a hot entity spreads too.
-    spread = frame.withColumn("entity_bucket", bucket).repartitionByRange("entity_bucket", *seq.keys, *seq.order)
-    spread.write.mode("overwrite").partitionBy("entity_bucket").parquet(path)
-    return frame.sparkSession.read.parquet(path)
+def materialize(seq: Seq, name: str, path: str, buckets: int = 64) -> Seq:
+    """Write the timeline once as table ``name`` under ``path``, bucketed and sorted by key, and go on from there.
+
+    The result takes the place of ``seq`` in any analysis: windows by key read the buckets without an exchange.
+    """
+    spark = seq.df.sparkSession
+    seq.frame.write.mode("overwrite").bucketBy(buckets, *seq.keys).sortBy(*seq.keys, *seq.order).option("path", path).saveAsTable(name)
+    return ordered(spark.table(name), seq.keys, seq.order, seq.max_rows)

@@ -95,3 +95,27 @@ def test_attempts_and_best(log):
 
     plain, cut = both(log, make, ["entity", "event_id", "best", "attempt"])
     assert plain == cut
+
+
+def test_a_written_timeline_needs_no_exchange(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from seqtide.plans import timeline as tl
+
+    rows = [(1 + i % 5, i, i * 60, "Ladder", i % 2, 30, 6000) for i in range(100)]
+    log = spark.createDataFrame(rows, "entity long, event_id long, ts long, mode string, win int, change long, current_rating long")
+    seq = tl.build(log)
+    written = tl.materialize(seq, "written_timeline_test", str(tmp_path / "timeline"), 4)
+    assert sorted(map(tuple, written.frame.select(*seq.columns).collect())) == sorted(map(tuple, seq.frame.select(*seq.columns).collect()))
+    w = Window.partitionBy("entity").orderBy("ts", "event_id")
+    plan = written.frame.withColumn("k", F.row_number().over(w))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity" not in plan
+    spark.sql("DROP TABLE written_timeline_test")
+
+
+def test_a_frame_may_reach_over_several_segments(spark):
+    log = spark.range(100).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") * 7 % 13).alias("v"))
+    total = lambda w: F.sum("v").over(w.rowsBetween(-25, 12))
+    whole = ordered(log, "k", ["id"]).near({"s": total}, back=25, ahead=12).frame
+    cut = ordered(log, "k", ["id"], max_rows=10).near({"s": total}, back=25, ahead=12).frame
+    assert sorted(map(tuple, whole.select("id", "s").collect())) == sorted(map(tuple, cut.select("id", "s").collect()))
