@@ -313,39 +313,30 @@ def item_fairness_top(tests: DataFrame, rates: DataFrame, n: int = 5) -> DataFra
 # --- targeting -----------------------------------------------------------------------
 
 
-MAX_THREATS = 200
-
-
 def threat_encounters(events: DataFrame, lines: DataFrame, threats: DataFrame) -> DataFrame:
     """Do decks without an answer to an item meet it more often than decks with one?
 
-    ``threats``: (threat, item, kind) with kind hard or soft, for a few threats. A deck is safe with
-    one hard or two soft answers. Events are counted per pair of decks first.
+    ``threats``: (threat, item, kind) with kind hard or soft, of any number. A deck is safe with one hard or two soft
+    answers. Events are counted per pair of decks first; what is summed per threat are the safe decks' events, the
+    events against decks that hold it, and those that are both. The rest follows from the total, so no event is
+    repeated for threats that neither side has to do with.
     """
+    names = threats.select("threat").distinct()
+    known = lines.select("deck").distinct()
     pairs = events.groupBy("deck", "opp_deck").agg(F.count(F.lit(1)).alias("uses"))
-    names = [r["threat"] for r in threats.select("threat").distinct().limit(MAX_THREATS + 1).collect()]
-    if len(names) > MAX_THREATS:
-        raise ValueError(f"at most {MAX_THREATS} threats can be compared in one pass")
+    pairs = pairs.join(known, "deck", "left_semi").join(known.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left_semi")
     answers = lines.select("deck", "item").distinct().join(threats, "item").groupBy("deck", "threat").agg(
         F.count_if(F.col("kind") == "hard").alias("hard"), F.count_if(F.col("kind") == "soft").alias("soft")
     )
-    safe = answers.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).groupBy("deck").agg(F.collect_set("threat").alias("safe"))
-    held = lines.filter(F.col("item").isin(names)).groupBy("deck").agg(F.collect_set("item").alias("held"))
-    known = lines.select("deck").distinct()
-    rows = (
-        pairs.join(known, "deck", "left_semi")
-        .join(known.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left_semi")
-        .join(safe, "deck", "left")
-        .join(held.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left")
-        .withColumn("threat", F.explode(F.array(*[F.lit(n) for n in names])))
-    )
-    is_safe = F.coalesce(F.array_contains("safe", F.col("threat")), F.lit(False))
-    meets = F.coalesce(F.array_contains("held", F.col("threat")), F.lit(False))
-    out = rows.groupBy("threat").agg(
-        F.sum(F.when(~is_safe, F.col("uses")).otherwise(0)).alias("vulnerable"),
-        F.sum(F.when(~is_safe & meets, F.col("uses")).otherwise(0)).alias("vulnerable_met"),
-        F.sum(F.when(is_safe, F.col("uses")).otherwise(0)).alias("safe"),
-        F.sum(F.when(is_safe & meets, F.col("uses")).otherwise(0)).alias("safe_met"),
+    safe = answers.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).select("deck", "threat")
+    held = lines.select(F.col("deck").alias("opp_deck"), F.col("item").alias("threat")).distinct().join(names, "threat", "left_semi")
+    total = pairs.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total"))
+    by_deck = pairs.groupBy("deck").agg(F.sum("uses").alias("uses")).join(safe, "deck").groupBy("threat").agg(F.sum("uses").alias("safe"))
+    by_opponent = pairs.groupBy("opp_deck").agg(F.sum("uses").alias("uses")).join(held, "opp_deck").groupBy("threat").agg(F.sum("uses").alias("met"))
+    both = pairs.join(safe, "deck").join(held, ["opp_deck", "threat"]).groupBy("threat").agg(F.sum("uses").alias("safe_met"))
+    out = names.crossJoin(total).join(by_deck, "threat", "left").join(by_opponent, "threat", "left").join(both, "threat", "left").fillna(0, ["safe", "met", "safe_met"])  # total is one row
+    out = out.filter("total > 0").select(
+        "threat", (F.col("total") - F.col("safe")).alias("vulnerable"), (F.col("met") - F.col("safe_met")).alias("vulnerable_met"), "safe", "safe_met"
     )
     v = F.coalesce(F.try_divide(F.col("vulnerable_met") * 100.0, F.col("vulnerable")), F.lit(0.0))
     s = F.coalesce(F.try_divide(F.col("safe_met") * 100.0, F.col("safe")), F.lit(0.0))
