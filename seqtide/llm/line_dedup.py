@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 
 def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -36,14 +36,17 @@ def line_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     Lines are what stands between "\\n"; a null or empty text is one empty line. A line goes if a window of ``width``
     lines over it also starts earlier (smaller doc_id, or same document and earlier line). Texts with fewer lines lose
     nothing. Rows with a null doc_id lose nothing and count for nothing; repeated rows of a document stand at the
-    same place and don't remove each other. Other columns are not looked at.
+    same place and don't remove each other. Other columns are not looked at. Only texts that lose lines are shuffled,
+    as long as their ids are few enough to be sent to all tasks.
     """
     gone = cut(later_lines(docs, width))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), body.alias("body"))
     lines = F.split("body", "\n", -1)
     none = F.array().cast("array<int>")
-    rows = rows.join(gone, ["doc_id", "tk"], "left").withColumn("gone", F.coalesce("gone", none))
+    ids = cut(gone.select("doc_id").distinct())
+    hit = rows.join(bounded(ids), "doc_id", "left_semi").join(gone, ["doc_id", "tk"], "left").select("doc_id", "body", F.coalesce("gone", none).alias("gone"))
+    rows = hit.union(rows.join(bounded(ids), "doc_id", "left_anti").select("doc_id", "body", none.alias("gone")))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     starts = F.filter("gone", lambda x, i: (i == 0) | (F.get("gone", i - 1) != x - 1))
     return rows.select(
