@@ -58,7 +58,8 @@ def decoded(code: np.ndarray) -> np.ndarray:
 class Monotone:
     """Elias-Fano code of a non-decreasing sequence: the low bits of each value side by side, the high parts in unary.
 
-    ``find`` is the successor search: the values with a query's high part stand between two zeros of the unary part.
+    ``find`` is the successor search: the values with a query's high part stand in order between two zeros of the unary
+    part, however many they are, and are halved until one is left.
     """
 
     def __init__(self, raw: memoryview):
@@ -94,15 +95,19 @@ class Monotone:
         inside = high < len(self.zeros)
         h = np.where(inside, high, 0)
         at = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - (h - 1), 0)
-        end, want = np.where(inside, self.zeros[h] - h, 0), values & np.uint64((1 << self.bits) - 1)
-        at, out = np.minimum(at, end), np.full(len(values), -1)
-        todo = np.flatnonzero(at < end)
+        end = np.where(inside, self.zeros[h] - h, 0)
+        want = values & np.uint64((1 << self.bits) - 1)
+        low, high = np.minimum(at, end), end.copy()
+        todo = np.flatnonzero(low < high)
         while len(todo):
-            low = self.low_of(at[todo])
-            hit = low == want[todo]
-            out[todo[hit]] = at[todo[hit]]
-            at[todo] += 1
-            todo = todo[(low < want[todo]) & (at[todo] < end[todo])]
+            middle = (low[todo] + high[todo]) // 2
+            before = self.low_of(middle) < want[todo]
+            low[todo] = np.where(before, middle + 1, low[todo])
+            high[todo] = np.where(before, high[todo], middle)
+            todo = todo[low[todo] < high[todo]]
+        found = low < end
+        out = np.full(len(values), -1)
+        out[found] = np.where(self.low_of(low[found]) == want[found], low[found], -1)
         return out
 
 
