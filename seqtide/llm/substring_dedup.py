@@ -30,10 +30,11 @@ LENGTH = 100
 GRAM = 32
 #: Anchors a task gathers before it keeps only the first of each context.
 FLUSH_ANCHORS = 500_000
-#: Bytes of contexts that are transformed at once; an anchor with more is dealt to several blocks and merged by hash.
-BLOCK_BYTES = 1_000_000
-#: Bits of a place in a block: two ranks and a place fit a 64-bit number. One and a half blocks stay below.
-PLACE_BITS = 21
+#: Bytes of contexts that are transformed at once, of several anchors and of a single one; an anchor with more is dealt
+#: to several blocks, and their strings are merged by hash.
+BLOCK_BYTES, ANCHOR_BYTES = 1_000_000, 4_000_000
+#: Bits of a place in a block of at most ``ANCHOR_BYTES``, and up to which two ranks and a place fit a 64-bit number.
+PLACE_BITS, SHORT_BITS = 24, 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -144,22 +145,29 @@ def packed_keys(symbols: np.ndarray) -> np.ndarray:
 def suffix_array(keys: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` symbols that follow, or more, by doubling from the packed keys' first four.
 
-    Each number that is sorted holds what to sort by and, in its low bits, the place it belongs to.
+    Each number that is sorted holds what to sort by and, in its low bits, the place it belongs to; only in a block too
+    long for that the places are sorted by reference.
     """
     n, done, at = len(keys), 4, np.arange(len(keys))
     if n >= 1 << PLACE_BITS:
         raise ValueError("a block has more places than its bits can name")
     mixed = np.sort(keys >> 9 * (PACKED - 4) << PLACE_BITS | at)
+    order, what = mixed & ((1 << PLACE_BITS) - 1), mixed >> PLACE_BITS
     while True:
-        order, what = mixed & ((1 << PLACE_BITS) - 1), mixed >> PLACE_BITS
         new = np.r_[0, np.cumsum(what[1:] != what[:-1])]
         if done >= depth or new[-1] == n - 1:
             return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
-        mixed = rank << 2 * PLACE_BITS | at
-        mixed[: n - done] |= rank[done:] + 1 << PLACE_BITS
-        mixed.sort()
+        bits = SHORT_BITS if n < 1 << SHORT_BITS else PLACE_BITS
+        both = rank << bits
+        both[: n - done] |= rank[done:] + 1
+        if bits == SHORT_BITS:
+            mixed = np.sort(both << bits | at)
+            order, what = mixed & ((1 << bits) - 1), mixed >> bits
+        else:
+            order = np.argsort(both)
+            what = both[order]
         done *= 2
 
 
@@ -239,11 +247,11 @@ def worth_comparing(contexts: list[tuple[int, int, bytes, int]], length: int, gr
     return [x for x, a, b in zip(contexts, left, right, strict=True) if a is not None and lefts[a] > 1 or b is not None and rights[b] > 1]
 
 
-def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """Covered intervals, from ``rows`` (anchor, doc, place of the context's first byte, context, offset of the anchor), sorted by anchor.
 
-    Columns first, second, doc, place, end: end is set for an interval; for an anchor whose contexts fill more than one
-    block the first place of each string in a block comes with its hash instead, to be merged.
+    Columns first, second, doc, place, end: end is set for an interval; for an anchor whose contexts fill more than
+    ``anchor_bytes`` the first place of each string in a block comes with its hash instead, to be merged.
     """
 
     def covered_in(held: list) -> Iterator[pa.RecordBatch]:
@@ -288,13 +296,14 @@ def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes
                         yield from firsts_of(own)
                     else:
                         some = worth_comparing(own, length, gram)
-                        held += some
-                        n_held += sum(len(c) for _, _, c, _ in some)
-                        if n_held >= block_bytes // 2:
+                        size = sum(len(c) for _, _, c, _ in some)
+                        if n_held + size > block_bytes:
                             yield from covered_in(held)
                             held, n_held = [], 0
+                        held += some
+                        n_held += size
                     key, own, n_own, is_open = anchor, [], 0, False
-                if n_own + len(context) > block_bytes:
+                if n_own + len(context) > anchor_bytes:
                     yield from covered_in(own)
                     yield from firsts_of(own)
                     own, n_own, is_open = [], 0, True
@@ -303,9 +312,13 @@ def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes
         if is_open:
             yield from covered_in(own)
             yield from firsts_of(own)
+            yield from covered_in(held)
         else:
-            held += worth_comparing(own, length, gram)
-        yield from covered_in(held)
+            some = worth_comparing(own, length, gram)
+            if n_held + sum(len(c) for _, _, c, _ in some) > block_bytes:
+                yield from covered_in(held)
+                held = []
+            yield from covered_in(held + some)
 
     return rows.mapInArrow(run, "first long, second long, doc long, place long, end long")
 

@@ -189,7 +189,7 @@ def test_substring_dedup_merges_blocks_of_one_anchor(spark):
     rows = [(i, "".join(rng.choice(list("abcdefgh "), 60)) + shared + "".join(rng.choice(list("abcdefgh "), 60))) for i in range(12)]
     contexts = [(7, i, 0, t[:190].encode(), 80) for i, t in rows]
     frame = spark.createDataFrame(contexts, "anchor long, doc long, place long, context binary, offset long").coalesce(1)
-    found = substring_dedup.compare_contexts(frame, 100, block_bytes=500).collect()
+    found = substring_dedup.compare_contexts(frame, 100, block_bytes=300, anchor_bytes=500).collect()
     firsts = {}
     for r in found:
         if r.end is None:
@@ -198,7 +198,9 @@ def test_substring_dedup_merges_blocks_of_one_anchor(spark):
     assert any(r.end is not None for r in found)
 
 
-def test_repeated_strings_on_random_contexts():
+@pytest.mark.parametrize("bits", [21, 3])
+def test_repeated_strings_on_random_contexts(monkeypatch, bits):
+    monkeypatch.setattr(substring_dedup, "SHORT_BITS", bits)
     rng = np.random.RandomState(9)
     for _ in range(60):
         contexts = [bytes(rng.choice(list(b"ab "), rng.randint(1, 40)).tolist()) for _ in range(rng.randint(1, 7))]
