@@ -49,11 +49,10 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = lamb
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows ``exact_dedup`` drops, all columns as they were; one row of repeated rows stays."""
-    found = exact_dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "keep_doc_id")
-    found = cut(found)
-    ids = found.where("keep_doc_id is not null").select("keep_doc_id")
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("keep_doc_id"), "left_semi")
-    again = cut(found.where("rows > 1").select(F.col("keep_doc_id").alias("again_id")))
+    found = cut(exact_dedup(docs).groupBy("doc_id").agg(F.count_if("kept").alias("rows")).where("doc_id is not null"))
+    gone = cut(found.where("rows = 0").select(F.col("doc_id").alias("gone_id")))
+    kept = docs.where("doc_id is not null").join(bounded(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    again = cut(found.where("rows > 1").select(F.col("doc_id").alias("again_id")))
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     if again.isEmpty():
         return kept.union(nameless)
