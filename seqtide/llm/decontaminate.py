@@ -1,5 +1,8 @@
 """Benchmark decontamination: MinHash containment search partitioned by size, verified by exact shingle containment.
 
+Items of up to ``EXACT`` shingles have too few MinHash values for that search: all their shingles are looked up in the
+document, which also counts those that are shared. Larger items are searched as follows.
+
 Test items are put into classes by size (powers of two of their number of shingles). For a class with items of up to s
 shingles a document is seen as windows of 2s shingles that start every s, so an item that stands in the document lies
 within one window, and its Jaccard similarity with that window has a known lower bound; the number of MinHash values
@@ -21,8 +24,13 @@ from .common import bounded, cut, hash_words, mix, rows_of, shingles, word_list
 
 WORDS = 5
 PERCENT = 80
-#: MinHash values of a window and an item; a pair at the lowest similarity of a class shares none with less than one in a million.
+#: Items of up to this many shingles are found by an index of all their shingles.
+EXACT = 16
+#: MinHash values of a window and an item; for items over ``EXACT`` shingles a pair at the lowest similarity of a class
+#: shares none with about one in a million.
 BINS = 64
+#: The index is asked only for shingles whose low bits some small item has.
+FILTER_BITS = 20
 #: Test items that are searched for in one pass over the documents; more are searched in further passes.
 ITEMS_PER_PASS = 20_000
 PAIRS = "doc_id long, item_id long, item_shingles long, shared_shingles long"
@@ -36,7 +44,8 @@ def bin_minima(hashes: np.ndarray, group: np.ndarray, groups: int, bins: int = B
 
 
 class Items:
-    """The items of one pass by size class: their shingle sets, and every MinHash value with the items that have it."""
+    """The items of one pass: their shingle sets, the shingles of small items with the items that have them, and by size
+    class of the larger ones every MinHash value with the items that have it."""
 
     def __init__(self, rows: list[tuple[int, str | None]], words: int = WORDS):
         found = []
@@ -46,9 +55,16 @@ class Items:
                 found.append((item, np.unique(shingles(tokens, words))))
         found.sort(key=lambda x: x[0])
         self.ids, self.sets = [i for i, _ in found], [s for _, s in found]
+        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        small = np.flatnonzero(self.sizes <= EXACT)
+        value, who = mix(np.concatenate([np.zeros(0, dtype=np.uint64), *(self.sets[k] for k in small)])), np.repeat(small, self.sizes[small])
+        order = np.argsort(value, kind="stable")
+        self.value, self.who = value[order], who[order]
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.filter[self.low_bits(value)] = True
         self.classes = {}
-        for k, s in enumerate(self.sets):
-            self.classes.setdefault(1 << max(3, (len(s) - 1).bit_length()), []).append(k)
+        for k in np.flatnonzero(self.sizes > EXACT).tolist():
+            self.classes.setdefault(1 << (len(self.sets[k]) - 1).bit_length(), []).append(k)
         self.minima = {}
         for size, members in self.classes.items():
             sets = [mix(self.sets[k]) for k in members]
@@ -58,12 +74,28 @@ class Items:
             order = np.argsort(value[keep], kind="stable")
             self.minima[size] = (value[keep][order], who[keep][order])
 
+    @staticmethod
+    def low_bits(x: np.ndarray) -> np.ndarray:
+        return (x & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+    def small_hits(self, hashes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """(item, shared shingles) of the small items that are contained, from the document's mixed shingles."""
+        seen = np.unique(hashes[self.filter[self.low_bits(hashes)]])
+        low, high = np.searchsorted(self.value, seen), np.searchsorted(self.value, seen, side="right")
+        hits = [self.who[a:b] for a, b in zip(low[high > low], high[high > low], strict=True)]
+        if not hits:
+            return []
+        who, shared = np.unique(np.concatenate(hits), return_counts=True)
+        enough = 100 * shared >= percent * self.sizes[who]
+        return list(zip(who[enough].tolist(), shared[enough].tolist(), strict=True))
+
     def search(self, words: np.ndarray, k: int = WORDS, percent: int = PERCENT) -> list[tuple[int, int, int]]:
         """(item_id, shingles of the item, those in the document) of each item that is contained."""
         if len(words) < k or not self.ids:
             return []
         own = shingles(words, k)
         hashes, candidates = mix(own), set()
+        out = [(self.ids[c], len(self.sets[c]), shared) for c, shared in self.small_hits(hashes, percent)]
         for size, (value, who) in self.minima.items():
             blocks = bin_minima(hashes, np.arange(len(own)) // size, -(-len(own) // size))
             seen = np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks
@@ -73,8 +105,8 @@ class Items:
             for a, b in zip(low[high > low], high[high > low], strict=True):
                 candidates.update(who[a:b].tolist())
         if not candidates:
-            return []
-        have, out = np.unique(own), []
+            return out
+        have = np.unique(own)
         for c in sorted(candidates):
             shared = int(np.isin(self.sets[c], have, assume_unique=True).sum())
             if 100 * shared >= percent * len(self.sets[c]):

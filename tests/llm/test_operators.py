@@ -109,6 +109,23 @@ def test_decontamination(spark, tables, odd, nothing):
     assert sorted(r.doc_id or 0 for r in decontaminate.drop_contaminated(odd, items).collect()) == [0, 0, 2, 3, 7]
 
 
+def test_decontamination_finds_every_short_item():
+    rng = np.random.RandomState(5)
+    for size in range(5, 22):
+        texts = [[f"w{x}" for x in rng.randint(0, 10**9, size)] for _ in range(400)]
+        items = decontaminate.Items([(k, " ".join(t)) for k, t in enumerate(texts)])
+        n = size - 4
+        less = n - -(-80 * n // 100)
+        for k, t in enumerate(texts):
+            for cut in {0, less}:
+                around = [f"v{x}" for x in rng.randint(0, 10**9, 80)]
+                at = rng.randint(0, 81)
+                doc = common.hash_words(common.word_list(" ".join([*around[:at], *t[: size - cut], *around[at:]])))
+                assert items.search(doc) == [(k, n, n - cut)]
+            doc = common.hash_words(common.word_list(" ".join([*around[:at], *t[: size - less - 1], *around[at:]])))
+            assert items.search(doc) == []
+
+
 def test_quality_scores(spark, tables, odd, nothing):
     docs, labels = spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet")
     model = quality.train(docs, labels)
