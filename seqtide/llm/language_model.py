@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,13 +168,17 @@ ANSWER = "kind long, block long, shard long, a binary, b binary, x long, y long"
 
 
 def token_blocks(docs: DataFrame, folds: int) -> DataFrame:
-    """Blocks of whole documents, about ``BLOCK_TOKENS`` tokens each; words stand by their count in the block, tokens are their numbers."""
+    """Blocks of whole documents, about ``BLOCK_TOKENS`` tokens each; words stand by their count in the block, tokens are their numbers.
+
+    A block is named by its partition and its number there, so blocks of the same rows stay apart. The result has to be
+    written before it is used: made again from rows in another order, blocks would hold others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, flags, n_held = [], [], [], 0
+        held, ids, flags, n_held, block = [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, ids, flags, n_held
+            nonlocal held, ids, flags, n_held, block
             if held:
                 sizes, flat = np.array([len(h) for h in held], dtype=np.int32), np.concatenate(held)
                 words, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -185,11 +190,11 @@ def token_blocks(docs: DataFrame, folds: int) -> DataFrame:
                 planes = np.stack([tokens >> np.uint32(8 * k) & np.uint32(255) for k in range(4)]).astype(np.uint8)
                 docs_raw = np.array([0 if i is None else i for i in ids], dtype=np.int64)
                 none = np.array([i is None for i in ids])
-                block = int(np.bitwise_xor.reduce(mix(docs_raw.view(np.uint64) + np.uint64(3))) ^ mix(np.add.reduce(flat).reshape(1))[0] ^ np.uint64(len(flat)))
                 yield rows_of(
-                    BLOCKS, block=[block - (1 << 64) if block >> 63 else block], docs=[packed(docs_raw)], held=[packed(np.array(flags, dtype=np.uint8) | none.astype(np.uint8) << 1)], sizes=[packed(sizes)],
+                    BLOCKS, block=[block], docs=[packed(docs_raw)], held=[packed(np.array(flags, dtype=np.uint8) | none.astype(np.uint8) << 1)], sizes=[packed(sizes)],
                     words=[np.ascontiguousarray(words).tobytes()], counts=[packed(train)], tokens=[packed(planes)], n_words=[len(words)], n_train=[int(train.sum())],
                 )
+                block += 1
             held, ids, flags, n_held = [], [], [], 0
 
         for batch in batches:

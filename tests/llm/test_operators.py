@@ -269,6 +269,13 @@ def test_language_model(spark, tables, odd, nothing, monkeypatch):
     assert language_model.lm_scores(nothing).count() == 0
 
 
+def test_language_model_of_a_table_that_landed_twice(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(9))) for i in range(1, 30)], "doc_id long, text string").coalesce(1)
+    once, twice = (language_model.lm_scores(d).collect() for d in (docs, docs.union(docs)))
+    assert Counter(r.doc_id for r in twice) == Counter({r.doc_id: 2 for r in once})
+    assert {r.train_tokens for r in twice} == {2 * r.train_tokens for r in once}
+
+
 def test_elias_fano_finds_values():
     rng = np.random.RandomState(1)
     for universe in (50, 1 << 40, 1 << 64):
