@@ -1,20 +1,21 @@
-"""Bigram language model in Elias-Fano tries, trained and queried where the n-grams are.
+"""N-gram language model in Elias-Fano tries, trained and queried where the n-grams are.
 
 Documents are tokenised once into blocks (a row each: distinct word hashes, token numbers). Blocks ask for what they
 need and get it back, so neither the vocabulary nor the trie has to fit anywhere whole:
 
 * unigram shards (by word) add up the blocks' training counts and answer with counts;
-* trie shards (by context word) add up training bigrams, build a trie and answer with codes of smoothed probabilities;
+* trie shards (by order and context) add up training n-grams, build a trie and answer with codes of smoothed probabilities;
 * each block then scores its documents from the answers.
 
-P(w | v) = a(v, w) + b(v) P(w), with a = (c(v w) - D) / c(v), b = D n(v) / c(v), n the number of different words after
-v, and P the add-0.1 unigram model, which sums to 1 over the known words and one unknown; v is the end token at the
-start of a document. a and b are rounded down to 8-bit codes, so the probabilities sum to 1 at most.
+P(w | u v) = a(u v, w) + b(u v) P(w | v), and so on down to P(w | v) = a(v, w) + b(v) P(w), with a = (c(v w) - D) / c(v),
+b = D n(v) / c(v), n the number of different words after v (a = 0 and b = 1 if v wasn't seen), and P the add-0.1 unigram
+model, which sums to 1 over the known words and one unknown. Before the start of a document stand end tokens. a and b
+are rounded down to 8-bit codes, so the probabilities sum to 1 at most.
 """
 
 from __future__ import annotations
 
-import mmap
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ BLOCK_TOKENS = 2_000_000
 #: Entries a shard takes on average; the number of shards follows from the input.
 SHARD_ENTRIES = 600_000
 #: Contexts with more than this share of a thousand tokens are dealt to many trie shards by the word after them; there
-#: are at most a thousand of them. The list decides where the work is done, not its result.
+#: are at most a thousand of them of each order. The list decides where the work is done, not its result.
 WIDE = 1000
 CODES, LEAST = 255, -9.0
 SUCCESSOR_BITS = 40
@@ -86,17 +87,22 @@ class Monotone:
         place = at * self.bits
         return (self.low[place >> 3] >> (place & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
 
+    @functools.cached_property
+    def ones(self) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
+
     def get(self, at: np.ndarray) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        return (ones[at] - at).astype(np.uint64) << np.uint64(self.bits) | self.low_of(at)
+        return (self.ones[at] - at).astype(np.uint64) << np.uint64(self.bits) | self.low_of(at)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it isn't there."""
+    def find(self, values: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value, -1 where it isn't there; with ``start`` and ``stop`` only from one to before the other."""
         high = (values >> np.uint64(self.bits)).astype(np.int64)
         inside = high < len(self.zeros)
         h = np.where(inside, high, 0)
         at = np.where(h > 0, self.zeros[np.maximum(h - 1, 0)] - (h - 1), 0)
         end = np.where(inside, self.zeros[h] - h, 0)
+        if start is not None:
+            at, end = np.maximum(at, start), np.minimum(end, stop)
         want = values & np.uint64((1 << self.bits) - 1)
         low, high = np.minimum(at, end), end.copy()
         todo = np.flatnonzero(low < high)
@@ -113,7 +119,11 @@ class Monotone:
 
 
 class Trie:
-    """Contexts, pointers to their successors, and successors, each level a ``Monotone``, with codes beside them."""
+    """Contexts, pointers to their successors, and successors, each level a ``Monotone``, with codes beside them.
+
+    To the successors of a context the last value before them is added, which keeps the sequence in order. Only inside
+    the range that the pointers give does a value tell its successor.
+    """
 
     def __init__(self, raw: memoryview):
         sizes = np.frombuffer(raw[:40], dtype=np.int64)
@@ -134,11 +144,13 @@ class Trie:
             if at < len(names) and names[at] == np.uint64(v):
                 total[at] = n
         rank = np.repeat(np.arange(len(new), dtype=np.uint64), sizes)
-        value = rank << np.uint64(SUCCESSOR_BITS) | successor
+        last = successor[new + sizes - 1]
+        before = np.cumsum(last, dtype=np.uint64) - last
+        value = before[rank.astype(np.int64)] + successor
         parts = [
             Monotone.encode(names, 1 << 64),
             Monotone.encode(np.r_[0, np.cumsum(sizes)].astype(np.uint64), len(context) + 1),
-            Monotone.encode(value, max(1, len(new)) << SUCCESSOR_BITS),
+            Monotone.encode(value, int(value[-1]) + 1 if len(value) else 1),
             coded(DISCOUNT * sizes / total).tobytes(),
             coded((count - DISCOUNT) / np.repeat(total, sizes)).tobytes(),
         ]
@@ -152,7 +164,9 @@ class Trie:
         out = np.zeros(len(ranks), dtype=np.uint8)
         known = np.flatnonzero(ranks >= 0)
         if len(known) and self.successors.n:
-            at = self.successors.find(ranks[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS) | successors[known])
+            start, stop = (self.pointers.get(ranks[known] + k).astype(np.int64) for k in (0, 1))
+            before = np.where(start > 0, self.successors.get(np.maximum(start - 1, 0)), np.uint64(0))
+            at = self.successors.find(before + successors[known], start, stop)
             out[known] = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
         return out
 
@@ -216,21 +230,46 @@ def shard_of(x: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(x) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def split_row(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: hashes of its words, tokens by number, tokens of each document, held-out documents, documents without an id."""
+    planes, flags = unpacked(block["tokens"], np.uint8).reshape(4, -1), unpacked(block["held"], np.uint8)
+    tokens = sum(planes[k].astype(np.int64) << 8 * k for k in range(4))
+    return np.frombuffer(block["words"], dtype=np.uint64), tokens, unpacked(block["sizes"], np.int32).astype(np.int64), flags & 1 == 1, flags & 2 == 2
+
+
+def words_before(tokens: np.ndarray, sizes: np.ndarray, end: int, n: int) -> Iterator[np.ndarray]:
+    """The numbers of the first, second ... n-th token before each token; ``end`` before the start of a document."""
+    before, starts = tokens, np.cumsum(sizes) - sizes
+    for _ in range(n):
+        before = np.r_[end, before[:-1]]
+        before[starts] = end
+        yield before
+
+
+def longer(name: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Name of a context with one more word before it."""
+    return mix(name * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
 class Pairs:
-    """A block's distinct (context, word) pairs by trie shard, context and word; the same each time it is made."""
-
-    def __init__(self, block: dict, wide: np.ndarray, shards: int):
-        self.words, self.sizes = np.frombuffer(block["words"], dtype=np.uint64), unpacked(block["sizes"], np.int32).astype(np.int64)
-        planes = unpacked(block["tokens"], np.uint8).reshape(4, -1)
-        self.tokens = sum(planes[k].astype(np.int64) << 8 * k for k in range(4))
-        flags = unpacked(block["held"], np.uint8)
-        self.held, self.nameless = flags & 1 == 1, flags & 2 == 2
-        context = np.r_[0, self.tokens[:-1]]
-        context[np.cumsum(self.sizes) - self.sizes] = np.flatnonzero(self.words == END)[0]
-        key, self.inverse = np.unique(context * len(self.words) + self.tokens, return_inverse=True)
-        self.context, self.word = key // len(self.words), key % len(self.words)
-        name, after = self.words[self.context], self.words[self.word] >> np.uint64(64 - SUCCESSOR_BITS)
-        shard = shard_of(np.where(np.isin(name, wide), name ^ mix(self.words[self.word]), name), shards)
+    """A block's distinct (context, word) pairs by trie shard, context and word; the same each time it is made.
+
+    A context has ``order`` - 1 words. Each order has ``shards`` tries of its own.
+    """
+
+    def __init__(self, block: dict, wide: np.ndarray, shards: int, order: int = 2):
+        self.words, self.tokens, self.sizes, self.held, self.nameless = split_row(block)
+        numbers, names = None, None
+        for before in words_before(self.tokens, self.sizes, int(np.flatnonzero(self.words == END)[0]), order - 1):
+            if names is None:
+                numbers, names = before, self.words
+            else:
+                key, numbers = np.unique(numbers * len(self.words) + before, return_inverse=True)
+                names = longer(names[key // len(self.words)], self.words[key % len(self.words)])
+        key, self.inverse = np.unique(numbers * len(self.words) + self.tokens, return_inverse=True)
+        context, self.word = key // len(self.words), key % len(self.words)
+        name, after = names[context], self.words[self.word] >> np.uint64(64 - SUCCESSOR_BITS)
+        shard = shard_of(np.where(np.isin(names, wide)[context], name ^ mix(self.words[self.word]), name), shards) + (order - 2) * shards
         self.order = np.lexsort((after, name, shard))
         self.shard, self.name, self.after = shard[self.order], name[self.order], after[self.order]
         self.start = np.flatnonzero(np.r_[True, (self.shard[1:] != self.shard[:-1]) | (self.name[1:] != self.name[:-1])])
@@ -248,6 +287,29 @@ class Pairs:
             )
 
 
+def context_counts(blocks: DataFrame, words: np.ndarray, order: int, names: np.ndarray | None = None) -> DataFrame:
+    """(word, n): training counts of contexts of ``order`` - 1 words that are all in ``words``; by block those with more
+    than a ``WIDE``-th of its training tokens, or with ``names`` all of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, tokens, sizes, held, _ = split_row(row)
+                common = np.isin(hashes, words)
+                use, name = np.repeat(~held, sizes), None
+                n_train = int(use.sum())
+                before = list(words_before(tokens, sizes, int(np.flatnonzero(hashes == END)[0]), order - 1))
+                for b in before:
+                    use &= common[b]
+                for b in before:
+                    name = hashes[b[use]] if name is None else longer(name, hashes[b[use]])
+                found, n = np.unique(name, return_counts=True)
+                keep = n * WIDE > n_train if names is None else np.isin(found, names)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(found[keep])), pa.array(n[keep])], names=["word", "n"])
+
+    return blocks.select("held", "sizes", "words", "tokens").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def ask_counts(blocks: DataFrame, shards: int) -> DataFrame:
     """A block's words and training counts by unigram shard, in the block's order."""
 
@@ -303,9 +365,7 @@ def query_tries(asked: DataFrame, totals: dict[int, int]) -> DataFrame:
         c, w, n = name[seen], word[seen], count[seen]
         new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])][: len(c)])
         raw, contexts, spread = Trie.build(c[new], w[new], np.add.reduceat(n, new) if len(new) else n, totals)
-        memory = mmap.mmap(-1, len(raw))
-        memory.write(raw)
-        trie, shard, out = Trie(memoryview(memory)), rows[0]["shard"], []
+        trie, shard, out = Trie(memoryview(raw)), rows[0]["shard"], []
         for r, key, size, x in zip(rows, keys, sizes, after, strict=True):
             ranks = trie.context_ranks(key)
             codes = trie.successor_codes(np.repeat(ranks, size), x)
@@ -319,13 +379,13 @@ def query_tries(asked: DataFrame, totals: dict[int, int]) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def lm_scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased (A-Z) words without ASCII white space and one end per document, so a null or empty text has
     one. The model learns from rows whose crc32(doc_id) mod ``folds`` is not 0; with a null doc_id a row is learned
     from. Repeated rows count as often as they stand there. score is the model's log10 probability, base_score that of
-    the add-0.1 unigram model. An empty table gives no rows. Other columns are not looked at.
+    the add-0.1 unigram model. ``order`` is the number of words in the longest n-grams, two or more. An empty table gives no rows. Other columns are not looked at.
     """
     blocks = cut(token_blocks(docs, folds))
     size = blocks.agg(F.sum("n_words").alias("words"), F.sum("n_train").alias("train"), F.sum(F.lit(1)).alias("blocks")).first()
@@ -344,34 +404,46 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     counted = cut(count_words(ask_counts(blocks, shards), wide))
     n_words = counted.where("kind = 2").agg(F.sum("x")).first()[0] or 0
     totals = {r["x"] % (1 << 64): r["y"] for r in counted.where("kind = 3").collect()}
+    broad_of = {2: wide}
+    for m in range(3, order + 1):  # a context is wide only if all its words are
+        usual = context_counts(blocks, wide, m).where(F.col("n") * WIDE > n_train)
+        broad_of[m] = np.array(sorted(r["word"] for r in usual.collect()), dtype=np.int64).view(np.uint64)
+        if len(broad_of[m]):
+            totals |= {r["word"] % (1 << 64): r["n"] for r in context_counts(blocks, wide, m, broad_of[m]).collect()}
     tries = max(1, -(-(n_train + blocks_n) // SHARD_ENTRIES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from Pairs(row, wide, tries).ask(row["block"])
+                for m in range(2, order + 1):
+                    yield from Pairs(row, broad_of[m], tries, m).ask(row["block"])
 
     answers = cut(query_tries(blocks.mapInArrow(ask, ASK), totals))
     spread = {r["x"] % (1 << 64): r["n"] for r in answers.where("kind = 3").groupBy("x").agg(F.sum("y").alias("n")).collect()}
     floor = n_train + 0.1 * (n_words + 1)
-    broad = {v: float(decoded(coded(np.array([DISCOUNT * spread[v] / totals[v]])))[0]) for v in spread}
+    broad = np.array(sorted(spread), dtype=np.uint64)
+    broad_back = decoded(coded(np.array([DISCOUNT * spread[v] / totals[v] for v in sorted(spread)])))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row, replies = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        p = Pairs(row, wide, tries)
-        counts = np.zeros(len(p.words), dtype=np.int64)
-        counts[np.argsort(shard_of(p.words, shards), kind="stable")] = np.concatenate([unpacked(r["a"], np.int64) for r in replies if r["kind"] == 0])
-        alone = (counts + 0.1) / floor
-        a = np.concatenate([unpacked(r["a"], np.uint8) for r in replies if r["kind"] == 1])
-        b = np.concatenate([unpacked(r["b"], np.uint8) for r in replies if r["kind"] == 1])
-        back = np.where(b > 0, decoded(b), 1.0)
-        for v, x in broad.items():
-            back[p.name[p.start] == np.uint64(v)] = x
-        pair = np.empty(len(p.order))
-        pair[p.order] = decoded(a)
-        pair_back = np.empty(len(p.order))
-        pair_back[p.order] = np.repeat(back, p.length)
-        logs = np.log10(pair + pair_back * alone[p.word])[p.inverse]
+        words = np.frombuffer(row["words"], dtype=np.uint64)
+        counts = np.zeros(len(words), dtype=np.int64)
+        counts[np.argsort(shard_of(words, shards), kind="stable")] = np.concatenate([unpacked(r["a"], np.int64) for r in replies if r["kind"] == 0])
+        alone, chance = (counts + 0.1) / floor, None
+        for m in range(2, order + 1):
+            p = Pairs(row, broad_of[m], tries, m)
+            own = [r for r in replies if r["kind"] == 1 and r["shard"] // tries == m - 2]
+            a, b = (np.concatenate([unpacked(r[c], np.uint8) for r in own]) for c in "ab")
+            back = np.where(b > 0, decoded(b), 1.0)
+            if len(broad):
+                name = p.name[p.start]
+                at = np.minimum(np.searchsorted(broad, name), len(broad) - 1)
+                back = np.where(broad[at] == name, broad_back[at], back)
+            pair, pair_back = np.empty(len(p.order)), np.empty(len(p.order))
+            pair[p.order] = decoded(a)
+            pair_back[p.order] = np.repeat(back, p.length)
+            chance = pair[p.inverse] + pair_back[p.inverse] * (alone[p.tokens] if chance is None else chance)
+        logs = np.log10(chance)
         starts = np.cumsum(p.sizes) - p.sizes
         base, total, known = (np.add.reduceat(x, starts) for x in (np.log10(alone)[p.tokens], logs, (counts > 0).astype(np.int64)[p.tokens]))
         ids = pa.array(unpacked(row["docs"], np.int64), mask=p.nameless)

@@ -74,7 +74,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 @query("op6_personal_data")

@@ -269,6 +269,47 @@ def test_language_model(spark, tables, odd, nothing, monkeypatch):
     assert language_model.lm_scores(nothing).count() == 0
 
 
+def test_language_model_of_order_three(spark, tables, odd, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 20_000)
+    monkeypatch.setattr(language_model, "SHARD_ENTRIES", 10_000)
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6 + i, f"of the v{i} of the v{i + 1}") for i in range(800)], "doc_id long, text string"))
+    words = {r.doc_id: [b"", b"", *(r.text or "").encode().lower().split(), b""] for r in docs.collect()}
+    counts, after = Counter(), {}
+    for i, w in words.items():
+        for k in range(2, len(w)) if zlib.crc32(str(i).encode()) % 10 else ():
+            for c in (tuple(w[k - 2 : k]), tuple(w[k - 1 : k]), ()):
+                counts[c, w[k]] += 1
+                after.setdefault(c, Counter())[w[k]] += 1
+    total = {c: sum(x.values()) for c, x in after.items()}
+    n, v = total[()], len(after[()])
+    assert total[b"of", b"the"] * 1000 > n  # such a context is dealt to several tries
+
+    def chance(context, word):
+        if not context:
+            return (counts[(), word] + 0.1) / (n + 0.1 * (v + 1))
+        less = chance(context[1:], word)
+        return (max(counts[context, word] - 0.75, 0) + 0.75 * len(after[context]) * less) / total[context] if context in total else less
+
+    rows = language_model.lm_scores(docs, order=3).collect()
+    assert len(rows) == len(words)
+    for r in rows:
+        w = words[r.doc_id]
+        want = sum(np.log10(chance(tuple(w[k - 2 : k]), w[k])) for k in range(2, len(w)))
+        assert -0.08 * len(w) < r.score - want < 1e-6 * len(w)
+    assert Counter(r.doc_id for r in language_model.lm_scores(odd, order=3).collect()) == Counter(r.doc_id for r in odd.collect())
+
+
+def test_trie_finds_successors_only_in_their_range():
+    rng = np.random.RandomState(3)
+    pairs = np.unique(rng.randint(0, 40, (600, 2)), axis=0).astype(np.uint64)
+    raw, names, _ = language_model.Trie.build(pairs[:, 0], pairs[:, 1], np.full(len(pairs), 2), {})
+    trie, have = language_model.Trie(memoryview(raw)), set(map(tuple, pairs.tolist()))
+    context, word = (x.ravel() for x in np.meshgrid(np.arange(45, dtype=np.uint64), np.arange(90, dtype=np.uint64)))
+    found = trie.successor_codes(trie.context_ranks(context), word) > 0
+    assert found.tolist() == [pair in have for pair in zip(context.tolist(), word.tolist(), strict=True)]
+
+
 def test_language_model_of_a_table_that_landed_twice(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(9))) for i in range(1, 30)], "doc_id long, text string").coalesce(1)
     once, twice = (language_model.lm_scores(d).collect() for d in (docs, docs.union(docs)))
