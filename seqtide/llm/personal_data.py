@@ -27,8 +27,12 @@ SHAPES = {
     "email": re.compile(r"[^\s@]+@[^\s@]+\Z"),
     "ip": re.compile(r"[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}\Z"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9]){11,18}\Z"),
-    "phone": re.compile(r"\(?[0-9](?:[().-]*[0-9]){6,14}\Z"),
+    "phone": re.compile(r"\(?[0-9](?:[ ().-]*[0-9]){6,14}\Z"),
 }
+#: Digits in groups; a group after the first has two digits or more, so that a lone number behind an identifier isn't part of it.
+GROUPS = re.compile(r"(?<![A-Za-z0-9_@+])\(?[0-9]+(?:[\x20().-]{1,3}[0-9]{2,})+(?![0-9])")
+#: A part without space that has this many digits is an identifier of its own.
+OWN_DIGITS = 9
 TOKEN = re.compile(r"[^\s\"'<>,;=]+")
 
 
@@ -76,8 +80,19 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def grouped(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of digits in groups with inner spaces that as a whole looks like a kind."""
+    for m in GROUPS.finditer(text):
+        run, after = m[0], text[m.end() : m.end() + 1]
+        if " " not in run or after in ("_", "@") or after.isalnum() or not any(SHAPES[k].match(run) for k in ("card", "phone")):
+            continue
+        if not any(SHAPES["ip"].match(part) or sum(map(str.isdigit, part)) >= OWN_DIGITS for part in run.split(" ")):
+            yield m.span()
+
+
 def occurrences(text: str | None) -> Iterator[tuple[str, str, str, int, int]]:
-    """(kind or "", instance, pattern, start, end) of each seed and of each other token that looks like a kind."""
+    """(kind or "", instance, pattern, start, end) of each seed, of each other run of groups of digits that looks like a
+    kind, and of each other token that does."""
     spans = seeds(text)
     for kind, a, b in spans:
         for p in contexts(text, a, b):
@@ -85,6 +100,11 @@ def occurrences(text: str | None) -> Iterator[tuple[str, str, str, int, int]]:
     if not text or not ANY.search(text):
         return
     taken = sorted((a, b) for _, a, b in spans)
+    runs = [(a, b) for a, b in grouped(text) if not any(s < b and a < e for s, e in taken)]
+    for a, b in runs:
+        for p in contexts(text, a, b):
+            yield "", text[a:b].lower(), p, a, b
+    taken += runs
     for m in TOKEN.finditer(text):
         token = m[0].rstrip(".:!?)")
         a, b = m.start(), m.start() + len(token)

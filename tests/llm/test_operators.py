@@ -242,6 +242,17 @@ def test_personal_data(spark, odd, nothing):
     assert got[99].spans == "phone:18:30" and got[99].n_phone == 0 and got[98].spans == "" and got[3].spans == "phone:18:35"
 
 
+def test_personal_data_in_groups(spark):
+    phones = ["020 7946 0958", "(555) 123-4567", "06 12 34 56 78", "1 800 555 1234"]
+    docs = [(i, f"please call me at +1 (237) 555-{i:04d} today") for i in range(30)] + [(100 + k, f"please call me at {x} today") for k, x in enumerate(phones)]
+    cards = [f"{4000 + i} 0000 0000 {k:04d}" for i in range(30) for k in range(9999) if personal_data.luhn(f"{4000 + i}00000000{k:04d}") and k > 1000][::900][:20]
+    docs += [(200 + k, f"charge it to card {x} now") for k, x in enumerate(cards)] + [(300, "charge it to card 4012 8888 8888 1882 now")]
+    docs += [(400, "please call me at 555-123-4567 2 times"), (401, "please call me at 555-123-4567 24 hours"), (402, "the part 020 7946 0999 is new"), (403, "please call me at 020 7946 0958abc today")]
+    got = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[100 + k] for k in range(len(phones))] == [f"phone:18:{18 + len(x)}" for x in phones]
+    assert got[300] == "card:18:37" and got[400] == got[401] == "phone:18:30" and got[402] == got[403] == ""
+
+
 def test_language_model(spark, tables, odd, nothing, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK_TOKENS", 20_000)
     monkeypatch.setattr(language_model, "SHARD_ENTRIES", 10_000)
