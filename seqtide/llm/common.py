@@ -57,6 +57,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def meet(rows: DataFrame, once: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``once``, which has each key once and, in column ``n``, how many rows of ``rows`` it meets.
+
+    Keys that meet more than a thousandth of all these rows are at most a thousand: they are broadcast, so that their
+    rows stay where they are. The others are joined by a shuffle in which no key weighs.
+    """
+    total = once.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * 1000 > F.lit(total)
+    common = F.broadcast(once.where(hot).drop(n))
+    rare = once.where(~hot).drop(n).hint("shuffle_merge")
+    return rows.join(common, key).unionByName(rows.join(F.broadcast(once.where(hot).select(key)), key, "left_anti").join(rare, key))
+
+
 def word_list(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
