@@ -453,7 +453,7 @@ def _(spark, sf):
 
 @query("a34_h07_significant_share")
 def _(spark, sf):
-    return pr.significant_share(pr.streak_zone_report(tl.timeline(spark, sf), 10_000))
+    return pr.report_share(pr.streak_zone_report(tl.timeline(spark, sf), 10_000))
 
 
 @query("g06_contingency", f"WITH {Q.tl()}, {Q.streaks()}, {SZ} SELECT streak, zone, count(*) AS cell FROM sz GROUP BY 1, 2")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqtide.functions import tails
 from seqtide.operators.ranks import add_rank_columns, add_ranks, value_counts
+from seqtide.session import cut_lineage
 
 ONE = "__all"
 
@@ -130,14 +131,33 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str)
     return out.withColumn("r_partial", partial).drop(*([ONE] if not keys else []))
 
 
-def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: int = 1) -> DataFrame:
+def cell_table(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
+    """Rows per (key, group, value): keys, group, ``__v``, ``w``; written once.
+
+    Ranks, medians, group sizes and sums of a rank test all come from it, so the log behind ``df`` is read once
+    however many of them a test joins. It has as many rows as there are distinct values in the groups.
+    """
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
+    return cut_lineage(rows.groupBy(*keys, group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("w")))
+
+
+def large_groups(cells: DataFrame, keys: Sequence[str], group: str, min_n: int | Column) -> DataFrame:
+    """Cells of the groups with at least ``min_n`` values (a number, or a column over the keys)."""
+    if isinstance(min_n, int) and min_n <= 1:
+        return cells
+    sizes = cells.groupBy(*keys, group).agg(F.sum("w").alias("__gn"))
+    return cells.join(sizes.filter(F.col("__gn") >= min_n).drop("__gn"), [*keys, group], "left_semi")
+
+
+def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: int | Column = 1) -> DataFrame:
     """Kruskal-Wallis H, tie corrected. Groups under ``min_n`` values are left out."""
     df, k = _keyed(df, keys)
-    df = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    if min_n > 1:
-        kept = df.groupBy(*k, group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_n)
-        df = df.join(kept.drop("__n"), [*k, group], "left_semi")
-    cells = df.withColumn("__v", F.col(value).cast("double")).groupBy(*k, group, "__v").agg(F.count(F.lit(1)).alias("w"))
+    return kruskal_of_cells(cell_table(df, k, group, value), k, group, min_n).select(*keys, "groups", "n", "h", "p")
+
+
+def kruskal_of_cells(cells: DataFrame, k: Sequence[str], group: str, min_n: int | Column = 1) -> DataFrame:
+    """``kruskal`` from a ``cell_table``."""
+    cells = large_groups(cells, k, group, min_n)
     values = add_ranks(cells.groupBy(*k, "__v").agg(F.sum("w").alias("__n")), k, F.col("__n"))
     ranked = cells.join(values.select(*k, "__v", "avg_rank"), [*k, "__v"])
     groups = ranked.groupBy(*k, group).agg(F.sum("w").alias("__gn"), F.sum(F.col("w") * F.col("avg_rank")).alias("__r"))
@@ -145,22 +165,19 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: i
     tied = values.groupBy(*k).agg(F.sum(t * t * t - t).alias("__t"))
     out = groups.groupBy(*k).agg(
         F.count(F.lit(1)).alias("groups"), F.sum("__gn").alias("n"), F.sum(F.col("__r") * F.col("__r") / F.col("__gn")).alias("__s")
-    ).join(tied, k)
+    ).join(tied, list(k))
     n = F.col("n").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("__s") - 3 * (n + 1)
     out = out.withColumn("h", F.try_divide(h, 1 - F.col("__t") / (n * n * n - n))).filter(F.col("groups") > 1)
-    return out.withColumn("p", tails.chi2_p(F.col("h"), F.col("groups") - 1)).select(*keys, "groups", "n", "h", "p")
+    return out.withColumn("p", tails.chi2_p(F.col("h"), F.col("groups") - 1)).select(*k, "groups", "n", "h", "p")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per key from cumulative counts (no value list is built)."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    ranked = add_ranks(counts, keys, F.col("__n"))
+def exact_median(counts: DataFrame, keys: Sequence[str], name: str = "median") -> DataFrame:
+    """Exact median per key of values ``__v`` that occur ``w`` times, from cumulative counts (no value list is built)."""
+    ranked = add_ranks(counts.withColumnRenamed("w", "__n"), keys, F.col("__n"))
     low = F.col("avg_rank") - (F.col("ties") - 1) / 2
     high = F.col("avg_rank") + (F.col("ties") - 1) / 2
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__all_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("w").alias("__all_n"))
     left = F.floor((F.col("__all_n") + 1) / 2)
     right = F.floor((F.col("__all_n") + 2) / 2)
     return ranked.join(sizes, list(keys)).groupBy(*keys).agg(
@@ -174,16 +191,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     )
 
 
-def levene(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: int = 1) -> DataFrame:
+def levene(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: int | Column = 1) -> DataFrame:
     """Brown-Forsythe form of Levene's test (distance from the group median)."""
     df, k = _keyed(df, keys)
-    df = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    cells = df.groupBy(*k, group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("w"))
-    sizes = cells.groupBy(*k, group).agg(F.sum("w").alias("__gn")).filter(F.col("__gn") >= min_n)
-    medians = exact_median(df, [*k, group], value, "__med").join(sizes, [*k, group])
+    return levene_of_cells(cell_table(df, k, group, value), k, group, min_n).select(*keys, "groups", "n", "w", "p")
+
+
+def levene_of_cells(cells: DataFrame, k: Sequence[str], group: str, min_n: int | Column = 1) -> DataFrame:
+    """``levene`` from a ``cell_table``."""
+    cells = large_groups(cells, k, group, min_n)
+    medians = exact_median(cells, [*k, group], "__med")
     z = F.abs(F.col("__v") - F.col("__med"))
     groups = cells.join(medians, [*k, group]).groupBy(*k, group).agg(
-        F.first("__gn").alias("__gn"), F.sum(F.col("w") * z).alias("__z"), F.sum(F.col("w") * z * z).alias("__zz")
+        F.sum("w").alias("__gn"), F.sum(F.col("w") * z).alias("__z"), F.sum(F.col("w") * z * z).alias("__zz")
     )
     out = groups.groupBy(*k).agg(
         F.count(F.lit(1)).alias("groups"),
@@ -196,7 +216,7 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str, min_n: in
     between = F.col("__bz") - F.col("__sz") * F.col("__sz") / F.col("n")
     within = F.col("__szz") - F.col("__bz")
     out = out.withColumn("w", F.try_divide(d2 * between, d1 * within))
-    return out.withColumn("p", tails.f_p(F.col("w"), d1, d2)).select(*keys, "groups", "n", "w", "p")
+    return out.withColumn("p", tails.f_p(F.col("w"), d1, d2)).select(*k, "groups", "n", "w", "p")
 
 
 def wilcoxon(
@@ -310,15 +330,17 @@ def with_margins(cells: DataFrame, keys: Sequence[str], a: str, b: str) -> DataF
 def chi_square(cells: DataFrame, keys: Sequence[str], a: str, b: str, yates: bool = True) -> DataFrame:
     """Chi-square independence test of a long contingency table.
 
-    Only observed cells are touched: an empty cell adds its expected count, so the statistic
-    is the sum of cell^2 / expected minus n. With one degree of freedom the Yates correction
+    Only observed cells are touched: they add (cell - expected)^2 / expected, and the empty ones
+    together what is left of n beside the expected counts of the observed. With one degree of freedom the Yates correction
     applies unless switched off. ``low_expected``: some cell expects fewer than 5.
     """
     cells, k = _keyed(cells, keys)
     full = with_margins(cells, k, a, b)
     square = full.groupBy(*k).agg(
         F.first("total").alias("n"),
-        F.sum(F.col("cell").cast("double") * F.col("cell") / F.col("expected")).alias("__s"),
+        F.sum(F.pow(F.col("cell") - F.col("expected"), 2) / F.col("expected")).alias("__s"),
+        F.sum("expected").alias("__e"),
+        F.count(F.lit(1)).alias("__cells"),
         F.first(F.abs(F.col("cell") - F.col("expected"))).alias("__d"),
     )
 
@@ -337,7 +359,8 @@ def chi_square(cells: DataFrame, keys: Sequence[str], a: str, b: str, yates: boo
     short = F.greatest(F.lit(0.0), F.col("__d") - 0.5)
     corrected = short * short * n * n * n / product
     dof = (F.col("rows") - 1) * (F.col("cols") - 1)
-    plain = F.greatest(F.lit(0.0), F.col("__s") - n)
+    empty = F.when(F.col("__cells") < F.col("rows") * F.col("cols"), F.greatest(F.lit(0.0), n - F.col("__e"))).otherwise(0.0)
+    plain = F.col("__s") + empty
     chi2 = F.when(dof == 1, corrected).otherwise(plain) if yates else plain
     out = out.withColumn("dof", dof).filter("dof > 0").withColumn("chi2", chi2)
     out = out.withColumn("min_expected", F.col("__rows_min").cast("double") * F.col("__cols_min") / n)

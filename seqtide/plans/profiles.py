@@ -390,7 +390,7 @@ def streak_zone_report(seq: Seq, reps: int | None = None) -> DataFrame:
     return out.withColumn("critical", critical).withColumn("exceeds", (F.col("chi2") > critical).cast("int")).withColumn("significant", (F.col("p") < 0.05).cast("int"))
 
 
-def significant_share(report: DataFrame) -> DataFrame:
+def report_share(report: DataFrame) -> DataFrame:
     """How many entities there are, and the share of significant ones by critical value and by p: one row."""
     return report.agg(F.count(F.lit(1)).alias("entities"), F.avg("exceeds").alias("share_exceeding"), F.avg("significant").alias("share_significant"))
 

@@ -396,19 +396,19 @@ def confounding_correlations(rows: DataFrame, min_n: int = 11) -> DataFrame:
 
 
 def confounding_kruskal(rows: DataFrame, width: int = 500, min_bucket: int = 50) -> DataFrame:
-    """Within rating buckets: do levels and metric differ by time slot or by archetype?"""
-    keyed = rows.withColumn("bucket", bucket("rating_before", width))
-    kept = keyed.groupBy("bucket").count().filter(F.col("count") >= min_bucket).select("bucket")
-    keyed = keyed.join(kept, "bucket", "left_semi")
-    slot = day_slot("hour", 6).cast("string")
-
-    def test(group: Column, values: dict[str, Column], axis: str, min_n: int) -> DataFrame:
-        long = measures(keyed.withColumn("grp", group), ["bucket", "grp"], {k: F.round(v, 9) for k, v in values.items()})
-        return hy.kruskal(long, ["bucket", "measure"], "grp", "value", min_n).withColumn("axis", F.lit(axis))
+    """Within rating buckets: do levels and metric differ by time slot or by archetype?
 
-    by_slot = test(slot, {"opp_level": F.col("opp_level"), "metric2": F.col("metric2")}, "slot", 6)
-    by_arch = test(F.col("arch"), {"opp_level": F.col("opp_level"), "metric2": F.col("metric2"), "own_level": F.col("own_level")}, "arch", 10)
-    return by_slot.unionByName(by_arch)
+    One pass makes the cells of all tests, and, as a measure of their own, the rows of each bucket.
+    """
+    slot = day_slot("hour", 6).cast("string")
+    tests = [("slot", slot, c) for c in ("opp_level", "metric2")] + [("arch", F.col("arch"), c) for c in ("opp_level", "metric2", "own_level")]
+    one = lambda axis, grp, measure, v: F.struct(F.lit(axis).alias("axis"), grp.alias("grp"), F.lit(measure).alias("measure"), v.cast("double").alias("value"))
+    parts = [one("all", F.lit("all"), "rows", F.lit(0)), *[one(axis, grp, c, F.round(F.col(c), 9)) for axis, grp, c in tests]]
+    long = rows.select(bucket("rating_before", width).alias("bucket"), F.explode(F.array(*parts)).alias("t")).select("bucket", "t.*")
+    cells = hy.cell_table(long, ["bucket", "axis", "measure"], "grp", "value")
+    kept = cells.filter("axis = 'all'").groupBy("bucket").agg(F.sum("w").alias("rows")).filter(F.col("rows") >= min_bucket).select("bucket")
+    wanted = cells.filter("axis != 'all'").join(kept, "bucket", "left_semi")
+    return hy.kruskal_of_cells(wanted, ["bucket", "axis", "measure"], "grp", F.when(F.col("axis") == "slot", 6).otherwise(10))
 
 
 # --- streaks by time slot and deck (early form) ----------------------------------------

@@ -66,12 +66,13 @@ def with_hour(seq: Seq, regions: DataFrame) -> DataFrame:
 
 
 def time_rows(rows: DataFrame, width: int = 1000) -> DataFrame:
-    """Long form by local 6-hour slot and by rating bucket."""
+    """Long form by local 6-hour slot and by rating bucket, from one pass over the rows."""
     values = {c: F.col(c) for c in ("metric", "metric2", "level")}
-    by_slot = measures(rows.withColumn("grp", named_slot("hour")), ["grp"], values).withColumn("axis", F.lit("slot"))
-    rated = rows.filter("rating_before IS NOT NULL AND rating_before <> 0").withColumn("grp", bucket("rating_before", width).cast("string"))
-    by_rating = measures(rated, ["grp"], values).withColumn("axis", F.lit("rating"))
-    return by_slot.unionByName(by_rating).filter("value IS NOT NULL")
+    rated = F.col("rating_before").isNotNull() & (F.col("rating_before") != 0)
+    by_rating = F.when(rated, F.struct(F.lit("rating").alias("axis"), bucket("rating_before", width).cast("string").alias("grp")))
+    axes = F.array_compact(F.array(F.struct(F.lit("slot").alias("axis"), named_slot("hour").alias("grp")), by_rating))
+    keyed = rows.select(*values, F.explode(axes).alias("a")).select(*values, "a.*")
+    return measures(keyed, ["axis", "grp"], values).filter("value IS NOT NULL")
 
 
 def time_stats(rows: DataFrame, min_n: int = 20) -> DataFrame:
@@ -81,17 +82,16 @@ def time_stats(rows: DataFrame, min_n: int = 20) -> DataFrame:
     return out.withColumn("variance", F.col("sd") * F.col("sd")).filter((F.col("axis") == "slot") | (F.col("n") >= min_n))
 
 
-def _enough(rows: DataFrame, min_n: int) -> DataFrame:
-    kept = rows.groupBy("axis", "measure", "grp").count().filter((F.col("axis") == "slot") | (F.col("count") >= min_n))
-    return rows.join(kept.drop("count"), ["axis", "measure", "grp"], "left_semi")
+def _enough(min_n: int) -> Column:
+    return F.when(F.col("axis") == "slot", 1).otherwise(min_n)
 
 
 def time_kruskal(rows: DataFrame, min_n: int = 20) -> DataFrame:
-    return hy.kruskal(_enough(rows, min_n), ["axis", "measure"], "grp", "value")
+    return hy.kruskal(rows, ["axis", "measure"], "grp", "value", _enough(min_n))
 
 
 def time_levene(rows: DataFrame, min_n: int = 20) -> DataFrame:
-    return hy.levene(_enough(rows, min_n), ["axis", "measure"], "grp", "value")
+    return hy.levene(rows, ["axis", "measure"], "grp", "value", _enough(min_n))
 
 
 def metric_against_second(seq: Seq) -> DataFrame:
