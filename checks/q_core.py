@@ -432,6 +432,18 @@ def _(spark, sf):
     return pr.odds_correlation(odds, profile_)
 
 
+@query(
+    "a33_h04_odds_correlation_permuted",
+    f"""{OP}, tp AS (SELECT kind, coalesce(max(odds) FILTER (NOT isinf(odds)), 10) AS top FROM od WHERE odds IS NOT NULL GROUP BY 1),
+    oc AS (SELECT kind, trait, entity, CASE WHEN isinf(odds) THEN top * 1.5 ELSE odds END AS o, CASE trait WHEN 'fsi' THEN fsi ELSE ers END AS v
+      FROM od JOIN tp USING (kind) JOIN pf USING (entity), (SELECT unnest(['fsi', 'ers']) AS trait) WHERE odds IS NOT NULL)
+    SELECT s.*, q.reps, q.extreme, q.p AS perm_p FROM ({Q.spearman('oc', ['kind', 'trait'], 'o', 'v', 3)}) s LEFT JOIN {Q.permutation('oc', ['kind', 'trait'], 'o', 'v', 'entity', 10_000, min_n=3)} q USING (kind, trait)""",
+)
+def _(spark, sf):
+    _, odds, profile_ = odds_and_profile(spark, sf)
+    return pr.odds_correlation(odds, profile_, reps=10_000)
+
+
 SZ = """sz AS (SELECT entity, CASE WHEN streak_before >= 3 THEN 'Win_Streak' WHEN streak_before <= -3 THEN 'Lose_Streak' ELSE 'No_Streak' END AS streak,
 CASE WHEN metric < 45 THEN 'Unfavorable' WHEN metric > 55 THEN 'Favorable' ELSE 'Even' END AS zone FROM sk WHERE metric IS NOT NULL)"""
 

@@ -11,6 +11,7 @@ from checks.registry import query
 from seqtide.functions.scalar import is_finite
 from seqtide.operators import baskets as bs
 from seqtide.operators import hypothesis as hy
+from seqtide.operators import permutation as pm
 from seqtide.operators import resample as rs
 from seqtide.plans import sets as st
 from seqtide.plans import swaps as sw
@@ -410,18 +411,11 @@ def _(spark, sf):
 OPJ = f"""WITH {PF}, {ODDS}, oj AS (SELECT entity, odds AS x, ers AS y FROM od JOIN pf USING (entity) WHERE kind = 'pity' AND odds IS NOT NULL AND NOT isinf(odds))"""
 
 
-@query(
-    "h04_permutation_spearman",
-    f"""{OPJ}, rk AS (SELECT entity, row_number() OVER (ORDER BY entity) AS place, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM oj),
-    cp AS (SELECT rep, entity, ry, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || entity), entity) AS place FROM rk, range(1, 101) AS t(rep)),
-    sm AS (SELECT rep, sum(rx * cp.ry) AS s FROM cp JOIN rk USING (place) GROUP BY 1), tt AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(rx * ry) AS o, sum(rx * rx) AS xx, sum(ry * ry) AS yy FROM rk),
-    ux AS (SELECT *, n * power((n + 1) / 2, 2) AS mid FROM tt)
-    SELECT {Q.i('any_value(n)')} AS n, count(*) AS reps, {Q.r('any_value((o - mid) / sqrt((xx - mid) * (yy - mid)))')} AS rho, count(*) FILTER (abs(s - mid) >= abs(o - mid) - 1e-6) AS extreme, {Q.r('count(*) FILTER (abs(s - mid) >= abs(o - mid) - 1e-6) / count(*)')} AS p FROM sm, ux""",
-)
+@query("h04_permutation_spearman", f"{OPJ} SELECT * FROM {Q.permutation('oj', [], 'x', 'y', 'entity', 10_000)}")
 def _(spark, sf):
     _, odds, profile = odds_and_profile(spark, sf)
     joined = odds.filter((F.col("kind") == "pity") & is_finite("odds")).join(profile.select("entity", "ers"), "entity")
-    return rs.permutation_spearman(joined.select("entity", "odds", "ers"), "odds", "ers", "entity", 100)
+    return pm.permutation_spearman(joined.select("entity", "odds", "ers"), [], "odds", "ers", "entity", 10_000)
 
 
 @query("h03_partial_spearman", f"""WITH {PF}, rk AS (SELECT rank() OVER (ORDER BY fsi) + (count(*) OVER (PARTITION BY fsi) - 1) / 2.0 AS rx, rank() OVER (ORDER BY avg_metric) + (count(*) OVER (PARTITION BY avg_metric) - 1) / 2.0 AS ry, rank() OVER (ORDER BY total_events) + (count(*) OVER (PARTITION BY total_events) - 1) / 2.0 AS rz FROM pf),

@@ -277,6 +277,40 @@ def spearman(source: str, keys: list[str], x: str, y: str, min_n: int = 2) -> st
   WHERE n >= {min_n}"""
 
 
+def permutation(source: str, keys: list[str], x: str, y: str, unique: str, reps: int, seed: int = 7, min_n: int = 2) -> str:
+    """Rank correlation and its share of ``reps`` keyed bijections that reach it, replicate by replicate."""
+    from seqtide.operators.permutation import PRIME, ROUNDS
+
+    k, part = "".join(f"{c}, " for c in keys), f"PARTITION BY {', '.join(keys)}" if keys else ""
+    pk, by = ", ".join(keys) + ", " if keys else "", f"GROUP BY {', '.join(keys)}" if keys else ""
+    join = f"USING ({', '.join(keys)})" if keys else "ON TRUE"
+
+    def mixed(c: str, key: str) -> str:
+        u = f"(({c} + {key}) % {PRIME})"
+        return f"((((({u} * {u}) % {PRIME}) * (({u} * {u}) % {PRIME})) % {PRIME}) * {u} % {PRIME})"
+
+    def once(rows: str) -> str:
+        out = f"SELECT * EXCLUDE (v), v // b AS l, v % b AS r FROM ({rows})"
+        for j in range(0, ROUNDS, 2):
+            out = f"SELECT * REPLACE ((l + {mixed('r', f'k{j}')}) % a AS l) FROM ({out})"
+            out = f"SELECT * REPLACE ((r + {mixed('l', f'k{j + 1}')}) % b AS r) FROM ({out})"
+        return f"SELECT * EXCLUDE (l, r), l * b + r AS v FROM ({out})"
+
+    round_keys = ", ".join(f"('0x' || substr(md5('{seed}|' || rep || '|{j}'), 1, 8))::BIGINT % {PRIME} AS k{j}" for j in range(ROUNDS))
+    cols = f"{k}rep, place, x, n, a, b, {', '.join(f'k{j}' for j in range(ROUNDS))}"
+    return f"""(WITH RECURSIVE pr AS (SELECT {k}{unique} AS u, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, count(*) OVER ({part}) AS n FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+  rr AS (SELECT {k}n, row_number() OVER ({part} ORDER BY u) - 1 AS place, CAST(2 * rank() OVER ({part} ORDER BY x) + count(*) OVER (PARTITION BY {pk}x) - n - 2 AS BIGINT) AS x,
+    CAST(2 * rank() OVER ({part} ORDER BY y) + count(*) OVER (PARTITION BY {pk}y) - n - 2 AS BIGINT) AS y, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM pr WHERE n >= {min_n}),
+  gr AS (SELECT *, (n + a - 1) // a AS b FROM rr),
+  ky AS (SELECT rep, {round_keys} FROM range(1, {reps + 1}) AS t(rep)),
+  st AS (SELECT {cols}, place AS v FROM gr, ky),
+  wk AS (SELECT {cols}, v FROM ({once('SELECT * FROM st')}) UNION ALL SELECT {cols}, v FROM ({once('SELECT * FROM wk WHERE v >= n')})),
+  sm AS (SELECT {k}rep, sum(wk.x * gr.y) AS s FROM wk JOIN (SELECT {k}place AS v, y FROM gr) gr USING ({k}v) WHERE v < n GROUP BY {k}rep),
+  ob AS (SELECT {k}count(*) AS n, sum(x * y) AS o, sum(x * x) AS xx, sum(y * y) AS yy FROM gr {by})
+  SELECT {k}{i('any_value(n)')} AS n, count(*) AS reps, {r('any_value(CASE WHEN xx > 0 AND yy > 0 THEN o / sqrt(CAST(xx AS DOUBLE) * yy) END)')} AS rho, count(*) FILTER (abs(s) >= abs(o)) AS extreme,
+    {r('count(*) FILTER (abs(s) >= abs(o)) / count(*)')} AS p FROM sm JOIN ob {join} {by})"""
+
+
 def kruskal(source: str, keys: list[str], group: str, value: str, min_n: int = 1) -> str:
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     k = "".join(f"{c}, " for c in keys)

@@ -1,4 +1,4 @@
-"""Null models: exact shuffle expectations, Monte-Carlo chi-square, permutation tests, sampling."""
+"""Null models: exact shuffle expectations, Monte-Carlo chi-square, sampling."""
 
 from __future__ import annotations
 
@@ -6,15 +6,13 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from seqtide.operators import hypothesis as hy
 from seqtide.operators import sequence as sq
-from seqtide.operators.ordered import Seq, ordered
-from seqtide.operators.ranks import add_rank_columns
-from seqtide.session import cut_lineage
+from seqtide.operators.ordered import Seq
 
 
 def falling(x: Column, n: int) -> Column:
@@ -152,48 +150,6 @@ def chi_square_mc(
     return out.withColumn("monte_carlo", F.col("__mc").isNotNull()).withColumn("p", F.coalesce("__mc", "p")).drop("__mc")
 
 
-def random_order(df: DataFrame, keys: Sequence[str], text: Column, tie: Sequence[str], name: str = "place") -> DataFrame:
-    """Pseudo-random position inside the key: the order of md5(text).
-
-    Counted in two levels over the leading hex digits, which are uniform, so that a large
-    key is numbered by many tasks.
-    """
-    hashed = df.withColumn("__md5", F.md5(text)).withColumn("__pre", F.substring("__md5", 1, 3))
-    w = Window.partitionBy(*keys, "__pre").orderBy("__md5", *tie)
-    sizes = hashed.groupBy(*keys, "__pre").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*keys).orderBy("__pre").rowsBetween(Window.unboundedPreceding, -1)
-    skips = sizes.select(*keys, "__pre", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skip"))
-    out = hashed.withColumn("__row", F.row_number().over(w)).join(skips, [*keys, "__pre"])
-    return out.withColumn(name, F.col("__row") + F.col("__skip")).drop("__md5", "__pre", "__row", "__skip")
-
-
-def permutation_spearman(df: DataFrame, x: str, y: str, unique: str, reps: int = 200) -> DataFrame:
-    """Share of random pairings whose |rho| reaches the observed one.
-
-    The ranks do not change under a permutation, so each replicate only re-pairs two rank
-    columns: rows x replicates are shuffled once and reduced to one sum per replicate.
-    """
-    pairs = df.select(F.lit(0).alias("__one"), unique, F.col(x).alias("__x"), F.col(y).alias("__y")).filter("__x is not null and __y is not null")
-    ranked = add_rank_columns(pairs, ["__one"], {"__x": "rx", "__y": "ry"})
-    base = cut_lineage(ordered(ranked, "__one", unique, slab=1e6).number("place").frame)
-    total = base.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("__obs"), F.sum(F.col("rx") ** 2).alias("__xx"), F.sum(F.col("ry") ** 2).alias("__yy")
-    )
-    copies = base.select(unique, "ry").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    shuffled = random_order(copies, ["rep"], F.concat_ws("|", F.col("rep").cast("string"), F.col(unique).cast("string")), [unique])
-    sums = shuffled.select("rep", "place", "ry").join(base.select("place", "rx"), "place").groupBy("rep").agg(F.sum(F.col("rx") * F.col("ry")).alias("__s"))
-    mid = F.col("n") * ((F.col("n") + 1) / 2) ** 2
-    reached = F.abs(F.col("__s") - mid) >= F.abs(F.col("__obs") - mid) - 1e-6
-    # ``total`` is one row.
-    out = sums.crossJoin(F.broadcast(total)).agg(
-        F.first("n").alias("n"),
-        F.count(F.lit(1)).alias("reps"),
-        F.first((F.col("__obs") - mid) / F.sqrt((F.col("__xx") - mid) * (F.col("__yy") - mid))).alias("rho"),
-        F.count_if(reached).alias("extreme"),
-    )
-    return out.withColumn("p", F.col("extreme") / F.col("reps"))
-
-
 def hash_sample(df: DataFrame, unique: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Reproducible sample of ``n`` rows: the first by md5(seed | id)."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in unique])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqtide.functions.scalar import is_finite, report_round, streak_category, zone
 from seqtide.operators import hypothesis as hy
+from seqtide.operators import permutation as pm
 from seqtide.operators import resample as rs
 from seqtide.operators import sequence as sq
 from seqtide.operators.ordered import Seq, ordered
@@ -245,20 +246,21 @@ def finite_odds(odds: DataFrame) -> DataFrame:
     ).drop("__top")
 
 
-def odds_correlation(odds: DataFrame, profile: DataFrame) -> DataFrame:
-    """Spearman of the odds with fsi and with ers, per kind."""
+def odds_against_traits(odds: DataFrame, profile: DataFrame) -> DataFrame:
+    """Long form: kind, trait (fsi or ers), entity, odds (finite), v."""
     joined = cut_lineage(finite_odds(odds).join(profile.select("entity", "fsi", "ers"), "entity"))
-    long = joined.select(
-        "kind",
-        "odds",
-        F.explode(
-            F.array(
-                F.struct(F.lit("fsi").alias("trait"), F.col("fsi").alias("v")),
-                F.struct(F.lit("ers").alias("trait"), F.col("ers").alias("v")),
-            )
-        ).alias("t"),
-    ).select("kind", "odds", "t.trait", "t.v")
-    return hy.spearman(long, ["kind", "trait"], "odds", "v", min_n=3)
+    traits = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("v")) for t in ("fsi", "ers")])
+    return joined.select("kind", "entity", "odds", F.explode(traits).alias("t")).select("kind", "entity", "odds", "t.trait", "t.v")
+
+
+def odds_correlation(odds: DataFrame, profile: DataFrame, reps: int | None = None) -> DataFrame:
+    """Spearman of the odds with fsi and with ers, per kind; with ``reps`` also the permutation p of each (``perm_p``)."""
+    long = odds_against_traits(odds, profile)
+    out = hy.spearman(long, ["kind", "trait"], "odds", "v", min_n=3)
+    if not reps:
+        return out
+    shuffled = pm.permutation_spearman(long, ["kind", "trait"], "odds", "v", "entity", reps, min_n=3)
+    return out.join(shuffled.select("kind", "trait", "reps", "extreme", F.col("p").alias("perm_p")), ["kind", "trait"], "left")
 
 
 def median_split(df: DataFrame, by: str, tie: str, name: str = "half") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqtide.functions import tails
 from seqtide.operators import hypothesis as hy
+from seqtide.operators import permutation as pm
 from seqtide.operators import resample as rs
 from seqtide.operators.ordered import Seq, ordered
 from seqtide.operators.ranks import add_rank_columns
@@ -175,15 +176,54 @@ def test_monte_carlo_chi_square(spark):
     assert got["p"] == pytest.approx((reach + 1) / 2001, abs=0.05)
 
 
-def test_permutation_spearman_properties(spark):
-    rows = [(i, float(i), float((i * 7) % 20)) for i in range(20)]
-    df = spark.createDataFrame(rows, "id long, x double, y double")
-    r = one(rs.permutation_spearman(df, "x", "y", "id", 50))
-    assert r["reps"] == 50 and 0 <= r["p"] <= 1
-    same = one(rs.permutation_spearman(df, "x", "x", "id", 50))
+def test_keyed_bijections_are_permutations_and_spread_evenly():
+    for n in (1, 2, 3, 5, 16, 17, 100, 101, 997):
+        keys = pm.round_keys(7, range(60))
+        at = pm.images(np.arange(n), n, keys)
+        assert (np.sort(at, axis=1) == np.arange(n)).all()
+    n, reps = 13, 6000
+    at = pm.images(np.arange(n), n, pm.round_keys(3, range(reps)))
+    for pair in (at[:, 0] * n + at[:, 1], at[:, 5] * n + at[:, 12]):
+        seen = np.bincount(pair, minlength=n * n).reshape(n, n)
+        off = seen[~np.eye(n, dtype=bool)]
+        assert np.trace(seen) == 0 and ((off - reps / (n * (n - 1))) ** 2 / (reps / (n * (n - 1)))).sum() < 230  # 155 degrees of freedom
+
+
+def permuted_brute(x, y, reps, seed=7):
+    n = len(x)
+    rank = lambda v: np.array([2 * (sum(b < a for b in v) + 1) + sum(b == a for b in v) - 1 - (n + 1) for a in v], dtype=object)
+    rx, ry = rank(x), rank(y)
+    at = pm.images(np.arange(n), n, pm.round_keys(seed, range(1, reps + 1)))
+    return sum(abs((rx * ry[a]).sum()) >= abs((rx * ry).sum()) for a in at)
+
+
+def test_permutation_p_per_key_in_blocks_of_any_size(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    rows = [(k, i, float(rng.randint(9)), float(rng.randint(9)) + 0.05 * k * i) for k in (0, 1) for i in range(70 - 40 * k)] + [(2, 0, 1.0, 1.0), (2, 1, 1.0, 2.0), (0, 99, None, 1.0), (None, 1, 3.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, id int, x double, y double").filter("k is not null")
+    whole = {r.k: r for r in pm.permutation_spearman(df, ["k"], "x", "y", "id", 1000).collect()}
+    for k in (0, 1):
+        x, y = zip(*[(r[2], r[3]) for r in rows if r[0] == k and r[2] is not None], strict=True)
+        assert (whole[k].n, whole[k].reps, whole[k].extreme) == (len(x), 1000, permuted_brute(x, y, 1000))
+        assert abs(whole[k].rho - scipy_free_rho(x, y)) < 1e-12
+    assert whole[2].rho is None and whole[2].p == 1.0
+    monkeypatch.setattr(pm, "X_BLOCK", 16)
+    monkeypatch.setattr(pm, "Y_BLOCK", 23)
+    monkeypatch.setattr(pm, "STEP", 100)
+    assert {r.k: r for r in pm.permutation_spearman(df, ["k"], "x", "y", "id", 1000).collect()} == whole
+
+
+def scipy_free_rho(x, y):
+    rank = lambda v: np.array([sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v])
+    return np.corrcoef(rank(x), rank(y))[0, 1]
+
+
+def test_permutation_of_equal_and_unrelated_columns(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 97 as double) as x", "cast(id * 7 % 1009 as double) as y")
+    far, same = one(pm.permutation_spearman(df, [], "x", "y", "id", 2000)), one(pm.permutation_spearman(df, [], "x", "x", "id", 500))
+    assert far["n"] == 3000 and far["reps"] == 2000 and far["p"] > 0.01
     assert same["rho"] == pytest.approx(1.0) and same["extreme"] == 0
 
-
 def test_seq_is_a_value():
     assert Seq.__dataclass_params__.frozen
 
