@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from checks import sql as Q
 from checks.q_sets import arch_timeline
@@ -22,7 +23,8 @@ from seqtide.sources import ingest as ig
 from seqtide.sources import quality as ql
 from seqtide.sources import reports as rp
 from seqtide.sources import tables
-from seqtide.streaming import jobs
+from seqtide.streaming import fold, jobs
+from seqtide.streaming import versioned as vt
 
 EV = f"WITH {Q.EV}"
 T = f"WITH {Q.tl()}"
@@ -601,31 +603,141 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/events").select(*columns, F.lit(0).alias("late")).union(spark.read.parquet(f"{base}/late").select(*columns, F.lit(1).alias("late")))
 
 
+def thirds(spark, sf, columns) -> tuple[DataFrame, list[DataFrame], int]:
+    """Events in three batches by time; every fiftieth comes with the last one, however old. Each batch repeats some rows of the one before."""
+    ev = tables.events(spark, sf).select(*columns)
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    dealt = ev.withColumn("batch", F.when(F.col("event_id") % 50 == 7, 2).otherwise(F.least(F.lit(2), F.floor((F.col("ts") - lo) * 3 / (hi - lo + 1)).cast("int"))))
+    again = [(F.col("batch") == k - 1) & (F.col("event_id") % 10 == 3) & (F.col("ts") >= lo + (hi - lo) * k // 3 - 3600) for k in range(3)]
+    return ev, [dealt.filter((F.col("batch") == k) | again[k]).select(*columns) for k in range(3)], hi
+
+
+THIRDS = f"""{Q.EV.replace("ev AS (", "ev0 AS (", 1)}, tb AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 2 ELSE least(2, (ts - min(ts) OVER ()) * 3 // (max(ts) OVER () - min(ts) OVER () + 1)) END AS batch FROM ev0),
+tm AS (SELECT max(ts) AS mark FROM tb WHERE batch < 2), td AS (SELECT tb.*, batch = 2 AND ts < mark - 86400 AS late FROM tb, tm), ev AS (SELECT * EXCLUDE (batch, late) FROM td WHERE NOT late)"""
+
+
+def appended(spark, sf, columns, job) -> tuple[DataFrame, DataFrame]:
+    """What ``job`` appends over the intake of three batches and a closing row, and the rows that were late for it."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/append-{uuid.uuid4().hex}"
+    ev, batches, hi = thirds(spark, sf, columns)
+    schema = ev.withColumn("log", F.lit(0)).schema
+    stored = StructType([*schema.fields, StructField("epoch", LongType()), StructField("day", LongType())])
+    sink = jobs.intake_sink(f"{base}/events", f"{base}/late", "log", schema)
+    for k, batch in enumerate(batches):
+        rows = batch.withColumn("log", F.lit(0))
+        rows = rows.union(jobs.closing_row(spark, schema, hi + 60 * 86400)) if k == 2 else rows
+        rows.write.parquet(f"{base}/landed/b{k}")
+        jobs.start(jobs.read_landed(spark, f"{base}/landed/*", schema), sink, f"{base}/checkpoint-intake").awaitTermination()
+        stream = jobs.read_landed(spark, f"{base}/events", stored, files_per_batch=1_000_000)
+        jobs.start(job(stream), jobs.epoch_sink(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    sink(spark.read.parquet(f"{base}/landed/b1"), 1)
+    return spark.read.parquet(f"{base}/out").drop("epoch"), spark.read.schema(schema).parquet(f"{base}/late")
+
+
+LATEST = "max(struct_pack(a := ts, b := event_id, w := win, l := level, m := metric))"
+
+
 @query("st02_streaming_upsert", f"{EV}, l AS (SELECT entity, max(struct_pack(a := ts, b := event_id, w := win)) AS m FROM ev GROUP BY 1) SELECT entity, m.b AS event_id, m.a AS ts, {Q.i('m.w')} AS win FROM l")
 def _(spark, sf):
-    stream = stream_events(spark, sf).select("entity", "event_id", "ts", "win")
-    schema = stream.schema
-    return run(spark, stream, handle=lambda out: jobs.upsert_sink(out, ["entity"], schema, ["ts", "event_id"], 8))
+    """Three batches of whole rows into a versioned table; the second runs once more at the end."""
+    columns = ["entity", "event_id", "ts", "win"]
+    ev, batches, _ = thirds(spark, sf, columns)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    table = vt.Versioned(f"{base}/table", ("entity",), ev.schema, 8)
+    sink = table.sink(vt.replace_rows(["entity"], ["ts", "event_id"]))
+    for k, batch in enumerate(batches):
+        batch.write.parquet(f"{base}/landed/b{k}")
+        jobs.start(jobs.read_landed(spark, f"{base}/landed/*", ev.schema), sink, f"{base}/checkpoint").awaitTermination()
+    sink(batches[1], 1)
+    return table.read(spark)
 
 
-@query("st03_streaming_sessions", f"{T} SELECT entity, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM tl GROUP BY entity, session_no")
+@query(
+    "st02_partial_upsert",
+    f"""WITH {THIRDS}, a AS (SELECT entity, {LATEST} AS m FROM tb WHERE batch = 0 GROUP BY 1), b AS (SELECT entity, max(struct_pack(a := ts, b := event_id, l := level)) AS m FROM tb WHERE batch > 0 GROUP BY 1)
+    SELECT coalesce(a.entity, b.entity) AS entity, a.m.m AS metric, {Q.i('a.m.w')} AS win, CASE WHEN b.entity IS NULL THEN a.m.l ELSE b.m.l END AS level, CASE WHEN b.entity IS NULL THEN a.m.a ELSE b.m.a END AS last_updated
+    FROM a FULL JOIN b ON a.entity = b.entity""",
+)
 def _(spark, sf):
-    return run(spark, jobs.sessions(stream_events(spark, sf), 43200), "complete")
+    """Whole profiles from the first batch; the later ones set level and time alone, and one of them runs twice."""
+    columns = ["entity", "event_id", "ts", "win", "metric", "level"]
+    _, batches, _ = thirds(spark, sf, columns)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/partial-{uuid.uuid4().hex}"
+    rows = [b.select("entity", "metric", "win", "level", F.col("ts").alias("last_updated"), "event_id") for b in batches]
+    table = vt.Versioned(f"{base}/table", ("entity",), rows[0].drop("event_id").schema, 8)
+    order = ["last_updated", "event_id"]
+    table.apply(ig.latest(rows[0], ["entity"], order), vt.replace_rows(["entity"], ["last_updated"]), "profiles", 0)
+    sink = table.sink(vt.set_columns(["entity"], ["level", "last_updated"], order), "levels")
+    for k in (1, 2):
+        rows[k].write.parquet(f"{base}/landed/b{k}")
+        jobs.start(jobs.read_landed(spark, f"{base}/landed/*", rows[0].schema), sink, f"{base}/checkpoint").awaitTermination()
+    sink(rows[1], 0)
+    return table.read(spark)
 
 
-@query("st04_tumbling_day_parts", f"{EV} SELECT ts // 21600 * 21600 AS start_ts, mode, count(*) AS n, {Q.r('avg(metric)')} AS avg_metric FROM ev GROUP BY 1, 2")
+@query(
+    "st02_s17_deck_mart",
+    f"{EV} SELECT entity, deck, count(*) AS battles, {Q.i('sum(win)')} AS wins, {Q.r('sum(win) / count(*)')} AS confidence, max(ts) AS last_updated FROM ev WHERE deck IS NOT NULL GROUP BY 1, 2",
+)
 def _(spark, sf):
-    return run(spark, jobs.day_part_counts(stream_events(spark, sf)), "complete")
+    """Deltas of three batches added up in a mart; a batch that runs again adds nothing."""
+    columns = ["entity", "event_id", "ts", "win", "deck"]
+    ev = tables.events(spark, sf).select(*columns)
+    batches = [ev.filter(F.col("event_id") % 3 == k) for k in range(3)]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/mart-{uuid.uuid4().hex}"
+    schema = StructType([ev.schema["entity"], ev.schema["deck"], StructField("battles", LongType()), StructField("wins", LongType()), StructField("confidence", DoubleType()), StructField("last_updated", LongType())])
+    table = vt.Versioned(f"{base}/table", ("entity", "deck"), schema, 8)
+    merge = vt.add_counts(["entity", "deck"], {"battles": "1", "wins": "win"}, ("confidence", "wins", "battles"), "last_updated")
+    sink = table.sink(lambda stored, updates: merge(stored, updates.filter("deck is not null").withColumn("last_updated", F.col("ts"))))
+    for k, batch in enumerate(batches):
+        batch.write.parquet(f"{base}/landed/b{k}")
+        jobs.start(jobs.read_landed(spark, f"{base}/landed/*", ev.schema), sink, f"{base}/checkpoint").awaitTermination()
+        sink(batch, k)
+    return table.read(spark)
 
 
-@query("st05_sliding_week_rates", f"{EV}, x AS (SELECT entity, win, (ts // 86400 - d) * 86400 AS start_ts FROM ev, range(0, 7) AS t(d)) SELECT entity, start_ts, count(*) AS n, {Q.r('avg(win)')} AS win_rate FROM x GROUP BY 1, 2")
+@query(
+    "st03_streaming_sessions",
+    f"""WITH {THIRDS}, gs AS (SELECT entity, ts, sum(CASE WHEN g IS NULL OR g >= 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts, event_id) AS s FROM (SELECT entity, event_id, ts, ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS g FROM ev))
+    SELECT entity, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, CAST(0 AS BIGINT) AS late FROM gs GROUP BY entity, s UNION ALL SELECT entity, count(*), min(ts), max(ts), CAST(1 AS BIGINT) FROM td WHERE late GROUP BY 1""",
+)
+def _(spark, sf):
+    out, late = appended(spark, sf, ["entity", "event_id", "ts"], lambda stream: jobs.sessions(stream, 43200))
+    missed = late.groupBy("entity").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return out.withColumn("late", F.lit(0)).unionByName(missed.withColumn("late", F.lit(1)))
+
+
+@query(
+    "st04_tumbling_day_parts",
+    f"WITH {THIRDS} SELECT ts // 21600 * 21600 AS start_ts, mode, count(*) AS n, {Q.r('avg(metric)')} AS avg_metric, CAST(0 AS BIGINT) AS late FROM ev GROUP BY 1, 2 UNION ALL SELECT NULL, mode, count(*), NULL, CAST(1 AS BIGINT) FROM td WHERE late GROUP BY mode",
+)
 def _(spark, sf):
-    return run(spark, jobs.weekly_rates(stream_events(spark, sf)), "complete")
+    out, late = appended(spark, sf, ["entity", "event_id", "ts", "mode", "metric"], jobs.day_part_counts)
+    missed = late.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).selectExpr("cast(null as long) as start_ts", "mode", "n", "cast(null as double) as avg_metric")
+    return out.withColumn("late", F.lit(0)).unionByName(missed.withColumn("late", F.lit(1)))
+
+
+@query(
+    "st05_sliding_week_rates",
+    f"WITH {THIRDS}, x AS (SELECT entity, win, (ts // 86400 - d) * 86400 AS start_ts FROM ev, range(0, 7) AS t(d)) SELECT entity, start_ts, count(*) AS n, {Q.r('avg(win)')} AS win_rate, CAST(0 AS BIGINT) AS late FROM x GROUP BY 1, 2 UNION ALL SELECT entity, NULL, count(*), NULL, CAST(1 AS BIGINT) FROM td WHERE late GROUP BY 1",
+)
+def _(spark, sf):
+    out, late = appended(spark, sf, ["entity", "event_id", "ts", "win"], jobs.weekly_rates)
+    missed = late.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).selectExpr("entity", "cast(null as long) as start_ts", "n", "cast(null as double) as win_rate")
+    return out.withColumn("late", F.lit(0)).unionByName(missed.withColumn("late", F.lit(1)))
+
+
+ON_TIME = Q.tl().replace(Q.EV, THIRDS, 1)
 
 
 @query(
     "st06_stateful_fold",
-    f"""{T}, {Q.streaks()} SELECT entity, event_id, ts, {Q.i('win_streak - loss_streak')} AS streak, {Q.r('stress_after')} AS stress, {Q.r('max(metric) OVER (PARTITION BY entity ORDER BY ts, event_id)')} AS best, CASE WHEN loss_streak >= 2 AND stress_after >= 3 THEN 'quit risk' ELSE '' END AS alert FROM sk""",
+    f"""WITH {ON_TIME}, {Q.streaks()}, fo AS (SELECT entity, event_id, ts, {Q.i('win_streak - loss_streak')} AS streak, {Q.r('stress_after')} AS stress, {Q.r('max(metric) OVER (PARTITION BY entity ORDER BY ts, event_id)')} AS best, loss_streak >= 2 AND stress_after >= 3 AS risk, is_last FROM sk)
+    SELECT entity, event_id, ts, streak, stress, best, CASE WHEN risk THEN 'quit risk' ELSE '' END AS alert FROM fo UNION ALL SELECT entity, NULL, ts + 43200, streak, stress, best, 'quit' FROM fo WHERE risk AND is_last
+    UNION ALL SELECT entity, event_id, ts, NULL, NULL, NULL, 'late' FROM td WHERE late""",
 )
 def _(spark, sf):
-    return run(spark, jobs.entity_states(stream_events(spark, sf), 43200))
+    """Three batches in append mode, rows out of order within the delay; late rows are named as such."""
+    out, late = appended(spark, sf, ["entity", "event_id", "ts", "win", "metric"], lambda stream: fold.entity_states(stream, 43200, idle_s=400 * 86400))
+    missed = late.selectExpr("entity", "event_id", "ts", "cast(null as long) as streak", "cast(null as double) as stress", "cast(null as double) as best", "'late' as alert")
+    return out.unionByName(missed)

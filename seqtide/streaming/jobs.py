@@ -1,19 +1,20 @@
-"""Structured Streaming jobs: intake, upserts, sessions, windowed counts, stateful folds.
+"""Structured Streaming jobs: intake with a late-row table, sessions and windowed counts in append mode.
 
-Sinks are tables in a shared folder. Every batch writes under its own epoch or rewrites whole
-key buckets, so a batch that runs again after a failure leaves the same result.
+Sinks are tables in a shared folder. Every batch writes under its own epoch, so a batch that runs again after a failure
+leaves the same result. Tables updated by key are in ``versioned``, the stateful fold is in ``fold``.
+
+Sessions and windows keep state only until the watermark has passed them. They read the table that ``intake_sink``
+writes, which has put aside what the watermark would drop, so no row is lost without a trace.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seqtide.sources import ingest
 
@@ -100,25 +101,6 @@ def intake_sink(target: str, late: str, source: str, schema: T.StructType, key:
     return handle
 
 
-def upsert_sink(path: str, keys: Sequence[str], schema: T.StructType, order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """Replace rows by key in a table partitioned by key bucket.
-
-    Only buckets with updates are read and rewritten (dynamic partition overwrite).
-    """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        updates = batch.select(*schema.fieldNames()).withColumn("bucket", bucket)
-        touched = [r[0] for r in updates.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        stored = read_or_empty(spark, path, full).filter(F.col("bucket").isin(touched))
-        merged = ingest.upsert_replace(stored, updates, keys, order)
-        merged.repartition("bucket", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    return handle
-
-
 def sessions(events: DataFrame, gap_s: int = 1200, delay: str = DELAY) -> DataFrame:
     """Sessions per entity. ``session_window`` merges events exactly one gap apart; whole
     seconds and a gap one second shorter split them there."""
@@ -141,44 +123,8 @@ def weekly_rates(events: DataFrame, delay: str = DELAY) -> DataFrame:
     return out.select("entity", F.unix_timestamp("w.start").alias("start_ts"), "n", "win_rate")
 
 
-FOLD_OUT = "entity long, event_id long, ts long, streak long, stress double, best double, alert string"
-FOLD_STATE = "last_ts long, win_streak long, loss_streak long, stress double, best double"
-
-
-def fold_state(gap_s: int, alert_at: float):
-    """Streak, stress and best value per entity, carried over batches.
-
-    A batch holds at most what one trigger reads; its rows are put in time order per entity.
-    A gap of ``gap_s`` begins a new session. The alert fires while a losing run is on and the
-    stress is high.
-    """
-
-    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, wins, losses, stress, best = state.get if state.exists else (None, 0, 0, 0.0, None)
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event_id, ts, win, metric in rows[["event_id", "ts", "win", "metric"]].itertuples(index=False):
-            known = metric == metric and metric is not None
-            if last is not None and ts - last >= gap_s:
-                wins, losses, stress = 0, 0, 0.0
-            if win == 1:
-                wins, losses = wins + 1, 0
-                stress = max(0.0, stress - 2.0 * wins)
-            else:
-                wins, losses = 0, losses + 1
-                stress += 1.0 + (0.5 if known and metric < 45 else 0.0) + (0.5 if known and metric < 35 else 0.0)
-            if known:
-                best = metric if best is None else max(best, metric)
-            last = int(ts)
-            alert = "quit risk" if losses >= 2 and stress >= alert_at else ""
-            out.append((key[0], int(event_id), last, wins or -losses, stress, best, alert))
-        state.update((last, wins, losses, stress, best))
-        yield pd.DataFrame(out, columns=["entity", "event_id", "ts", "streak", "stress", "best", "alert"])
-
-    return fold
-
-
-def entity_states(events: DataFrame, gap_s: int = 1200, alert_at: float = 3.0) -> DataFrame:
-    return events.select("entity", "event_id", "ts", "win", "metric").groupBy("entity").applyInPandasWithState(
-        fold_state(gap_s, alert_at), FOLD_OUT, FOLD_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def closing_row(spark: SparkSession, schema: T.StructType, after: int, key: str = "entity") -> DataFrame:
+    """One row of no entity (``key`` -1) at time ``after``: it moves the watermark past all others, which closes their
+    windows in append mode, and its own never close."""
+    free = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    return spark.createDataFrame([tuple({key: -1, "ts": after}.get(c) for c in schema.fieldNames())], free)
