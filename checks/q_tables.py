@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from checks import q_core, q_outcomes, q_trends  # noqa: F401  their queries are reported here
 from checks import sql as Q
 from checks.q_sets import arch_timeline
 from checks.q_trends import regions
-from checks.registry import query
+from checks.registry import ORACLES, QUERIES, query
 from seqtide.functions import scalar as sc
 from seqtide.operators import baskets as bs
 from seqtide.operators import sequence as sq
@@ -150,27 +152,62 @@ def _(spark, sf):
 DUR = """concat_ws(', ', CASE WHEN {0} // 86400 > 0 THEN ({0} // 86400) || ' days' END, CASE WHEN {0} % 86400 // 3600 > 0 THEN ({0} % 86400 // 3600) || ' hours' END, CASE WHEN {0} % 3600 // 60 > 0 THEN ({0} % 3600 // 60) || ' minutes' END)"""
 
 
+def told(name: str, expr: str, digits: int, scale: int = 1, end: str = "") -> str:
+    """The SQL of one metric line."""
+    return f"'{name}: ' || printf('%.{digits}f', {Q.rd(f'{expr} * {scale}', digits)}) || '{end}'"
+
+
+SESSION_LINES = [f"'Events: ' || {Q.i('n_valid')}", *[told(*line) for line in rp.SESSION_METRICS]]
+GLOBAL_LINES = [told(name, f"avg({expr})", digits, scale, end) for name, expr, digits, scale, end in rp.GLOBAL_METRICS]
+
+
 @query(
     "s20_f04_session_log",
-    f"""{T}, ln AS (SELECT entity, session_no, rn * 2 AS line_no, '[' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') || '] ' || mode || ' vs ' || opponent || ' | ' || CASE WHEN win = 1 THEN 'WIN' ELSE 'LOSE' END || ' -> ' || score_for || '-' || score_against
+    f"""{T}, {Q.sessions()}, ln AS (SELECT entity, session_no, rn AS after, 0 AS line_no, '[' || strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') || '] ' || mode || ' vs ' || opponent || ' | ' || CASE WHEN win = 1 THEN 'WIN' ELSE 'LOSE' END || ' -> ' || score_for || '-' || score_against
       || CASE WHEN rating_after IS NOT NULL THEN ' | ' || rating_before || ' -> ' || rating_after || ' (' || CASE WHEN variation >= 0 THEN '+' ELSE '' END || variation || ')' ELSE '' END
       || CASE WHEN metric IS NOT NULL THEN ' | M: ' || printf('%.1f', CAST(round(CAST(metric AS DECIMAL(38, 9)), 1) AS DOUBLE)) || '%' ELSE ' | M: null' END || CASE WHEN metric2 IS NOT NULL THEN ' (M2: ' || printf('%.1f', metric2) || '%)' ELSE '' END
       || CASE WHEN level IS NOT NULL THEN ' - Lvl: ' || printf('%.1f', level) ELSE '' END AS line FROM tl
-    UNION ALL SELECT entity, session_no, rn * 2 + 1, '[STOP: ' || stop_type || ' (' || {DUR.format('break_s')} || ')]' FROM tl WHERE is_last AND stop_type <> 'End')
-    SELECT entity, session_no, line_no, line FROM ln""",
+    UNION ALL SELECT entity, session_no, NULL, k, ls[k] FROM (SELECT entity, session_no, [{', '.join(SESSION_LINES)}] AS ls FROM sm), range(1, {len(SESSION_LINES) + 1}) AS t(k)
+    UNION ALL SELECT entity, session_no, NULL, {len(SESSION_LINES) + 1}, '[STOP: ' || stop_type || ' (' || {DUR.format('break_s')} || ')]' FROM tl WHERE is_last AND stop_type <> 'End'
+    UNION ALL SELECT entity, NULL, NULL, k, ls[k] FROM (SELECT entity, ['All sessions: ' || count(*), {', '.join(GLOBAL_LINES)}] AS ls FROM sm GROUP BY 1), range(1, {len(GLOBAL_LINES) + 2}) AS t(k))
+    SELECT entity, session_no, {Q.i('after')} AS after, {Q.i('line_no')} AS line_no, line, 'r1' AS run FROM ln""",
 )
 def _(spark, sf):
-    return rp.session_log(tl.timeline(spark, sf).with_columns({"metric": sc.report_round(F.col("metric"), 1)}))
+    """The whole log written twice under one run id, and read back."""
+    log = rp.session_log(tl.timeline(spark, sf))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rp.write_session_log(log, path, "r1", 8)
+    return spark.read.parquet(path).drop("entity_bucket")
+
+
+REPORTED = {
+    "debt_extinction": ("a15_debt_extinction", "measure", "''", "n1 + n2", "u", "p"),
+    "fisher_streaks": ("a32_streak_odds_fisher", "kind", "CAST(entity AS VARCHAR)", "a + b + c + d", "odds", "p"),
+    "odds_correlation": ("a33_p14_odds_correlation", "kind", "trait", "n", "rho", "p"),
+    "streak_independence": ("a34_streak_zone_chi2", "''", "CAST(entity AS VARCHAR)", "n", "chi2", "p"),
+    "time_kruskal": ("a56_time_kruskal", "axis", "measure", "n", "h", "p"),
+}
 
 
 @query(
     "s21_p16_report_rows",
-    f"""{T}, f AS (SELECT measure, n1 + n2 AS n, u, p FROM (SELECT * FROM ({Q.mwu('lg', ['measure'], 'win', 'value', '1', '0', 'less', 10)}))), """.replace(f"{T}, f AS", f"{T}, lg AS (SELECT win, 'next_metric' AS measure, next_metric AS value FROM tl WHERE metric < 45 AND next_metric IS NOT NULL AND next_level IS NOT NULL AND next_metric2 IS NOT NULL), f AS")
-    + f"g AS (SELECT 1) SELECT 'debt_extinction' AS test, measure AS section, '' AS grp, n, u AS stat, p, CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict FROM f",
+    " UNION ALL ".join(
+        f"SELECT '{test}' AS test, {section} AS section, {grp} AS grp, CAST({n} AS BIGINT) AS n, CAST({stat} AS DOUBLE) AS stat, {p} AS p, CASE WHEN {p} < 0.05 THEN 'significant' WHEN {p} IS NOT NULL THEN 'not significant' END AS verdict, 'r1' AS run FROM ({ORACLES[name]}) r"
+        for test, (name, section, grp, n, stat, p) in REPORTED.items()
+    ),
 )
 def _(spark, sf):
-    out = oc.debt_extinction(tl.timeline(spark, sf)).filter("measure = 'next_metric'").withColumn("n", F.col("n1") + F.col("n2"))
-    return rp.report_rows(out, "debt_extinction", "n", "u", "p", section=F.col("measure"))
+    """Five families of tests in the common schema, written twice under one run id, and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    sql = lambda e: F.expr(e.replace("VARCHAR", "STRING"))
+    rows = [
+        rp.report_rows(QUERIES[name](spark, sf).withColumns({"__n": sql(n)}), test, "__n", stat, p, section=sql(section), grp=sql(grp))
+        for test, (name, section, grp, n, stat, p) in REPORTED.items()
+    ]
+    for _ in range(2):
+        rp.write_report(functools.reduce(DataFrame.unionByName, rows), path, "r1")
+    return spark.read.parquet(path)
 
 
 @query(
@@ -211,16 +248,21 @@ def _(spark, sf):
 @query(
     "q04_keys_and_references",
     f"""{EV} SELECT 'duplicate_line' AS rule, count(*) AS n FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
-    UNION ALL SELECT 'deck_without_lines', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'event_without_entity', count(*) FROM ev WHERE entity NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)""",
+    UNION ALL SELECT 'deck_without_lines', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) UNION ALL SELECT 'event_without_entity', count(*) FROM ev WHERE entity NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'customer_without_deck', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'event_without_deck', count(*) FROM ev WHERE deck NOT IN (SELECT o_orderkey FROM orders)""",
 )
 def _(spark, sf):
-    lines = tables.read(spark, sf, "lineitem")
-    dup = ql.duplicate_keys(lines, ["l_orderkey", "l_partkey"])
-    empty = ql.orphans(tables.decks(spark, sf), lines, "deck", "l_orderkey")
-    parents = tables.entities(spark, sf).filter("entity % 5 <> 0").withColumnRenamed("entity", "id")
-    lost = ql.orphans(tables.events(spark, sf), parents, "entity", "id")
-    parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, d in (("duplicate_line", dup), ("deck_without_lines", empty), ("event_without_entity", lost))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    lines, ev = tables.read(spark, sf, "lineitem"), tables.events(spark, sf)
+    people, orders = tables.read(spark, sf, "customer"), tables.read(spark, sf, "orders")
+    rules = {
+        "duplicate_line": ql.duplicate_keys(lines, ["l_orderkey", "l_partkey"]),
+        "deck_without_lines": ql.orphans(tables.decks(spark, sf), lines, "deck", "l_orderkey"),
+        "event_without_entity": ql.orphans(ev, people, "entity", "c_custkey"),
+        "customer_without_deck": ql.orphans(people, orders, "c_custkey", "o_custkey"),
+        "event_without_deck": ql.orphans(ev.filter("deck is not null"), orders, "deck", "o_orderkey"),
+    }
+    parts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, d in rules.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("q05_complete_sets", f"{EV}, ok AS (SELECT l_orderkey AS deck FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) = 4) SELECT event_id FROM ev WHERE deck IN (SELECT deck FROM ok) AND opp_deck IN (SELECT deck FROM ok)")
@@ -529,7 +571,7 @@ def _(spark, sf):
     r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<script\b.*?</script>', '', 'g'), '(?s)<style\b.*?</style>', '', 'g') AS h FROM pages)
     SELECT page_id, regexp_extract(h, '<title[^>]*>([^<]*)', 1) AS title, regexp_extract(h, '<html[^>]*\blang="([^"]*)', 1) AS lang, len(regexp_extract_all(h, '<h[123]\b')) AS headings, len(regexp_extract_all(h, '<a\b')) AS links,
     len(regexp_extract_all(h, '<[a-z]+[^>]*class="ad"[^>]*>')) AS ads, len(regexp_extract_all(h, '<p\b')) AS paragraphs,
-    CAST(coalesce(list_sum([len(trim(t)) for t in regexp_extract_all(h, '<p(?:\s[^>]*)?>([^<]*)', 1)]), 0) AS BIGINT) AS text_chars FROM h""",
+    CAST(coalesce(list_sum([len(trim(regexp_replace(regexp_replace(t, '(?s)</p>.*', ''), '<[^>]*>', '', 'g'))) for t in regexp_split_to_array(h, '<p(?:\s[^>]*)?>')[2:]]), 0) AS BIGINT) AS text_chars FROM h""",
 )
 def _(spark, sf):
     return ex.extract_pages(tables.read(spark, sf, "pages"), ["page_id"], "html", "outline")

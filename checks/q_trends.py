@@ -210,7 +210,17 @@ def _(spark, sf):
 def _(spark, sf):
     left = tables.read(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 20).alias("v"))
     marks = tables.read(spark, sf, "supplier").select("s_acctbal")
-    return bk.asof_threshold(left, "v", marks, "s_acctbal", "o_orderkey", "last", "last_mark").select("o_orderkey", "last_mark")
+    return bk.asof_threshold(left, "v", marks, "s_acctbal", "last", "last_mark").select("o_orderkey", "last_mark")
+
+
+@query(
+    "j06_asof_next",
+    f"{GK} SELECT entity, event_id, CAST((SELECT min(s_acctbal) FROM supplier WHERE s_acctbal > rating_before) AS DOUBLE) AS next_mark FROM gk",
+)
+def _(spark, sf):
+    rows = tl.timeline(spark, sf).df.filter("mode = 'Ladder' AND rating_before <> 0")
+    marks = tables.read(spark, sf, "supplier").select("s_acctbal")
+    return bk.asof_threshold(rows, "rating_before", marks, "s_acctbal", "next", "next_mark").select("entity", "event_id", "next_mark")
 
 
 @query(

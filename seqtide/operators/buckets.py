@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtide.operators.ordered import ordered, small_ordered
+from seqtide.operators.ordered import small_ordered
+from seqtide.operators.ranks import SLOTS_PER_OCTAVE, value_slot
 from seqtide.schemas import THRESHOLD_LIMITS
 
 
@@ -41,25 +42,37 @@ def threshold_band(df: DataFrame, value: str, low: float, high: float, limits: S
     return df.withColumn(name, F.explode(F.filter(_array(limits), lambda t: (v - t >= low) & (v - t <= high))))
 
 
-def asof_threshold(df: DataFrame, value: str, thresholds: DataFrame, limit: str, unique: str, direction: str = "last", name: str = "threshold", slab: float = 100) -> DataFrame:
-    """As-of match against a threshold table of any size.
+def asof_threshold(df: DataFrame, value: str, thresholds: DataFrame, limit: str, direction: str = "last", name: str = "threshold") -> DataFrame:
+    """As-of match against a threshold table of any size: the highest threshold at or under the value (``last``) or the
+    lowest above it (``next``), null if there is none. Rows with a null value vanish.
 
-    Events and thresholds are merged into one value-ordered sequence and the threshold is
-    carried along it, so nothing is broadcast and no pairs are formed.
+    Values fall into slots, an order-preserving function of the number (4096 to an octave). Per slot that occurs there is
+    one row with the thresholds inside it and the nearest one of the slots before (or after) it, so the rows meet their
+    slot in an ordinary join and are neither ordered nor written. The slot table has a row for each slot in use, however
+    many rows there are; it is carried over slots within an octave and then over octaves.
     """
     if direction not in ("last", "next"):
         raise ValueError("direction is last or next")
-    events = df.withColumn("__key", F.lit(0)).withColumn("__lim", F.lit(None).cast("double")).withColumn("__side", F.lit(1))
-    marks = thresholds.select(F.col(limit).cast("double").alias("__lim")).distinct()
-    rows = marks.withColumn("__key", F.lit(0)).withColumn(value, F.col("__lim")).withColumn(unique, F.lit(-1).cast("long")).withColumn("__side", F.lit(0))
-    both = events.withColumn(value, F.col(value).cast("double")).unionByName(rows, allowMissingColumns=True).filter(F.col(value).isNotNull())
-    # A threshold equal to the value counts as "last", never as "next": it sorts first.
-    seq = ordered(both, "__key", [value, "__side", unique], slab=slab)
-    if direction == "last":
-        seq = seq.running({name: ("max", F.col("__lim"))})
-    else:
-        seq = seq.running({name: ("min", F.col("__lim"))}, reverse=True)
-    return seq.frame.filter("__side = 1").drop("__key", "__lim", "__side")
+    up = direction == "last"
+    fold, pick = (F.max, F.greatest) if up else (F.min, F.least)
+    rows = df.withColumn(value, F.col(value).cast("double")).filter(F.col(value).isNotNull()).withColumn("__slot", value_slot(value))
+    marks = thresholds.select(F.col(limit).cast("double").alias("__lim")).filter("__lim is not null")
+    inside = marks.groupBy(value_slot("__lim").alias("__slot")).agg(F.array_sort(F.collect_set("__lim")).alias("__lims"))
+    slots = rows.select("__slot").distinct().join(inside, "__slot", "full_outer")
+    nearest = F.array_max("__lims") if up else F.array_min("__lims")
+    slots = slots.withColumns({"__octave": F.floor(F.col("__slot") / SLOTS_PER_OCTAVE), "__own": nearest})
+    order = F.col("__slot").asc() if up else F.col("__slot").desc()
+    earlier = Window.partitionBy("__octave").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    octaves = slots.groupBy("__octave").agg(fold("__own").alias("__whole"))  # at most 4,200 rows: all a double has
+    order = F.col("__octave").asc() if up else F.col("__octave").desc()
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = octaves.select("__octave", fold("__whole").over(before).alias("__far"))
+    carry = pick(fold("__own").over(earlier), F.col("__far"))
+    table = slots.join(carried, "__octave").select("__slot", "__lims", carry.alias("__carry"))
+    fits = (lambda x: x <= F.col(value)) if up else (lambda x: x > F.col(value))
+    near = F.filter("__lims", fits)
+    found = F.coalesce(F.array_max(near) if up else F.array_min(near), F.col("__carry"))
+    return rows.join(table, "__slot", "left").withColumn(name, found).drop("__slot", "__lims", "__carry")
 
 
 def baseline(df: DataFrame, bucket: str, value: str, min_n: int, name: str = "expected") -> DataFrame:

@@ -135,6 +135,39 @@ class Seq:
         kept = list(dict.fromkeys([*self.df.columns, *columns]))
         return self.with_df(cold.select(*kept).unionByName(out.withColumns(merged).select(*kept)))
 
+    def narrow(self, *more: str) -> "Seq":
+        """The same rows and order inside keys with further columns. Keys that are not hot can't be hot there."""
+        keys = (*self.keys, *more)
+        return ordered(self.frame, keys, self.order, self.max_rows, self.slab) if self.split else replace(self, keys=keys)
+
+    def within(self, columns: Mapping[str, Column], ts: str, seconds: int) -> "Seq":
+        """Add the sum of each value over the rows of the key that come before this one and are at most ``seconds`` older.
+
+        A difference of two running sums: that before this row and that before the range. Where the key is cut, a probe
+        at the range's start is ordered among the rows and takes the sum reached there, so nothing is copied and a range
+        may span any number of segments. Values must be whole numbers or decimals, whose sums don't depend on the cuts.
+        ``ts`` is the first column of the order, and the order's last column is unique.
+        """
+        cums = {name: f"__cum_{name}" for name in columns}
+        summed = self.running({cums[name]: ("sum", F.coalesce(value, F.lit(0))) for name, value in columns.items()})
+        reached = F.struct(*self.order, *cums.values())
+        none = F.lit(0)
+        if not self.split:
+            old = Window.partitionBy(*self.keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -seconds - 1)
+            found = summed.with_columns({"__old": F.max(reached).over(old)})
+        else:
+            unique = self.order[-1]
+            names = [*self.keys, *self.order]
+            marks = summed.frame.select(*names, F.lit(1).alias("__side"), reached.alias("__at"))
+            probes = summed.frame.select(
+                *[(F.col(c) - seconds).alias(c) if c == ts else F.col(c) for c in names], F.lit(0).alias("__side"), F.lit(None).cast(marks.schema["__at"].dataType).alias("__at")
+            )
+            merged = ordered(marks.unionByName(probes), self.keys, [ts, "__side", *self.order[1:]], self.max_rows, self.slab)
+            merged = merged.running({"__old": ("max", F.col("__at"))}).frame.filter("__side = 0").select(unique, "__old")
+            found = summed.with_df(summed.df.join(merged, unique))
+        before = {name: F.col(c) - F.coalesce(columns[name], none) - F.coalesce(F.col("__old")[c], none) for name, c in cums.items()}
+        return found.with_columns(before).with_df_drop("__old", *cums.values())
+
     def number(self, name: str = "rn") -> "Seq":
         """Row number inside the key, 1-based."""
         if self.split:

@@ -84,9 +84,15 @@ def found(html: Column, pattern: str, group: int = 1) -> Column:
     return known(F.regexp_extract(html, pattern, group))
 
 
+TAGS = r"(?s)<!--.*?-->|<[^>]*>"
+
+
 def text_in(html: Column, *classes: str) -> Column:
-    """The first text inside the first element of these classes."""
-    return found(html, opening(*classes) + OPENED + r"\s*([^<]*)")
+    """The whole text of the first element of these classes, without the tags in it; of one that is never closed the text
+    up to the next tag."""
+    closed = opening(*classes, tag="([a-zA-Z][a-zA-Z0-9]*)")
+    whole = F.regexp_replace(F.regexp_extract(html, rf"(?s){closed}(.*?)</\1\s*>", 2), TAGS, "")
+    return F.coalesce(known(whole), found(html, opening(*classes) + OPENED + r"\s*([^<]*)"))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -237,11 +243,13 @@ def page_set_stats(html: Column) -> Column:
 
 
 def page_outline(html: Column) -> Column:
-    """Generic outline: title, language, headings, links, ads and the text that begins each paragraph. Scripts and styles don't count."""
+    """Generic outline: title, language, headings, links, ads and the text of the paragraphs, each up to its end tag, the
+    next paragraph or the end of the page, without the tags in it. Scripts and styles don't count."""
     for tag in ("script", "style"):
         html = F.regexp_replace(html, rf"(?s)<{tag}\b.*?</{tag}>", "")
     count = lambda pattern: F.size(F.regexp_extract_all(html, F.lit(pattern), 0)).cast("long")
-    texts = F.regexp_extract_all(html, F.lit(r"<p(?:\s[^>]*)?>([^<]*)"), 1)
+    cuts = F.split(html, r"<p(?:\s[^>]*)?>")
+    texts = F.transform(F.slice(cuts, F.lit(2), F.size(cuts)), lambda t: F.regexp_replace(F.regexp_replace(t, r"(?s)</p>.*", ""), r"<[^>]*>", ""))
     return F.array(
         F.struct(
             F.regexp_extract(html, r"<title[^>]*>([^<]*)", 1).alias("title"),

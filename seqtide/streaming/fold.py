@@ -73,6 +73,7 @@ class QuitRisk(StatefulProcessor):
                 if not ended:
                     out += self.quit(entity, last, losses, stress, best)
                 wins, losses, stress = 0, 0, 0.0
+                best = best if ts - last < self.idle else None  # as if it had been dropped, whether or not it was
             seen = metric is not None and metric == metric
             if win == 1:
                 wins, losses = wins + 1, 0

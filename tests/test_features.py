@@ -46,6 +46,18 @@ def test_cut_entities_give_the_same_features(spark):
     assert len(a) > 150 and a == b
 
 
+def test_time_range_sums_are_equal_bit_for_bit_when_cut(spark):
+    rows = spark.range(400).selectExpr("id", "if(id % 3 = 0, 2, 1) as k", "cast(id * id % 5000 as long) as ts", "cast(id % 7 as long) as v", "cast(id / 7.0 as decimal(38,12)) as d")
+    want = {}
+    data = [tuple(r) for r in rows.select("k", "ts", "id", "v", "d").collect()]
+    for k, ts, i, _, _ in data:
+        frame = [r for r in data if r[0] == k and (r[1], r[2]) < (ts, i) and r[1] >= ts - 300]
+        want[i] = (len(frame), sum(r[3] for r in frame), sum(r[4] for r in frame))
+    for size in (None, 13, 90):
+        seq = ordered(rows, "k", ["ts", "id"], size).within({"n": F.lit(1).cast("long"), "s": F.col("v"), "x": F.col("d")}, "ts", 300)
+        assert {r["id"]: (r["n"], r["s"], r["x"]) for r in seq.frame.collect()} == want
+
+
 def test_last_k_split_needs_more_than_k_rows(spark):
     rows = [(1, t, t) for t in range(12)] + [(2, t, 100 + t) for t in range(10)]
     out = ft.last_k_split(spark.createDataFrame(rows, "entity long, ts long, event_id long")).collect()

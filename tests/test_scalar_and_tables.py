@@ -64,7 +64,7 @@ def test_zones_and_thresholds(spark):
     assert [tuple(r) for r in got] == [(5000, 5000, 4600), (5000, 5000, 4600), (5500, 5500, 5000), (None, 11500, 11500)]
     marks = spark.createDataFrame([(float(x),) for x in (4600, 5000, 5500, 11500)], "m double")
     rows = t.withColumn("id", F.monotonically_increasing_id())
-    large = {r["v"]: r["threshold"] for r in bk.asof_threshold(rows, "v", marks, "m", "id", "next").collect()}
+    large = {r["v"]: r["threshold"] for r in bk.asof_threshold(rows, "v", marks, "m", "next").collect()}
     assert large == {4949: 5000, 4950: 5000, 5000: 5500, 12000: None}
 
 
@@ -150,3 +150,28 @@ def test_event_page(spark):
 def test_empty_pages_give_no_error(spark, kind):
     pages = spark.createDataFrame([("a", ""), ("b", None), ("c", "<p>open <b>never")], "page string, html string")
     ex.extract_pages(pages, ["page"], "html", kind).collect()
+
+
+def test_asof_equals_brute_force_in_both_directions(spark):
+    import random
+
+    rng = random.Random(5)
+    vs = [rng.uniform(-1e4, 1e4) * 10 ** rng.randint(-8, 8) for _ in range(300)] + [0.0, -0.0, 1.0, 2.0, 2.0, 1024.0, -1024.0, 1e308, -1e308, None]
+    ms = rng.sample([v for v in vs if v is not None], 60) + [1.5, 1.5, 2.0, None]
+    rows = spark.createDataFrame(list(enumerate(vs)), "id int, v double")
+    marks = spark.createDataFrame([(m,) for m in ms], "m double")
+    known = [m for m in ms if m is not None]
+    for direction, want in (("last", lambda v: max((m for m in known if m <= v), default=None)), ("next", lambda v: min((m for m in known if m > v), default=None))):
+        got = {r["id"]: r["threshold"] for r in bk.asof_threshold(rows, "v", marks, "m", direction).collect()}
+        assert got == {i: want(v) for i, v in enumerate(vs) if v is not None}
+    none = bk.asof_threshold(rows, "v", marks.limit(0), "m").filter("threshold is not null").count()
+    assert none == 0
+
+
+def test_asof_neither_orders_nor_writes_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows, marks = spark.range(1000).select("id", F.col("id").cast("double").alias("v")), spark.range(0, 1000, 7).select(F.col("id").alias("m"))
+    plan = bk.asof_threshold(rows, "v", marks, "m")._jdf.queryExecution().optimizedPlan().toString()
+    over_rows = [line for line in plan.splitlines() if "Window" in line]
+    assert len(over_rows) == 2 and "Checkpoint" not in plan and "ExistingRDD" not in plan
