@@ -1,6 +1,8 @@
 """Each operator on nulls, empty and long texts, repeated rows, empty tables and clashing names, and against brute force."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -242,6 +244,37 @@ def test_personal_data(spark, odd, nothing):
     assert got[99].spans == "phone:18:30" and got[99].n_phone == 0 and got[98].spans == "" and got[3].spans == "phone:18:35"
 
 
+def base_by_expressions(text):
+    """The base spans by the contract's expressions, one after the other."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and personal_data.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_the_expressions(spark, tables):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab@..0123456789 -()+%") for _ in range(rng.randint(0, 200))) for _ in range(3000)]
+    for text in [*texts, *texts_of(spark, tables).values()]:
+        assert personal_data.seeds(text) == base_by_expressions(text)
+
+
+def test_secrets_are_found_by_their_contexts(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'some words {i} here token = "{h}" and more words') for i, h in enumerate(hexes[:40])]
+    rows += [(100 + i, f"the commit {h} was good, as was {h[::-1]}") for i, h in enumerate(hexes[40:])]
+    rows += [(None, rows[0][1]), (200, rows[3][1] + f" and {hexes[3]} again"), (201, "w" * 100_000 + f'token = "{hexes[4]}"' + "v" * 100_000)]
+    found = personal_data.occurrence_rows(spark.createDataFrame([(i, i or 0, t) for i, t in rows], "doc_id long, tk long, text string"))
+    held = {r.instance for r in found.where("kind = '-'").collect()}
+    assert 5 < len(held) < 30 and held <= {r.instance for r in personal_data.discover(found).collect()}
+    got = personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_id = {r.doc_id: r.spans for r in got}
+    for i, text in rows:
+        places = [f"secret:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{40}", text)] if i is None or i < 100 or i > 199 else []
+        assert [p for p in by_id[i].split(",") if p.startswith("secret")] == places
+
+
 def test_personal_data_in_groups(spark):
     phones = ["020 7946 0958", "(555) 123-4567", "06 12 34 56 78", "1 800 555 1234"]
     docs = [(i, f"please call me at +1 (237) 555-{i:04d} today") for i in range(30)] + [(100 + k, f"please call me at {x} today") for k, x in enumerate(phones)]
