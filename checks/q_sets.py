@@ -464,7 +464,7 @@ def _(spark, sf):
     return sw.session_swap(arch_timeline(spark, sf), regions(spark, sf))
 
 
-CSW = f"""{ODS}, {Q.ITEMS}, di AS (SELECT deck, list(DISTINCT item) AS items, coalesce(list(DISTINCT item) FILTER (item % 40 = 0), []) AS keys FROM deck_items GROUP BY 1),
+CSW = f"""{ODS}, {Q.ITEMS}, di AS (SELECT deck, list(DISTINCT item) AS items, coalesce(list(DISTINCT item) FILTER (item IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')), []) AS keys FROM deck_items GROUP BY 1),
 cs AS (SELECT os1.*, CASE WHEN real < 45 THEN 'Neg' WHEN real > 55 THEN 'Pos' END AS cat, items, keys FROM os1 JOIN di USING (deck)),
 cb AS (SELECT *, row_number() OVER (PARTITION BY region, week, slot, band, cat ORDER BY {hx(42, 'entity', 'session_no')}, entity, session_no) - 1 AS place, count(*) OVER (PARTITION BY region, week, slot, band, cat) AS around FROM cs WHERE cat IS NOT NULL),
 cq AS (SELECT cs.*, x.ca, x.cb FROM cs JOIN (VALUES ('Neg', 'Neg'), ('Pos', 'Pos'), ('Neg', 'Pos')) AS x(ca, cb) ON cs.cat = x.ca),
@@ -475,7 +475,7 @@ ct AS (SELECT * FROM cr WHERE k = 1)"""
 
 def cond_pairs(spark, sf):
     lines = tables.deck_items(spark, sf)
-    keys = tables.items(spark, sf).filter("item % 40 = 0").select("item")
+    keys = tables.read(spark, sf, "part").filter("p_brand = 'Brand#7'").select(F.col("p_partkey").alias("item"))
     seq = arch_timeline(spark, sf)
     return seq, sw.conditional_swap_pairs(seq, regions(spark, sf), lines, keys)
 
@@ -499,15 +499,24 @@ nn AS (SELECT a.event_id, b.event_id AS match, a.arch, b.opp_arch, a.metric2 AS
 np AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY distance, match) AS k FROM nn WHERE distance < 0.3), nq AS (SELECT * FROM np WHERE k = 1)"""
 
 
-def swap_events(spark, sf):
-    """Coarser strata than the default: the driver log is thin."""
+def swap_events(spark, sf, hours: int = 1, bands: int = 1):
     seq = arch_timeline(spark, sf)
     rows = sw.swap_events(seq, regions(spark, sf), bs.basket_levels(tables.deck_items(spark, sf)))
-    return seq, rows.withColumns({"hour": F.floor(F.col("hour") / 6).cast("long"), "band": F.floor(F.col("band") / 4).cast("long")})
+    return seq, rows.withColumns({"hour": F.floor(F.col("hour") / hours).cast("long"), "band": F.floor(F.col("band") / bands).cast("long")})
 
 
 @query("j13_match_swap_pairs", f"{NSW} SELECT event_id, match, {Q.r('distance')} AS distance FROM nq")
 def _(spark, sf):
+    """Strata of six hours and four bands: most events find a partner."""
+    return sw.match_swap_pairs(swap_events(spark, sf, 6, 4)[1])
+
+
+FINE = NSW.replace("a.hour // 6 = b.hour // 6 AND a.band // 4 = b.band // 4", "a.hour = b.hour AND a.band = b.band")
+
+
+@query("j13_match_swap_pairs_fine", f"{FINE} SELECT event_id, match, {Q.r('distance')} AS distance FROM nq")
+def _(spark, sf):
+    """The strata of one hour and one band."""
     return sw.match_swap_pairs(swap_events(spark, sf)[1])
 
 
@@ -515,6 +524,15 @@ def _(spark, sf):
     "a50_match_swap",
     f"""{NSW}, hs AS (SELECT real, coalesce(ps, ss, os) AS hypo FROM nq LEFT JOIN pr ON pr.arch = nq.arch AND pr.opp_arch = nq.opp_arch LEFT JOIN si ON si.arch = nq.arch, ov) {Q.paired_t('hs', [], 'hypo', 'real')}""",
 )
+def _(spark, sf):
+    seq, events = swap_events(spark, sf, 6, 4)
+    return sw.match_swap(events, sw.match_swap_pairs(events), seq)
+
+
+@query(
+    "a50_match_swap_fine",
+    f"""{FINE}, hs AS (SELECT real, coalesce(ps, ss, os) AS hypo FROM nq LEFT JOIN pr ON pr.arch = nq.arch AND pr.opp_arch = nq.opp_arch LEFT JOIN si ON si.arch = nq.arch, ov) {Q.paired_t('hs', [], 'hypo', 'real')}""",
+)
 def _(spark, sf):
     seq, events = swap_events(spark, sf)
     return sw.match_swap(events, sw.match_swap_pairs(events), seq)

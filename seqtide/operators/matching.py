@@ -64,6 +64,7 @@ def match_where(
     unique_b: Sequence[str],
     accept: Callable[[], Column],
     seed: int = 42,
+    labels: str | None = None,
 ) -> DataFrame:
     """First acceptable row of ``b`` for each row of ``a``, in b's random circle.
 
@@ -71,12 +72,23 @@ def match_where(
     until one is accepted or the circle is used up. Only unmatched rows go on, so the rows
     formed stay within twice the tries really needed, and nothing is capped. Columns of ``b``
     come as ``b_<name>``; ``accept`` reads both sides.
+
+    ``labels`` names a column of both sides, an array of strings: rows that share one are never
+    acceptable to each other (the same entity, a set that is too large a part of itself, a key
+    item). A row of which some label stands on every row of its circle has no partner; that is
+    told from counts per label, and such rows try nothing.
     """
     others = circle(b, strata, unique_b, seed)
     others = cut_lineage(others.select(*strata, "place", *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in strata]))
     sizes = others.groupBy(*strata).agg(F.count(F.lit(1)).alias("__around"))
     start = F.pmod(hash_number(seed + 1, *unique), F.col("__around"))
-    waiting = cut_lineage(a.join(sizes, list(strata)).withColumn("__start", start))
+    asking = a.join(sizes, list(strata)).withColumn("__start", start)
+    if labels:
+        label = F.explode(F.array_distinct(labels)).alias("__label")
+        held = b.select(*strata, label).groupBy(*strata, "__label").agg(F.count(F.lit(1)).alias("__held"))
+        most = a.select(*strata, *unique, label).join(held, [*strata, "__label"]).groupBy(*unique).agg(F.max("__held").alias("__held"))
+        asking = asking.join(most, list(unique), "left").filter(F.coalesce("__held", F.lit(0)) < F.col("__around")).drop("__held")
+    waiting = cut_lineage(asking)
     found: list[DataFrame] = []
     tried, width = 0, 1
     while True:
@@ -148,11 +160,11 @@ def match_nearest(
 
 
 def score_table(events: DataFrame, own: str, other: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Observed mean of the value by (own, other), by own, and overall: a back-off chain."""
+    """Observed mean of the value by (own, other), by own, and overall: a back-off chain, from one pass that adds up per (own, other)."""
     rows = events.filter(F.col(value).isNotNull() & F.col(own).isNotNull())
-    pair = rows.filter(F.col(other).isNotNull()).groupBy(own, other).agg(F.avg(value).alias("__pair"))
-    single = rows.groupBy(own).agg(F.avg(value).alias("__single"))
-    return pair, single, rows.agg(F.avg(value).alias("__overall"))
+    cells = cut_lineage(rows.groupBy(own, other).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__n")))
+    mean = F.sum("__sum") / F.sum("__n")
+    return cells.filter(F.col(other).isNotNull()).select(own, other, (F.col("__sum") / F.col("__n")).alias("__pair")), cells.groupBy(own).agg(mean.alias("__single")), cells.agg(mean.alias("__overall"))
 
 
 def score_pairs(pairs: DataFrame, scores: tuple[DataFrame, DataFrame, DataFrame], own: str, other: str, name: str = "score") -> DataFrame:

@@ -12,6 +12,7 @@ from seqtide.functions.scalar import day_slot, local_hour, utc_timestamp, year_w
 from seqtide.operators import hypothesis as hy
 from seqtide.operators import matching as mt
 from seqtide.operators.ordered import Seq
+from seqtide.session import cut_lineage
 
 
 def scores(seq: Seq):
@@ -72,18 +73,23 @@ def conditional_swap_pairs(seq: Seq, regions: DataFrame, lines: DataFrame, key_i
         F.collect_set("item").alias("items"), F.collect_set(F.when(F.col("key"), F.col("item"))).alias("keys")
     )
     base = one_deck_sessions(seq, regions).withColumn("cat", zone("real", labels=("Neg", "Mid", "Pos"))).join(sets, "deck")
+    # What no partner may share: the entity, a deck with more items than may be shared, any key item.
+    label = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))
+    same_deck = F.when(F.size("items") > max_shared, label("deck", F.col("deck")))
+    labels = F.array_compact(F.concat(F.array(label("entity", F.col("entity")), same_deck), F.transform("keys", lambda k: label("key", k))))
+    base = cut_lineage(base.withColumn("labels", labels))  # both sides of the match
     # Both comparisons of a session are strata of their own: the category pair is a key.
     a = base.filter("cat <> 'Mid'").select(
         "*", F.explode(F.array(*[F.struct(F.lit(x).alias("ca"), F.lit(y).alias("cb")) for x, y in COMPARISONS])).alias("c")
-    ).filter("cat = c.ca").select("entity", "session_no", "arch", "real", "region", "week", "slot", "band", "items", "keys", "c.ca", "c.cb")
-    b = base.filter("cat <> 'Mid'").select("entity", "session_no", "region", "week", "slot", "band", F.col("cat").alias("cb"), "items", "keys")
+    ).filter("cat = c.ca").select("entity", "session_no", "arch", "real", "region", "week", "slot", "band", "items", "keys", "labels", "c.ca", "c.cb")
+    b = base.filter("cat <> 'Mid'").select("entity", "session_no", "region", "week", "slot", "band", F.col("cat").alias("cb"), "items", "keys", "labels")
 
     def different() -> Column:
         shared = F.size(F.array_intersect("items", "b_items"))
         return (F.col("entity") != F.col("b_entity")) & (shared <= max_shared) & ~F.arrays_overlap("keys", "b_keys")
 
     strata = ["region", "week", "slot", "band", "cb"]
-    return mt.match_where(a, b, strata, ["entity", "session_no", "ca", "cb"], ["entity", "session_no"], different, seed)
+    return mt.match_where(a, b, strata, ["entity", "session_no", "ca", "cb"], ["entity", "session_no"], different, seed, "labels")
 
 
 def conditional_swap(pairs: DataFrame, seq: Seq) -> DataFrame:
@@ -92,16 +98,19 @@ def conditional_swap(pairs: DataFrame, seq: Seq) -> DataFrame:
 
 
 def swap_events(seq: Seq, regions: DataFrame, levels: DataFrame, mode: str = "Ladder") -> DataFrame:
-    """Events of negative and positive sessions with recent win rate and deck level."""
+    """Events of negative and positive sessions with recent win rate and deck level, written once: both sides of the match
+    and what is looked up for its pairs."""
     rows = seq.filter((F.col("mode") == mode) & F.col("metric2").isNotNull())
     mean = rows.df.groupBy("entity", "session_no").agg(F.avg("metric2").alias("__mean"))
     kind = mean.withColumn("kind", zone("__mean", labels=("Neg", "Mid", "Pos"))).filter("kind <> 'Mid'").drop("__mean")
     kept = rows.subset(rows.frame.join(kind, ["entity", "session_no"]).filter("rating_before IS NOT NULL AND metric2 <> 0"))
     s = kept.near({"recent": lambda w: F.coalesce(F.avg("win").over(w.rowsBetween(-5, -1)), F.lit(0.5))}, back=5)
     joined = s.df.join(levels.select("deck", F.col("avg_level").alias("deck_level")), "deck").join(regions, "entity", "left")
-    return joined.select(
-        "event_id", "kind", "arch", "opp_arch", "metric2", "region", local_hour("ts", "tz").alias("hour"),
-        F.floor(F.col("rating_before") / 50).cast("long").alias("band"), F.round("recent", 9).alias("recent"), F.round("deck_level", 9).alias("deck_level"),
+    return cut_lineage(
+        joined.select(
+            "event_id", "kind", "arch", "opp_arch", "metric2", "region", local_hour("ts", "tz").alias("hour"),
+            F.floor(F.col("rating_before") / 50).cast("long").alias("band"), F.round("recent", 9).alias("recent"), F.round("deck_level", 9).alias("deck_level"),
+        )
     )
 
 

@@ -50,6 +50,18 @@ def test_match_where_finds_a_partner_whenever_one_exists(spark):
         assert (got.get(x) in partners) if partners else x not in got
 
 
+def test_rows_without_a_partner_form_no_pairs(spark):
+    # 100,000 rows of one deck and another hundred of its own entity: nothing matches, and all pairs would be 10^10.
+    many = spark.range(100_000).selectExpr("id", "'s' as stratum", "id % 1000 as entity", "array('deck:1', concat('entity:', id % 1000)) as labels")
+    out = mt.match_where(many, many, ["stratum"], ["id"], ["id"], lambda: F.col("id") < 0, labels="labels")
+    assert out.count() == 0
+    df = spark.createDataFrame(rows(), SCHEMA).withColumn("labels", F.array(F.concat(F.lit("e"), F.col("entity").cast("string"))))
+    a, b = df.filter("id % 2 = 0"), df.filter("id % 2 = 1").select("stratum", "id", "entity", "labels")
+    ok = lambda: F.col("entity") != F.col("b_entity")
+    with_, plain = (sorted((r["id"], r["b_id"]) for r in mt.match_where(a, b, ["stratum"], ["id"], ["id"], ok, labels=x).collect()) for x in ("labels", None))
+    assert with_ == plain and with_
+
+
 def test_match_nearest_is_the_nearest(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     a, b = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
