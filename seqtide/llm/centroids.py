@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Centroids at most: a task holds their k x k neighbour lists (4096: 200 MB).
 MOST_CENTROIDS = 4096
@@ -124,7 +124,7 @@ def move(vectors: DataFrame, centroids: np.ndarray, scale: int) -> np.ndarray:
         rows += [(c, j, p, v) for c in np.flatnonzero(count).tolist() for j in range(dims) for p, v in limbs(int(sums[c, j]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["c", "j", "place", "v"])
 
-    found = vectors.mapInArrow(run, "c int, j int, place int, v long").groupBy("c", "j", "place").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
+    found = vectors.mapInArrow(tidy(run), "c int, j int, place int, v long").groupBy("c", "j", "place").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
     count = {r["c"]: int(r["v"]) for r in found if r["j"] < 0}
     sums: dict = {}
     for r in found:
@@ -159,7 +159,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray, scale: int) -> DataFrame:
             gaps = [v if v < 1 << 63 else None for v in gap.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(gaps, pa.int64())], names=["vec_id", "cluster", "distance"])
 
-    return vectors.mapInArrow(run, "vec_id long, cluster int, distance long")
+    return vectors.mapInArrow(tidy(run), "vec_id long, cluster int, distance long")
 
 
 def fit(vectors: DataFrame, k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, seed: int = 1) -> np.ndarray:

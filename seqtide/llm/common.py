@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import uuid
 
@@ -16,6 +18,11 @@ from seqtide.session import checkpoint_dir
 #: Rows of a side that may be broadcast; two longs a row, so at most 32 MB.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows that a task's function is given at a time.
+SLICE_ROWS = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Tables written while a pipeline stage was being set up.
 _STAGE: dict = {"open": False, "tables": []}
 
@@ -25,10 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends here and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: the lineage ends here and survives lost executors. What was
+    shuffled for it is deleted when it is written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/seqtide-llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     if _STAGE["open"]:
         _STAGE["tables"].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -36,13 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage(fn):
     """A pipeline stage. Its result is written before the next stage starts, so the tables that ``cut`` wrote in
-    earlier stages are deleted when it starts; those of other callers stay."""
+    earlier stages are deleted when it starts; those of other callers stay. Where the session has Spark's default of
+    10,000 rows to an Arrow batch it is set to ``SLICE_ROWS``: rows hold whole texts, and an executor keeps the buffers of
+    its largest batches from stage to stage."""
 
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _STAGE["tables"]:
             path = spark._jvm.org.apache.hadoop.fs.Path(_STAGE["tables"].pop())
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if spark.conf.get(BATCH, "10000") == "10000":
+            spark.conf.set(BATCH, str(SLICE_ROWS))
         _STAGE["open"] = True
         try:
             return fn(spark, docs, sf_dir)
@@ -52,11 +72,45 @@ def stage(fn):
     return run
 
 
+def release() -> None:
+    """Gives memory that Arrow and the allocator keep for later back to the system; workers live from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (a function from batches to batches) on slices of at most ``SLICE_ROWS`` rows, which it may turn into Python
+    objects at once, that releases a worker's memory when its task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS))
+        finally:
+            release()
+
+    return task
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id stands in ``gone`` (one column); rows with a null doc_id stay, whatever else the columns are called."""
+    return docs.join(bounded(gone.toDF(fresh(docs))), F.col("doc_id").cast("long") == F.col(fresh(docs)), "left_anti")
+
+
+def fresh(df: DataFrame, name: str = "other_id") -> str:
+    """A column name like ``name`` that ``df`` hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def meet(rows: DataFrame, once: DataFrame, key: str, n: str) -> DataFrame:
     """Inner join of ``rows`` with ``once``, which has each key once and, in column ``n``, how many rows of ``rows`` it meets.
 

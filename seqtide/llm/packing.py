@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import os
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of
+from .common import cut, rows_of, tidy
 
 SIZE = 2048
-#: Words and parts of words of which a worker remembers the ids; beyond, it forgets them and starts again.
-CACHE_WORDS, CACHE_PARTS = 400_000, 1_000_000
+#: Bytes of words, and of parts of words, that a task remembers with their ids.
+WORD_BYTES, PART_BYTES = 24 << 20, 40 << 20
+#: What a remembered string costs besides its characters and ids, and length from which a string is not remembered.
+ENTRY_BYTES, LONG_WORD = 200, 1000
+#: Bytes of texts whose words are told apart at a time.
+TEXT_BYTES = 4 << 20
 #: Characters that the tokenizer's normalisation only lower-cases.
 PLAIN = regex.compile(r"[!-~\u00C0-\u024F]+")
 #: Marks after a word, of which a run is one part.
@@ -29,29 +33,53 @@ MARKS = ".,;:!?*&%$#|)\"-"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str):
-    """Function from texts to their ids as little-endian 32-bit bytes; a worker keeps it from task to task.
+class Memo(dict):
+    """Ids by string, made by ``make`` where missing; at most ``limit`` bytes of them by count of characters and ids.
+
+    A full one takes no more, so the frequent strings, which come early, stay; once it has missed twice as often as it
+    has entries it starts again.
+    """
+
+    def __init__(self, limit: int, make: Callable[[str | bytes], bytes]):
+        super().__init__()
+        self.limit, self.make, self.held, self.missed = limit, make, 0, 0
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        ids = self.make(key)
+        cost = len(key) + len(ids) + ENTRY_BYTES
+        if self.held + cost > self.limit:
+            self.missed += 1
+            if self.missed > 2 * len(self):
+                self.clear()
+                self.held = self.missed = 0
+        elif len(key) < LONG_WORD:
+            self.held += cost
+            self[key] = ids
+        return ids
+
+
+def encoder(path: str, word_bytes: int = WORD_BYTES, part_bytes: int = PART_BYTES):
+    """Function from an array of texts to their ids, for one task.
 
     The tokenizer never joins across white space, so each word between ASCII white space is encoded once and remembered.
     A word of plain characters is lower-cased and split as the tokenizer's own pattern does, and each part goes through
     its byte map and model once, which costs a third of a call for the whole word; any other word takes that call.
+    What is remembered is bounded in bytes and goes with the function.
     """
     if sys.byteorder != "little" or array("I").itemsize != 4:
         raise RuntimeError("ids are written as little-endian 32-bit numbers")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
-    model, words, parts = Tokenizer.from_file(path), {}, {}
+    model = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)["pre_tokenizer"].get("pretokenizers", [])
     split = regex.compile(rules[0]["pattern"]["Regex"]) if len(rules) == 2 and rules[0]["type"] == "Split" and rules[1]["type"] == "ByteLevel" else None
-    to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    to_bytes, tokens = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), model.model
 
     def part_ids(part: str) -> bytes:
         shown = part if part.isascii() else to_bytes.pre_tokenize_str(part)[0][0]
-        ids = parts[part] = array("I", [t.id for t in model.model.tokenize(shown)]).tobytes()
-        return ids
+        return array("I", [t.id for t in tokens.tokenize(shown)]).tobytes()
 
     def word_ids(raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")
@@ -59,23 +87,39 @@ def encoder(path: str):
             return array("I", model.encode(word, add_special_tokens=False).ids).tobytes()
         word = word.lower()
         core = word.rstrip(MARKS)
-        found = [core, word[len(core) :]] if core.isalpha() else split.findall(word)
-        return b"".join([parts.get(p) or part_ids(p) for p in found if p])
-
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            if len(parts) > CACHE_PARTS:
-                parts.clear()
-            tokens = (text or "").encode("utf-8", "surrogatepass").split()
-            for w in set(tokens).difference(words):
-                words[w] = word_ids(w)
-            yield b"".join([words[w] for w in tokens])
+        if core.isalpha():
+            return parts[core] + parts[word[len(core) :]] if len(core) < len(word) else parts[core]
+        return b"".join(map(parts.__getitem__, filter(None, split.findall(word))))
+
+    words, parts = Memo(word_bytes, word_ids), Memo(part_bytes, part_ids)
+
+    def encode(texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Words are told apart in Arrow, and each distinct word of ``texts`` is looked up once."""
+        split_ = pc.ascii_split_whitespace(pc.cast(pc.fill_null(texts, ""), pa.large_string()))
+        ends = split_.offsets.to_numpy()
+        coded = split_.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        code, ends = coded.indices.to_numpy(), ends - ends[0]
+        ids = [words[w] for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype=np.uint32), np.cumsum(size) - size
+        for i in range(len(ends) - 1):
+            own = code[ends[i] : ends[i + 1]]
+            n = size[own]
+            yield flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     return encode
 
 
+def small(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of at most ``TEXT_BYTES`` bytes, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """Each document's ids and a closing id 0, cut into pieces of ``size``: doc_id, piece, start, length, ids_crc32."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,16 +127,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), b"\0\0\0\0"
         for batch in batches:
+            texts = (ids.tobytes() for part in small(batch.column(1)) for ids in encode(part))
             rows = [
                 (doc, i // (4 * size), i // 4, len(part) // 4, zlib.crc32(part))
-                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True)
+                for doc, ids in zip(batch.column(0).to_pylist(), texts, strict=True)
                 for full in [ids + end]
                 for i in range(0, len(full), 4 * size)
                 for part in [full[i : i + 4 * size]]
             ]
             yield rows_of(schema, **{f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -164,7 +209,7 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
             k = np.searchsorted(keys, length << 40 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(firsts[k] + rank - ranks[k]), pa.array(offsets[k])], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:

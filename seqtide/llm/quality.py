@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import rows_of, tidy
 
 #: Labelled rows of each class that the model is fitted on, those with the smallest hash of their id.
 PER_CLASS = 4_000
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds:
         for batch in batches:
             yield rows_of(schema, id=batch.column(0).to_pylist(), quality=batch.column(2).cast(pa.int64()), x=[features(t) for t in batch.column(1).to_pylist()])
 
-    found = sorted((r["quality"], r["id"], r["x"]) for r in rows.mapInArrow(run, "id long, quality long, x array<double>").collect())
+    found = sorted((r["quality"], r["id"], r["x"]) for r in rows.mapInArrow(tidy(run), "id long, quality long, x array<double>").collect())
     parts = [np.array([x for q, _, x in found if q == want], dtype=float).reshape(-1, len(FEATURES)) for want in (1, 0)]
     return fit(*parts)
 
@@ -120,7 +120,7 @@ def quality_scores(docs: DataFrame, model: Ranking, folds: int = FOLDS) -> DataF
             x = np.array([features(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             yield rows_of(schema, doc_id=batch.column(0), score=model.score(x))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -134,4 +134,4 @@ def keep_good(docs: DataFrame, model: Ranking) -> DataFrame:
             x = np.array([features(t) for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

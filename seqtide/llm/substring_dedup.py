@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, mix, rows_of, signed
+from .common import bounded, cut, mix, rows_of, signed, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -126,7 +126,7 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                         yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "kind long, anchor long, context long, doc long, place long")
+    return texts.mapInArrow(tidy(run), "kind long, anchor long, context long, doc long, place long")
 
 
 #: Symbols (9 bits: a byte plus 1, or 0 between contexts) that a packed key holds.
@@ -320,7 +320,7 @@ def compare_contexts(rows: DataFrame, length: int, gram: int = GRAM, block_bytes
                 held = []
             yield from covered_in(held + some)
 
-    return rows.mapInArrow(run, "first long, second long, doc long, place long, end long")
+    return rows.mapInArrow(tidy(run), "first long, second long, doc long, place long, end long")
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -353,7 +353,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                     context=[raw[s : p["at"] + length] for s, p in zip(start, places, strict=True)], offset=[p["at"] - s for s, p in zip(start, places, strict=True)],
                 )
 
-    brought = some.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "wanted").mapInArrow(bring, "anchor long, doc long, place long, context binary, offset long")
+    brought = some.join(wanted, ["doc", "tk"]).select("doc", "tk", "text", "wanted").mapInArrow(tidy(bring), "anchor long, doc long, place long, context binary, offset long")
     compared = cut(compare_contexts(brought.repartition("anchor").sortWithinPartitions("anchor"), length, gram))
     tk = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tk")
     at = F.shiftright("place", 32)
@@ -409,4 +409,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     cut_ones = rows.join(bounded(ids), "doc_id", "left_semi").join(spans, ["doc_id", "tk"], "left").select("doc_id", "text", "spans")
     whole = rows.join(bounded(ids), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<array<long>>").alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return cut_ones.mapInArrow(run, out).union(whole.mapInArrow(run, out))
+    return cut_ones.mapInArrow(tidy(run), out).union(whole.mapInArrow(tidy(run), out))
