@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, hash_words, mix, rows_of, shingles, word_list
+from .common import cut, hash_words, mix, rows_of, shingles, tidy, without, word_list
 
 WORDS = 5
 PERCENT = 80
@@ -141,11 +141,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, words: int = WORDS, pe
                 ]
                 yield rows_of(schema, **{f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
 
-        out = out.union(texts.mapInArrow(run, PAIRS))
+        out = out.union(texts.mapInArrow(tidy(run), PAIRS))
     return out.groupBy("doc_id", "item_id").agg(F.max("item_shingles").alias("item_shingles"), F.max("shared_shingles").alias("shared_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a test item; rows with a null doc_id stay."""
-    gone = cut(contaminated_pairs(docs, items).select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = cut(contaminated_pairs(docs, items).select("doc_id").distinct())
+    return without(docs, gone)

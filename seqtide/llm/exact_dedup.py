@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, fresh, without
 
 
 def normal(text: Column) -> Column:
@@ -50,12 +50,10 @@ def exact_dedup(docs: DataFrame, content_hash: Callable[[Column], Column] = lamb
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows ``exact_dedup`` drops, all columns as they were; one row of repeated rows stays."""
     found = cut(exact_dedup(docs).groupBy("doc_id").agg(F.count_if("kept").alias("rows")).where("doc_id is not null"))
-    gone = cut(found.where("rows = 0").select(F.col("doc_id").alias("gone_id")))
-    kept = docs.where("doc_id is not null").join(bounded(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    again = cut(found.where("rows > 1").select(F.col("doc_id").alias("again_id")))
+    kept = without(docs.where("doc_id is not null"), cut(found.where("rows = 0").select("doc_id")))
+    again = cut(found.where("rows > 1").select(F.col("doc_id").alias(fresh(docs))))
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
     if again.isEmpty():
         return kept.union(nameless)
-    once = kept.join(again, F.col("doc_id").cast("long") == F.col("again_id"), "left_anti")
-    more = kept.join(again, F.col("doc_id").cast("long") == F.col("again_id"), "left_semi")
-    return once.union(more.dropDuplicates(["doc_id", "text"])).union(nameless)
+    more = kept.join(again, F.col("doc_id").cast("long") == F.col(fresh(docs)), "left_semi")
+    return without(kept, again).union(more.dropDuplicates(["doc_id", "text"])).union(nameless)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, cut, mix, rows_of, shingle_set, signed
+from .common import bounded, components, cut, mix, rows_of, shingle_set, signed, tidy, without
 
 PIECE_BITS = 16
 #: Keys a task gathers before it reduces them to one row per key.
@@ -116,7 +116,7 @@ def sketch_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield rows_of(_FOUND, kind=[0] * len(own), a=a, b=b, c=c, d=d)
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind long, a long, b long, c long, d long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "kind long, a long, b long, c long, d long")
 
 
 def dense_sketch(members: np.ndarray, bits: int = DENSE_BITS) -> np.ndarray:
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield rows_of(_SETS, id=batch.column(0), size=[len(x) for x in sets], dense=[dense_sketch(x).tobytes() for x in sets], members=[x.tobytes() for x in sets])
 
     some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(bounded(ids), "id", "left_semi")
-    return some.mapInArrow(run, "id long, size long, dense binary, members binary")
+    return some.mapInArrow(tidy(run), "id long, size long, dense binary, members binary")
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,9 +160,9 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(keep)
 
     a, b = (sets.select(F.col("id").alias(c), F.col("size").alias(c + "_size"), F.col("dense").alias(c + "_dense")) for c in "ab")
-    close = pairs.join(a, "a").join(b, "b").select("a", "b", "a_size", "b_size", "a_dense", "b_dense").mapInArrow(by_sketch, "a long, b long")
+    close = pairs.join(a, "a").join(b, "b").select("a", "b", "a_size", "b_size", "a_dense", "b_dense").mapInArrow(tidy(by_sketch), "a long, b long")
     a, b = (sets.select(F.col("id").alias(c), F.col("members").alias(c + "_members")) for c in "ab")
-    return cut(close).join(a, "a").join(b, "b").select("a", "b", "a_members", "b_members").mapInArrow(by_set, "a long, b long")
+    return cut(close).join(a, "a").join(b, "b").select("a", "b", "a_members", "b_members").mapInArrow(tidy(by_set), "a long, b long")
 
 
 def in_cells(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -268,5 +268,5 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """``docs`` with one document of each component, its smallest doc_id; all columns as they were. Rows with a null
     doc_id stay."""
     found = jaccard_components(docs, words, percent)
-    gone = cut(found.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = cut(found.where("component_id != doc_id").select("doc_id").distinct())
+    return without(docs, gone)

@@ -20,7 +20,7 @@ def odd(spark):
         (1, "One two  three four five six seven eight nine ten.", 1, "a"), (1, "One two  three four five six seven eight nine ten.", 1, "a"), (2, None, None, None), (3, "", 2, ""),
         (None, "x y z", 3, "b"), (None, None, None, None), (4, LONG, 4, "c"), (5, LONG, 5, None), (6, "One two three\tfour five six seven eight nine ten.", 6, "d"), (7, "é\U0001f600  ", 7, "e"),
     ]
-    return spark.createDataFrame([(i, t, k, n, k, n, k) for i, t, k, n in rows], "doc_id long, text string, key long, kind string, id long, body string, n long")
+    return spark.createDataFrame([(i, t, k, n, k, n, k, k, k, k) for i, t, k, n in rows], "doc_id long, text string, key long, kind string, id long, body string, n long, gone_id long, other_id long, again_id long")
 
 
 @pytest.fixture
