@@ -10,6 +10,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from seqtide.session import checkpoint_dir
 
-from .common import cut, meet
+from .common import cut, meet, tidy
 
 #: Bytes of records after which a new archive is begun; a larger record has one of its own.
 ARCHIVE_BYTES = 8 << 20
 #: Payloads under this many bytes are never stored as revisits.
 LEAST_PAYLOAD = 100
+#: Bytes of a compressed archive that are decompressed at a time.
+PIECE = 4096
 #: Fields of a record's header line, by ARC version. Fixed values of the format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -107,23 +110,29 @@ def header(head: bytes, name: bytes) -> str | None:
     return None
 
 
+def member(raw: bytes) -> bytes:
+    """``raw`` as a gzip member of its own, as archives hold their records; the same bytes always give the same member."""
+    return gzip.compress(raw, compresslevel=1, mtime=0)
+
+
 def files(segments: DataFrame, column: str, folder: str) -> DataFrame:
-    """Writes each row's bytes as a compressed file in a new folder and reads (path, content) of all back; a line end follows the bytes."""
+    """Writes each row's bytes as a file in a new folder and reads (path, content) of all back; a zero byte, which is
+    padding after compressed members, follows the bytes."""
     spark = segments.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/seqtide-{folder}-{uuid.uuid4().hex}"
-    segments.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    segments.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
     return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
 
 
 def segments(batches: Iterator[pa.RecordBatch], begin, one) -> Iterator[pa.RecordBatch]:
-    """Rows as bytes by ``one``, gathered into archives opened by ``begin(number)``, one archive a batch, without its last line end."""
+    """Rows as bytes by ``one``, each a compressed member, gathered into archives opened by ``begin(number)``, one archive a batch."""
     parts, size, number = [], 0, 0
-    whole = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], type=pa.binary())], names=["archive"])
+    whole = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], type=pa.binary())], names=["archive"])
     for batch in batches:
         for i in range(batch.num_rows):
             if not parts:
-                parts, size = [begin(number)], 0
-            parts.append(one({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}, number))
+                parts, size = [member(begin(number))], 0
+            parts.append(member(one({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}, number)))
             size += len(parts[-1])
             if size >= ARCHIVE_BYTES:
                 yield whole()
@@ -150,15 +159,31 @@ def write_arc(pages: DataFrame) -> DataFrame:
         return segments(batches, begin, one)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    return files(rows.mapInArrow(run, "archive binary"), "archive", "arc")
+    return files(rows.mapInArrow(tidy(run), "archive binary"), "archive", "arc")
 
 
 def opened(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    """What the members of a compressed archive hold, one after the other; an uncompressed one as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, view, at = [], memoryview(content), 0
+    while at < len(view):
+        if not view[at]:  # padding
+            at += 1
+            continue
+        member_ = zlib.decompressobj(31)
+        while not member_.eof:
+            if at >= len(view):
+                raise ValueError("the last member is cut short")
+            piece = view[at : at + PIECE]
+            out.append(member_.decompress(piece))
+            at += len(piece) - len(member_.unused_data)
+    return b"".join(out)
 
 
-def arc_records(archives: DataFrame) -> DataFrame:
-    """Records of ARC files (path, content), without the opening ones: ``RECORDS``. ``kind`` is response for an HTTP block, else resource."""
+def arc_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Records of ARC files (path, content), without the opening ones: ``RECORDS``. ``kind`` is response for an HTTP block,
+    else resource; ``payload`` is deflated, or null without ``payloads``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
@@ -173,11 +198,11 @@ def arc_records(archives: DataFrame) -> DataFrame:
                     page = header(head, PAGE_HEADER)
                     rows.append(
                         (path.as_py(), r.place, r.fields["URL"], r.fields["IP-address"], r.fields["Archive-date"], "response" if head else "resource", r.fields["Content-type"],
-                         int(page) if page else None, head, payload, len(payload), hashlib.sha256(payload).hexdigest())
+                         int(page) if page else None, head, zlib.compress(payload, 1) if payloads else None, len(payload), hashlib.sha256(payload).hexdigest())
                     )
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
-    return archives.mapInArrow(run, RECORDS)
+    return archives.mapInArrow(tidy(run), RECORDS)
 
 
 def record_id(archive: str, place: int) -> str:
@@ -224,8 +249,7 @@ def write_warc(archives: DataFrame) -> DataFrame:
     Identifiers come from archive and place, times from ARC's dates, types from the block: an HTTP block is a response,
     another a resource, a payload that an earlier page keeps a revisit, which has the HTTP headers and no payload.
     """
-    records = arc_records(archives)
-    found = records.join(revisits(records).hint("shuffle_merge"), ["archive", "place"], "left")
+    found = arc_records(archives).join(revisits(arc_records(archives, payloads=False)).hint("shuffle_merge"), ["archive", "place"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_id = uuid.uuid4()
@@ -253,11 +277,11 @@ def write_warc(archives: DataFrame) -> DataFrame:
                     ("WARC-Refers-To-Date", warc_date(r["kept_fetched"])),
                     ("WARC-Truncated", "length"),
                 ]
-            return warc_record(facts, r["head"] if again else r["head"] + r["payload"])
+            return warc_record(facts, r["head"] if again else r["head"] + zlib.decompress(r["payload"]))
 
         return segments(batches, begin, one)
 
-    return files(found.mapInArrow(run, "archive binary"), "archive", "warc")
+    return files(found.mapInArrow(tidy(run), "archive binary"), "archive", "warc")
 
 
 def read_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -302,7 +326,7 @@ def warc_records(archives: DataFrame) -> DataFrame:
                 rows = [row(facts, block) for facts, block in read_warc(opened(content.as_py())) if facts["warc-type"] != "warcinfo"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
-    return archives.mapInArrow(run, "record string, record_type string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_record string")
+    return archives.mapInArrow(tidy(run), "record string, record_type string, target_uri string, date string, page_id long, payload_bytes long, payload_digest string, refers_record string")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

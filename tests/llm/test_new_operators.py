@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqtide.llm import archives, centroids, common, infilling
+from seqtide.llm import archives, centroids, common, decontaminate, exact_dedup, infilling, jaccard_join, packing
+from seqtide.llm.queries import tokenizer_path
 
 from .conftest import LONG
 
@@ -196,3 +198,22 @@ def test_meet_joins_hot_and_rare_keys(spark):
     once = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 or key > 4000").withColumn("v", F.col("key") * 2)
     got = common.meet(rows, once, "key", "n")
     assert got.count() == rows.where("key = 7 or key > 4000").count() and got.where("v != key * 2").count() == 0
+
+
+def test_stages_with_clashing_columns(spark, odd, nothing):
+    items = spark.createDataFrame([(1, "One two three four five six seven eight nine ten.", 3), (2, None, 3)], "item_id long, text string, gone_id long")
+    for stage, gone in ((exact_dedup.drop_copies, {3, 5, 6}), (jaccard_join.drop_near_copies, {5, 6}), (lambda d: decontaminate.drop_contaminated(d, items), {1, 6})):
+        kept = stage(odd)
+        assert kept.columns == odd.columns and stage(nothing).count() == 0
+        assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in odd.collect()} - gone
+
+
+def test_packing_remembers_within_a_bound_and_encodes_giant_words(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé&.7") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(50)] + ["w" * 20_000_000, "ab1 " * 1000 + "x" * 5000]
+    small, large = packing.encoder(tokenizer_path(), 4000, 4000), packing.encoder(tokenizer_path())
+    a = [x.tobytes() for x in small(pa.array(texts))]
+    assert a == [x.tobytes() for part in packing.small(pa.array([*texts, None])) for x in large(part)][:-1]
+    held = [c.cell_contents for f in (small, large) for c in f.__closure__ if isinstance(c.cell_contents, packing.Memo)]
+    assert held and all(m.held <= m.limit and sum(len(k) + len(v) for k, v in m.items()) <= m.limit and all(len(k) < packing.LONG_WORD for k in m) for m in held)
