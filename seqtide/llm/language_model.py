@@ -16,6 +16,7 @@ are rounded down to 8-bit codes, so the probabilities sum to 1 at most.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, rows_of, signed, word_list
+from .common import cut, hash_words, mix, rows_of, signed, tidy, word_list
 
 FOLDS = 10
 DISCOUNT = 0.75
@@ -35,7 +36,7 @@ SHARD_ENTRIES = 600_000
 #: Contexts with more than this share of a thousand tokens are dealt to many trie shards by the word after them; there
 #: are at most a thousand of them of each order. The list decides where the work is done, not its result.
 WIDE = 1000
-CODES, LEAST = 255, -9.0
+CODES = 255
 SUCCESSOR_BITS = 40
 END = hash_words([b""])[0]
 
@@ -48,13 +49,27 @@ def unpacked(raw: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(raw), dtype=dtype)
 
 
-def coded(x: np.ndarray) -> np.ndarray:
-    """8-bit codes of log10 x, rounded down; 0 is kept for nothing."""
-    return np.clip(np.floor((np.log10(x) - LEAST) / -LEAST * (CODES - 1)) + 1, 1, CODES).astype(np.uint8)
+def least_of(n_train: int) -> float:
+    """A power of ten (by its exponent) that no probability or back-off of ``n_train`` training tokens lies under."""
+    return -float(max(1, math.ceil(math.log10(max(n_train, 1) / min(DISCOUNT, 1 - DISCOUNT)))))
 
 
-def decoded(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10 ** ((code.astype(float) - 1) / (CODES - 1) * -LEAST + LEAST), 0.0)
+def coded(x: np.ndarray, least: float) -> np.ndarray:
+    """8-bit codes of log10 x over the range from ``least`` to 0, rounded down; 0 is kept for nothing."""
+    return np.clip(np.floor((np.log10(x) - least) / -least * (CODES - 1)) + 1, 1, CODES).astype(np.uint8)
+
+
+def decoded(code: np.ndarray, least: float) -> np.ndarray:
+    return np.where(code > 0, 10 ** ((code.astype(float) - 1) / (CODES - 1) * -least + least), 0.0)
+
+
+def ascending(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers by their gaps, byte by byte of all, compressed: the high bytes of the gaps are mostly zero."""
+    return packed(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def ascended(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpacked(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class Monotone:
@@ -133,7 +148,7 @@ class Trie:
         self.backoff, self.codes = (np.frombuffer(p, dtype=np.uint8) for p in part[3:])
 
     @staticmethod
-    def build(context: np.ndarray, successor: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    def build(context: np.ndarray, successor: np.ndarray, count: np.ndarray, totals: dict[int, int], least: float) -> tuple[bytes, np.ndarray, np.ndarray]:
         """(trie, contexts, successors of each) from sorted distinct pairs. ``totals`` has c(v) of contexts that are dealt to several tries."""
         new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, dtype=np.int64)
         sizes = np.diff(np.r_[new, len(context)])
@@ -151,8 +166,8 @@ class Trie:
             Monotone.encode(names, 1 << 64),
             Monotone.encode(np.r_[0, np.cumsum(sizes)].astype(np.uint64), len(context) + 1),
             Monotone.encode(value, int(value[-1]) + 1 if len(value) else 1),
-            coded(DISCOUNT * sizes / total).tobytes(),
-            coded((count - DISCOUNT) / np.repeat(total, sizes)).tobytes(),
+            coded(DISCOUNT * sizes / total, least).tobytes(),
+            coded((count - DISCOUNT) / np.repeat(total, sizes), least).tobytes(),
         ]
         return np.array([len(p) for p in parts], dtype=np.int64).tobytes() + b"".join(parts), names, sizes
 
@@ -223,7 +238,7 @@ def token_blocks(docs: DataFrame, folds: int) -> DataFrame:
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % folds == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "block long, docs binary, held binary, sizes binary, words binary, counts binary, tokens binary, n_words long, n_train long")
+    return texts.mapInArrow(tidy(run), "block long, docs binary, held binary, sizes binary, words binary, counts binary, tokens binary, n_words long, n_train long")
 
 
 def shard_of(x: np.ndarray, shards: int) -> np.ndarray:
@@ -282,7 +297,7 @@ class Pairs:
         for s, a, b in zip(shards, first, np.r_[first[1:], len(self.start)], strict=True):
             low, high = self.start[a], self.start[b - 1] + self.length[b - 1]
             yield rows_of(
-                _ASK, shard=[int(s)], block=[block], keys=[np.ascontiguousarray(self.name[self.start[a:b]]).tobytes()], sizes=[packed(self.length[a:b].astype(np.uint32))],
+                _ASK, shard=[int(s)], block=[block], keys=[ascending(self.name[self.start[a:b]])], sizes=[packed(self.length[a:b].astype(np.uint32))],
                 successors=[np.ascontiguousarray(five[low:high]).tobytes()], counts=[packed(train[low:high])],
             )
 
@@ -307,7 +322,7 @@ def context_counts(blocks: DataFrame, words: np.ndarray, order: int, names: np.n
                 keep = n * WIDE > n_train if names is None else np.isin(found, names)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found[keep])), pa.array(n[keep])], names=["word", "n"])
 
-    return blocks.select("held", "sizes", "words", "tokens").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.select("held", "sizes", "words", "tokens").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ask_counts(blocks: DataFrame, shards: int) -> DataFrame:
@@ -322,7 +337,7 @@ def ask_counts(blocks: DataFrame, shards: int) -> DataFrame:
                 for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     yield rows_of(_ASK, shard=[int(shard[part[0]])], block=[row["block"]], keys=[words[part].tobytes()], sizes=[b""], successors=[b""], counts=[packed(counts[part])])
 
-    return blocks.select("block", "words", "counts").mapInArrow(run, ASK)
+    return blocks.select("block", "words", "counts").mapInArrow(tidy(run), ASK)
 
 
 def count_words(asked: DataFrame, wide: np.ndarray) -> DataFrame:
@@ -345,12 +360,12 @@ def count_words(asked: DataFrame, wide: np.ndarray) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def query_tries(asked: DataFrame, totals: dict[int, int]) -> DataFrame:
+def query_tries(asked: DataFrame, totals: dict[int, int], least: float) -> DataFrame:
     """kind 1: codes of a pair by pair (a) and of b context by context (b); kind 3: a wide context (x) and its number of different words here (y)."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        keys = [np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]
+        keys = [ascended(r["keys"]) for r in rows]
         sizes = [unpacked(r["sizes"], np.uint32).astype(np.int64) for r in rows]
         after = []
         for r in rows:
@@ -364,7 +379,7 @@ def query_tries(asked: DataFrame, totals: dict[int, int]) -> DataFrame:
         seen = seen[np.lexsort((word[seen], name[seen]))]
         c, w, n = name[seen], word[seen], count[seen]
         new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])][: len(c)])
-        raw, contexts, spread = Trie.build(c[new], w[new], np.add.reduceat(n, new) if len(new) else n, totals)
+        raw, contexts, spread = Trie.build(c[new], w[new], np.add.reduceat(n, new) if len(new) else n, totals, least)
         trie, shard, out = Trie(memoryview(raw)), rows[0]["shard"], []
         for r, key, size, x in zip(rows, keys, sizes, after, strict=True):
             ranks = trie.context_ranks(key)
@@ -399,7 +414,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
                 many = counts * WIDE > counts.sum()
                 yield pa.RecordBatch.from_arrays([pa.array(signed(words[many])), pa.array(counts[many])], names=["word", "n"])
 
-    usual = blocks.select("words", "counts").mapInArrow(common_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * WIDE > n_train)
+    usual = blocks.select("words", "counts").mapInArrow(tidy(common_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * WIDE > n_train)
     wide = np.array(sorted(r["word"] for r in usual.collect()), dtype=np.int64).view(np.uint64)  # at most WIDE words
     counted = cut(count_words(ask_counts(blocks, shards), wide))
     n_words = counted.where("kind = 2").agg(F.sum("x")).first()[0] or 0
@@ -412,17 +427,23 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
             totals |= {r["word"] % (1 << 64): r["n"] for r in context_counts(blocks, wide, m, broad_of[m]).collect()}
     tries = max(1, -(-(n_train + blocks_n) // SHARD_ENTRIES))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for m in range(2, order + 1):
+    least = least_of(n_train)
+
+    def answers_of(m: int) -> DataFrame:
+        """One order's n-grams go out and come back before the next order's, so only one order is shuffled at a time."""
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
                     yield from Pairs(row, broad_of[m], tries, m).ask(row["block"])
 
-    answers = cut(query_tries(blocks.mapInArrow(ask, ASK), totals))
+        return cut(query_tries(blocks.mapInArrow(tidy(ask), ASK), totals, least))
+
+    answers = functools.reduce(DataFrame.union, [answers_of(m) for m in range(2, order + 1)])
     spread = {r["x"] % (1 << 64): r["n"] for r in answers.where("kind = 3").groupBy("x").agg(F.sum("y").alias("n")).collect()}
     floor = n_train + 0.1 * (n_words + 1)
     broad = np.array(sorted(spread), dtype=np.uint64)
-    broad_back = decoded(coded(np.array([DISCOUNT * spread[v] / totals[v] for v in sorted(spread)])))
+    broad_back = decoded(coded(np.array([DISCOUNT * spread[v] / totals[v] for v in sorted(spread)]), least), least)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row, replies = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
@@ -434,13 +455,13 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
             p = Pairs(row, broad_of[m], tries, m)
             own = [r for r in replies if r["kind"] == 1 and r["shard"] // tries == m - 2]
             a, b = (np.concatenate([unpacked(r[c], np.uint8) for r in own]) for c in "ab")
-            back = np.where(b > 0, decoded(b), 1.0)
+            back = np.where(b > 0, decoded(b, least), 1.0)
             if len(broad):
                 name = p.name[p.start]
                 at = np.minimum(np.searchsorted(broad, name), len(broad) - 1)
                 back = np.where(broad[at] == name, broad_back[at], back)
             pair, pair_back = np.empty(len(p.order)), np.empty(len(p.order))
-            pair[p.order] = decoded(a)
+            pair[p.order] = decoded(a, least)
             pair_back[p.order] = np.repeat(back, p.length)
             chance = pair[p.inverse] + pair_back[p.inverse] * (alone[p.tokens] if chance is None else chance)
         logs = np.log10(chance)

@@ -347,13 +347,23 @@ def test_language_model_of_order_three(spark, tables, odd, monkeypatch):
 def test_trie_finds_successors_only_in_their_range():
     rng = np.random.RandomState(3)
     pairs = np.unique(rng.randint(0, 40, (600, 2)), axis=0).astype(np.uint64)
-    raw, names, _ = language_model.Trie.build(pairs[:, 0], pairs[:, 1], np.full(len(pairs), 2), {})
+    raw, names, _ = language_model.Trie.build(pairs[:, 0], pairs[:, 1], np.full(len(pairs), 2), {}, -9.0)
     trie, have = language_model.Trie(memoryview(raw)), set(map(tuple, pairs.tolist()))
     context, word = (x.ravel() for x in np.meshgrid(np.arange(45, dtype=np.uint64), np.arange(90, dtype=np.uint64)))
     found = trie.successor_codes(trie.context_ranks(context), word) > 0
     assert found.tolist() == [pair in have for pair in zip(context.tolist(), word.tolist(), strict=True)]
 
 
+def test_codes_reach_down_to_the_rarest_pair_of_any_corpus():
+    for n in (1, 50, 10**6, 10**12):
+        least = language_model.least_of(n)
+        rare = np.array([0.25 / n, 0.75 / n, 1.0])
+        back = language_model.decoded(language_model.coded(rare, least), least)
+        assert (back <= rare * (1 + 1e-12)).all() and (np.log10(rare) - np.log10(back) < 2 * -least / 254).all()
+    names = np.unique(np.random.RandomState(1).randint(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(3))
+    assert (language_model.ascended(language_model.ascending(names)) == names).all() and len(language_model.ascended(language_model.ascending(names[:0]))) == 0
+
+
 def test_language_model_of_a_table_that_landed_twice(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 7}" for j in range(9))) for i in range(1, 30)], "doc_id long, text string").coalesce(1)
     once, twice = (language_model.lm_scores(d).collect() for d in (docs, docs.union(docs)))
