@@ -381,7 +381,7 @@ def odds_and_profile(spark, sf):
 )
 def _(spark, sf):
     _, odds, profile_ = odds_and_profile(spark, sf)
-    return pr.pity_by_ers(odds, profile_)
+    return pr.pity_by_ers(odds, profile_, exact=False)
 
 
 @query(
@@ -405,7 +405,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     seq = tl.timeline(spark, sf)
-    return pr.return_by_ers(seq, pr.behaviour_profile(pr.with_state(seq)))
+    return pr.return_by_ers(seq, pr.behaviour_profile(pr.with_state(seq)), exact=False)
 
 
 @query(
@@ -417,7 +417,7 @@ def _(spark, sf):
 def _(spark, sf):
     # The driver events end within hours of each other for most entities: two hours idle.
     seq = tl.timeline(spark, sf)
-    return pr.churn_by_odds(seq, pr.streak_odds(seq), idle_s=7200)
+    return pr.churn_by_odds(seq, pr.streak_odds(seq), idle_s=7200, exact=False)
 
 
 @query(

@@ -27,13 +27,13 @@ CREDIT = long3(f"metric > 55 AND {FULL3}", "cr")
 
 @query("a15_debt_extinction", f"{T}, {DEBT} {Q.mwu('lg', ['measure'], 'win', 'value', '1', '0', 'less', 10)}")
 def _(spark, sf):
-    return oc.debt_extinction(tl.timeline(spark, sf))
+    return oc.debt_extinction(tl.timeline(spark, sf), exact=False)
 
 
 @query("a15_on_a_written_timeline", f"{T}, {DEBT} {Q.mwu('lg', ['measure'], 'win', 'value', '1', '0', 'less', 10)}")
 def _(spark, sf):
     name = f"timeline_{uuid.uuid4().hex}"
-    return oc.debt_extinction(tl.materialize(tl.timeline(spark, sf), name, f"{checkpoint_dir(spark).rstrip('/')}/{name}"))
+    return oc.debt_extinction(tl.materialize(tl.timeline(spark, sf), name, f"{checkpoint_dir(spark).rstrip('/')}/{name}"), exact=False)
 
 
 @query(
@@ -46,7 +46,7 @@ def _(spark, sf):
 
 @query("a16_favorable_outcome", f"{T}, f AS (SELECT win, next_metric FROM tl WHERE metric > 55) {Q.mwu('f', [], 'win', 'next_metric', '1', '0', 'two-sided', 10)}")
 def _(spark, sf):
-    return oc.favorable_outcome(tl.timeline(spark, sf))
+    return oc.favorable_outcome(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -54,7 +54,7 @@ def _(spark, sf):
     f"{T}, {DEBT}, {CREDIT} SELECT *, 'debt' AS section FROM ({Q.mwu('lg', ['measure'], 'win', 'value', '1', '0', 'less', 10)}) UNION ALL SELECT *, 'credit' AS section FROM ({Q.mwu('cr', ['measure'], 'win', 'value', '1', '0', 'two-sided', 10)})",
 )
 def _(spark, sf):
-    return oc.debt_credit_combined(tl.timeline(spark, sf))
+    return oc.debt_credit_combined(tl.timeline(spark, sf), exact=False)
 
 
 DQ = f"""{T}, dq AS (SELECT *, CASE WHEN score_for = 0 AND score_against = 3 THEN 'crushing' WHEN score_against - score_for = 1 THEN 'close' END AS quality
@@ -63,7 +63,7 @@ FROM tl WHERE win = 0 AND metric IS NOT NULL AND next_metric IS NOT NULL)"""
 
 @query("a17_defeat_quality", f"""{DQ} {Q.mwu('dq', [], 'quality', 'next_metric', "'crushing'", "'close'", 'greater', 10)}""")
 def _(spark, sf):
-    return oc.defeat_quality(tl.timeline(spark, sf))
+    return oc.defeat_quality(tl.timeline(spark, sf), exact=False)
 
 
 @query("a17_defeat_leak", f"{DQ} SELECT quality, count(*) AS n, {Q.r('avg(leak_for)')} AS avg_leak FROM dq WHERE quality IS NOT NULL GROUP BY 1")
@@ -90,7 +90,7 @@ def _(spark, sf):
     f"""{EP}, ml AS (SELECT state, 'level' AS measure, level AS value FROM z UNION ALL SELECT state, 'metric2', metric2 FROM z) {Q.mwu('ml', ['measure'], 'state', 'value', "'Debt'", "'Credit'", 'less', 11)}""",
 )
 def _(spark, sf):
-    return oc.debt_credit_levels(tl.timeline(spark, sf))
+    return oc.debt_credit_levels(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -114,7 +114,7 @@ rk AS (SELECT 'Loss' AS risk, * FROM l UNION ALL SELECT 'Loss2', * FROM l WHERE
 
 @query("a07_pity_and_session_length", f"""{RISK} {Q.mwu('rk', ['risk'], 'grp', 'remaining', "'pity'", "'none'", 'greater', 10)}""")
 def _(spark, sf):
-    return oc.pity_and_session_length(tl.timeline(spark, sf))
+    return oc.pity_and_session_length(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -123,7 +123,7 @@ def _(spark, sf):
     JOIN (SELECT risk, avg(break_s) FILTER (grp = 'pity') AS m1, avg(break_s) FILTER (grp = 'none') AS m2 FROM rk WHERE break_s IS NOT NULL GROUP BY 1) x USING (risk)""",
 )
 def _(spark, sf):
-    return oc.pity_and_return_time(tl.timeline(spark, sf))
+    return oc.pity_and_return_time(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -132,7 +132,7 @@ def _(spark, sf):
     SELECT m.*, s.n AS n_all, s.rho, s.p AS rho_p FROM ({Q.mwu('st', [], 'grp', 'metric', "'low'", "'high'", 'less')}) m, ({Q.spearman('st', [], 'stress_before', 'metric')}) s""",
 )
 def _(spark, sf):
-    return oc.cannon_fodder(tl.timeline(spark, sf))
+    return oc.cannon_fodder(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -205,7 +205,7 @@ def _(spark, sf):
     SELECT *, 'good' AS tail FROM ({Q.mwu('re', ['prev_stop'], 'tail', 'round(residual, 9)', "'good'", "'control'", 'greater', 5)})""",
 )
 def _(spark, sf):
-    return oc.return_tests(oc.return_rows(tl.timeline(spark, sf)).withColumn("residual", F.round("residual", 9)))
+    return oc.return_tests(oc.return_rows(tl.timeline(spark, sf)).withColumn("residual", F.round("residual", 9)), exact=False)
 
 
 @query(
@@ -237,7 +237,7 @@ def _(spark, sf):
     SELECT mt.*, {Q.r('delta')} AS delta, {Q.i('p < 0.05 AND delta < -0.1')} AS flagged FROM mt JOIN mx USING (bucket) WHERE n1 + n2 >= 50""",
 )
 def _(spark, sf):
-    return oc.paywall(tl.timeline(spark, sf))
+    return oc.paywall(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -306,7 +306,7 @@ def _(spark, sf):
 
 @query("a28_leak_pressure", f"""{SKL} {Q.mwu('sl', [], 'zone', 'leak_for', "'Bad'", "'Good'", 'greater')}""")
 def _(spark, sf):
-    return oc.leak_pressure(tl.timeline(spark, sf))
+    return oc.leak_pressure(tl.timeline(spark, sf), exact=False)
 
 
 DS = f"{T}, ds AS (SELECT level, next_level FROM tl WHERE metric < 45 AND NOT coalesce(prev_metric < 45, FALSE) AND deck = next_deck AND level IS NOT NULL AND next_level IS NOT NULL)"
@@ -314,7 +314,7 @@ DS = f"{T}, ds AS (SELECT level, next_level FROM tl WHERE metric < 45 AND NOT co
 
 @query("a30_h10_debt_progression", f"{DS} {Q.wilcoxon('ds', [], 'level', 'next_level', 'two-sided', 20)}")
 def _(spark, sf):
-    return oc.debt_progression(tl.timeline(spark, sf))
+    return oc.debt_progression(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -324,7 +324,7 @@ def _(spark, sf):
     {Q.mwu('rd', [], 'win', 'residual', '1', '0', 'less', 10)}""",
 )
 def _(spark, sf):
-    return oc.residual_after_debt(tl.timeline(spark, sf))
+    return oc.residual_after_debt(tl.timeline(spark, sf), exact=False)
 
 
 WS = f"""{T}, w0 AS (SELECT win, 'metric' AS measure, round(next_metric - metric, 9) AS value FROM tl WHERE metric < 45 AND next_metric IS NOT NULL UNION ALL
@@ -338,7 +338,7 @@ def _(spark, sf):
 
 @query("a59_worsening_test", f"{WS} {Q.mwu('ws', ['measure'], 'win', 'value', '1', '0', 'less', 10)}")
 def _(spark, sf):
-    return oc.worsening_test(oc.worsening_rows(tl.timeline(spark, sf)))
+    return oc.worsening_test(oc.worsening_rows(tl.timeline(spark, sf)), exact=False)
 
 
 SP = f"""{T}, s0 AS (SELECT *, sum(2 * win - 1) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS net FROM tl),
@@ -358,7 +358,7 @@ def _(spark, sf):
 
 @query("a61_hot_against_tilt", f"""{SP} {Q.mwu('sp', [], 'temper', 'metric2', "'hot'", "'tilt'", 'less')}""")
 def _(spark, sf):
-    return oc.hot_against_tilt(oc.speed_rows(tl.timeline(spark, sf)))
+    return oc.hot_against_tilt(oc.speed_rows(tl.timeline(spark, sf)), exact=False)
 
 
 @query(

@@ -190,11 +190,17 @@ cl AS (SELECT bucket, item, count(*) AS n, count(*) / CAST(any_value(total) AS D
 cm AS (SELECT *, round(fh / freq, 9) AS lift FROM cl)"""
 
 
-@query(
-    "a42_g10_k02_counter_items",
-    f"""{CI}, cn AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY lift DESC, item) AS place FROM cm)
-    SELECT bucket, place, item, n, {Q.r('freq')} AS freq, {Q.r('fh')} AS freq_hit, {Q.r('lift')} AS lift, CASE WHEN lift > 1.5 AND freq > 0.10 THEN 'meta killer' WHEN lift > 2 THEN 'sniper' WHEN lift < 0.7 THEN 'safe' ELSE '' END AS verdict FROM cn WHERE place <= 15""",
-)
+LINES = f"{Q.ITEMS}, bi AS (SELECT deck, item, level FROM deck_items)"
+COUNTER = f"""{CI}, cn AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY lift DESC, item) AS place FROM cm)
+    SELECT bucket, place, item, n, {Q.r('freq')} AS freq, {Q.r('fh')} AS freq_hit, {Q.r('lift')} AS lift, CASE WHEN lift > 1.5 AND freq > 0.10 THEN 'meta killer' WHEN lift > 2 THEN 'sniper' WHEN lift < 0.7 THEN 'safe' ELSE '' END AS verdict FROM cn WHERE place <= 15"""
+
+
+@query("a42_g10_k02_counter_items", COUNTER.replace(CLS, LINES))
+def _(spark, sf):
+    return st.counter_items(tl.timeline(spark, sf), tables.deck_items(spark, sf))
+
+
+@query("a42_counter_item_classes", COUNTER)
 def _(spark, sf):
     return st.counter_items(tl.timeline(spark, sf), tables.deck_item_classes(spark, sf))
 
@@ -245,18 +251,29 @@ kr AS (SELECT k0.slot, k0.region, ki.item, k0.arch, CASE WHEN bi.item IS NULL TH
 kt AS ({Q.chi_square('kr', ['slot', 'region', 'item'], 'arch', 'held')})"""
 
 
-@query("a65_item_fairness_tests", f"{IFR} SELECT slot, {Q.i('region')} AS region, item, rows, cols, n, dof, chi2, min_expected, low_expected, p FROM kt")
+TESTED = f"{IFR} SELECT slot, {Q.i('region')} AS region, item, rows, cols, n, dof, chi2, min_expected, low_expected, p FROM kt"
+TOP = f"""{IFR}, kx AS (SELECT *, row_number() OVER (PARTITION BY slot, region ORDER BY p, item) AS place FROM kt WHERE p < 0.05),
+    ke AS (SELECT slot, region, item, arch, avg(CASE WHEN held = 'yes' THEN 100.0::DOUBLE ELSE 0 END) AS rate FROM kr GROUP BY 1, 2, 3, 4),
+    ky AS (SELECT slot, region, item, arg_max(arch, struct_pack(a := rate, b := arch)) AS max_arch, max(rate) AS max_rate, arg_min(arch, struct_pack(a := rate, b := arch)) AS min_arch, min(rate) AS min_rate FROM ke GROUP BY 1, 2, 3)
+    SELECT slot, {Q.i('region')} AS region, place, item, chi2, p, max_arch, {Q.r('max_rate')} AS max_rate, min_arch, {Q.r('min_rate')} AS min_rate, {Q.r('max_rate - min_rate')} AS delta FROM kx JOIN ky USING (slot, region, item) WHERE place <= 5"""
+
+
+@query("a65_item_fairness_tests", TESTED.replace(CLS, LINES))
+def _(spark, sf):
+    return st.item_fairness(arch_hours(spark, sf), tables.deck_items(spark, sf))[0]
+
+
+@query("a65_item_class_fairness_tests", TESTED)
 def _(spark, sf):
     return st.item_fairness(arch_hours(spark, sf), tables.deck_item_classes(spark, sf))[0]
 
 
-@query(
-    "a65_k05_item_fairness_top",
-    f"""{IFR}, kx AS (SELECT *, row_number() OVER (PARTITION BY slot, region ORDER BY p, item) AS place FROM kt WHERE p < 0.05),
-    ke AS (SELECT slot, region, item, arch, avg(CASE WHEN held = 'yes' THEN 100.0::DOUBLE ELSE 0 END) AS rate FROM kr GROUP BY 1, 2, 3, 4),
-    ky AS (SELECT slot, region, item, arg_max(arch, struct_pack(a := rate, b := arch)) AS max_arch, max(rate) AS max_rate, arg_min(arch, struct_pack(a := rate, b := arch)) AS min_arch, min(rate) AS min_rate FROM ke GROUP BY 1, 2, 3)
-    SELECT slot, {Q.i('region')} AS region, place, item, chi2, p, max_arch, {Q.r('max_rate')} AS max_rate, min_arch, {Q.r('min_rate')} AS min_rate, {Q.r('max_rate - min_rate')} AS delta FROM kx JOIN ky USING (slot, region, item) WHERE place <= 5""",
-)
+@query("a65_k05_item_fairness_top", TOP.replace(CLS, LINES))
+def _(spark, sf):
+    return st.item_fairness_top(*st.item_fairness(arch_hours(spark, sf), tables.deck_items(spark, sf)))
+
+
+@query("a65_k05_item_class_fairness_top", TOP)
 def _(spark, sf):
     return st.item_fairness_top(*st.item_fairness(arch_hours(spark, sf), tables.deck_item_classes(spark, sf)))
 
@@ -267,34 +284,54 @@ THREATS = [(f"Brand#{t}", f"Brand#{(t + d) % 25 + 1}", "hard" if d < 6 else "sof
 TH = "th AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in THREATS) + ") AS t(threat, item, kind))"
 
 
-@query(
-    "a54_e03_threat_encounters",
-    f"""WITH {Q.tl('Ladder')}, {CLS}, {TH}, nm AS (SELECT DISTINCT threat FROM th), an AS (SELECT deck, threat, count(*) FILTER (kind = 'hard') AS h, count(*) FILTER (kind = 'soft') AS s FROM bi JOIN th USING (item) GROUP BY 1, 2),
+MET = f"""WITH {Q.tl('Ladder')}, {CLS}, {TH}, nm AS (SELECT DISTINCT threat FROM th), an AS (SELECT deck, threat, count(*) FILTER (kind = 'hard') AS h, count(*) FILTER (kind = 'soft') AS s FROM bi JOIN th USING (item) GROUP BY 1, 2),
     ev2 AS (SELECT tl.deck, tl.opp_deck FROM tl WHERE rating_before >= 6000 AND rating_before < 12000 AND tl.deck IN (SELECT deck FROM bi) AND tl.opp_deck IN (SELECT deck FROM bi)),
     en AS (SELECT nm.threat, coalesce(h > 0 OR s >= 2, FALSE) AS safe, bi.item IS NOT NULL AS meets FROM ev2 CROSS JOIN nm LEFT JOIN an ON an.deck = ev2.deck AND an.threat = nm.threat LEFT JOIN bi ON bi.deck = ev2.opp_deck AND bi.item = nm.threat),
     eo AS (SELECT threat, count(*) FILTER (NOT safe) AS vulnerable, count(*) FILTER (NOT safe AND meets) AS vulnerable_met, count(*) FILTER (safe) AS safe, count(*) FILTER (safe AND meets) AS safe_met FROM en GROUP BY 1),
     ep AS (SELECT *, coalesce(vulnerable_met * 100.0::DOUBLE / nullif(vulnerable, 0), 0) AS v, coalesce(safe_met * 100.0::DOUBLE / nullif(safe, 0), 0) AS s FROM eo)
-    SELECT threat, vulnerable, vulnerable_met, safe, safe_met, {Q.r('v')} AS vulnerable_pct, {Q.r('s')} AS safe_pct, {Q.r('v / nullif(s, 0)')} AS ratio, CASE WHEN v > s * 1.5 THEN 'targeted' WHEN s > v THEN 'inverse' ELSE 'neutral' END AS verdict FROM ep""",
-)
+    SELECT threat, vulnerable, vulnerable_met, safe, safe_met, {Q.r('v')} AS vulnerable_pct, {Q.r('s')} AS safe_pct, {Q.r('v / nullif(s, 0)')} AS ratio, CASE WHEN v > s * 1.5 THEN 'targeted' WHEN s > v THEN 'inverse' ELSE 'neutral' END AS verdict FROM ep"""
+ITEM_TH = "th AS (SELECT t.p_partkey AS threat, a.p_partkey AS item, CASE a.p_brand WHEN 'Brand#4' THEN 'hard' ELSE 'soft' END AS kind FROM part t JOIN part a ON a.p_size = t.p_size WHERE t.p_brand = 'Brand#3' AND a.p_brand IN ('Brand#4', 'Brand#5'))"
+
+
+@query("a54_e03_threat_encounters", MET.replace(CLS, LINES).replace(TH, ITEM_TH))
+def _(spark, sf):
+    """Threats are the items of one brand; those of the same size of two other brands answer them, hard or soft."""
+    part = tables.read(spark, sf, "part")
+    answers = part.filter("p_brand in ('Brand#4', 'Brand#5')").select("p_size", F.col("p_partkey").alias("item"), F.when(F.col("p_brand") == "Brand#4", "hard").otherwise("soft").alias("kind"))
+    threats = part.filter("p_brand = 'Brand#3'").select("p_size", F.col("p_partkey").alias("threat")).join(answers, "p_size").drop("p_size")
+    events = tl.timeline(spark, sf, "Ladder").df.filter("rating_before >= 6000 AND rating_before < 12000")
+    return st.threat_encounters(events, tables.deck_items(spark, sf), threats)
+
+
+@query("a54_threat_class_encounters", MET)
 def _(spark, sf):
     threats = spark.createDataFrame(THREATS, "threat string, item string, kind string")
     events = tl.timeline(spark, sf, "Ladder").df.filter("rating_before >= 6000 AND rating_before < 12000")
     return st.threat_encounters(events, tables.deck_item_classes(spark, sf), threats)
 
 
-@query(
-    "a55_g16_sniper_confounding",
-    f"""{AH}, {CLS}, b0 AS (SELECT *, coalesce(metric2 < 40, FALSE) AS hit FROM ah WHERE mode = 'Ladder' AND rating_before >= 7000 AND rating_before < 8000),
+SNIPERS = f"""{AH}, {CLS}, b0 AS (SELECT *, coalesce(metric2 < 40, FALSE) AS hit FROM ah WHERE mode = 'Ladder' AND rating_before >= 7000 AND rating_before < 8000),
     b1 AS (SELECT count(*) AS t, count(*) FILTER (hit) AS th FROM b0), b2 AS (SELECT b0.*, bi.item FROM b0 JOIN bi ON bi.deck = b0.opp_deck),
     b3 AS (SELECT item, count(*) AS n, count(*) / CAST(any_value(t) AS DOUBLE) AS freq, round(count(*) FILTER (hit) / CAST(any_value(th) AS DOUBLE) / (count(*) / CAST(any_value(t) AS DOUBLE)), 9) AS lift FROM b2, b1 GROUP BY 1 HAVING count(*) >= 5),
     b4 AS (SELECT *, row_number() OVER (ORDER BY lift DESC, item) AS place FROM b3 WHERE lift > 1.05 AND freq < 0.5),
     b5 AS (SELECT item, avg(CASE WHEN hour < 7 THEN 100.0::DOUBLE ELSE 0 END) AS night, count(DISTINCT opponent) / CAST(count(*) AS DOUBLE) AS ratio FROM b2 GROUP BY 1),
     b6 AS (SELECT item, max(c) / CAST(sum(c) AS DOUBLE) AS share FROM (SELECT item, floor(rating_before / 250.0) AS b, count(*) AS c FROM b2 GROUP BY 1, 2) GROUP BY 1)
-    SELECT item, place, n, {Q.r('freq')} AS freq, {Q.r('lift')} AS lift, {Q.r('night')} AS night_pct, {Q.r('ratio')} AS opponent_ratio, {Q.r('share')} AS bucket_share FROM b4 JOIN b5 USING (item) JOIN b6 USING (item) WHERE place <= 5""",
-)
+    SELECT item, place, n, {Q.r('freq')} AS freq, {Q.r('lift')} AS lift, {Q.r('night')} AS night_pct, {Q.r('ratio')} AS opponent_ratio, {Q.r('share')} AS bucket_share FROM b4 JOIN b5 USING (item) JOIN b6 USING (item) WHERE place <= 5"""
+
+
+def sniper_rows(spark, sf):
+    return arch_hours(spark, sf).filter("mode = 'Ladder' AND rating_before >= 7000 AND rating_before < 8000")
+
+
+@query("a55_g16_sniper_confounding", SNIPERS.replace(CLS, LINES).replace("lift > 1.05 AND freq < 0.5", "lift > 1.8 AND freq < 0.15"))
+def _(spark, sf):
+    return st.sniper_confounding(sniper_rows(spark, sf), tables.deck_items(spark, sf))
+
+
+@query("a55_sniper_class_confounding", SNIPERS)
 def _(spark, sf):
-    rows = arch_hours(spark, sf).filter("mode = 'Ladder' AND rating_before >= 7000 AND rating_before < 8000")
-    return st.sniper_confounding(rows, tables.deck_item_classes(spark, sf), 1.05, 0.5)
+    """Classes instead of items, at lower limits."""
+    return st.sniper_confounding(sniper_rows(spark, sf), tables.deck_item_classes(spark, sf), 1.05, 0.5)
 
 
 # --- confounding ---------------------------------------------------------------------
@@ -403,8 +440,14 @@ ZS = f"""{scored('level')}, vb AS (SELECT *, CAST(floor(rating_before / 200.0) *
 gs AS (SELECT avg(level) AS gm, stddev_samp(level) AS gs FROM vb), vz AS (SELECT vb.*, round(coalesce((level - m) / s, (level - gm) / gs), 9) AS z FROM vb LEFT JOIN bs USING (b), gs)"""
 
 
-@query("a21_normalized_level_streaks", null_sql(ZS, "vz", {"low": "z < -1"}))
+@query("a21_normalized_level_streaks", null_sql(ZS, "vz", {"low": "z < -2"}))
+def _(spark, sf):
+    return st.normalized_level_streaks(tl.timeline(spark, sf), below=-2.0)
+
+
+@query("a21_normalized_level_streaks_wide", null_sql(ZS, "vz", {"low": "z < -1"}))
 def _(spark, sf):
+    """A limit that thin data reach."""
     return st.normalized_level_streaks(tl.timeline(spark, sf), below=-1.0)
 
 

@@ -37,7 +37,7 @@ HV = _halves()
 
 @query("a53_session_trends", f"{HV} {Q.wilcoxon('hv', ['split', 'measure'], 'a', 'b', 'greater', 11)}")
 def _(spark, sf):
-    return tr.session_trends(tr.session_halves(tl.timeline(spark, sf)))
+    return tr.session_trends(tr.session_halves(tl.timeline(spark, sf)), exact=False)
 
 
 @query("a53_length_against_change", f"{HV}, hc AS (SELECT measure, n AS len, round(b - a, 9) AS change FROM hv WHERE split = 'hook') {Q.spearman('hc', ['measure'], 'len', 'change', 5)}")
@@ -94,7 +94,7 @@ def _(spark, sf):
     f"""{T}, m2 AS (SELECT metric, metric2 FROM tl WHERE mode IN ('Ladder', 'Ranked')) SELECT w.*, s.rho, s.p AS rho_p FROM ({Q.wilcoxon('m2', [], 'metric', 'metric2', 'two-sided')}) w, ({Q.spearman('m2', [], 'metric', 'metric2')}) s""",
 )
 def _(spark, sf):
-    return tr.metric_against_second(tl.timeline(spark, sf))
+    return tr.metric_against_second(tl.timeline(spark, sf), exact=False)
 
 
 RB = f"""{HOUR}, us AS (SELECT entity, hour, avg(metric2) AS u FROM hr WHERE metric2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -122,7 +122,7 @@ def _(spark, sf):
 
 @query("a60_return_hour_test", f"""{RB}, rg2 AS (SELECT metric, CASE WHEN hour_gain > 2 THEN 'better' WHEN hour_gain IS NOT NULL THEN 'worse' END AS grp FROM rb) {Q.mwu('rg2', [], 'grp', 'metric', "'better'", "'worse'", 'greater', 2)}""")
 def _(spark, sf):
-    return tr.return_hour_test(tr.return_breakdown(tl.timeline(spark, sf), regions(spark, sf)), min_n=2)
+    return tr.return_hour_test(tr.return_breakdown(tl.timeline(spark, sf), regions(spark, sf)), min_n=2, exact=False)
 
 
 @query(
@@ -188,7 +188,7 @@ GK = f"""{T}, {Q.THRESHOLDS}, gk AS (SELECT *, (SELECT min(lim) FROM thr WHERE l
     {Q.mwu('gl', ['measure'], 'grp', 'value', "'danger'", "'safe'", 'less', 10)}""",
 )
 def _(spark, sf):
-    return tr.gatekeeping(tl.timeline(spark, sf))
+    return tr.gatekeeping(tl.timeline(spark, sf), exact=False)
 
 
 @query(
@@ -251,7 +251,7 @@ def opp_rows(spark, sf):
     SELECT mt.*, {Q.r('d')} AS delta, {Q.r('d - 0.0485')} AS excess_growth FROM mt, dl""",
 )
 def _(spark, sf):
-    return tr.symmetric_gatekeeping(opp_rows(spark, sf))
+    return tr.symmetric_gatekeeping(opp_rows(spark, sf), exact=False)
 
 
 @query(

@@ -35,9 +35,9 @@ def after_zone(seq: Seq, side: str) -> DataFrame:
     return rows.filter(inside & full)
 
 
-def debt_extinction(seq: Seq, min_n: int = 10) -> DataFrame:
+def debt_extinction(seq: Seq, min_n: int = 10, exact: bool = True) -> DataFrame:
     """After an unfavourable event: are the next values lower after a win than after a loss?"""
-    return hy.mann_whitney(measures(after_zone(seq, "debt"), ["win"], _next3()), ["measure"], "win", "value", 1, 0, "less", min_n, exact=False)
+    return hy.mann_whitney(measures(after_zone(seq, "debt"), ["win"], _next3()), ["measure"], "win", "value", 1, 0, "less", min_n, exact=exact)
 
 
 def zone_controls(seq: Seq, side: str) -> DataFrame:
@@ -50,24 +50,24 @@ def zone_controls(seq: Seq, side: str) -> DataFrame:
     )
 
 
-def favorable_outcome(seq: Seq, min_n: int = 10) -> DataFrame:
+def favorable_outcome(seq: Seq, min_n: int = 10, exact: bool = True) -> DataFrame:
     """After a favourable event: does the next metric differ by outcome?"""
     rows = tl.with_next(seq, ["metric"]).df.filter((F.col("metric") > HIGH) & F.col("next_metric").isNotNull())
-    return hy.mann_whitney(rows, [], "win", "next_metric", 1, 0, "two-sided", min_n, exact=False)
+    return hy.mann_whitney(rows, [], "win", "next_metric", 1, 0, "two-sided", min_n, exact=exact)
 
 
-def debt_credit_combined(seq: Seq) -> DataFrame:
+def debt_credit_combined(seq: Seq, exact: bool = True) -> DataFrame:
     """Both zones, three next values: one table over one timeline."""
     debt = debt_extinction(seq).withColumn("section", F.lit("debt"))
     rows = measures(after_zone(seq, "credit"), ["win"], _next3())
-    credit = hy.mann_whitney(rows, ["measure"], "win", "value", 1, 0, "two-sided", 10, exact=False)
+    credit = hy.mann_whitney(rows, ["measure"], "win", "value", 1, 0, "two-sided", 10, exact=exact)
     return debt.unionByName(credit.withColumn("section", F.lit("credit")))
 
 
-def defeat_quality(seq: Seq, min_n: int = 10) -> DataFrame:
+def defeat_quality(seq: Seq, min_n: int = 10, exact: bool = True) -> DataFrame:
     """A crushing loss (0 to 3) against a close one (difference of 1): next metric."""
     rows = defeat_rows(seq)
-    return hy.mann_whitney(rows, [], "quality", "next_metric", "crushing", "close", "greater", min_n, exact=False)
+    return hy.mann_whitney(rows, [], "quality", "next_metric", "crushing", "close", "greater", min_n, exact=exact)
 
 
 def defeat_rows(seq: Seq) -> DataFrame:
@@ -109,10 +109,10 @@ def episode_durations(seq: Seq) -> DataFrame:
     )
 
 
-def debt_credit_levels(seq: Seq, min_n: int = 11) -> DataFrame:
+def debt_credit_levels(seq: Seq, min_n: int = 11, exact: bool = True) -> DataFrame:
     """Debt against Credit events: lower level difference, lower second metric?"""
     rows = measures(episode_rows(seq).df, ["state"], {"level": F.col("level"), "metric2": F.col("metric2")})
-    return hy.mann_whitney(rows, ["measure"], "state", "value", "Debt", "Credit", "less", min_n, exact=False)
+    return hy.mann_whitney(rows, ["measure"], "state", "value", "Debt", "Credit", "less", min_n, exact=exact)
 
 
 def punishment_tradeoff(seq: Seq, min_n: int = 100) -> DataFrame:
@@ -152,23 +152,23 @@ def risk_rows(seq: Seq, pity: float = 60.0, bad: float = 40.0) -> DataFrame:
     )
 
 
-def pity_and_session_length(seq: Seq, min_n: int = 10) -> DataFrame:
+def pity_and_session_length(seq: Seq, min_n: int = 10, exact: bool = True) -> DataFrame:
     """After a risk event: does a favourable next event go with more remaining events?"""
-    return hy.mann_whitney(risk_rows(seq), ["risk"], "grp", "remaining", "pity", "none", "greater", min_n, exact=False)
+    return hy.mann_whitney(risk_rows(seq), ["risk"], "grp", "remaining", "pity", "none", "greater", min_n, exact=exact)
 
 
-def pity_and_return_time(seq: Seq, min_n: int = 10) -> DataFrame:
+def pity_and_return_time(seq: Seq, min_n: int = 10, exact: bool = True) -> DataFrame:
     """After a risk event: does a favourable next event go with a shorter break (hours)?"""
     rows = risk_rows(seq).filter(F.col("break_s").isNotNull())
-    out = hy.mann_whitney(rows, ["risk"], "grp", "break_s", "pity", "none", "less", min_n, exact=False)
+    out = hy.mann_whitney(rows, ["risk"], "grp", "break_s", "pity", "none", "less", min_n, exact=exact)
     return out.withColumns({"mean1": F.col("mean1") / 3600, "mean2": F.col("mean2") / 3600})
 
 
-def cannon_fodder(seq: Seq, low: float = 0.1, high: float = 2.0) -> DataFrame:
+def cannon_fodder(seq: Seq, low: float = 0.1, high: float = 2.0, exact: bool = True) -> DataFrame:
     """Metric under low and under high stress before the event."""
     rows = tl.with_stress(seq).df.filter(F.col("metric").isNotNull())
     grp = F.when(F.col("stress_before") <= low, "low").when(F.col("stress_before") >= high, "high")
-    test = hy.mann_whitney(rows.withColumn("grp", grp), [], "grp", "metric", "low", "high", "less", exact=False)
+    test = hy.mann_whitney(rows.withColumn("grp", grp), [], "grp", "metric", "low", "high", "less", exact=exact)
     rho = hy.spearman(rows, [], "stress_before", "metric").select(F.col("n").alias("n_all"), "rho", F.col("p").alias("rho_p"))
     return test.crossJoin(rho)  # one row each
 
@@ -280,11 +280,11 @@ def return_after_streak(rows: DataFrame, min_control: int = 5) -> DataFrame:
     return out.join(enough.select("prev_stop"), "prev_stop", "left_semi")
 
 
-def return_tests(rows: DataFrame, min_n: int = 5) -> DataFrame:
+def return_tests(rows: DataFrame, min_n: int = 5, exact: bool = True) -> DataFrame:
     """Residual after a bad tail lower, after a good tail higher than control."""
     kept = rows.filter("residual IS NOT NULL")
     out = [
-        hy.mann_whitney(kept, ["prev_stop"], "tail", "residual", side, "control", alt, min_n, exact=False).withColumn("tail", F.lit(side))
+        hy.mann_whitney(kept, ["prev_stop"], "tail", "residual", side, "control", alt, min_n, exact=exact).withColumn("tail", F.lit(side))
         for side, alt in (("bad", "less"), ("good", "greater"))
     ]
     return out[0].unionByName(out[1])
@@ -308,11 +308,11 @@ def pity_lift(seq: Seq, n: int = 3, limit: float = 60.0) -> DataFrame:
     return hy.binomial_lift(out, "hits", "n", "baseline")
 
 
-def paywall(seq: Seq, width: int = 400, min_total: int = 50, min_n: int = 10) -> DataFrame:
+def paywall(seq: Seq, width: int = 400, min_total: int = 50, min_n: int = 10, exact: bool = True) -> DataFrame:
     """Level after a win against after a loss (across sessions) per rating bucket."""
     s = seq.near({"before_win": lambda w: F.lag("win").over(w)}, back=1)
     rows = rated_rows(s.df).filter("level IS NOT NULL AND before_win IS NOT NULL").withColumn("bucket", bucket("rating_before", width))
-    out = hy.mann_whitney(rows, ["bucket"], "before_win", "level", 1, 0, "less", min_n, exact=False)
+    out = hy.mann_whitney(rows, ["bucket"], "before_win", "level", 1, 0, "less", min_n, exact=exact)
     delta = F.col("mean1") - F.col("mean2")
     return out.filter(F.col("n1") + F.col("n2") >= min_total).withColumn("delta", delta).withColumn(
         "flagged", (F.col("p") < 0.05) & (delta < -0.1)
@@ -417,8 +417,8 @@ def skill_matrix(seq: Seq, min_n: int = 10) -> DataFrame:
     )
 
 
-def leak_pressure(seq: Seq) -> DataFrame:
-    return hy.mann_whitney(skill_rows(seq), [], "zone", "leak_for", "Bad", "Good", "greater", exact=False)
+def leak_pressure(seq: Seq, exact: bool = True) -> DataFrame:
+    return hy.mann_whitney(skill_rows(seq), [], "zone", "leak_for", "Bad", "Good", "greater", exact=exact)
 
 
 def debt_start_pairs(seq: Seq) -> DataFrame:
@@ -430,11 +430,11 @@ def debt_start_pairs(seq: Seq) -> DataFrame:
     )
 
 
-def debt_progression(seq: Seq, min_n: int = 20) -> DataFrame:
-    return hy.wilcoxon(debt_start_pairs(seq), [], "level", "next_level", "two-sided", min_n, exact=False)
+def debt_progression(seq: Seq, min_n: int = 20, exact: bool = True) -> DataFrame:
+    return hy.wilcoxon(debt_start_pairs(seq), [], "level", "next_level", "two-sided", min_n, exact=exact)
 
 
-def residual_after_debt(seq: Seq, width: int = 200, min_bucket: int = 50, min_n: int = 10) -> DataFrame:
+def residual_after_debt(seq: Seq, width: int = 200, min_bucket: int = 50, min_n: int = 10, exact: bool = True) -> DataFrame:
     """Residual level of the event after a debt event, win against loss."""
     rated = rated_rows(seq.df).filter("level IS NOT NULL").withColumn("b", bucket("rating_before", width))
     curve = bk.baseline(rated, "b", "level", min_bucket)
@@ -442,7 +442,7 @@ def residual_after_debt(seq: Seq, width: int = 200, min_bucket: int = 50, min_n:
         (F.col("metric") < LOW) & (F.col("next_mode") == "Ladder") & (F.col("next_rating_before") != 0) & F.col("next_level").isNotNull()
     )
     rows = bk.residualize(rows.withColumn("b", bucket("next_rating_before", width)), "b", "next_level", curve)
-    return hy.mann_whitney(rows, [], "win", "residual", 1, 0, "less", min_n, exact=False)
+    return hy.mann_whitney(rows, [], "win", "residual", 1, 0, "less", min_n, exact=exact)
 
 
 def worsening_rows(seq: Seq) -> DataFrame:
@@ -460,8 +460,8 @@ def worsening_shares(rows: DataFrame) -> DataFrame:
     )
 
 
-def worsening_test(rows: DataFrame, min_n: int = 10) -> DataFrame:
-    return hy.mann_whitney(rows, ["measure"], "win", "value", 1, 0, "less", min_n, exact=False)
+def worsening_test(rows: DataFrame, min_n: int = 10, exact: bool = True) -> DataFrame:
+    return hy.mann_whitney(rows, ["measure"], "win", "value", 1, 0, "less", min_n, exact=exact)
 
 
 def speed_rows(seq: Seq, back: int = 5) -> DataFrame:
@@ -480,9 +480,9 @@ def speed_correlation(rows: DataFrame, min_n: int = 20, min_all: int = 101) -> D
     return hy.spearman(rows.join(kept, "net", "left_semi"), [], "net", "metric2", min_all)
 
 
-def hot_against_tilt(rows: DataFrame) -> DataFrame:
+def hot_against_tilt(rows: DataFrame, exact: bool = True) -> DataFrame:
     temper = F.when(F.col("net") >= 3, "hot").when(F.col("net") <= -3, "tilt")
-    return hy.mann_whitney(rows.withColumn("temper", temper), [], "temper", "metric2", "hot", "tilt", "less", exact=False)
+    return hy.mann_whitney(rows.withColumn("temper", temper), [], "temper", "metric2", "hot", "tilt", "less", exact=exact)
 
 
 def metric_deltas(seq: Seq) -> DataFrame:

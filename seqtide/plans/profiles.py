@@ -275,25 +275,25 @@ def median_split(df: DataFrame, by: str, tie: str, name: str = "half") -> DataFr
     return joined.withColumn(name, half).drop("__one", "__no", "__size")
 
 
-def pity_by_ers(odds: DataFrame, profile: DataFrame) -> DataFrame:
+def pity_by_ers(odds: DataFrame, profile: DataFrame, exact: bool = True) -> DataFrame:
     """Median split on ers: are the pity odds of the upper half larger? With the partial
     correlation that holds the number of events fixed."""
     pity = odds.filter((F.col("kind") == "pity") & is_finite("odds")).select("entity", "odds")
     # One row per entity, used by two tests: computed once.
     joined = cut_lineage(pity.join(profile.select("entity", "ers", "total_events"), "entity"))
     halves = median_split(joined, "ers", "entity")
-    test = hy.mann_whitney(halves, [], "half", "odds", "high", "low", "greater", exact=False)
+    test = hy.mann_whitney(halves, [], "half", "odds", "high", "low", "greater", exact=exact)
     partial = hy.partial_spearman(joined, [], "ers", "odds", "total_events")
     return test.crossJoin(partial.select("n", "r_xy", "r_xz", "r_yz", "r_partial")).filter("n >= 4")  # one row each
 
 
-def return_by_ers(seq: Seq, profile: DataFrame) -> DataFrame:
+def return_by_ers(seq: Seq, profile: DataFrame, exact: bool = True) -> DataFrame:
     """Mean first metric after a Long or Quit stop, by the upper and lower half of ers."""
     firsts = session_firsts(seq, ["metric"])
     back = firsts.filter(F.col("prev_stop").isin("Long", "Quit") & F.col("first_metric").isNotNull())
     means = back.groupBy("entity").agg(F.avg("first_metric").alias("avg_return"))
     halves = median_split(cut_lineage(means.join(profile.select("entity", "ers"), "entity")), "ers", "entity")
-    return hy.mann_whitney(halves, [], "half", "avg_return", "high", "low", "greater", exact=False).filter("n1 + n2 >= 4")
+    return hy.mann_whitney(halves, [], "half", "avg_return", "high", "low", "greater", exact=exact).filter("n1 + n2 >= 4")
 
 
 def session_firsts(seq: Seq, columns: list[str]) -> DataFrame:
@@ -304,14 +304,14 @@ def session_firsts(seq: Seq, columns: list[str]) -> DataFrame:
     )
 
 
-def churn_by_odds(seq: Seq, odds: DataFrame, idle_s: int = 3 * 86400, min_n: int = 5) -> DataFrame:
+def churn_by_odds(seq: Seq, odds: DataFrame, idle_s: int = 3 * 86400, min_n: int = 5, exact: bool = True) -> DataFrame:
     """Entities idle longer than ``idle_s`` at the end of the data against the active ones."""
     last = seq.df.groupBy(*seq.keys).agg(F.max("ts").alias("last_ts"))
     now = seq.df.agg(F.max("ts").alias("now"))
     pity = odds.filter((F.col("kind") == "pity") & is_finite("odds")).select("entity", "odds")
     rows = pity.join(last, "entity").crossJoin(F.broadcast(now))  # one row
     state = F.when(F.col("now") - F.col("last_ts") > idle_s, "churned").otherwise("active")
-    return hy.mann_whitney(rows.withColumn("state", state), [], "state", "odds", "active", "churned", "greater", min_n, exact=False)
+    return hy.mann_whitney(rows.withColumn("state", state), [], "state", "odds", "active", "churned", "greater", min_n, exact=exact)
 
 
 # Limits of the sensitivity groups.

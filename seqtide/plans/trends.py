@@ -47,9 +47,9 @@ def session_halves(seq: Seq, min_len: int = 4, hook: int = 3) -> DataFrame:
     )
 
 
-def session_trends(halves: DataFrame, min_n: int = 11) -> DataFrame:
+def session_trends(halves: DataFrame, min_n: int = 11, exact: bool = True) -> DataFrame:
     """Wilcoxon: is the first part better than the last?"""
-    return hy.wilcoxon(halves, ["split", "measure"], "a", "b", "greater", min_n, exact=False)
+    return hy.wilcoxon(halves, ["split", "measure"], "a", "b", "greater", min_n, exact=exact)
 
 
 def length_against_change(halves: DataFrame, min_n: int = 5) -> DataFrame:
@@ -94,10 +94,10 @@ def time_levene(rows: DataFrame, min_n: int = 20) -> DataFrame:
     return hy.levene(rows, ["axis", "measure"], "grp", "value", _enough(min_n))
 
 
-def metric_against_second(seq: Seq) -> DataFrame:
+def metric_against_second(seq: Seq, exact: bool = True) -> DataFrame:
     """Metric with and without levels: means, rank correlation and signed-rank test."""
     rows = seq.df.filter(F.col("mode").isin("Ladder", "Ranked"))
-    test = hy.wilcoxon(rows, [], "metric", "metric2", "two-sided", exact=False)
+    test = hy.wilcoxon(rows, [], "metric", "metric2", "two-sided", exact=exact)
     rho = hy.spearman(rows, [], "metric", "metric2").select("rho", F.col("p").alias("rho_p"))
     return test.crossJoin(rho)  # one row each
 
@@ -153,9 +153,9 @@ def return_breakdown_summary(rows: DataFrame, gain: float = 2.0) -> DataFrame:
     return means.crossJoin(rho)  # one row each
 
 
-def return_hour_test(rows: DataFrame, gain: float = 2.0, min_n: int = 6) -> DataFrame:
+def return_hour_test(rows: DataFrame, gain: float = 2.0, min_n: int = 6, exact: bool = True) -> DataFrame:
     grp = F.when(F.col("hour_gain") > gain, "better").when(F.col("hour_gain").isNotNull(), "worse")
-    return hy.mann_whitney(rows.withColumn("grp", grp), [], "grp", "metric", "better", "worse", "greater", min_n, exact=False)
+    return hy.mann_whitney(rows.withColumn("grp", grp), [], "grp", "metric", "better", "worse", "greater", min_n, exact=exact)
 
 
 # --- slopes over the rating ----------------------------------------------------
@@ -235,12 +235,12 @@ def band_slopes(progression: DataFrame, margin: float = 0.05) -> DataFrame:
 # --- thresholds ----------------------------------------------------------------
 
 
-def gatekeeping(seq: Seq, reach: int = 150, min_n: int = 10) -> DataFrame:
+def gatekeeping(seq: Seq, reach: int = 150, min_n: int = 10, exact: bool = True) -> DataFrame:
     """Values within ``reach`` under the next threshold against all others."""
     rows = rated_rows(seq.df).withColumn("gate", bk.next_threshold("rating_before")).filter("gate IS NOT NULL")
     grp = F.when(F.col("gate") - F.col("rating_before") <= reach, "danger").otherwise("safe")
     long = measures(rows.withColumn("grp", grp), ["grp"], {c: F.col(c) for c in ("metric", "level", "metric2")})
-    return hy.mann_whitney(long, ["measure"], "grp", "value", "danger", "safe", "less", min_n, exact=False)
+    return hy.mann_whitney(long, ["measure"], "grp", "value", "danger", "safe", "less", min_n, exact=exact)
 
 
 # Fixed value: natural growth of the opponents' level per 50 rating points.
@@ -265,10 +265,10 @@ def opponent_level_rows(seq: Seq, basket_levels: DataFrame, width: int = 100, mi
     return bk.residualize(rows, "b", "opp_level", bk.baseline(rows, "b", "opp_level", min_n))
 
 
-def symmetric_gatekeeping(rows: DataFrame) -> DataFrame:
+def symmetric_gatekeeping(rows: DataFrame, exact: bool = True) -> DataFrame:
     """Residual opponent level just under a threshold against the zone before it."""
     out = hy.mann_whitney(
-        rows.withColumn("zone", near_threshold_zone()), [], "zone", "residual", "danger", "control", "greater", exact=False
+        rows.withColumn("zone", near_threshold_zone()), [], "zone", "residual", "danger", "control", "greater", exact=exact
     )
     delta = F.col("mean1") - F.col("mean2")
     return out.withColumn("delta", delta).withColumn("excess_growth", delta - NATURAL_GROWTH_50)
