@@ -239,6 +239,20 @@ def _(spark, sf):
     return st.matchmaking_fairness_mc(arch_hours(spark, sf), 2000)
 
 
+@query(
+    "a43_h07_monte_carlo_facts",
+    f"""{FC}, ch AS ({Q.chi_square('fc', ['slot', 'bucket'], 'arch', 'opp_arch', yates=False)}) SELECT slot, bucket, rows, cols, n, dof, chi2, CAST(low_expected = 1 OR p < 0.10 AS BIGINT) AS monte_carlo, CAST(1 AS BIGINT) AS p_inside, CAST(1 AS BIGINT) AS p_near FROM ch""",
+)
+def _(spark, sf):
+    """The test with drawn tables: all that doesn't depend on the draws, and whether p is a share of them and near its asymptotic value."""
+    out = st.matchmaking_fairness_mc(arch_hours(spark, sf), 2000)
+    plain = st.matchmaking_fairness(arch_hours(spark, sf)).select("slot", "bucket", F.col("p").alias("asymptotic"))
+    inside = F.when(F.col("monte_carlo"), F.col("p").between(1 / 2001, 1.0)).otherwise(F.col("p") == F.col("asymptotic"))
+    return out.join(plain, ["slot", "bucket"]).select(
+        "slot", "bucket", "rows", "cols", "n", "dof", "chi2", "monte_carlo", inside.alias("p_inside"), (F.abs(F.col("p") - F.col("asymptotic")) < 0.2).alias("p_near")
+    )
+
+
 @query("g15_entities_per_bucket", f"{FC} SELECT slot, bucket, count(*) AS n, count(DISTINCT entity) AS entities FROM f0 GROUP BY 1, 2")
 def _(spark, sf):
     return st.players_per_bucket(arch_hours(spark, sf))

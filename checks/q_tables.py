@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from checks import q_core, q_outcomes, q_trends  # noqa: F401  their queries are reported here
@@ -738,6 +739,33 @@ def _(spark, sf):
     return table.read(spark)
 
 
+SEED = T_.StructType([T_.StructField("item", LongType()), T_.StructField("name", T_.StringType()), T_.StructField("rarity", T_.StringType()), T_.StructField("cost", T_.IntegerType())])
+PEOPLE = T_.StructType([T_.StructField("entity", LongType()), T_.StructField("name", T_.StringType()), T_.StructField("last_updated", LongType())])
+
+
+@query(
+    "s23_seed_load",
+    """SELECT 'item' AS kind, p_partkey AS id, p_name AS name, p_brand AS detail FROM part UNION ALL SELECT 'entity', c_custkey, c_name, CAST(1700000000 + CASE WHEN c_custkey % 2 = 0 THEN 60 ELSE 0 END AS VARCHAR) FROM customer""",
+)
+def _(spark, sf):
+    """Items and entities from seed files under declared schemas, loaded twice into versioned tables; then every second
+    entity is updated and with it last_updated alone."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/seed-{uuid.uuid4().hex}"
+    tables.read(spark, sf, "part").selectExpr("p_partkey as item", "p_name as name", "p_brand as rarity", "p_size as cost").write.option("header", "true").csv(f"{base}/items")
+    tables.read(spark, sf, "customer").selectExpr("c_custkey as entity", "c_name as name", "1700000000 as last_updated").write.option("header", "true").csv(f"{base}/people")
+    loaded = {}
+    for name, schema, key in (("items", SEED, "item"), ("people", PEOPLE, "entity")):
+        rows, _ = ig.read_dimension(spark, f"{base}/{name}", schema, [key])
+        table = vt.Versioned(f"{base}/table-{name}", (key,), schema, 8)
+        for _ in range(2):
+            table.apply(rows, lambda stored, new: stored.unionByName(ig.insert_ignore(stored, new, [key], [key])), "seed", 0)  # noqa: B023
+        loaded[name] = table
+    seen = loaded["people"].read(spark).filter("entity % 2 = 0").select("entity", (F.col("last_updated") + 60).alias("last_updated"))
+    loaded["people"].apply(seen, vt.set_columns(["entity"], ["last_updated"], ["last_updated"]), "updates", 0)
+    items = loaded["items"].read(spark).selectExpr("'item' as kind", "item as id", "name", "rarity as detail")
+    return items.unionByName(loaded["people"].read(spark).selectExpr("'entity' as kind", "entity as id", "name", "cast(last_updated as string) as detail"))
+
+
 @query(
     "st03_streaming_sessions",
     f"""WITH {THIRDS}, gs AS (SELECT entity, ts, sum(CASE WHEN g IS NULL OR g >= 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY ts, event_id) AS s FROM (SELECT entity, event_id, ts, ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) AS g FROM ev))

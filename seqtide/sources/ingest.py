@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_dimension(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """A seed file (CSV with a header) under its declared schema: (rows with complete keys, lines that don't fit).
+
+    Nothing is inferred. Of rows with one key the first by their other columns stays, as insert-or-ignore has it.
+    """
+    declared = T.StructType([*schema.fields, T.StructField("line", T.StringType())])
+    raw = spark.read.schema(declared).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path)
+    fits = F.col("line").isNull()
+    for k in keys:
+        fits = fits & F.col(k).isNotNull()
+    rest = [c for c in schema.fieldNames() if c not in keys]
+    kept = raw.filter(fits).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, *[F.col("__r")[c].alias(c) for c in rest])
+    return kept.select(*schema.fieldNames()), raw.filter(~fits)
 
 
 def high_water(target: DataFrame, entity: str, ts: str) -> DataFrame:

@@ -175,3 +175,15 @@ def test_asof_neither_orders_nor_writes_the_rows(spark):
     plan = bk.asof_threshold(rows, "v", marks, "m")._jdf.queryExecution().optimizedPlan().toString()
     over_rows = [line for line in plan.splitlines() if "Window" in line]
     assert len(over_rows) == 2 and "Checkpoint" not in plan and "ExistingRDD" not in plan
+
+
+def test_seed_file_under_a_declared_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from seqtide.sources import ingest as ig
+
+    (tmp_path / "s.csv").write_text("item,name,cost\n1,a,5\n1,b,6\n2,c,x\n,d,7\n3,,\n")
+    schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("name", T.StringType()), T.StructField("cost", T.IntegerType())])
+    kept, bad = ig.read_dimension(spark, str(tmp_path / "s.csv"), schema, ["item"])
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", 5), (3, None, None)] and kept.schema == schema
+    assert bad.count() == 2
