@@ -177,10 +177,10 @@ def content_hash(items: ColumnLike, with_level: bool = True) -> Column:
     """
 
     def text(i: Column) -> Column:
-        flags = [i["evo"].cast("string"), i["hero"].cast("string")]
+        flags = [F.coalesce(i[c].cast("string"), F.lit("")) for c in ("evo", "hero")]  # a null keeps its place
         if with_level:
-            return F.concat_ws(":", i["name"], F.coalesce(i["level"].cast("string"), F.lit("")), *flags)
-        return F.concat_ws(":", normal_name(i["name"]), *flags)
+            return F.concat_ws(":", F.coalesce(i["name"], F.lit("")), F.coalesce(i["level"].cast("string"), F.lit("")), *flags)
+        return F.concat_ws(":", F.coalesce(normal_name(i["name"]), F.lit("")), *flags)
 
     keyed = F.transform(_c(items), lambda i: F.struct(normal_name(i["name"]).alias("k"), text(i).alias("v")))
     return F.sha2(F.array_join(F.transform(F.array_sort(keyed), lambda s: s["v"]), ","), 256)

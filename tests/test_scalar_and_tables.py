@@ -187,3 +187,11 @@ def test_seed_file_under_a_declared_schema(spark, tmp_path):
     kept, bad = ig.read_dimension(spark, str(tmp_path / "s.csv"), schema, ["item"])
     assert sorted(map(tuple, kept.collect())) == [(1, "a", 5), (3, None, None)] and kept.schema == schema
     assert bad.count() == 2
+
+
+def test_content_hash_keeps_the_place_of_nulls(spark):
+    from seqtide.functions import scalar as sc
+
+    rows = [(1, [("a", 1, None, 1)]), (2, [("a", 1, 1, None)]), (3, [("a", None, 1, 1)]), (4, [(None, 1, 1, 1)])]
+    df = spark.createDataFrame(rows, "id int, items array<struct<name:string,level:int,evo:int,hero:int>>")
+    assert df.select(sc.content_hash("items").alias("h")).distinct().count() == 4
