@@ -119,7 +119,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, words: int = WORDS, pe
     shingles of ``words`` words occur in the document's whole text. A document and item stand in one row.
 
     The items are the stated query set: they are searched in passes of ``per_pass``, each pass small enough to send to
-    every task, and each reads all documents; documents are never shuffled. Items with fewer than ``words`` words, null
+    every task and gone from the driver before the next, and each reads all documents; documents are never shuffled. Items with fewer than ``words`` words, null
     texts and null item ids match nothing; so do documents with a null id or no text. Items with equal texts each match.
     """
     spark = docs.sparkSession
@@ -141,7 +141,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, words: int = WORDS, pe
                 ]
                 yield rows_of(schema, **{f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
 
-        out = out.union(texts.mapInArrow(tidy(run), PAIRS))
+        pairs = texts.mapInArrow(tidy(run), PAIRS)
+        # Of several passes each is written before the next one's items come to the driver.
+        out = out.union(cut(pairs) if passes > 1 else pairs)
     return out.groupBy("doc_id", "item_id").agg(F.max("item_shingles").alias("item_shingles"), F.max("shared_shingles").alias("shared_shingles"))
 
 
