@@ -354,6 +354,19 @@ def test_trie_finds_successors_only_in_their_range():
     assert found.tolist() == [pair in have for pair in zip(context.tolist(), word.tolist(), strict=True)]
 
 
+def test_orders_of_pairs_equal_a_lexical_sort():
+    rng = np.random.RandomState(2)
+    for n, names in ((0, 1), (1, 1), (5000, 300), (5000, 5000)):
+        shard = rng.randint(0, 9, n)
+        name = (rng.randint(0, names, n).astype(np.uint64) << np.uint64(40)) + np.uint64(1)
+        after = rng.permutation(np.arange(n, dtype=np.uint64))
+        for k in (name, name & np.uint64(3) | np.uint64(1 << 63)):  # the second: names alike in their leading bits
+            assert (language_model.pair_order(shard, k, after) == np.lexsort((after, k, shard))).all()
+        values, at, times = language_model.distinct(name)
+        want = np.unique(name, return_inverse=True, return_counts=True)
+        assert (values == want[0]).all() and (at == want[1]).all() and (times == want[2]).all()
+
+
 def test_codes_reach_down_to_the_rarest_pair_of_any_corpus():
     for n in (1, 50, 10**6, 10**12):
         least = language_model.least_of(n)
