@@ -510,7 +510,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = ex.extract_pages(landed_events(spark, sf), ["page"], "html", "events")
-    return rows.select(F.col("event_id").cast("long").alias("event_id"), F.explode("own_items").alias("i")).select("event_id", "i.*")
+    return ex.each(rows.withColumn("event_id", F.col("event_id").cast("long")), ["event_id"], F.col("own_items"), "i").select("event_id", "i.*")
 
 
 @query("s12_oldest_on_page", f"{EV} SELECT event_id // 25 AS page, min(ts) AS oldest_ts FROM ev GROUP BY 1")
@@ -523,7 +523,8 @@ def _(spark, sf):
     "SELECT c_custkey AS entity, c_name AS name, 'None' AS clan, c_custkey * 7 + 1000 AS rating, c_custkey * 3 AS wins, c_custkey * 2 AS losses, (c_custkey % 9) * 31536000 + (c_custkey % 50) * 604800 AS account_age_s, CAST(c_custkey % 13 AS DOUBLE) + 0.5 AS games_per_day FROM customer",
 )
 def _(spark, sf):
-    c = tables.entities(spark, sf)
+    # Short rows with long work: as many tasks as a shuffle has, however few row groups the file has.
+    c = tables.entities(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity")
     n = lambda e: F.format_number(e, 0)
     row = lambda label, value: F.concat(F.lit(f"<tr><td><h5 class='ui header'>{label}</h5></td><td class='right aligned'>"), value, F.lit("</td></tr>"))
     html = F.concat(

@@ -46,6 +46,7 @@ CLS_HOLDING = ("player_card_link", "player_card_item")
 CLS_HOLDING_LEVEL = "player_cards__card_level"
 CLS_SPECIAL_HOLDINGS = "player_profile__tower_card_collection"
 CLS_EVOLUTION_HOLDINGS = "player_profile__evo_card_collection"
+CLS_HOLDINGS = "player_profile__"
 CLS_MINI = ("player_card", "mini_card")
 CLS_MISSING = "not_found"
 CLS_SET = "deck_segment"
@@ -61,23 +62,44 @@ NUMBER = r"^\s*[+]?(-?[\d,]+(?:\.\d+)?)"
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def opening(*classes: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*") -> str:
+def opening(*classes: str, tag: str = "[a-zA-Z][a-zA-Z0-9]*+") -> str:
     """Pattern of an opening tag that has all the classes."""
-    wanted = "".join(rf"(?=[^>]*\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?{re.escape(c)}(?=[\s\"']))" for c in classes)
+    wanted = "".join(rf"(?=[^>]*?\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?{re.escape(c)}(?=[\s\"']))" for c in classes)
     return rf"<{tag}\b{wanted}[^>]*>"
 
 
-def pieces(html: Column, mark: str) -> Column:
-    """What begins at each place of the mark, up to the next one."""
-    return F.filter(F.split(html, f"(?={mark})"), lambda x: x.rlike(f"^(?:{mark})"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there: a column that is written twice is computed
+    twice, and a bound variable is not. An aggregate over nothing hands its start value to its finish."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
+
+
+def each(df: DataFrame, keys: list[str], rows: Column, name: str) -> DataFrame:
+    """One row per element that is not null. A plain explode would compute the array once more for a filter on its size."""
+    return df.select(*keys, F.explode_outer(rows).alias(name)).filter(F.col(name).isNotNull())
+
+
+def near(html: Column, text: str) -> Column:
+    """The html from the tag on in which the text stands first: a tag with it begins behind the last ``>`` before it, so no
+    pattern need try the tags before. Without the text what is left holds no whole tag."""
+    return once(F.substring_index(html, text, 1), lambda h: F.substr(html, F.length(h) - F.length(F.substring_index(h, ">", -1)) + 1))
+
+
+def pieces(html: Column, mark: str, text: str | None = None) -> Column:
+    """What begins at each place of the mark, up to the next one. ``text`` stands in every mark."""
+    return F.filter(F.split(near(html, text) if text else html, f"(?={mark})"), lambda x: x.rlike(f"^(?:{mark})"))
 
 
 def known(text: Column) -> Column:
     """Decoded and trimmed; null for an empty text."""
-    for name, character in REFERENCES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
-    text = F.trim(text)
-    return F.when(text != "", text)
+
+    def decoded(text: Column) -> Column:
+        out = text
+        for name, character in REFERENCES.items():
+            out = F.replace(out, F.lit(name), F.lit(character))
+        return F.trim(F.when(text.contains("&"), out).otherwise(text))
+
+    return once(once(text, decoded), lambda t: F.when(t != "", t))
 
 
 def found(html: Column, pattern: str, group: int = 1) -> Column:
@@ -90,9 +112,13 @@ TAGS = r"(?s)<!--.*?-->|<[^>]*>"
 def text_in(html: Column, *classes: str) -> Column:
     """The whole text of the first element of these classes, without the tags in it; of one that is never closed the text
     up to the next tag."""
-    closed = opening(*classes, tag="([a-zA-Z][a-zA-Z0-9]*)")
-    whole = F.regexp_replace(F.regexp_extract(html, rf"(?s){closed}(.*?)</\1\s*>", 2), TAGS, "")
-    return F.coalesce(known(whole), found(html, opening(*classes) + OPENED + r"\s*([^<]*)"))
+    closed = opening(*classes, tag="([a-zA-Z][a-zA-Z0-9]*+)")
+
+    def text(part: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(part, rf"(?s){closed}(.*?)</\1\s*>", 2), TAGS, "")
+        return F.coalesce(known(whole), found(part, opening(*classes) + OPENED + r"\s*([^<]*)"))
+
+    return once(near(html, classes[0]), text)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -114,29 +140,43 @@ def level_of(text: Column) -> Column:
 
 
 def item_of(tag: Column, level: Column) -> Column:
-    key = F.coalesce(attribute(tag, "data-card-key"), F.lit(""))
-    flag = lambda part: key.contains(part).cast("int")
-    return F.struct(attribute(tag, "alt").alias("name"), level.cast("int").alias("level"), flag(TXT_EVOLVED).alias("evo"), flag(TXT_HERO).alias("hero"))
+    flag = lambda key, part: key.contains(part).cast("int")
+    return once(
+        F.coalesce(attribute(tag, "data-card-key"), F.lit("")),
+        lambda key: F.struct(attribute(tag, "alt").alias("name"), level.cast("int").alias("level"), flag(key, TXT_EVOLVED).alias("evo"), flag(key, TXT_HERO).alias("hero")),
+    )
 
 
 def basket(side: Column) -> Column:
     """Eight items and the special one (whose level has a default) of one side."""
     boxes = F.transform(pieces(side, opening(CLS_ITEM_BOX)), lambda b: F.struct(image(b, CLS_ITEM).alias("tag"), level_of(text_in(b, CLS_ITEM_LEVEL)).alias("level")))
     items = F.transform(F.filter(boxes, lambda b: b["tag"] != ""), lambda b: item_of(b["tag"], b["level"]))
-    special = F.get(pieces(side, opening(CLS_SPECIAL_BOX)), F.lit(0))
-    level = F.regexp_extract(special, opening("level") + rf"\s*<div[^>]*>[^<]*</div>\s*<div[^>]*>\s*(?:{TXT_LEVEL})?\s*(\d+)", 1).try_cast("int")
-    tag = image(special, CLS_ITEM)
-    plain = F.struct(attribute(tag, "alt").alias("name"), F.when(level > 0, level).otherwise(SPECIAL_LEVEL).alias("level"), F.lit(0).alias("evo"), F.lit(0).alias("hero"))
-    return F.concat(items, F.when(tag != "", F.array(plain)).otherwise(F.slice(items, 1, 0)))
-
-
-def event_columns(div: Column, sides: Column) -> list[Column]:
-    """The columns of one event of a history page, with both baskets."""
-    win = F.coalesce(text_in(div, CLS_RIBBON).contains(TXT_WIN), F.lit(False)).cast("int")
-    scores = F.split(F.replace(text_in(div, CLS_RESULT), F.lit(" "), F.lit("")), "-")
-    change = number(found(div, opening(CLS_CHANGE) + r"(?:\s*<[a-zA-Z][^>]*>)*?\s*" + opening(*CLS_CHANGE_LABEL) + r"\s*([^<]*)"), "long")
+
+    def special(box: Column) -> Column:
+        level = F.regexp_extract(box, opening("level") + rf"\s*<div[^>]*>[^<]*</div>\s*<div[^>]*>\s*(?:{TXT_LEVEL})?\s*(\d+)", 1).try_cast("int")
+        known_level = once(level, lambda x: F.when(x > 0, x).otherwise(SPECIAL_LEVEL))
+        plain = lambda tag: F.struct(attribute(tag, "alt").alias("name"), known_level.alias("level"), F.lit(0).alias("evo"), F.lit(0).alias("hero"))
+        return once(image(box, CLS_ITEM), lambda tag: F.when(tag != "", F.array(plain(tag))))
+
+    none = F.array().cast("array<struct<name:string,level:int,evo:int,hero:int>>")
+    return F.concat(items, F.coalesce(once(F.get(pieces(side, opening(CLS_SPECIAL_BOX), CLS_SPECIAL_BOX), F.lit(0)), special), none))
+
+
+def event_parts(div: Column) -> dict[str, Column]:
+    """What several columns of an event are made of."""
+    return {
+        "__sides": pieces(div, opening(CLS_SIDE), CLS_SIDE),
+        "__win": F.coalesce(text_in(div, CLS_RIBBON).contains(TXT_WIN), F.lit(False)).cast("int"),
+        "__scores": F.split(F.replace(text_in(div, CLS_RESULT), F.lit(" "), F.lit("")), "-"),
+        "__change": number(found(near(div, CLS_CHANGE), opening(CLS_CHANGE) + r"(?:\s*<[a-zA-Z][^>]*>)*?\s*" + opening(*CLS_CHANGE_LABEL) + r"\s*([^<]*)"), "long"),
+        "__leaks": F.regexp_extract_all(near(div, "name"), F.lit(opening("name") + rf"\s*(?i:{TXT_LEAK})\s*</[^>]*>\s*" + opening("value") + rf"\s*(?:{TXT_LEAK})?\s*([^<]*)"), 1),
+    }
+
+
+def event_columns(div: Column) -> list[Column]:
+    """The columns of one event of a history page, with both baskets; the event's parts stand beside it."""
+    sides, win, scores, change, leaks = (F.col(c) for c in ("__sides", "__win", "__scores", "__change", "__leaks"))
     last = F.try_element_at(sides, F.lit(-1))
-    leaks = F.regexp_extract_all(div, F.lit(opening("name") + rf"\s*(?i:{TXT_LEAK})\s*</[^>]*>\s*" + opening("value") + rf"\s*(?:{TXT_LEAK})?\s*([^<]*)"), 1)
     no_items = F.array().cast("array<struct<name:string,level:int,evo:int,hero:int>>")
     return [
         F.replace(attribute(div, "id"), F.lit("battle_"), F.lit("")).alias("event_id"),
@@ -148,10 +188,10 @@ def event_columns(div: Column, sides: Column) -> list[Column]:
         number(F.get(scores, F.lit(1)), "long").alias("score_against"),
         # A gain on a loss is the opponent's: the value hit a floor.
         F.when((win == 0) & (change > 0), F.lit(0)).otherwise(change).cast("long").alias("change"),
-        found(last, opening(CLS_NAME_LINK, tag="a").replace("[^>]*>", rf"[^>]*\bhref\s*=\s*[\"'][^\"']*{TXT_NAME_PATH}([^/\"']*)")).alias("opponent"),
+        found(near(last, CLS_NAME_LINK), opening(CLS_NAME_LINK, tag="a").replace("[^>]*>", rf"[^>]*\bhref\s*=\s*[\"'][^\"']*{TXT_NAME_PATH}([^/\"']*)")).alias("opponent"),
         number(F.get(leaks, F.lit(0))).alias("leak_for"),
         number(F.get(leaks, F.lit(1))).alias("leak_against"),
-        number(found(div, opening(CLS_LEVEL_DIFF) + rf"[^<]*{TXT_LEVEL_DIFF}\s*([^<]*)")).alias("level"),
+        number(found(near(div, CLS_LEVEL_DIFF), opening(CLS_LEVEL_DIFF) + rf"[^<]*{TXT_LEVEL_DIFF}\s*([^<]*)")).alias("level"),
         F.coalesce(basket(F.get(sides, F.lit(0))), no_items).alias("own_items"),
         F.coalesce(basket(last), no_items).alias("opp_items"),
     ]
@@ -180,25 +220,26 @@ def value_of(pairs: Column, *labels: str) -> Column:
 def page_profile(html: Column) -> Column:
     """Profile texts; numbers and durations are cleaned later, as Column expressions."""
     rated = F.get(F.filter(pieces(html, opening(CLS_RATING_BLOCK)), lambda b: b.rlike(opening(*CLS_RATING_ICON))), F.lit(0))
-    items = F.regexp_extract_all(rated, F.lit(opening("item") + OPENED + r"\s*([^<]*)"), 1)
+    texts = F.regexp_extract_all(rated, F.lit(opening("item") + OPENED + r"\s*([^<]*)"), 1)
     # The season's rows: from its title to the next title row, and no further than its table.
-    season = table_rows(F.regexp_extract(html, rf"(?s){TXT_SEASON}(.*?)(?:</table>|\z)", 1))
-    title = F.array_position(F.transform(season, lambda r: r.contains("<h5") & (F.size(F.regexp_extract_all(r, F.lit(r"<td\b"), 0)) < 2)), F.lit(True))
-    season = pairs_of(F.when(title > 0, F.slice(season, F.lit(1), title.cast("int") - 1)).otherwise(season))
-    ranks = F.filter(season, lambda x: (x["label"] == "league") | (x["label"] == "rank") & ~F.lower(x["value"]).contains("unranked"))
-    pairs = pairs_of(table_rows(html))
+    rows = table_rows(F.regexp_extract(html, rf"(?s){TXT_SEASON}(.*?)(?:</table>|\z)", 1))
+    title = lambda rows: F.array_position(F.transform(rows, lambda r: r.contains("<h5") & (F.size(F.regexp_extract_all(r, F.lit(r"<td\b"), 0)) < 2)), F.lit(True))
+    to_title = once(rows, lambda r: once(title(r), lambda at: F.when(at > 0, F.slice(r, F.lit(1), at.cast("int") - 1)).otherwise(r)))
     clan = F.coalesce(found(html, opening(CLS_CLAN_BLOCK) + r"(?s:.*?)" + opening(*CLS_CLAN) + OPENED + r"\s*([^<]*)"), F.lit("None"))
-    return F.array(
-        F.struct(
+
+    def row(items: Column, season: Column, pairs: Column) -> Column:
+        ranks = F.filter(season, lambda x: (x["label"] == "league") | (x["label"] == "rank") & ~F.lower(x["value"]).contains("unranked"))
+        return F.struct(
             found(html, opening(CLS_HEAD) + r"(?:\s*<[a-zA-Z][^>]*>)*?\s*<h1[^>]*>\s*([^<]*)").alias("name"),
-            F.when(F.lower(clan) == "not in clan", "None").otherwise(clan).alias("clan"),
+            once(clan, lambda c: F.when(F.lower(c) == "not in clan", "None").otherwise(c)).alias("clan"),
             known(F.get(items, F.lit(0))).alias("rating"),
             known(F.get(items, F.lit(1))).alias("arena"),
             F.try_element_at(ranks, F.lit(-1))["value"].alias("rank"),
             value_of(season, "trophies", "ratings").alias("ranked_rating"),
             *[value_of(pairs, label).alias(name) for label, name in PROFILE_LABELS.items()],
         )
-    )
+
+    return F.array(once(texts, lambda items: once(pairs_of(to_title), lambda season: once(pairs_of(table_rows(html)), lambda pairs: row(items, season, pairs)))))
 
 
 def page_holdings(html: Column) -> Column:
@@ -210,20 +251,25 @@ def page_holdings(html: Column) -> Column:
     cards = pieces(html, opening(*CLS_HOLDING, tag="a"))
     items = F.transform(cards, lambda c: row(F.lit("item"), attribute(image(c, CLS_ITEM), "alt"), level_of(text_in(c, CLS_HOLDING_LEVEL)), F.lit(1)))
 
-    def of_group(group: Column) -> Column:
-        special = group.rlike("^(?:" + opening(CLS_SPECIAL_HOLDINGS) + ")")
-        minis = F.filter(pieces(group, opening(CLS_MINI[0])), lambda c: image(c, CLS_MINI[1]) != "")
+    def of_group(group: Column, special: Column) -> Column:
+        minis = F.transform(pieces(group, opening(CLS_MINI[0])), lambda c: F.struct(c.alias("card"), image(c, CLS_MINI[1]).alias("image")))
 
-        def one(card: Column) -> Column:
-            name, missing = attribute(image(card, CLS_MINI[1]), "alt"), card.rlike("^(?:" + opening(CLS_MISSING) + ")")
-            leveled = special & card.rlike(opening("level", tag="div"))
-            level = F.when(missing, 0).otherwise(F.coalesce(level_of(text_in(card, "level")), F.lit(0)))
+        def of_card(mini: Column, missing: Column, leveled: Column) -> Column:
+            level = F.when(leveled, F.when(missing, 0).otherwise(F.coalesce(level_of(text_in(mini["card"], "level")), F.lit(0))))
             kind = F.when(leveled, "special").when(special, "hero").otherwise("evolution")
-            return row(kind, name, F.when(leveled, level), F.when(leveled, level > 0).otherwise(~missing))
+            return once(level, lambda n: row(kind, attribute(mini["image"], "alt"), n, F.when(leveled, n > 0).otherwise(~missing)))
+
+        def one(mini: Column) -> Column:
+            missing = mini["card"].rlike("^(?:" + opening(CLS_MISSING) + ")")
+            leveled = special & mini["card"].rlike(opening("level", tag="div"))
+            return once(missing, lambda m: once(leveled, lambda on: of_card(mini, m, on)))
 
-        return F.transform(minis, one)
+        return F.transform(F.filter(minis, lambda m: m["image"] != ""), one)
 
-    groups = F.transform(pieces(html, f"{opening(CLS_SPECIAL_HOLDINGS)}|{opening(CLS_EVOLUTION_HOLDINGS)}"), of_group)
+    groups = F.transform(
+        pieces(html, f"{opening(CLS_SPECIAL_HOLDINGS)}|{opening(CLS_EVOLUTION_HOLDINGS)}", CLS_HOLDINGS),
+        lambda g: once(g.rlike("^(?:" + opening(CLS_SPECIAL_HOLDINGS) + ")"), lambda special: of_group(g, special)),
+    )
     return F.concat(items, F.flatten(groups))
 
 
@@ -233,10 +279,9 @@ def page_set_stats(html: Column) -> Column:
     def of_set(segment: Column) -> Column:
         images = F.regexp_extract_all(segment, F.lit(opening(CLS_ITEM, tag="img")), 0)
         rows = F.filter(F.transform(table_rows(segment), cells_of), lambda c: (F.size(c) > 2) & (F.get(c, F.lit(0)) == TXT_SET_ROW))
-        cells = F.get(rows, F.lit(0))
-        return F.struct(
-            F.transform(images, lambda t: item_of(t, F.lit(None))).alias("items"), number(F.get(cells, F.lit(1)), "long").alias("battles"), number(F.get(cells, F.lit(2))).alias("win_pct"), F.size(rows).alias("n")
-        )
+        items = F.transform(images, lambda t: item_of(t, F.lit(None)))
+        cell = lambda rows, at: F.get(F.get(rows, F.lit(0)), F.lit(at))
+        return once(rows, lambda r: F.struct(items.alias("items"), number(cell(r, 1), "long").alias("battles"), number(cell(r, 2)).alias("win_pct"), F.size(r).alias("n")))
 
     sets = F.filter(F.transform(pieces(html, opening(CLS_SET, tag="div")), of_set), lambda s: (F.size(s["items"]) > 0) & (s["n"] > 0))
     return F.transform(sets, lambda s: F.struct(s["items"].alias("items"), s["battles"].alias("battles"), s["win_pct"].alias("win_pct")))
@@ -273,11 +318,9 @@ def extract_pages(pages: DataFrame, keys: list[str], html: str, spec: str) -> Da
     text = F.coalesce(F.col(html), F.lit(""))
     if spec == "events":
         # One row per event before its fields are read, so that only the columns in use are.
-        events = pages.select(*keys, F.explode(pieces(text, opening(CLS_EVENT, tag="div"))).alias("__div"))
-        events = events.withColumn("__sides", pieces(F.col("__div"), opening(CLS_SIDE)))
-        return events.select(*keys, *event_columns(F.col("__div"), F.col("__sides")))
-    rows = SPECS[spec](text)
-    return pages.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.*")
+        events = each(pages, keys, pieces(text, opening(CLS_EVENT, tag="div")), "__div")
+        return events.withColumns(event_parts(F.col("__div"))).select(*keys, *event_columns(F.col("__div")))
+    return each(pages, keys, SPECS[spec](text), "__r").select(*keys, "__r.*")
 
 
 def oldest_on_page(events: DataFrame, keys: list[str]) -> DataFrame:

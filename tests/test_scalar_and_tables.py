@@ -195,3 +195,24 @@ def test_content_hash_keeps_the_place_of_nulls(spark):
     rows = [(1, [("a", 1, None, 1)]), (2, [("a", 1, 1, None)]), (3, [("a", None, 1, 1)]), (4, [(None, 1, 1, 1)])]
     df = spark.createDataFrame(rows, "id int, items array<struct<name:string,level:int,evo:int,hero:int>>")
     assert df.select(sc.content_hash("items").alias("h")).distinct().count() == 4
+
+
+@pytest.mark.parametrize(("kind", "patterns"), [("events", 60), ("profile", 40), ("holdings", 20), ("set_stats", 12)])
+def test_a_page_is_searched_once_for_each_field(spark, kind, patterns):
+    """A value that stands in a plan several times is searched for as often."""
+    pages = spark.createDataFrame([("p", PAGE)], "page string, html string")
+    plan = ex.extract_pages(pages, ["page"], "html", kind)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") + plan.count("regexp_extract") <= patterns
+
+
+def test_baskets_are_read_once(spark):
+    events = ex.extract_pages(spark.createDataFrame([("p", PAGE)], "page string, html string"), ["page"], "html", "events")
+    items = ex.each(events, ["page"], F.col("own_items"), "i")
+    assert items.select("i.name", "i.level", "i.evo").collect() == [("Big Orc", 14, 1), ("Keep", 16, 0)]
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 5
+
+
+def test_search_from_the_first_tag_with_a_class(spark):
+    pages = ['<p class="a">x</p><div class="hit">1</div>', 'hit <b>2</b><div class="hit">3</div>', '<div class="xhit">4</div><i class="b hit">5</i>', "<div class='hit", ""]
+    got = [tuple(r) for r in spark.createDataFrame([(p,) for p in pages], "h string").select(ex.near(F.col("h"), "hit"), ex.text_in(F.col("h"), "hit")).collect()]
+    assert got == [('<div class="hit">1</div>', "1"), (pages[1], "3"), (pages[2], "5"), (pages[3], None), ("", None)]
