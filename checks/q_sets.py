@@ -311,10 +311,10 @@ ITEM_TH = "th AS (SELECT t.p_partkey AS threat, a.p_partkey AS item, CASE a.p_br
 def _(spark, sf):
     """Threats are the items of one brand; those of the same size of two other brands answer them, hard or soft."""
     part = tables.read(spark, sf, "part")
-    answers = part.filter("p_brand in ('Brand#4', 'Brand#5')").select("p_size", F.col("p_partkey").alias("item"), F.when(F.col("p_brand") == "Brand#4", "hard").otherwise("soft").alias("kind"))
-    threats = part.filter("p_brand = 'Brand#3'").select("p_size", F.col("p_partkey").alias("threat")).join(answers, "p_size").drop("p_size")
+    answers = part.filter("p_brand in ('Brand#4', 'Brand#5')").select(F.col("p_size").alias("trait"), F.col("p_partkey").alias("item"), F.when(F.col("p_brand") == "Brand#4", "hard").otherwise("soft").alias("kind"))
+    threats = part.filter("p_brand = 'Brand#3'").select(F.col("p_size").alias("trait"), F.col("p_partkey").alias("threat"))
     events = tl.timeline(spark, sf, "Ladder").df.filter("rating_before >= 6000 AND rating_before < 12000")
-    return st.threat_encounters(events, tables.deck_items(spark, sf), threats)
+    return st.threat_encounters(events, tables.deck_items(spark, sf), threats, answers)
 
 
 @query("a54_threat_class_encounters", MET)

@@ -313,28 +313,47 @@ def item_fairness_top(tests: DataFrame, rates: DataFrame, n: int = 5) -> DataFra
 # --- targeting -----------------------------------------------------------------------
 
 
-def threat_encounters(events: DataFrame, lines: DataFrame, threats: DataFrame) -> DataFrame:
+def threat_groups(threats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Threats (threat, trait) by the traits they have, and how often: (threat, group) and the groups' (group, trait, times).
+
+    Threats of one group have the same answers, so what decks have against them is counted per group and never per threat.
+    """
+    owned = threats.filter("trait IS NOT NULL").groupBy("threat", "trait").agg(F.count(F.lit(1)).alias("times"))
+    signed = owned.groupBy("threat").agg(F.sort_array(F.collect_list(F.struct("trait", "times"))).alias("traits"))
+    groups = signed.groupBy("traits").agg(F.min("threat").alias("group"))
+    member = signed.join(groups, "traits").select("threat", F.when(F.col("threat").isNotNull(), F.col("group")).alias("group"))
+    return member, groups.select("group", F.inline("traits"))
+
+
+def threat_encounters(events: DataFrame, lines: DataFrame, threats: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Do decks without an answer to an item meet it more often than decks with one?
 
-    ``threats``: (threat, item, kind) with kind hard or soft, of any number. A deck is safe with one hard or two soft
-    answers. Events are counted per pair of decks first; what is summed per threat are the safe decks' events, the
-    events against decks that hold it, and those that are both. The rest follows from the total, so no event is
-    repeated for threats that neither side has to do with.
+    ``threats``: (threat, item, kind) with kind hard or soft, of any number; or (threat, trait), with ``answers`` (trait,
+    item, kind) that answer every threat of a trait. A deck is safe with one hard or two soft answers. Events are counted
+    per pair of decks first; what is summed per threat are the safe decks' events, the events against decks that hold it,
+    and those that are both. The rest follows from the total, so no event is repeated for threats that neither side has to
+    do with, and no deck for the threats that its items answer: those are told by their group.
     """
-    names = threats.select("threat").distinct()
+    if answers is None:
+        own = F.struct("threat").alias("trait")  # not null where the threat is
+        answers = threats.select(own, "item", "kind")
+        threats = threats.select("threat", own).distinct()
+    member, traits = threat_groups(threats.join(answers.select("trait").distinct(), "trait", "left_semi"))
     known = lines.select("deck").distinct()
     pairs = events.groupBy("deck", "opp_deck").agg(F.count(F.lit(1)).alias("uses"))
     pairs = pairs.join(known, "deck", "left_semi").join(known.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left_semi")
-    answers = lines.select("deck", "item").distinct().join(threats, "item").groupBy("deck", "threat").agg(
-        F.count_if(F.col("kind") == "hard").alias("hard"), F.count_if(F.col("kind") == "soft").alias("soft")
+    given = lines.select("deck", "item").distinct().join(traits.join(answers, "trait").select("group", "item", "kind", "times"), "item").groupBy("deck", "group").agg(
+        F.sum(F.when(F.col("kind") == "hard", F.col("times")).otherwise(0)).alias("hard"), F.sum(F.when(F.col("kind") == "soft", F.col("times")).otherwise(0)).alias("soft")
     )
-    safe = answers.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).select("deck", "threat")
-    held = lines.select(F.col("deck").alias("opp_deck"), F.col("item").alias("threat")).distinct().join(names, "threat", "left_semi")
+    safe = given.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).select("deck", "group")
+    held = lines.select(F.col("deck").alias("opp_deck"), F.col("item").alias("threat")).distinct().join(member, "threat")
     total = pairs.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total"))
-    by_deck = pairs.groupBy("deck").agg(F.sum("uses").alias("uses")).join(safe, "deck").groupBy("threat").agg(F.sum("uses").alias("safe"))
+    by_deck = pairs.groupBy("deck").agg(F.sum("uses").alias("uses")).join(safe, "deck").groupBy("group").agg(F.sum("uses").alias("safe"))
     by_opponent = pairs.groupBy("opp_deck").agg(F.sum("uses").alias("uses")).join(held, "opp_deck").groupBy("threat").agg(F.sum("uses").alias("met"))
-    both = pairs.join(safe, "deck").join(held, ["opp_deck", "threat"]).groupBy("threat").agg(F.sum("uses").alias("safe_met"))
-    out = names.crossJoin(total).join(by_deck, "threat", "left").join(by_opponent, "threat", "left").join(both, "threat", "left").fillna(0, ["safe", "met", "safe_met"])  # total is one row
+    met = pairs.join(held, "opp_deck").groupBy("deck", "group", "threat").agg(F.sum("uses").alias("uses"))
+    both = met.join(safe, ["deck", "group"], "left_semi").groupBy("threat").agg(F.sum("uses").alias("safe_met"))
+    # total is one row
+    out = member.crossJoin(total).join(by_deck, "group", "left").join(by_opponent, "threat", "left").join(both, "threat", "left").fillna(0, ["safe", "met", "safe_met"])
     out = out.filter("total > 0").select(
         "threat", (F.col("total") - F.col("safe")).alias("vulnerable"), (F.col("met") - F.col("safe_met")).alias("vulnerable_met"), "safe", "safe_met"
     )
