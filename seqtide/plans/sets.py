@@ -342,10 +342,10 @@ def threat_encounters(events: DataFrame, lines: DataFrame, threats: DataFrame, a
     known = lines.select("deck").distinct()
     pairs = events.groupBy("deck", "opp_deck").agg(F.count(F.lit(1)).alias("uses"))
     pairs = pairs.join(known, "deck", "left_semi").join(known.withColumnRenamed("deck", "opp_deck"), "opp_deck", "left_semi")
-    given = lines.select("deck", "item").distinct().join(traits.join(answers, "trait").select("group", "item", "kind", "times"), "item").groupBy("deck", "group").agg(
-        F.sum(F.when(F.col("kind") == "hard", F.col("times")).otherwise(0)).alias("hard"), F.sum(F.when(F.col("kind") == "soft", F.col("times")).otherwise(0)).alias("soft")
-    )
-    safe = given.filter((F.col("hard") > 0) | (F.col("soft") >= 2)).select("deck", "group")
+    worth = F.when(F.col("kind") == "hard", 2 * F.col("times")).when(F.col("kind") == "soft", F.col("times")).otherwise(0)
+    weighed = traits.join(answers, "trait").groupBy("group", "item").agg(F.sum(worth).alias("worth")).filter("worth > 0")
+    given = lines.select("deck", "item").distinct().join(weighed, "item").groupBy("deck", "group").agg(F.sum("worth").alias("worth"))
+    safe = given.filter("worth >= 2").select("deck", "group")
     held = lines.select(F.col("deck").alias("opp_deck"), F.col("item").alias("threat")).distinct().join(member, "threat")
     total = pairs.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total"))
     by_deck = pairs.groupBy("deck").agg(F.sum("uses").alias("uses")).join(safe, "deck").groupBy("group").agg(F.sum("uses").alias("safe"))

@@ -104,9 +104,13 @@ def deck_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deck_item_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basket lines by item class instead of single item, one row per (deck, class)."""
+    """Basket lines by item class instead of single item, one row per (deck, class).
+
+    The lines meet their classes before they are grouped: a largest level needs no table per item first.
+    """
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("deck"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("level"))
     classes = items(spark, sf_dir).select("item", F.col("rarity").alias("cls"))
-    return deck_items(spark, sf_dir).join(classes, "item").groupBy("deck", F.col("cls").alias("item")).agg(F.max("level").alias("level"))
+    return lines.join(classes, "item").groupBy("deck", F.col("cls").alias("item")).agg(F.max("level").alias("level"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
