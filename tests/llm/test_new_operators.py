@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from seqtide.llm import archives, centroids, common, decontaminate, exact_dedup, infilling, jaccard_join, packing
@@ -217,3 +218,24 @@ def test_packing_remembers_within_a_bound_and_encodes_giant_words(spark):
     assert a == [x.tobytes() for part in packing.small(pa.array([*texts, None])) for x in large(part)][:-1]
     held = [c.cell_contents for f in (small, large) for c in f.__closure__ if isinstance(c.cell_contents, packing.Memo)]
     assert held and all(m.held <= m.limit and sum(len(k) + len(v) for k, v in m.items()) <= m.limit and all(len(k) < packing.LONG_WORD for k in m) for m in held)
+
+
+def test_archives_travel_in_fewer_bytes_than_they_take(spark, monkeypatch):
+    rng = random.Random(13)
+    body = lambda: "<html><head><title>t</title></head><body>" + " ".join(rng.choice(("<p>", "</p>", "<div class=x>", "word", "other")) + str(rng.randrange(500)) for _ in range(300)) + "</body></html>"
+    arcs = archives.write_arc(spark.createDataFrame([(i, f"http://x/{i}", body()) for i in range(60)], "page_id long, url string, html string").coalesce(1))
+    ((path, content),) = arcs.collect()
+    ((archive, raw),) = archives.packed(arcs).collect()
+    assert archive == path and zstandard.decompress(raw) == archives.opened(content)
+    assert len(raw) < 0.9 * len(content)
+    monkeypatch.setattr(archives, "files", lambda segments, column, folder: segments)
+    plan = archives.write_warc(arcs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "payload#" not in plan  # records don't travel one by one
+
+
+def test_archives_of_copies_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(archives, "ARCHIVE_BYTES", 1000)
+    pages = [(i, f"http://x/{i}", f"<p>{'same text ' * 20}{i % 3}</p>") for i in range(40)]
+    got = {r.page_id: r for r in archives.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {i: ("response", None) if i < 3 else ("revisit", i % 3) for i in range(40)}
+    assert all(got[i].payload_digest == hashlib.sha256(html.encode()).hexdigest() for i, _, html in pages)
