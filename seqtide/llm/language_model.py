@@ -72,11 +72,27 @@ def ascended(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpacked(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, where each of ``x`` stands among them, and how often they occur. (np.unique sorts stably,
-    which takes three times as long and changes nothing here.)"""
-    order = np.argsort(x)
+def by_place(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` (numbers under 2^``bits``) sorted, and the places the values had, like ones in order. Values are sorted together
+    with their places, which is several times faster than argsort; where both don't fit, the leading bits, if they tell the order."""
+    low = len(x).bit_length()
+    left = max(0, bits + low - 64)
+    key = x.astype(np.uint64) >> np.uint64(left) << np.uint64(low)
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << low) - 1)).astype(np.int64)
+    if not left:
+        return (key >> np.uint64(low)).astype(x.dtype), order
     values = x[order]
+    if (values[1:] < values[:-1]).any():  # values alike in their leading bits
+        order = np.argsort(x, kind="stable")
+        values = x[order]
+    return values, order
+
+
+def distinct(x: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values of numbers under 2^``bits``, where each of ``x`` stands among them, and how often they occur."""
+    values, order = by_place(x, bits)
     new = np.r_[True, values[1:] != values[:-1]][: len(x)]
     at = np.empty(len(x), dtype=np.int64)
     at[order] = np.cumsum(new) - 1
@@ -120,8 +136,7 @@ class Monotone:
         high = (values >> np.uint64(bits)).astype(np.int64)
         unary = np.zeros(n + (universe >> bits) + 2, dtype=np.uint8)
         unary[high + np.arange(n)] = 1
-        low = values & np.uint64((1 << bits) - 1)
-        flat = ((low[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+        flat = np.unpackbits(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, count=bits, bitorder="little").ravel()
         body = np.packbits(unary, bitorder="little").tobytes()
         return np.array([n, bits, len(body)], dtype=np.int64).tobytes() + body + np.packbits(flat, bitorder="little").tobytes() + bytes(8)
 
@@ -201,14 +216,16 @@ class Trie:
     def context_ranks(self, contexts: np.ndarray) -> np.ndarray:
         return self.contexts.find(contexts) if self.contexts.n else np.full(len(contexts), -1)
 
-    def successor_codes(self, ranks: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of a for (context by rank, successor); 0 if the pair wasn't seen."""
-        out = np.zeros(len(ranks), dtype=np.uint8)
-        known = np.flatnonzero(ranks >= 0)
-        if len(known) and self.successors.n:
-            start, stop = (self.pointers.get(ranks[known] + k).astype(np.int64) for k in (0, 1))
+    def successor_codes(self, ranks: np.ndarray, successors: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Codes of a for (context by rank, successor); 0 if the pair wasn't seen. With ``sizes`` each context has so many successors."""
+        sizes = np.ones(len(ranks), dtype=np.int64) if sizes is None else sizes
+        out = np.zeros(len(successors), dtype=np.uint8)
+        seen = ranks >= 0
+        if seen.any() and self.successors.n:
+            start, stop = (self.pointers.get(ranks[seen] + k).astype(np.int64) for k in (0, 1))
             before = np.where(start > 0, self.successors.get(np.maximum(start - 1, 0)), np.uint64(0))
-            at = self.successors.find(before + successors[known], start, stop)
+            known, n = np.flatnonzero(np.repeat(seen, sizes)), sizes[seen]
+            at = self.successors.find(np.repeat(before, n) + successors[known], np.repeat(start, n), np.repeat(stop, n))
             out[known] = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
         return out
 
@@ -293,32 +310,68 @@ def longer(name: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(name * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
-class Pairs:
-    """A block's distinct (context, word) pairs by trie shard, context and word; the same each time it is made.
+class Grams:
+    """A block's distinct (context, token) pairs of one order, ``lengthen``ed to those of the next; the same each time they are made.
 
-    A context has ``order`` - 1 words. Each order has ``shards`` tries of its own.
+    ``inverse`` has the pair of each token, ``context`` and ``word`` what a pair consists of. A context has ``order`` - 1 words
+    (``columns``, by number, the furthest first): it is the pair, one order down, of the token before.
     """
 
-    def __init__(self, block: dict, wide: np.ndarray, shards: int, order: int = 2):
+    def __init__(self, block: dict):
         self.words, self.tokens, self.sizes, self.held, self.nameless = split_row(block)
-        numbers, names = None, None
-        for before in words_before(self.tokens, self.sizes, int(np.flatnonzero(self.words == END)[0]), order - 1):
-            if names is None:
-                numbers, names = before, self.words
-            else:
-                key, numbers, _ = distinct(numbers * len(self.words) + before)
-                names = longer(names[key // len(self.words)], self.words[key % len(self.words)])
-        key, self.inverse, _ = distinct(numbers * len(self.words) + self.tokens)
-        context, self.word = key // len(self.words), key % len(self.words)
-        name, after = names[context], self.words[self.word] >> np.uint64(64 - SUCCESSOR_BITS)
-        shard = shard_of(np.where(np.isin(names, wide)[context], name ^ mix(self.words[self.word]), name), shards) + (order - 2) * shards
-        self.order = pair_order(shard, name, after)
-        self.shard, self.name, self.after = shard[self.order], name[self.order], after[self.order]
-        self.start = np.flatnonzero(np.r_[True, (self.shard[1:] != self.shard[:-1]) | (self.name[1:] != self.name[:-1])])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.end = self.opening = int(np.flatnonzero(self.words == END)[0])  # the context of end tokens only, before a document
+        self.order, self.columns = 2, [np.arange(len(self.words))]
+        self.pair(self.tokens)
+
+    def pair(self, last: np.ndarray) -> None:
+        """Pairs from the context that each token leaves to the next."""
+        before, n = np.r_[self.opening, last[:-1]], len(self.words)
+        before[self.starts] = self.opening
+        self.key, self.inverse, _ = distinct(before * n + self.tokens, (len(self.columns[0]) * n).bit_length())
+        self.context, self.word = np.divmod(self.key, n)
+
+    def lengthen(self) -> None:
+        opening = self.opening * len(self.words) + self.end
+        columns = [*(c[self.context] for c in self.columns), self.word]
+        self.opening = int(np.searchsorted(self.key, opening))
+        if self.opening == len(self.key) or self.key[self.opening] != opening:  # no document is empty
+            self.opening, columns = len(self.key), [np.append(c, self.end) for c in columns]
+        self.order, self.columns = self.order + 1, columns
+        self.pair(self.inverse)
+
+    def names(self) -> np.ndarray:
+        """Names of the contexts."""
+        *far, near = self.columns
+        return functools.reduce(lambda name, c: longer(name, self.words[c]), reversed(far), self.words[near])
+
+
+def grams(block: dict, order: int) -> Grams:
+    out = Grams(block)
+    while out.order < order:
+        out.lengthen()
+    return out
+
+
+class Pairs:
+    """Distinct (context, word) pairs by trie shard, context's name and word's number in the block. Each order has ``shards`` tries of its own."""
+
+    def __init__(self, of: Grams, wide: np.ndarray, shards: int):
+        names = of.names()
+        self.inverse, self.use = of.inverse, np.repeat(~of.held, of.sizes)
+        shard = shard_of(names, shards)[of.context]
+        broad = np.flatnonzero(np.isin(names, wide)[of.context])
+        shard[broad] = shard_of(names[of.context[broad]] ^ mix(of.words[of.word[broad]]), shards)
+        rank, bits = np.empty(len(names), dtype=np.int64), len(names).bit_length()
+        rank[by_place(names)[1]] = np.arange(len(names))
+        key, self.order = by_place(shard << bits | rank[of.context], shards.bit_length() + bits)
+        self.shard, self.name = (key >> bits) + (of.order - 2) * shards, names[of.context[self.order]]
+        self.after = (of.words >> np.uint64(64 - SUCCESSOR_BITS))[of.word[self.order]]
+        self.start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         self.length = np.diff(np.r_[self.start, len(key)])
 
     def ask(self, block: int) -> Iterator[pa.RecordBatch]:
-        train = np.bincount(self.inverse, weights=np.repeat(~self.held, self.sizes), minlength=len(self.order)).astype(np.uint32)[self.order]
+        train = np.bincount(self.inverse[self.use], minlength=len(self.order)).astype(np.uint32)[self.order]
         five = np.ascontiguousarray(self.after).view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]
         shards, first = np.unique(self.shard[self.start], return_index=True)
         for s, a, b in zip(shards, first, np.r_[first[1:], len(self.start)], strict=True):
@@ -410,7 +463,7 @@ def query_tries(asked: DataFrame, totals: dict[int, int], least: float) -> DataF
         trie, shard, out = Trie(memoryview(raw)), rows[0]["shard"], []
         for r, key, size, x in zip(rows, keys, sizes, after, strict=True):
             ranks = trie.context_ranks(key)
-            codes = trie.successor_codes(np.repeat(ranks, size), x)
+            codes = trie.successor_codes(ranks, x, size)
             back = np.where(ranks >= 0, trie.backoff[np.maximum(ranks, 0)] if len(contexts) else 0, 0).astype(np.uint8)
             out.append(rows_of(_ANSWER, kind=[1], block=[r["block"]], shard=[shard], a=[packed(codes)], b=[packed(back)], x=[None], y=[None]))
         broad = np.isin(contexts, np.array(list(totals), dtype=np.uint64)) if len(contexts) else np.zeros(0, dtype=bool)
@@ -462,7 +515,7 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield from Pairs(row, broad_of[m], tries, m).ask(row["block"])
+                    yield from Pairs(grams(row, m), broad_of[m], tries).ask(row["block"])
 
         return cut(query_tries(blocks.mapInArrow(tidy(ask), ASK), totals, least))
 
@@ -470,33 +523,36 @@ def lm_scores(docs: DataFrame, folds: int = FOLDS, order: int = 2) -> DataFrame:
     spread = {r["x"] % (1 << 64): r["n"] for r in answers.where("kind = 3").groupBy("x").agg(F.sum("y").alias("n")).collect()}
     floor = n_train + 0.1 * (n_words + 1)
     broad = np.array(sorted(spread), dtype=np.uint64)
-    broad_back = decoded(coded(np.array([DISCOUNT * spread[v] / totals[v] for v in sorted(spread)]), least), least)
+    broad_back = coded(np.array([DISCOUNT * spread[v] / totals[v] for v in sorted(spread)]), least)
+    value_of = decoded(np.arange(CODES + 1, dtype=np.uint8), least)
+    back_of = np.r_[1.0, value_of[1:]]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row, replies = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
         words = np.frombuffer(row["words"], dtype=np.uint64)
         counts = np.zeros(len(words), dtype=np.int64)
         counts[np.argsort(shard_of(words, shards), kind="stable")] = np.concatenate([unpacked(r["a"], np.int64) for r in replies if r["kind"] == 0])
-        alone, chance = (counts + 0.1) / floor, None
+        alone, of = (counts + 0.1) / floor, Grams(row)
+        chance = alone[of.tokens]
         for m in range(2, order + 1):
-            p = Pairs(row, broad_of[m], tries, m)
+            if m > 2:
+                of.lengthen()
+            p = Pairs(of, broad_of[m], tries)
             own = [r for r in replies if r["kind"] == 1 and r["shard"] // tries == m - 2]
             a, b = (np.concatenate([unpacked(r[c], np.uint8) for r in own]) for c in "ab")
-            back = np.where(b > 0, decoded(b, least), 1.0)
             if len(broad):
                 name = p.name[p.start]
                 at = np.minimum(np.searchsorted(broad, name), len(broad) - 1)
-                back = np.where(broad[at] == name, broad_back[at], back)
-            pair, pair_back = np.empty(len(p.order)), np.empty(len(p.order))
-            pair[p.order] = decoded(a, least)
-            pair_back[p.order] = np.repeat(back, p.length)
-            chance = pair[p.inverse] + pair_back[p.inverse] * (alone[p.tokens] if chance is None else chance)
+                b = np.where(broad[at] == name, broad_back[at], b)
+            pair, pair_back = np.empty(len(p.order), dtype=np.uint8), np.empty(len(p.order), dtype=np.uint8)
+            pair[p.order] = a
+            pair_back[p.order] = np.repeat(b, p.length)
+            chance = value_of[pair[p.inverse]] + back_of[pair_back[p.inverse]] * chance
         logs = np.log10(chance)
-        starts = np.cumsum(p.sizes) - p.sizes
-        base, total, known = (np.add.reduceat(x, starts) for x in (np.log10(alone)[p.tokens], logs, (counts > 0).astype(np.int64)[p.tokens]))
-        ids = pa.array(unpacked(row["docs"], np.int64), mask=p.nameless)
+        base, total, known = (np.add.reduceat(x, of.starts) for x in (np.log10(alone)[of.tokens], logs, (counts > 0).astype(np.int64)[of.tokens]))
+        ids = pa.array(unpacked(row["docs"], np.int64), mask=of.nameless)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([ids, pa.array(p.held), pa.array(p.sizes), pa.array(known), pa.array(np.full(len(p.sizes), n_train, dtype=np.int64)), pa.array(base), pa.array(total)], names=names)
+        return pa.table([ids, pa.array(of.held), pa.array(of.sizes), pa.array(known), pa.array(np.full(len(of.sizes), n_train, dtype=np.int64)), pa.array(base), pa.array(total)], names=names)
 
     replies = counted.where("kind = 0").union(answers.where("kind = 1"))
     asked = blocks.select("block", "docs", "held", "sizes", "words", "tokens").groupBy("block")

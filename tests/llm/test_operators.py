@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -392,3 +393,57 @@ def test_elias_fano_finds_values():
         assert (code.get(np.arange(len(values))) == values).all() and (code.find(values) == np.arange(len(values))).all()
         other = np.array([int(x) % universe for x in rng.randint(0, 2**62, 500)], dtype=np.uint64)
         assert ((code.find(other) >= 0) == np.isin(other, values)).all()
+
+
+def test_numbers_sorted_with_their_places():
+    rng = np.random.RandomState(4)
+    for n, bits in ((0, 64), (1, 64), (5000, 12), (5000, 51), (5000, 52), (5000, 64)):
+        some = np.array([int(x) % (1 << bits) for x in rng.randint(0, 2**62, n)], dtype=np.uint64) * np.uint64(3) % np.uint64((1 << bits) - 1)
+        near = rng.randint(0, 4, n).astype(np.uint64)  # alike in their leading bits
+        for x in (some, near, some % np.uint64(7)):
+            values, order = language_model.by_place(x, bits)
+            assert (order == np.argsort(x, kind="stable")).all() and (values == np.sort(x)).all() and values.dtype == x.dtype
+
+
+def test_pairs_are_the_n_grams_of_the_documents():
+    docs = [[1, 2, 1, 2, 3], [], [2], [1, 2, 3, 1, 2], [3, 3, 3, 3]]
+    hashes = {k: int(language_model.hash_words([b"w%d" % k])[0]) for k in (1, 2, 3)} | {0: int(language_model.END)}
+    for texts in (docs, [d for d in docs if d]):  # with and without an empty document
+        words = np.array([hashes[k] for k in (2, 0, 3, 1)], dtype=np.uint64)
+        number = {h: i for i, h in enumerate(words.tolist())}
+        tokens = np.array([number[hashes[k]] for d in texts for k in [*d, 0]])
+        planes = np.stack([tokens >> 8 * k & 255 for k in range(4)]).astype(np.uint8)
+        pack = language_model.packed
+        block = {"words": words.tobytes(), "tokens": pack(planes), "held": pack(np.zeros(len(texts), dtype=np.uint8)), "sizes": pack(np.array([len(d) + 1 for d in texts], dtype=np.int32))}
+        for order in (2, 3, 4):
+            want, flat = Counter(), []
+            for d in texts:
+                whole = [0] * (order - 1) + d + [0]
+                for i in range(len(d) + 1):
+                    *context, word = (np.uint64(hashes[k]) for k in whole[i : i + order])
+                    name = np.array([context[-1]])
+                    for w in context[-2::-1]:
+                        name = language_model.longer(name, w)
+                    flat.append((int(name[0]), int(word) >> 24))
+            want = Counter(flat)
+            for wide in (np.zeros(0, dtype=np.uint64), np.array(sorted({n for n, _ in want})[:2], dtype=np.uint64)):
+                p = language_model.Pairs(language_model.grams(block, order), wide, 3)
+                have = list(zip(p.name.tolist(), p.after.tolist(), strict=True))
+                assert len(have) == len(set(have)) and set(have) == set(want)
+                assert [have[i] for i in np.argsort(p.order)[p.inverse]] == flat
+                asked = [r for batch in p.ask(0) for r in batch.to_pylist()]
+                assert [r["shard"] for r in asked] == sorted({*p.shard.tolist()}) and all(r["shard"] // 3 == order - 2 for r in asked)
+                counts = np.concatenate([language_model.unpacked(r["counts"], np.uint32) for r in asked])
+                assert dict(zip(have, counts.tolist(), strict=True)) == want
+                names = [language_model.ascended(r["keys"]) for r in asked]
+                assert all((n[1:] > n[:-1]).all() for n in names)
+
+
+def test_elias_fano_is_made_in_little_memory():
+    values = np.sort(np.random.RandomState(5).randint(0, 2**62, 100_000).astype(np.uint64))
+    language_model.Monotone.encode(values[:10], 1 << 62)
+    tracemalloc.start()
+    language_model.Monotone.encode(values, 1 << 62)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(values)  # eight bytes a bit before
